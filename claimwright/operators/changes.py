@@ -38,7 +38,7 @@ def apply_changes(data: DataFrame, deletes: DataFrame, keys: list[str], seq: str
         raise ValueError(f"which is any or later, not {which!r}")
     key = F.struct(*[F.col(f"`{k}`") for k in keys]).alias("k")
     payload = [c for c in data.columns if c not in (*keys, seq)]
-    row = F.struct(F.col(f"`{seq}`").cast("bigint").alias("seq"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in payload]).alias("p"))
+    row = F.struct(F.col(f"`{seq}`").cast("bigint").alias("seq"), F.struct(*([F.col(f"`{c}`") for c in payload] or [F.lit(0)])).alias("p"))
     put = data.where(_known(keys)).select(key, row.alias("row"), F.lit(None).cast("bigint").alias("gone"))
     taken = deletes.where(_known(keys)).select(key, F.coalesce(F.col(f"`{seq}`").cast("bigint"), F.lit(0)).alias("gone"))
     state = put.unionByName(taken, allowMissingColumns=True).groupBy("k").agg(F.max("row").alias("row"), F.max("gone").alias("gone"))

@@ -65,8 +65,9 @@ def winners(cells: DataFrame, specs: list[Spec], order: list[str]) -> DataFrame:
         else:
             text = F.when(is_it, s.read(F.col("value"))).otherwise(text)
     rows = cells.where(F.col("entity").isNotNull() & F.col("attribute").isin([s.attribute for s in specs]))
-    rows = rows.select("entity", "attribute", *order, number.alias("number"), text.alias("text"))
-    best = F.struct(*order, "number", "text")
+    ranks = [F.col(f"`{o}`").alias(f"_order{i}") for i, o in enumerate(order)]
+    rows = rows.select("entity", "attribute", *ranks, number.alias("number"), text.alias("text"))
+    best = F.struct(*[f"_order{i}" for i in range(len(order))], "number", "text")
     best = F.when(F.col("number").isNotNull() | F.col("text").isNotNull(), best)
     return rows.groupBy("entity", "attribute").agg(F.max(best).alias("b")).select("entity", "attribute", "b.number", "b.text")
 

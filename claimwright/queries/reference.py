@@ -515,11 +515,12 @@ _add("mail_addresses", None)(lambda c: mail.standing_addresses(ask.values(c, "ma
 def _folded(claims: DataFrame) -> DataFrame:
     """The standing set out of a change table that segments were appended to one after the other, last first."""
     import tempfile
+    import uuid
 
     spark = claims.sparkSession
     context = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="claimwright-fold-")
-    path = f"{shared}/fold-{context.applicationId}-{id(claims)}"
+    path = f"{shared}/fold-{uuid.uuid4()}"
     fold = ChangeTable(spark, path, ["subject", "attribute", "claim"], which="any")
     half = claims.agg(F.floor(F.avg("seq"))).first()[0] or 0
     for n, part in enumerate((claims.where(F.col("seq") > half), claims.where(F.col("seq") <= half))):
