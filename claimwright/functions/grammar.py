@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from claimwright.functions.batched import batched
+
 
 def valid_subject(text: Column) -> Column:
     return F.lower(text).rlike(r"^(?:[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})\z")
@@ -60,45 +60,47 @@ def claim_id() -> Column:
     return F.sha2(claim_line(), 256)
 
 
-@F.pandas_udf("string")
-def canonical(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """JSON text with sorted members and no spaces, numbers as they are spelt; null where it is no JSON or null.
+class _Spelt(float):
+    """A number that keeps the text it was read from."""
+
+    def __new__(cls, text: str):
+        made = super().__new__(cls, text)
+        made.text = text
+        return made
 
-    For the write door only; queries compare the text that it wrote.
-    """
+    def __repr__(self) -> str:
+        return self.text
 
-    class Spelt(float):
-        def __repr__(self):
-            return self.text
 
-    def number(text: str) -> Spelt:
-        n = Spelt(text)
-        n.text = text
-        return n
+def _spell(node) -> str:
+    """JSON text with sorted members and no spaces, numbers as they were read."""
+    if isinstance(node, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_spell(node[k])}" for k in sorted(node)) + "}"
+    if isinstance(node, list):
+        return "[" + ",".join(map(_spell, node)) + "]"
+    return node.text if isinstance(node, _Spelt) else json.dumps(node, ensure_ascii=False)
 
-    def one(text):
-        try:
-            value = json.loads(text, parse_float=number)
-        except (TypeError, ValueError):
-            return None
-        return None if value is None else json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
 
-    for series in values:
-        yield series.map(one)
+def canonical_text(text: str | None) -> str | None:
+    """The one spelling of a JSON value; null where it is no JSON or null."""
+    try:
+        value = json.loads(text, parse_float=_Spelt, parse_int=_Spelt)
+    except (TypeError, ValueError, RecursionError):
+        return None
+    return None if value is None else _spell(value)
 
 
-@F.pandas_udf("string")
-def json_part(values: pd.Series, steps: pd.Series) -> pd.Series:
-    """The exact JSON text of a part of a value (steps joined by dots), numbers as they are spelt."""
-    import re
+def part_text(text: str | None, part: str | None) -> str | None:
+    """The exact JSON text of a part of a value (steps joined by dots); null where it is missing."""
+    try:
+        node = json.loads(text, parse_float=_Spelt, parse_int=_Spelt)
+        for step in part.split("."):
+            node = node[int(step)] if isinstance(node, list) and step.isdigit() else node[step]
+    except (AttributeError, TypeError, ValueError, KeyError, IndexError, RecursionError):
+        return None
+    return _spell(node)
 
-    def one(text, part):
-        try:
-            node = json.loads(text, parse_float=lambda t: ("#", t), parse_int=lambda t: ("#", t))
-            for step in part.split("."):
-                node = node[int(step)] if isinstance(node, list) and step.isdigit() else node[step]
-        except (TypeError, ValueError, KeyError, IndexError):
-            return None
-        return re.sub(r'\["#", "([^"]*)"\]', r"\1", json.dumps(node, ensure_ascii=False, sort_keys=True)).replace(", ", ",").replace(": ", ":") if isinstance(node, (dict, list)) else node[1] if isinstance(node, tuple) else json.dumps(node, ensure_ascii=False)
 
-    return pd.Series([one(t, p) for t, p in zip(values, steps)])
+#: For the write door only; queries compare the text that it wrote.
+canonical = batched(canonical_text, "string")
+json_part = batched(part_text, "string")

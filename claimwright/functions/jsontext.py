@@ -39,7 +39,7 @@ def truth_of(value: Column) -> Column:
 
 def word_of(value: Column, *words: str) -> Column:
     """A JSON string that, trimmed and in lower case, is one of *words*."""
-    word = F.lower(F.trim(text_of(value)))
+    word = F.lower(F.regexp_replace(text_of(value), r"^\s+|\s+\z", ""))
     return F.when(word.isin(*words), word)
 
 

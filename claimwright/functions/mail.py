@@ -7,11 +7,10 @@ import email.header
 import email.utils
 import re
 import unicodedata
-from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from claimwright.functions.batched import batched
 from claimwright.operators.instants import read_text, spelled
 
 
@@ -83,24 +82,12 @@ def fitted(name: str | None, most: int = 240) -> str | None:
 
 
 
-def _batched(f: Callable, kind: str) -> Callable[[Column], Column]:
-    """*f* as a column function; the UDF is made at the call, where a session exists."""
-
-    def of(column: Column) -> Column:
-        def run(s: pd.Series) -> pd.Series:
-            return s.map(f)
-
-        return F.pandas_udf(run, kind)(column)
-
-    return of
-
-
-decode = _batched(decoded_text, "string")
-addresses = _batched(address_list, "array<string>")
-from_utf7 = _batched(utf7_decode, "string")
-to_utf7 = _batched(utf7_encode, "string")
-folder = _batched(folder_key, "string")
-fits = _batched(fitted, "string")
+decode = batched(decoded_text, "string")
+addresses = batched(address_list, "array<string>")
+from_utf7 = batched(utf7_decode, "string")
+to_utf7 = batched(utf7_encode, "string")
+folder = batched(folder_key, "string")
+fits = batched(fitted, "string")
 
 
 def standing_addresses(values: DataFrame) -> DataFrame:

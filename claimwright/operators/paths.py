@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import re
+from functools import reduce
 
+from pyspark.sql import Column, DataFrame, functions as F
+
+from claimwright.plans.ranks import ranked
 from claimwright.plans.record import live, live_values
 
 
@@ -87,18 +91,14 @@ def layout(claims: DataFrame) -> DataFrame:
 
 def disambiguate(targets: DataFrame) -> DataFrame:
     """Targets that several subjects want: the n-th by subject, n from 2, gets ``-n`` before the extension."""
-    n = F.row_number().over(Window.partitionBy("target").orderBy("subject"))
     stem, ext = F.regexp_extract("target", r"(?s)^(.*[^/])(\.[^./]+)\z", 1), F.regexp_extract("target", r"(?s)^(.*[^/])(\.[^./]+)\z", 2)
-    rows = targets.withColumn("n", n)
+    rows = ranked(targets.select("subject", "target").distinct(), ["target"], ["subject"], "n")
     bumped = F.when(stem != "", F.concat(stem, F.lit("-"), F.col("n"), ext)).otherwise(F.concat("target", F.lit("-"), F.col("n")))
     return rows.select("subject", "target", F.when(F.col("n") == 1, F.col("target")).otherwise(bumped).alias("name"))
 
 
 def excluded(path: Column, patterns: list[str]) -> Column:
     """Whether an exclude glob matches: without ``/`` the bare name at any level, else the path, ``*`` in a level, ``**`` across."""
-    import re
-    from functools import reduce
-
     def one(glob: str) -> Column:
         out, i = "", 0
         body = glob.lstrip("/")

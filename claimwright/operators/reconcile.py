@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from claimwright.plans.ranks import ranked
 
 
 def settled(listed: DataFrame, archived: DataFrame) -> DataFrame:
@@ -15,8 +17,8 @@ def settled(listed: DataFrame, archived: DataFrame) -> DataFrame:
 def claimed(listed: DataFrame, archived: DataFrame) -> DataFrame:
     """Listed rows (key, place) that find an archived copy: the k-th of a key takes the k-th copy."""
     copies = archived.groupBy("key").agg(F.count("*").alias("copies"))
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("place"))
-    return listed.withColumn("rank", rank).join(copies, "key", "left").where(F.col("rank") <= F.coalesce("copies", F.lit(0))).select("key", "place")
+    rows = ranked(listed.where(F.col("key").isNotNull()).select("key", "place"), ["key"], ["place"])
+    return rows.join(copies, "key").where(F.col("rank") <= F.col("copies")).select("key", "place")
 
 
 def snapshot_changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from claimwright.operators.orphans import held
+from claimwright.plans.ranks import ranked
 from claimwright.plans.record import live, record
 
 
@@ -77,11 +78,8 @@ def delta(ahead: DataFrame, behind: DataFrame) -> DataFrame:
 
 def sealed_order(claims: DataFrame) -> DataFrame:
     """The place of each claim in its segment if sealed by (time, cid)."""
-    from pyspark.sql import Window
-
-    rows = record(claims)
-    place = F.row_number().over(Window.partitionBy("seq").orderBy("time", "cid")) - 1
-    return rows.select("cid", "seq", place.cast("bigint").alias("place"))
+    rows = ranked(record(claims).select("cid", "seq", "time"), ["seq"], ["time", "cid"])
+    return rows.select("cid", "seq", (F.col("rank") - 1).alias("place"))
 
 
 def sealed_digests(claims: DataFrame) -> DataFrame:
