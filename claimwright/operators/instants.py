@@ -116,19 +116,20 @@ def _fields(parts: Column, order: Column) -> Column:
     off_hours, off_minutes = F.substring(digits, 1, 2).try_cast("int"), F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0))
     written = F.when((off_hours <= 23) & (off_minutes <= 59), (off_hours * 60 + off_minutes) * F.when(at["zone"].startswith("-"), -1).otherwise(1))
     known = F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair])
-    return F.struct(
-        F.when(F.length(at["year"]) == 2, number["year"] + 2000).otherwise(number["year"]).alias("y"),
-        F.when(numeric, F.when(order == "dmy", number["second"]).when(order == "mdy", number["first"])).otherwise(named).alias("m"),
-        F.when(numeric, F.when(order == "dmy", number["first"]).when(order == "mdy", number["second"])).otherwise(number["day"]).alias("d"),
-        F.when(half == "", F.when(number["hour"] <= 23, number["hour"]))
-        .otherwise(F.when(number["hour"].between(1, 12), number["hour"] % 12 + F.when(half == "pm", 12).otherwise(0)))
-        .alias("h"),
-        number["minute"].alias("mi"),
-        F.when(at["sec"] == "", 0).otherwise(at["sec"].try_cast("int")).alias("s"),
-        (at["zone"] != "").alias("zoned"),
-        F.when(at["zone"].rlike("^[+-]"), written).otherwise(F.try_element_at(known, F.lower(at["zone"]))).alias("offset"),
-        F.when(at["epoch"] != "", at["epoch"].try_cast("bigint")).when(at["milli"] != "", F.floor(at["milli"].try_cast("bigint") / 1000)).alias("epoch"),
-    )
+    half_hour = number["hour"] % 12 + F.when(half == "pm", 12).otherwise(0)
+    fields = {
+        "y": F.when(F.length(at["year"]) == 2, number["year"] + 2000).otherwise(number["year"]),
+        "m": F.when(numeric, F.when(order == "dmy", number["second"]).when(order == "mdy", number["first"])).otherwise(named),
+        "d": F.when(numeric, F.when(order == "dmy", number["first"]).when(order == "mdy", number["second"])).otherwise(number["day"]),
+        "h": F.when(half == "", F.when(number["hour"] <= 23, number["hour"])).otherwise(F.when(number["hour"].between(1, 12), half_hour)),
+        "mi": number["minute"],
+        "s": F.when(at["sec"] == "", 0).otherwise(at["sec"].try_cast("int")),
+        "zoned": at["zone"] != "",
+        "offset": F.when(at["zone"].rlike("^[+-]"), written).otherwise(F.try_element_at(known, F.lower(at["zone"]))),
+        "epoch": F.when(at["epoch"] != "", at["epoch"].try_cast("bigint")).when(at["milli"] != "", F.floor(at["milli"].try_cast("bigint") / 1000)),
+    }
+    # Names as arguments: aliases inside a lambda are lost where a generator stands in the same projection.
+    return F.named_struct(*[x for name, c in fields.items() for x in (F.lit(name), c)])
 
 
 def _seconds(r: Column, zone: Column) -> Column:
