@@ -29,44 +29,66 @@ def _known(keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, (F.col(f"`{k}`").isNotNull() for k in keys))
 
 
-def apply_changes(data: DataFrame, deletes: DataFrame, keys: list[str], seq: str = "seq", which: str = "any") -> DataFrame:
-    """The rows of *data* that no delete takes back, one per key.
+def _key(keys: list[str]) -> Column:
+    return F.struct(*[F.col(f"`{k}`") for k in keys]).alias("k")
 
-    *data* has the key columns, *seq* and any payload; *deletes* the key columns and *seq*.
-    """
+
+def _payload(payload: dict[str, Column]) -> Column:
+    return F.struct(*([c.alias(n) for n, c in payload.items()] or [F.lit(0)]))
+
+
+def _merged(tagged: DataFrame, keys: list[str], seq: str, payload: list[str], which: str) -> DataFrame:
+    """The state of tagged changes (k, row, gone): ``row`` of an insert is (seq, payload), ``gone`` of a delete its seq."""
     if which not in ("any", "later"):
         raise ValueError(f"which is any or later, not {which!r}")
-    key = F.struct(*[F.col(f"`{k}`") for k in keys]).alias("k")
-    payload = [c for c in data.columns if c not in (*keys, seq)]
-    row = F.struct(F.col(f"`{seq}`").cast("bigint").alias("seq"), F.struct(*([F.col(f"`{c}`") for c in payload] or [F.lit(0)])).alias("p"))
-    put = data.where(_known(keys)).select(key, row.alias("row"), F.lit(None).cast("bigint").alias("gone"))
-    taken = deletes.where(_known(keys)).select(key, F.coalesce(F.col(f"`{seq}`").cast("bigint"), F.lit(0)).alias("gone"))
-    state = put.unionByName(taken, allowMissingColumns=True).groupBy("k").agg(F.max("row").alias("row"), F.max("gone").alias("gone"))
+    state = tagged.groupBy("k").agg(F.max("row").alias("row"), F.max("gone").alias("gone"))
     kept = F.col("gone").isNull() if which == "any" else F.col("gone").isNull() | (F.coalesce(F.col("row.seq"), F.lit(0)) >= F.col("gone"))
     return state.where(F.col("row").isNotNull() & kept).select(
         *[F.col("k")[k].alias(k) for k in keys], F.col("row.seq").alias(seq), *[F.col("row.p")[c].alias(c) for c in payload]
     )
 
 
-def split_feed(claims: DataFrame, attributes: list[str] | None = None, payload: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
-    """The record as a change feed: (data, deletes) with the key (subject, attribute, claim) and seq.
+def apply_changes(data: DataFrame, deletes: DataFrame, keys: list[str], seq: str = "seq", which: str = "any") -> DataFrame:
+    """The rows of *data* that no delete takes back, one per key.
 
-    A claim with ``retracts`` is a delete of each id that it names under its own subject
-    and attribute; any other claim is an insert.
+    *data* has the key columns, *seq* and any payload; *deletes* the key columns and *seq*.
     """
+    payload = [c for c in data.columns if c not in (*keys, seq)]
+    row = F.struct(F.col(f"`{seq}`").cast("bigint").alias("seq"), _payload({c: F.col(f"`{c}`") for c in payload}).alias("p"))
+    put = data.where(_known(keys)).select(_key(keys), row.alias("row"), F.lit(None).cast("bigint").alias("gone"))
+    taken = deletes.where(_known(keys)).select(_key(keys), F.coalesce(F.col(f"`{seq}`").cast("bigint"), F.lit(0)).alias("gone"))
+    return _merged(put.unionByName(taken, allowMissingColumns=True), keys, seq, payload, which)
+
+
+def _is_delete() -> Column:
+    """A claim with ``retracts`` is a delete of each id that it names under its own subject and attribute."""
+    return F.col("retracts").isNotNull()
+
+
+def split_feed(claims: DataFrame, attributes: list[str] | None = None, payload: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The record as a change feed: (data, deletes) with the key (subject, attribute, claim) and seq."""
     rows = claims if attributes is None else claims.where(F.col("attribute").isin(attributes))
     where = [F.lower("subject").alias("subject"), F.col("attribute")]
-    data = rows.where(F.col("retracts").isNull()).select(
-        *where, F.lower("cid").alias("claim"), F.col("seq").cast("bigint").alias("seq"), *[v.alias(k) for k, v in (payload or {}).items()]
-    )
-    deletes = rows.where(F.col("retracts").isNotNull()).select(*where, F.col("seq").cast("bigint").alias("seq"), F.explode("retracts").alias("claim"))
+    seq = F.col("seq").cast("bigint").alias("seq")
+    data = rows.where(~_is_delete()).select(*where, F.lower("cid").alias("claim"), seq, *[v.alias(k) for k, v in (payload or {}).items()])
+    deletes = rows.where(_is_delete()).select(*where, seq, F.explode("retracts").alias("claim"))
     return data, deletes.withColumn("claim", F.lower("claim"))
 
 
 def standing_claims(claims: DataFrame, attributes: list[str] | None = None, payload: dict[str, Column] | None = None) -> DataFrame:
-    """The standing claims as (subject, attribute, claim, seq, payload…), one row per claim."""
-    data, deletes = split_feed(claims, attributes, payload)
-    return apply_changes(data, deletes, ["subject", "attribute", "claim"])
+    """The standing claims as (subject, attribute, claim, seq, payload…), one row per claim.
+
+    The same as ``apply_changes`` of ``split_feed``, with both sides cut from one scan.
+    """
+    payload, keys = payload or {}, ["subject", "attribute", "claim"]
+    rows = claims if attributes is None else claims.where(F.col("attribute").isin(attributes))
+    seq = F.col("seq").cast("bigint")
+    row = F.struct(seq.alias("seq"), _payload(payload).alias("p"))
+    ids = F.when(_is_delete(), F.col("retracts")).otherwise(F.array("cid"))
+    cut = rows.select(
+        F.lower("subject").alias("subject"), "attribute", F.when(~_is_delete(), row).alias("row"), F.when(_is_delete(), F.coalesce(seq, F.lit(0))).alias("gone"), F.explode(ids).alias("claim")
+    ).withColumn("claim", F.lower("claim"))
+    return _merged(cut.where(_known(keys)).select(_key(keys), "row", "gone"), keys, "seq", list(payload), "any")
 
 
 def difference(current: DataFrame, copy: DataFrame, key: str = "claim") -> DataFrame:
