@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from claimwright.functions import jsontext
 from claimwright.operators.changes import standing_claims
 from claimwright.operators.instants import instant_of
-from claimwright.plans.tables import shuffle_partitions
+from claimwright.plans.tables import checkpointed, shuffle_partitions
 
 
 @dataclass(frozen=True)
@@ -110,10 +110,12 @@ def stitch(cells: DataFrame, specs: list[Spec], entity: str, ranges: int) -> Dat
 def widen(cells: DataFrame, specs: list[Spec], order: list[str], entity: str = "entity", ranges: int | None = None) -> DataFrame:
     """The wide table of *cells* (entity, attribute, value and the *order* columns): ordinal, *entity*, the specs' columns.
 
+    The winning cells are written to the checkpoint folder once; ordinals and columns are made from there.
+
     *ranges* is the number of ordinal ranges, by default four a shuffle partition, so a
     range holds a fraction of a partition whatever the size of the data.
     """
-    return stitch(winners(cells, specs, order), specs, entity, ranges or 4 * shuffle_partitions(cells.sparkSession))
+    return stitch(checkpointed(winners(cells, specs, order)), specs, entity, ranges or 4 * shuffle_partitions(cells.sparkSession))
 
 
 def raster(claims: DataFrame) -> DataFrame:
