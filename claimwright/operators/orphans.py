@@ -52,17 +52,17 @@ def held(blobs: DataFrame) -> DataFrame:
 def record_orphans(claims: DataFrame, blobs: DataFrame, standing: DataFrame) -> DataFrame:
     """Orphans of the record: files neither store holds, and claims the record does not have."""
     month = lambda time: F.substring(instant_of(time), 1, 7)
-    rows = claims.select("subject", "attribute", "value", "retracts", "cid", month(F.col("time")).alias("month"))
-    named = rows.where(F.col("retracts").isNotNull()).select("month", F.explode("retracts").alias("id"))
-    digest = F.regexp_extract(F.get_json_object("value", "$"), r"^([0-9a-fA-F]{64})\z", 1)
-    origins = rows.where((F.col("attribute") == "prov:origin") & F.col("value").rlike(r'^\s*"')).select("month", digest.alias("id")).where(F.col("id") != "")
+    digest = F.when((F.col("attribute") == "prov:origin") & F.col("value").rlike(r'^\s*"'), F.regexp_extract(F.get_json_object("value", "$"), r"^([0-9a-fA-F]{64})\z", 1))
+    ref = lambda table, key, field: F.named_struct(F.lit("parent"), F.lit(table), F.lit("key"), F.lower(key), F.lit("field"), F.lit(field).cast("string"))
+    own = F.array(ref("claims", F.col("cid"), None), ref("blobs", F.col("subject"), "claims.subject"), ref("blobs", F.when(digest != "", digest), "claims.value"))
+    named = F.transform(F.coalesce("retracts", F.array().cast("array<string>")), lambda i: ref("claims", i, "claims.retracts"))
+    # One scan of the claims: each gives its own id as parent, and all that it refers to.
+    cut = claims.select(month(F.col("time")).alias("month"), F.concat(own, named).alias("refs"))  # before the rows are multiplied
+    cut = cut.select("month", F.explode("refs").alias("r")).select("r.parent", "r.key", "r.field", F.when(F.col("r.field").isNotNull(), F.col("month")).alias("period"))
     copied = standing.select("claim", month(F.col("asserted")).alias("month"))
     return orphans(
         parent(held(blobs), "blobs", F.col("digest")),
-        parent(claims, "claims", F.col("cid")),
-        child(rows, "blobs", F.col("subject"), "claims.subject", F.col("month")),
-        child(origins, "blobs", F.col("id"), "claims.value", F.col("month")),
-        child(named, "claims", F.col("id"), "claims.retracts", F.col("month")),
+        cut.where(F.col("field").isNull() | F.col("period").isNotNull()),
         child(copied, "claims", F.col("claim"), "standing.claim", F.col("month")),
     )
 
