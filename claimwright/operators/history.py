@@ -20,7 +20,9 @@ one; ends not later than their start give no period.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from claimwright.operators.instants import instant_of
 
@@ -32,13 +34,14 @@ _KEY = ("subject", "attribute", "value")
 
 def lifetimes(claims: DataFrame, attributes: tuple[str, ...]) -> DataFrame:
     """Rows (subject, attribute, value, start, end) of the claims on *attributes*; end is null without one."""
+    made = F.col("retracts").isNull()
+    ids = F.when(made, F.array("cid")).otherwise(F.col("retracts"))
     rows = claims.where(F.col("attribute").isin(*attributes)).select(
-        F.lower("subject").alias("subject"), "attribute", "value", F.lower("cid").alias("cid"), "retracts", instant_of(F.col("time")).alias("instant")
+        F.lower("subject").alias("subject"), "attribute", F.when(made, F.col("value")).alias("value"), made.alias("made"), instant_of(F.col("time")).alias("at"), ids.alias("ids")
     )
-    made = rows.where(F.col("retracts").isNull()).select("subject", "attribute", "cid", "value", F.col("instant").alias("start"))
-    taken = rows.where(F.col("retracts").isNotNull()).select("subject", "attribute", F.explode("retracts").alias("cid"), F.col("instant").alias("end"))
-    both = made.unionByName(taken.withColumn("cid", F.lower("cid")), allowMissingColumns=True)
-    claim = both.groupBy("cid", "subject", "attribute").agg(F.min("value").alias("value"), F.min("start").alias("start"), F.min("end").alias("end"))
+    rows = rows.select("*", F.explode("ids").alias("cid"))  # the instant is read before the rows are multiplied
+    ends = rows.select(F.lower("cid").alias("cid"), "subject", "attribute", "value", F.when(F.col("made"), F.col("at")).alias("start"), F.when(~F.col("made"), F.col("at")).alias("end"))
+    claim = ends.groupBy("cid", "subject", "attribute").agg(F.min("value").alias("value"), F.min("start").alias("start"), F.min("end").alias("end"))
     good = F.col("subject").isNotNull() & F.col("value").isNotNull() & F.col("start").isNotNull() & (F.col("end").isNull() | (F.col("end") > F.col("start")))
     return claim.where(good).select(*_KEY, "start", "end")
 
@@ -70,12 +73,27 @@ def ended(rows: DataFrame) -> DataFrame:
     return dated.where("holds").select(*_KEY, F.col("loaded").alias("valid_from"), F.coalesce("next", "head_after").alias("valid_to"))
 
 
+def satellite_of(attribute: Column) -> Column:
+    """The name of the satellite that keeps an attribute."""
+    return reduce(lambda w, s: w.when(attribute.isin(*s[1]), s[0]), SATELLITES.items(), F.when(F.lit(False), ""))
+
+
+def satellites(claims: DataFrame) -> DataFrame:
+    """The rows of all satellites, computed in one pass, with ``satellite``, by which they are kept apart."""
+    rows = satellite(lifetimes(claims, tuple(a for s in SATELLITES.values() for a in s)))
+    return rows.withColumn("satellite", satellite_of(F.col("attribute")))
+
+
+def append(claims: DataFrame, path: str) -> None:
+    """Writes the satellite rows of *claims*, each satellite its own folder; nothing written is changed."""
+    satellites(claims).write.mode("append").partitionBy("satellite").parquet(path)
+
+
 def periods(claims: DataFrame, attributes: tuple[str, ...]) -> DataFrame:
-    """Rows (subject, attribute, value, valid_from, valid_to) of one satellite; valid_to is null while valid."""
+    """Rows (subject, attribute, value, valid_from, valid_to) of *attributes*; valid_to is null while valid."""
     return ended(satellite(lifetimes(claims, attributes)))
 
 
 def found(claims: DataFrame) -> DataFrame:
     """The periods of all satellites, ``open`` for those without end."""
-    slow, fast = (periods(claims, a) for a in SATELLITES.values())
-    return slow.unionByName(fast).withColumn("valid_to", F.coalesce("valid_to", F.lit(OPEN)))
+    return ended(satellites(claims)).withColumn("valid_to", F.coalesce("valid_to", F.lit(OPEN)))
