@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from claimwright.plans.ranks import ranked
 from claimwright.plans.record import live, live_values, record
-from claimwright.plans.terms import field_matches, part_of, quote
+from claimwright.plans.terms import part_of, quote
 
 PATHS = ("file:path", "mailbox:place", "file:name")
+CHUNK = 10_000
 
 
 def values(claims: DataFrame, attribute: str) -> DataFrame:
@@ -37,9 +39,18 @@ def about(claims: DataFrame, subject: str) -> DataFrame:
 
 
 def gather(claims: DataFrame, hits: DataFrame, names: list[str]) -> DataFrame:
-    """Per hit and projected attribute, its standing values each once, in order: (subject, attribute, values)."""
+    """Per hit and projected attribute, its standing values each once, in order: (subject, attribute, chunk, values).
+
+    A chunk holds ``CHUNK`` values at most, so a file of very many values never stands in one row.
+    """
     rows = live_values(claims, names).join(hits, "subject", "left_semi")
-    return rows.groupBy("subject", "attribute").agg(F.sort_array(F.collect_set("value")).alias("values"))
+    return chunked(rows, ["subject", "attribute"], "value")
+
+
+def chunked(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Distinct values per key as sorted lists of up to ``CHUNK``: (keys, chunk, values)."""
+    placed = ranked(rows, keys, [value]).withColumn("chunk", F.floor((F.col("rank") - 1) / CHUNK))
+    return placed.groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list(value)).alias("values"))
 
 
 def subjects(claims: DataFrame, scope: str = "held") -> DataFrame:
@@ -157,13 +168,13 @@ def tally(claims: DataFrame) -> DataFrame:
 
 
 def counters(claims: DataFrame) -> DataFrame:
-    """Counters of the log, one row."""
-    rows = record(claims)
-    named = lambda a: F.count_distinct(F.when(F.col("attribute") == a, F.col("subject")))
-    return rows.agg(
-        F.count_distinct("seq").alias("segments"), F.count("*").alias("claims"), F.count_distinct("subject").alias("files"),
-        named("file:size").alias("sized"), named("file:mime").alias("typed"), F.max("time").alias("last"),
-    )
+    """Counters of the log, one row. Files are counted after one row a file is left, not by expanding every claim."""
+    has = lambda a: F.max((F.col("attribute") == a).cast("bigint"))
+    files = record(claims).groupBy("subject").agg(F.count("*").alias("n"), has("file:size").alias("sized"), has("file:mime").alias("typed"), F.max("time").alias("last"))
+    segments = claims.select("seq").distinct().agg(F.count("seq")).scalar()
+    return files.agg(
+        segments.alias("segments"), F.coalesce(F.sum("n"), F.lit(0)).alias("claims"), F.count("subject").alias("files"), F.coalesce(F.sum("sized"), F.lit(0)).alias("sized"), F.coalesce(F.sum("typed"), F.lit(0)).alias("typed"), F.max("last").alias("last")
+    )
 
 
 def pairs(claims: DataFrame, attributes: list[str]) -> DataFrame:
@@ -175,13 +186,8 @@ def pairs(claims: DataFrame, attributes: list[str]) -> DataFrame:
 
 
 def objects(claims: DataFrame, attributes: list[str]) -> DataFrame:
-    """One JSON object per subject: attribute to its sorted list of standing values."""
-    rows = live_values(claims, attributes)
-    lists = rows.groupBy("subject", "attribute").agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_set("value")), ","), F.lit("]")).alias("list"))
-    one = F.concat(F.lit('"'), F.col("attribute"), F.lit('":'), F.col("list"))
-    whole = lists.groupBy("subject").agg(F.array_join(F.sort_array(F.collect_list(one)), ",").alias("members"))
+    """JSON objects of subjects: attribute to its sorted list of standing values, an object a chunk."""
+    lists = chunked(live_values(claims, attributes), ["subject", "attribute"], "value")
+    one = F.concat(F.lit('"'), F.col("attribute"), F.lit('":['), F.array_join("values", ","), F.lit("]"))
+    whole = lists.groupBy("subject", "chunk").agg(F.array_join(F.sort_array(F.collect_list(one)), ",").alias("members"))
     return whole.select("subject", F.concat(F.lit('{"subject":"'), F.col("subject"), F.lit('",'), F.col("members"), F.lit("}")).alias("line"))
-
-
-def field_rows(claims: DataFrame, field: str, pattern: str) -> Column:
-    return field_matches(field, pattern)

@@ -96,13 +96,12 @@ def sealed_digests(claims: DataFrame) -> DataFrame:
 
 
 def set_aside(claims: DataFrame, blobs: DataFrame) -> DataFrame:
-    """Files that were removed from the stores for good, with their standing paths and whether they are mail."""
+    """Files that were removed from the stores for good, a row per standing path (or null), and whether they are mail."""
     gone = blobs.groupBy(F.lower("digest").alias("subject")).agg(F.bool_and(F.col("removed").isNotNull()).alias("gone")).where("gone").select("subject")
-    rows = live(claims, ["file:path", "file:mime"], ("value",)).join(gone, "subject", "left_semi")
-    return rows.groupBy("subject").agg(
-        F.array_join(F.sort_array(F.collect_set(F.when(F.col("attribute") == "file:path", F.col("value")))), " ").alias("paths"),
-        F.bool_or((F.col("attribute") == "file:mime") & (F.col("value") == '"message/rfc822"')).alias("mail"),
-    )
+    rows = live(claims, ["file:path", "file:mime"], ("value",))
+    paths = rows.where(F.col("attribute") == "file:path").select("subject", F.col("value").alias("path")).distinct()
+    mails = rows.where((F.col("attribute") == "file:mime") & (F.col("value") == '"message/rfc822"')).select("subject", F.lit(True).alias("mail")).distinct()
+    return gone.join(paths, "subject", "left").join(mails, "subject", "left").select("subject", "path", F.coalesce("mail", F.lit(False)).alias("mail"))
 
 
 def stored_since(blobs: DataFrame, moment: str) -> DataFrame:

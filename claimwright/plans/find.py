@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from claimwright.operators.lineage import placed
 from claimwright.plans.record import live, record
-from claimwright.plans.terms import Term, field_matches, part_of, value_matches
+from claimwright.plans.terms import Term, field_matches, part_of, text_matches, value_matches
 
 SCOPES = ("present", "held", "record")
 
@@ -38,6 +38,19 @@ def _concerns(missing: str) -> Column:
     return is_it & part_of(F.col("value"), part).isNotNull() if part else is_it
 
 
+def _concerned(claims: DataFrame, terms: list[Term], missing: tuple[str, ...]) -> DataFrame:
+    """The claims that can bear on the answer: retractions share the subject and attribute of what they take
+    back, so conditions on these two go to the scan, below the standing set."""
+    named = [t.attribute for t in terms if not t.is_field]
+    if named:
+        names = [F.col("attribute").isin(sorted({*named, *(m.partition(".")[0] for m in missing if not m.endswith(":"))}))]
+        claims = claims.where(reduce(lambda a, b: a | b, names + [F.col("attribute").startswith(m) for m in missing if m.endswith(":")]))
+    for t in terms:
+        if t.name == "subject":
+            claims = claims.where(text_matches(F.lower("subject"), t.pattern.lower()))
+    return claims
+
+
 def find(claims: DataFrame, terms: list[str | Term], missing: tuple[str, ...] = (), scope: str = "held") -> DataFrame:
     """Rows (subject). No terms and nothing missing finds nothing."""
     if scope not in SCOPES:
@@ -45,7 +58,8 @@ def find(claims: DataFrame, terms: list[str | Term], missing: tuple[str, ...] =
     terms = [t if isinstance(t, Term) else Term.parse(t) for t in terms]
     if any(t.name == "retract" for t in terms) and scope != "record":
         raise ValueError("retract asks for the scope record")
-    rows = record(claims) if scope == "record" else live(claims, None, ("value", "time", "source", "run", "retracts"))
+    bearing = _concerned(claims, terms, missing)
+    rows = record(bearing) if scope == "record" else live(bearing, None, ("value", "time", "source", "run", "retracts"))
     arms, gone = _arms(terms), [_concerns(m) for m in missing]
     if not arms and not gone:
         return rows.select("subject").limit(0)

@@ -127,9 +127,10 @@ def _archive(row) -> bytes:
 
 
 def _packs(claims: DataFrame) -> DataFrame:
-    """An archive per subject and thousandth part of its entries, so no archive holds a container whole."""
+    """An archive per subject and thousand entries, so no archive holds a great container whole."""
     rows = ask.values(claims, "packed:path").select("subject", F.get_json_object("value", "$").alias("name")).where(F.col("name").isNotNull())
-    block = F.pmod(F.xxhash64("name"), F.lit(1000))
+    rows = ranked(rows.distinct(), ["subject"], ["name"])
+    block = F.floor(F.col("rank") / 1000).cast("string")
     return _made(rows.groupBy(F.concat("subject", F.lit("/"), block).alias("subject")).agg(F.collect_set("name").alias("names")), _archive, "subject")
 
 

@@ -165,9 +165,9 @@ _add("about_subject", "SELECT cid, attribute, value, time, seq, position FROM re
 )
 _add(
     "gather_projection",
-    "SELECT subject, attribute, string_agg(value, ' ' ORDER BY value) AS shown FROM vals WHERE attribute IN ('file:path', 'user:tag')"
+    "SELECT subject, attribute, 0::BIGINT AS chunk, string_agg(value, ' ' ORDER BY value) AS shown FROM vals WHERE attribute IN ('file:path', 'user:tag')"
     " AND subject IN (SELECT subject FROM vals WHERE attribute = 'file:mime' AND value = '\"image/jpeg\"') GROUP BY 1, 2",
-)(lambda c: ask.gather(c, finder.find(c, ["file:mime=image/jpeg"]), ["file:path", "user:tag"]).select("subject", "attribute", F.array_join("values", " ").alias("shown")))
+)(lambda c: ask.gather(c, finder.find(c, ["file:mime=image/jpeg"]), ["file:path", "user:tag"]).select("subject", "attribute", "chunk", F.array_join("values", " ").alias("shown")))
 _add("standing_bare", "SELECT subject, json_extract_string(value, '$') AS value FROM vals WHERE attribute = 'file:name' AND value LIKE '\"%'")(
     lambda c: ask.values(c, "file:name").where(F.col("value").startswith('"')).select("subject", paths.path_text(F.col("value")).alias("value"))
 )
@@ -332,7 +332,13 @@ _add("since_seal", "SELECT seq, count(*) AS claims, count(DISTINCT subject) AS f
 _add("delta_files", "SELECT DISTINCT lower(subject) AS digest FROM claims EXCEPT SELECT lower(subject) FROM claims WHERE seq <= 1")(lambda c: verify.delta(c, c.where(F.col("seq") <= 1)))
 _add("sealed_order", "SELECT cid, seq, row_number() OVER (PARTITION BY seq ORDER BY time, cid) - 1 AS place FROM rec")(verify.sealed_order)
 _add("seal_segments", None)(verify.sealed_digests)
-_add("set_aside_sources", None, "claims", "blobs")(verify.set_aside)
+_add(
+    "set_aside_sources",
+    ", g AS (SELECT lower(digest) AS subject FROM blobs GROUP BY 1 HAVING bool_and(removed IS NOT NULL))"
+    " SELECT g.subject, p.value AS path, g.subject IN (SELECT subject FROM vals WHERE attribute = 'file:mime' AND value = '\"message/rfc822\"') AS mail"
+    " FROM g LEFT JOIN (SELECT subject, value FROM vals WHERE attribute = 'file:path') p ON p.subject = g.subject",
+    "claims", "blobs",
+)(verify.set_aside)
 _add("audit_since", "SELECT DISTINCT lower(digest) AS digest, store FROM blobs WHERE coalesce(stored >= TIMESTAMP '2025-01-01', true)", "blobs")(lambda b: verify.stored_since(b, "2025-01-01 00:00:00"))
 
 # -- writing and surgery
