@@ -130,12 +130,12 @@ def near_places(places: DataFrame, metres: float = METRES, crowd: int = CROWD) -
 def near_pairs(points: DataFrame, metres: float = METRES, crowd: int = CROWD) -> DataFrame:
     """Pairs (id_a, id_b), id_a < id_b, of different ids of *points* (id, lat, lon) with places at most *metres* apart."""
     points = points.where(F.col("id").isNotNull()).select("id", "lat", "lon").distinct()
-    near = near_places(points, metres, crowd)
-    same = points.select(F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a")).distinct().select("lat_a", "lon_a", F.col("lat_a").alias("lat_b"), F.col("lon_a").alias("lon_b"))
     side = lambda s: points.select(F.col("id").alias(f"id{s}"), F.col("lat").alias(f"lat{s}"), F.col("lon").alias(f"lon{s}"))
-    pairs = near.unionByName(same).join(side("_a"), ["lat_a", "lon_a"]).join(side("_b"), ["lat_b", "lon_b"])
-    both = pairs.where(F.col("id_a") != F.col("id_b")).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
-    return both.distinct()
+    near = near_places(points, metres, crowd).join(side("_a"), ["lat_a", "lon_a"]).join(side("_b"), ["lat_b", "lon_b"])
+    near = near.where(F.col("id_a") != F.col("id_b")).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+    a, b = side("_a"), side("_b")
+    here = a.join(b, (F.col("lat_a") == F.col("lat_b")) & (F.col("lon_a") == F.col("lon_b")) & (F.col("id_a") < F.col("id_b"))).select("id_a", "id_b")
+    return near.unionByName(here).distinct()
 
 
 def locations(claims: DataFrame) -> DataFrame:
