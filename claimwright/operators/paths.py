@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from claimwright.plans.ranks import ranked
 from claimwright.plans.record import live, live_values
+from claimwright.plans.terms import quote
 
 
 def path_text(value: Column) -> Column:
@@ -120,3 +121,35 @@ def gone_places(claims: DataFrame, listing: DataFrame, root: str) -> DataFrame:
     known = seen.select(F.lit(root).alias("root")).distinct()
     lost = here.join(seen.select("path").distinct(), "path", "left_anti").withColumn("root", F.lit(root))
     return lost.join(known, "root", "left_semi").select("path", "subject")
+
+
+def disappeared(claims: DataFrame, met: DataFrame, roots: list[str], host: str, unreadable: list[str] = (), excludes: list[str] = (), emptied: list[str] = ()) -> DataFrame:
+    """Standing places under the walked *roots* that were not *met* (path): (path, subject).
+
+    Spared are places in *unreadable* folders, excluded ones, those of files that *host*
+    never saw, and all of a root where nothing was met, unless it is named in *emptied*.
+    """
+    below = lambda path, place: (path == place.rstrip("/")) | path.startswith(place.rstrip("/") + "/")
+    path = F.col("path")
+    rooted = lambda df: df.withColumn("root", reduce(lambda w, x: w.when(below(path, x), x), sorted(roots, key=len, reverse=True), F.when(F.lit(False), "")))
+    spared = reduce(lambda a, b: a | b, [below(path, u) for u in unreadable], F.lit(False)) | excluded(path, list(excludes))
+    seen_here = live_values(claims, ["prov:host"]).where(F.col("value") == quote(host)).select("subject")
+    here = rooted(all_paths(claims)).where(F.col("root").isNotNull() & ~spared).join(seen_here, "subject", "left_semi")
+    walked = rooted(met.select("path")).where(F.col("root").isNotNull())
+    lost = here.join(walked.select("path").distinct(), "path", "left_anti")
+    alive = walked.select("root").distinct()
+    return lost.where(F.col("root").isin(list(emptied))).unionByName(lost.where(~F.col("root").isin(list(emptied))).join(alive, "root", "left_semi"), allowMissingColumns=True).select("path", "subject")
+
+
+def shown_tree(names: list[str]) -> str:
+    """Paths as an indented tree, for one screen of a reader."""
+    out, open_folders = [], []
+    for name in sorted(names):
+        *folders, last = [p for p in name.split("/") if p]
+        same = 0
+        while same < min(len(folders), len(open_folders)) and folders[same] == open_folders[same]:
+            same += 1
+        out += ["  " * k + folders[k] + "/" for k in range(same, len(folders))]
+        out.append("  " * len(folders) + last)
+        open_folders = folders
+    return "\n".join(out)

@@ -107,3 +107,28 @@ def set_aside(claims: DataFrame, blobs: DataFrame) -> DataFrame:
 def stored_since(blobs: DataFrame, moment: str) -> DataFrame:
     """Entries of the stores written since *moment*; undatable ones too."""
     return blobs.where(F.coalesce(F.col("stored") >= F.lit(moment).cast("timestamp_ntz"), F.lit(True))).select(F.lower("digest").alias("digest"), "store").distinct()
+
+
+def seal_check(claims: DataFrame, blobs: DataFrame, segments: DataFrame, seal: str) -> DataFrame:
+    """The files that a seal (the digest of a segment) covers: (digest, presence), ``content``, ``derived`` or ``missing``.
+
+    A seal covers the segments up to its own; a seal that no segment has covers nothing.
+    """
+    last = segments.where(F.lower("digest") == seal.lower()).agg(F.max("seq")).scalar()
+    covered = referenced(claims.where(F.col("seq") <= last))
+    return covered.join(content_of(blobs).select("digest", "store"), "digest", "left").select("digest", F.coalesce("store", F.lit("missing")).alias("presence"))
+
+
+def copy_plan(claims: DataFrame, blobs: DataFrame, segments: DataFrame, copied: DataFrame) -> DataFrame:
+    """What a copy that has the segments *copied* (digest) lacks: rows (kind, digest) of segments and of held files they refer to."""
+    behind = segments.join(copied.select(F.lower("digest").alias("_d")), F.lower(segments["digest"]) == F.col("_d"), "left_semi")
+    ahead = segments.join(behind.select("seq"), "seq", "left_anti")
+    new, old = claims.join(ahead.select("seq"), "seq", "left_semi"), claims.join(behind.select("seq"), "seq", "left_semi")
+    files = delta(new, old).join(held(blobs), "digest", "left_semi")
+    return ahead.select(F.lit("segment").alias("kind"), F.lower("digest").alias("digest")).unionByName(files.select(F.lit("file").alias("kind"), "digest"))
+
+
+def fixity(files: DataFrame) -> DataFrame:
+    """Stored files (digest, content) as ``sound``, ``damaged`` or ``unreadable``."""
+    bits = F.when(F.length("digest") == 64, F.sha2("content", 256)).when(F.length("digest") == 96, F.sha2("content", 384)).otherwise(F.sha2("content", 512))
+    return files.select("digest", F.when(F.col("content").isNull(), "unreadable").when(bits == F.lower("digest"), "sound").otherwise("damaged").alias("fixity"))

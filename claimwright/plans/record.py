@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from claimwright.operators.changes import standing_claims
+from claimwright.plans.terms import closing
 
 FIELDS = ("subject", "attribute", "value", "time", "source", "run", "retracts", "cid", "seq", "position")
 #: The place of the open segment in record order.
@@ -48,5 +51,14 @@ def as_of_run(claims: DataFrame, run: str) -> DataFrame:
     return claims.where((F.col("seq") < seq) | ((F.col("seq") == seq) & ((F.col("time") < time) | own)))
 
 
+def at(claims: DataFrame, given: str) -> DataFrame | None:
+    """The claims as of a run id, a date (to its end) or a moment; None for a run that the record does not have."""
+    if re.fullmatch(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", given):
+        return None if claims.where(F.col("run") == given).isEmpty() else as_of_run(claims, given)
+    if not re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?:T[0-9:]{8}Z?)?", given):
+        raise ValueError(f"neither a run nor a time: {given}")
+    return as_of(claims, closing(given))
+
+
 def is_digest(text: Column) -> Column:
     return text.rlike(r"^(?:[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})\z")

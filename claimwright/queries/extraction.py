@@ -8,6 +8,7 @@ an archive of each origin's names, a picture header of each raster subject.
 from __future__ import annotations
 
 import io
+import json
 import struct
 import tempfile
 import uuid
@@ -17,10 +18,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimwright.extract import contracts
+from claimwright.extract import contracts, exif, sniff
 from claimwright.functions import grammar, mail, names
 from claimwright.functions.batched import batched
-from claimwright.operators import ask, paths, reconcile, verify, write
+from claimwright.operators import ask, nearby, paths, reconcile, verify, write
 from claimwright.operators.instants import read_text, spelled
 from claimwright.operators.orphans import held
 from claimwright.operators.wide import raster
@@ -319,3 +320,48 @@ _add(
 _add("json_quoted", "SELECT DISTINCT value, value AS back FROM live WHERE attribute = 'file:name' AND regexp_matches(value, '^\"[^\\\\]*\"$')")(
     lambda c: ask.values(c, "file:name").where(F.col("value").rlike(r'^"[^\\]*"\z')).select("value").distinct().select("value", grammar.json_quote(F.get_json_object("value", "$")).alias("back"))
 )
+
+
+def _exif(row) -> bytes:
+    """A little-endian TIFF with the orientation and the place of a location."""
+    rational = lambda x: struct.pack("<II", round(abs(x) * 1_000_000), 1_000_000)
+    gps_at, data_at = 8 + 2 + 24 + 4, 8 + 2 + 24 + 4 + 2 + 48 + 4
+    head = b"II*\0" + struct.pack("<IH", 8, 2) + struct.pack("<HHIHH", 0x0112, 3, 1, 6, 0) + struct.pack("<HHII", exif.GPS_DIRECTORY, 4, 1, gps_at) + struct.pack("<I", 0)
+    ref = lambda tag, c: struct.pack("<HHI", tag, 2, 2) + c + b"\0\0\0"
+    gps = struct.pack("<H", 4) + ref(1, b"S" if row.lat < 0 else b"N") + struct.pack("<HHII", 2, 5, 1, data_at) + ref(3, b"W" if row.lon < 0 else b"E") + struct.pack("<HHII", 4, 5, 1, data_at + 8) + struct.pack("<I", 0)
+    return head + gps + rational(row.lat) + rational(row.lon)
+
+
+def _located(claims: DataFrame) -> DataFrame:
+    rows = nearby.locations(claims).groupBy("id").agg(F.min(F.struct("lat", "lon")).alias("p")).select("id", "p.lat", "p.lon")
+    return _made(rows, _exif, "id")
+
+
+_add("image_exif", None)(lambda c: contracts.examine(_located(c), _contract("extractor:image-exif/2")).select("subject", "attribute", "value"))
+_add("image_geo", None)(lambda c: contracts.examine(_located(c), _contract("extractor:image-geo/1")).select("subject", "attribute", "value"))
+_add("mime_detect", "SELECT doc_id::VARCHAR AS subject, 'message/rfc822' AS mime FROM documents WHERE doc_id IS NOT NULL", "documents")(
+    lambda d: _messages(d).select("subject", batched(sniff.kind, "string")("content").alias("mime"))
+)
+_add(
+    "seal_check",
+    "SELECT r.digest, coalesce(s.store, 'missing') AS presence FROM (SELECT DISTINCT lower(subject) AS digest FROM claims WHERE seq <= (SELECT seq FROM segments ORDER BY digest LIMIT 1)) r"
+    " LEFT JOIN (SELECT lower(digest) AS digest, min(store) AS store FROM blobs WHERE removed IS NULL GROUP BY 1) s USING (digest)",
+    "claims", "blobs", "segments",
+)(lambda c, b, s: verify.seal_check(c, b, s, s.agg(F.min("digest")).first()[0] or ""))
+_add(
+    "copy_plan",
+    "SELECT 'segment' AS kind, lower(digest) AS digest FROM segments WHERE seq > 1 UNION ALL SELECT 'file', digest FROM (SELECT lower(subject) AS digest FROM claims WHERE seq > 1 EXCEPT SELECT lower(subject) FROM claims WHERE seq <= 1 INTERSECT ALL SELECT digest FROM held)",
+    "claims", "blobs", "segments",
+)(lambda c, b, s: verify.copy_plan(c, b, s, s.where("seq <= 1")))
+SQL["copy_plan"] = SQL["copy_plan"].replace("(SELECT lower(subject) AS digest FROM claims WHERE seq > 1 EXCEPT SELECT lower(subject) FROM claims WHERE seq <= 1 INTERSECT ALL SELECT digest FROM held)", "((SELECT lower(subject) AS digest FROM claims WHERE seq > 1 EXCEPT SELECT lower(subject) FROM claims WHERE seq <= 1) INTERSECT SELECT digest FROM held)")
+_add(
+    "disappeared",
+    """, m AS (SELECT DISTINCT json_extract_string(value, '$') AS path FROM rec WHERE attribute = 'file:path' AND value LIKE '"%' AND time > '2025-01-01T00:00:00Z')
+    SELECT path, subject FROM paths WHERE (starts_with(path, '/home/') OR starts_with(path, '/photos/')) AND NOT starts_with(path, '/home/2019/') AND NOT regexp_matches(path, '(?s)(^|/)[^/]*\\.zip(/|$)')
+    AND subject IN (SELECT subject FROM vals WHERE attribute = 'prov:host' AND value = (SELECT min(value) FROM claims WHERE attribute = 'prov:host')) AND path NOT IN (SELECT path FROM m)""",
+)(
+    lambda c: paths.disappeared(
+        c, c.where((F.col("attribute") == "file:path") & (F.col("time") > "2025-01-01T00:00:00Z")).select(paths.path_text(F.col("value")).alias("path")), ["/home", "/photos"],
+        json.loads(c.where("attribute = 'prov:host'").agg(F.min("value")).first()[0]), ["/home/2019"], ["*.zip"],
+    )
+)
