@@ -32,6 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from claimwright.functions.jsontext import decimal_member
+from claimwright.plans.tables import checkpointed
 
 EARTH_M = 6_371_008.8
 METRES = 150.0
@@ -128,8 +129,11 @@ def near_places(places: DataFrame, metres: float = METRES, crowd: int = CROWD) -
 
 
 def near_pairs(points: DataFrame, metres: float = METRES, crowd: int = CROWD) -> DataFrame:
-    """Pairs (id_a, id_b), id_a < id_b, of different ids of *points* (id, lat, lon) with places at most *metres* apart."""
-    points = points.where(F.col("id").isNotNull()).select("id", "lat", "lon").distinct()
+    """Pairs (id_a, id_b), id_a < id_b, of different ids of *points* (id, lat, lon) with places at most *metres* apart.
+
+    The distinct points are written to the checkpoint folder once, since places and both sides of the pairs come from them.
+    """
+    points = checkpointed(points.where(F.col("id").isNotNull()).select("id", "lat", "lon").distinct())
     side = lambda s: points.select(F.col("id").alias(f"id{s}"), F.col("lat").alias(f"lat{s}"), F.col("lon").alias(f"lon{s}"))
     near = near_places(points, metres, crowd).join(side("_a"), ["lat_a", "lon_a"]).join(side("_b"), ["lat_b", "lon_b"])
     near = near.where(F.col("id_a") != F.col("id_b")).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
