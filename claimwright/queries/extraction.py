@@ -27,7 +27,6 @@ from claimwright.operators.orphans import held
 from claimwright.operators.wide import raster
 from claimwright.plans import record as r
 from claimwright.plans.ranks import ranked
-from claimwright.plans.terms import closing, opening
 from claimwright.queries.reference import PRELUDE
 from claimwright.plans.tables import table
 from claimwright.sources import files as sources, log
@@ -183,7 +182,7 @@ _add("geo_position", "SELECT DISTINCT k, -(k % 90 + (k % 60) / 60.0 + (k % 6000)
 # -- scalar functions
 
 _add(
-    "time_widening", f"SELECT DISTINCT time[1:10] AS day, time[1:10] || 'T00:00:00Z' AS opens, time[1:10] || 'T23:59:59Z' AS closes FROM claims WHERE length('{opening('2024-01-01')}') = length('{closing('2024-01-01')}')",
+    "time_widening", "SELECT DISTINCT time[1:10] AS day, time[1:10] || 'T00:00:00Z' AS opens, time[1:10] || 'T23:59:59Z' AS closes FROM claims",
 )(lambda c: c.select(F.substring("time", 1, 10).alias("day")).distinct().select("day", F.concat("day", F.lit("T00:00:00Z")).alias("opens"), F.concat("day", F.lit("T23:59:59Z")).alias("closes")))
 _add(
     "rfc3339_shift",

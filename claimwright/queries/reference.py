@@ -343,7 +343,6 @@ _add("audit_since", "SELECT DISTINCT lower(digest) AS digest, store FROM blobs W
 
 # -- writing and surgery
 
-_LINE = """'{"subject":"' || subject || '","attribute":"' || attribute || '",' || """
 _add(
     "retract_value",
     """, t AS (SELECT subject, string_agg(DISTINCT cid, ' ' ORDER BY cid) AS taken FROM live WHERE attribute = 'user:tag' AND value = '"review"' GROUP BY 1)

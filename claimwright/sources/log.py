@@ -22,10 +22,9 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     retracts, a null value and ill-formed fields are faults.
     """
     line = F.col("value")
-    got = F.from_json(line, "map<string,string>")
-    row = F.from_json(line, LINE.replace("value string", "value string"), {"mode": "PERMISSIVE"})
+    row = F.from_json(line, LINE, {"mode": "PERMISSIVE"})
     keys = F.json_object_keys(line)
-    df = lines.select(line.alias("line"), keys.alias("keys"), row.alias("r"), got.alias("m"))
+    df = lines.select(line.alias("line"), keys.alias("keys"), row.alias("r"))
     value = F.get_json_object("line", "$.value")
     text = F.when(F.array_contains("keys", "value"), F.to_json(F.try_variant_get(F.try_parse_json("line"), "$.value", "variant")))
     df = df.withColumns({**{k: F.col("r")[k] for k in MEMBERS if k != "value"}, "value": text, "has_value": value.isNotNull()})
