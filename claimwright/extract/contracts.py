@@ -12,21 +12,30 @@ import io
 import json
 import re
 import struct
+import tempfile
+import uuid
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from email import message_from_bytes, policy
+from functools import lru_cache
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from claimwright.extract import sniff
 from claimwright.functions.mail import address_list, decoded_text
 
 ANSWER = "subject string, source string, derived string, attribute string, value string, error string"
+#: An answer of a round: the kind under which the subject was examined, and on one row per derived file its kind and bytes.
+ROUND = ANSWER + ", kind string, mime string, content binary"
 MOST_UNPACKED = 1 << 30
+MOST_ROUNDS = 32
+#: Bytes of derived files that a Python worker gathers before it hands them on.
+HANDED_ON = 8 << 20
 
 
 @dataclass
@@ -44,9 +53,15 @@ class Contract:
     read: Callable[[bytes], Findings]
 
 
+@lru_cache(maxsize=1)
+def _message(data: bytes):
+    """The message of *data*, parsed once for the contracts that read it one after the other; none changes it."""
+    return message_from_bytes(data, policy=policy.compat32)
+
+
 def mail_headers(data: bytes) -> Findings:
     """Subject, sender, receivers, ids and date of a message."""
-    message = message_from_bytes(data, policy=policy.compat32)
+    message = _message(data)
     out = Findings()
     for name in ("subject", "message-id", "date"):
         out.facts += [(f"mail:{name}", decoded_text(str(v))) for v in message.get_all(name, [])]
@@ -67,7 +82,7 @@ def _walk(message, depth: int = 0):
 def mail_attachments(data: bytes) -> Findings:
     """Named parts of a message as derived files."""
     out = Findings()
-    for part in _walk(message_from_bytes(data, policy=policy.compat32)):
+    for part in _walk(_message(data)):
         name = part.get_filename()
         if name and not part.is_multipart():
             out.files.append((part.get_payload(decode=True) or b"", [("file:name", decoded_text(name)), ("file:path", "@" + decoded_text(name))]))
@@ -111,7 +126,7 @@ def _decoded(part) -> str:
 
 def mail_text(data: bytes) -> Findings:
     """Header block and readable body as one derived text."""
-    message = message_from_bytes(data, policy=policy.compat32)
+    message = _message(data)
     head = [f"{n}: {decoded_text(str(message[n]))}" for n in ("From", "To", "Subject", "Date") if message[n]]
     leaves = [p for p in _walk(message) if not p.is_multipart() and not p.get_filename()]
     plain = [_decoded(p) for p in leaves if p.get_content_type() == "text/plain"]
@@ -240,30 +255,106 @@ CONTRACTS = {
 }
 
 
+def _spelt(value) -> str:
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+def _answer(contract: Contract, subject: str, data: bytes) -> tuple[list[tuple], list[tuple[str, bytes, list]]]:
+    """The rows of ANSWER of *contract* on one file, and its derived files (digest, content, own facts)."""
+    try:
+        found = contract.read(bytes(data))
+        out = [(subject, contract.source, None, a, _spelt(v), None) for a, v in found.facts]
+        files = [(hashlib.sha256(content).hexdigest(), content, facts) for content, facts in found.files]
+        for digest, content, facts in files:
+            own = [("prov:origin", subject), ("file:size", len(content)), *facts]
+            out += [(subject, contract.source, digest, a, _spelt(v), None) for a, v in own]
+        return sorted(set(out), key=lambda r: tuple(x or "" for x in r)), files
+    except Exception as e:  # whatever a file's bytes provoke is that file's trouble
+        return [(subject, contract.source, None, None, None, f"{type(e).__name__}: {e}"[:200])], []
+
+
 def examine(files: DataFrame, contract: Contract) -> DataFrame:
     """The answer of *contract* on *files* (subject, content): facts, derived files, errors."""
 
-    def rows(subject: str, data: bytes):
-        spell = lambda v: json.dumps(v, ensure_ascii=False, separators=(",", ":"))
-        try:
-            found = contract.read(bytes(data))
-            out = [(subject, contract.source, None, a, spell(v), None) for a, v in found.facts]
-            for content, facts in found.files:
-                digest = hashlib.sha256(content).hexdigest()
-                own = [("prov:origin", subject), ("file:size", len(content)), *facts]
-                out += [(subject, contract.source, digest, a, spell(v), None) for a, v in own]
-            return sorted(set(out), key=lambda r: tuple(x or "" for x in r))
-        except Exception as e:  # whatever a file's bytes provoke is that file's trouble
-            return [(subject, contract.source, None, None, None, f"{type(e).__name__}: {e}"[:200])]
-
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in ANSWER.split(", ")]
         for part in parts:
-            yield pd.DataFrame([r for s, d in zip(part["subject"], part["content"]) if d is not None for r in rows(s, d)], columns=names)
+            yield pd.DataFrame([r for s, d in zip(part["subject"], part["content"]) if d is not None for r in _answer(contract, s, d)[0]], columns=names)
 
     return files.select("subject", "content").mapInPandas(batches, ANSWER)
 
 
+def _round(work: DataFrame, runs: list[Contract]) -> DataFrame:
+    """One round: the answers (ROUND) of every contract that takes the kind of a file of *work* (subject, mime, content).
+
+    A file without a mime is sniffed, and so is a derived file that comes without one; that
+    kind is then one of its facts. Each examined file has at least one row. The bytes of
+    derived files go on only where some contract takes them.
+    """
+    names = [c.split()[0] for c in ROUND.split(", ")]
+    taken = {m for c in runs for m in c.mimes}
+
+    def rows(subject: str, mime: str | None, data: bytes) -> Iterator[tuple]:
+        mime = mime or sniff.kind(data)
+        for contract in runs:
+            if mime not in contract.mimes:
+                continue
+            answer, files = _answer(contract, subject, data)
+            for row in answer:
+                yield *row, mime, None, None
+            if not answer:
+                yield subject, contract.source, None, None, None, None, mime, None, None
+            for digest, content, facts in files:
+                kind = dict(facts).get("file:mime")
+                if kind is None:
+                    kind = sniff.kind(content)
+                    yield subject, contract.source, digest, "file:mime", _spelt(kind), None, mime, None, None
+                if kind in taken:
+                    yield subject, contract.source, digest, None, None, None, mime, kind, content
+
+    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out, held = [], 0
+            for subject, mime, data in zip(part["subject"], part["mime"], part["content"]):
+                if data is None:
+                    continue
+                for row in rows(subject, mime, bytes(data)):
+                    out.append(row)
+                    held += len(row[-1] or b"")
+                if held > HANDED_ON:
+                    yield pd.DataFrame(out, columns=names)
+                    out, held = [], 0
+            yield pd.DataFrame(out, columns=names)
+
+    return work.select("subject", "mime", "content").mapInPandas(batches, ROUND)
+
+
+def settle(files: DataFrame, runs: list[Contract] | None = None) -> DataFrame:
+    """All *runs* on *files* (subject, content) and on what is derived from them, in rounds until one examines nothing.
+
+    A round's answers and derived bytes are written to the shared folder, which cuts its
+    lineage; the next works on the derived files that no round has examined under their
+    kind. Rounds without an end are an error.
+    """
+    spark = files.sparkSession
+    runs = list(CONTRACTS.values()) if runs is None else runs
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="claimwright-rounds-")
+    folder = f"{shared}/rounds-{uuid.uuid4()}"
+    work, paths = files.select("subject", F.lit(None).cast("string").alias("mime"), "content"), []
+    while True:
+        paths.append(f"{folder}/{len(paths)}")
+        _round(work, runs).write.parquet(paths[-1])
+        last = spark.read.schema(ROUND).parquet(paths[-1])
+        if last.isEmpty():
+            break
+        if len(paths) == MOST_ROUNDS:
+            raise RuntimeError(f"stopped after {MOST_ROUNDS} rounds with files still waiting")
+        seen = spark.read.schema(ROUND).parquet(*paths).select("subject", F.col("kind").alias("mime")).distinct()
+        fresh = last.where(F.col("content").isNotNull()).select(F.col("derived").alias("subject"), "mime", "content").dropDuplicates(["subject", "mime"])
+        work = fresh.join(seen, ["subject", "mime"], "left_anti")
+    return spark.read.schema(ROUND).parquet(*paths).select(*[c.split()[0] for c in ANSWER.split(", ")])
+
+
 def recorded(answers: DataFrame, time: str, run: str) -> DataFrame:
     """Claims of *answers*: findings and facts of derived files, then a receipt per file without error."""
     made = lambda df: df.withColumns({"time": F.lit(time), "run": F.lit(run), "retracts": F.lit(None).cast("array<string>")})

@@ -7,6 +7,7 @@ an archive of each origin's names, a picture header of each raster subject.
 
 from __future__ import annotations
 
+import base64
 import io
 import json
 import struct
@@ -96,13 +97,21 @@ _add(
 _add("mail_text", None, "documents")(lambda d: contracts.examine(_messages(d), _contract("extractor:mail-text/1")).where("attribute = 'file:size'").select("subject", "derived", "value"))
 
 
+def _nested(d) -> bytes:
+    """A message around an archive around the document's message, which has a text and an attachment of its own."""
+    box = io.BytesIO()
+    with zipfile.ZipFile(box, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr(zipfile.ZipInfo(f"m{d.doc_id}.eml"), _message(d))
+    head = f"From: Ann <ann@x.org>\r\nTo: b@x.org\r\nSubject: box {d.doc_id}\r\nDate: Fri, 1 Mar 2024 11:00:00 +0100\r\nContent-Type: multipart/mixed; boundary=box\r\n\r\n"
+    note = f"--box\r\nContent-Type: text/plain\r\n\r\nsee box\r\n{d.doc_id}\r\n--box\r\nContent-Type: application/zip\r\nContent-Transfer-Encoding: base64\r\nContent-Disposition: attachment; filename=box.zip\r\n\r\n"
+    return (head + note).encode() + base64.encodebytes(box.getvalue()) + b"--box--\r\n"
+
+
 @_add("extract_fixpoint", None, "documents")
 def _fixpoint(documents: DataFrame) -> DataFrame:
-    """Contracts until a round examines nothing: the messages, then what was taken from them."""
-    first = contracts.examine(_messages(documents), _contract("extractor:mail-attachments/1"))
-    taken = first.where("attribute = 'file:name'").select(F.col("derived").alias("subject"), F.encode("value", "utf-8").alias("content")).distinct()
-    second = contracts.examine(taken, _contract("extractor:text-stats/1"))
-    return contracts.recorded(first.unionByName(second), "2026-12-01T00:00:00Z", "r").select("subject", "attribute", "value", "source")
+    """All contracts until a round examines nothing: messages, their archives, the messages in these, and what was taken from those."""
+    files = _made(documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), _nested, "doc_id")
+    return contracts.recorded(contracts.settle(files), "2026-12-01T00:00:00Z", "r").select("subject", "attribute", "value", "source")
 
 
 _add(

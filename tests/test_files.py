@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import io
 import json
@@ -124,6 +125,40 @@ def test_faults_leave_no_receipt(spark, rows):
     assert bad.first().error.startswith("BadZipFile") and contracts.recorded(bad, T(1), "r").count() == 0
 
 
+def test_rounds_reach_the_innermost_files(spark, rows):
+    def mail(name, data):
+        head = f"From: a@b.c\r\nSubject: {name}\r\nContent-Type: multipart/mixed; boundary=q\r\n\r\n--q\r\nContent-Type: text/plain\r\n\r\nbody of {name}\r\n"
+        return (head + f'--q\r\nContent-Transfer-Encoding: base64\r\nContent-Disposition: attachment; filename="{name}"\r\n\r\n').encode() + base64.b64encode(data) + b"\r\n--q--\r\n"
+
+    def packed(name, data):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr(zipfile.ZipInfo(name), data)
+        return out.getvalue()
+
+    digest = lambda data: hashlib.sha256(data).hexdigest()
+    leaf = b"one two\nthree"
+    inner = mail("leaf.txt", leaf)
+    box = packed("inner.eml", inner)
+    outer = mail("box.zip", box)
+    top = packed("outer.eml", outer)
+    files = spark.createDataFrame([("top", bytearray(top)), ("again", bytearray(outer)), ("odd", bytearray(b"PK\x03\x04")), ("none", None)], "subject string, content binary")
+    got = contracts.recorded(contracts.settle(files), T(1), "r").select("subject", "attribute", "value").collect()
+    facts = {(x.subject, x.attribute, x.value) for x in got}
+    assert {("top", "packed:path", '"outer.eml"'), (digest(outer), "file:mime", '"message/rfc822"'), (digest(box), "prov:origin", f'"{digest(outer)}"'), (digest(box), "prov:origin", '"again"')} <= facts
+    assert {(digest(inner), "mail:subject", '"leaf.txt"'), (digest(leaf), "text:words", "3"), (digest(leaf), "text:lines", "2"), (digest(leaf), "prov:origin", f'"{digest(inner)}"')} <= facts
+    text = digest(b"From: a@b.c\nSubject: leaf.txt\n\nbody of leaf.txt")
+    assert {(text, "prov:origin", f'"{digest(inner)}"'), (text, "text:words", "7"), (text, "prov:examined", '"extractor:text-stats/1"')} <= facts
+    assert not [x for x in facts if x[0] in ("odd", "none")]
+
+
+def test_rounds_without_an_end_are_an_error(spark):
+    minting = contracts.Contract("extractor:mint/1", ("text/plain",), lambda data: contracts.Findings(files=[(data + b"x", [("file:mime", "text/plain")])]))
+    with pytest.MonkeyPatch.context() as m, pytest.raises(RuntimeError, match="3 rounds"):
+        m.setattr(contracts, "MOST_ROUNDS", 3)
+        contracts.settle(spark.createDataFrame([("a", bytearray(b"x"))], "subject string, content binary"), [minting])
+
+
 # -- functions
 
 
