@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, functions as F
 
@@ -101,6 +102,29 @@ def part_text(text: str | None, part: str | None) -> str | None:
     return _spell(node)
 
 
+_READER = json.JSONDecoder(parse_float=str, parse_int=str)
+_SPACE, _COLON = re.compile(r"[ \t\r\n]*"), re.compile(r"[ \t\r\n]*:[ \t\r\n]*")
+
+
+def value_text(line: str | None) -> str | None:
+    """The member ``value`` of a JSON object exactly as it is written, the last if there are many; null where it is missing."""
+    try:
+        out, at = None, line.index("{") + 1
+        while True:
+            name, at = _READER.raw_decode(line, _SPACE.match(line, at).end())
+            at = _COLON.match(line, at).end()
+            end = _READER.raw_decode(line, at)[1]
+            if name == "value":
+                out = line[at:end]
+            at = _SPACE.match(line, end).end()
+            if line[at] != ",":
+                return out
+            at += 1
+    except (AttributeError, TypeError, ValueError, IndexError, RecursionError):
+        return None
+
+
 #: For the write door only; queries compare the text that it wrote.
 canonical = batched(canonical_text, "string")
 json_part = batched(part_text, "string")
+written_value = batched(value_text, "string")

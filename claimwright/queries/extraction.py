@@ -236,15 +236,15 @@ _add("legal_names", None)(lambda c: _tags(c).select("name", names.legal(F.col("n
 
 @_add("segment_round_trip", "SELECT cid, subject, attribute, value, time FROM live WHERE value IS NOT NULL AND attribute = 'file:mime' AND regexp_matches(time, '^....-..-..T([01].|2[0-3]):[0-5].:([0-5].|60)Z$')")
 def _round_trip(claims: DataFrame) -> DataFrame:
-    """Claims written as lines of text segments, read back strictly; ids are those of the lines."""
+    """All claims, retractions too, written as lines of text segments and read back strictly; ids are those of the lines, a fault stands beside its line's claim."""
     spark = claims.sparkSession
     context = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="claimwright-log-")
-    rows = r.live(claims, ["file:mime"]).withColumn("retracts", F.lit(None).cast("array<string>")).where(F.col("value").isNotNull())
+    first = F.min(F.struct("seq", "position", *log.MEMBERS)).alias("f")  # not r.record(): ids are those of the spelling that was sealed, capitals included
+    rows = claims.where(F.col("cid").isNotNull()).groupBy(F.lower("cid").alias("cid")).agg(first).select("f.*")
     path = f"{shared}/segment-{uuid.uuid4()}"
-    log.claim_lines(rows).select(F.col("line").alias("value")).write.text(path)
-    back = log.read_segments(spark, path)
-    return back.where(F.col("fault").isNull()).select("cid", "subject", "attribute", "value", "time")
+    log.claim_lines(rows).select(F.col("line").alias("value")).write.text(path, compression="gzip")
+    return log.read_segments(spark, path).select("cid", "subject", "attribute", "value", F.transform("retracts", F.lower).alias("retracts"), "time", "source", "run", "fault")
 
 
 _add("log_faults", None)(

@@ -18,7 +18,7 @@ HEADER = "segment"
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Claim lines (value) as claims with their id, and ``fault`` where a line is none.
 
-    The id is that of the bytes read. Unknown members, both or neither of value and
+    The id is that of the bytes read, and a value keeps the spelling of the line. Unknown members, both or neither of value and
     retracts, a null value and ill-formed fields are faults.
     """
     line = F.col("value")
@@ -36,7 +36,8 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         .when(F.col("has_value") & F.col("retracts").isNotNull(), "both").when(~F.col("has_value") & F.col("retracts").isNull(), "neither")
         .when(F.size("retracts") == 0, "empty retracts").when(~F.coalesce(good, F.lit(False)), "field")
     )
-    return df.select(F.lower("subject").alias("subject"), "attribute", "value", "time", "source", "run", "retracts", F.sha2("line", 256).alias("cid"), "line", fault.alias("fault"))
+    written = F.when(F.col("value").isNotNull(), F.coalesce(grammar.written_value("line"), "value")).alias("value")
+    return df.select(F.lower("subject").alias("subject"), "attribute", written, "time", "source", "run", "retracts", F.sha2("line", 256).alias("cid"), "line", fault.alias("fault"))
 
 
 def claim_lines(claims: DataFrame) -> DataFrame:

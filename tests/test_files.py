@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from claimwright.extract import contracts
 from claimwright.functions import grammar, mail, names
 from claimwright.plans import record as r
+from claimwright.queries import extraction
 from claimwright.sources import files, log
 from claimwright.streaming import intake
 
@@ -49,6 +50,17 @@ def test_segments_round_trip(spark, claims, tmp_path, rows):
     assert log.segment_digest(None, lines) != log.segment_digest("p", lines)
 
 
+def test_all_claims_round_trip(spark, claims):
+    values = ['"é\\"q\\\\\\n"', "1.50", "2.268e3", "-0", '{"longitude":-81.5690,"latitude":1e1,"a":[1.0,null]}', '{"value":{"b":"}"}}', "true", '"2e3"', "[]"]
+    rows = [(A, "user:tag", v, T(1), "") for v in values] + [(A, "user:tag", ["B" * 64, "c" * 64], T(2), ""), (A, "user:tag", '"late"', "2024-03-01T00:00:00.5Z", "")]
+    df = claims(*rows).withColumn("run", F.lit(RUN)).withColumn("cid", grammar.claim_id())
+    want = {(x.cid, x.value, tuple(y.lower() for y in x.retracts or ()), "field" if "." in x.time else None) for x in df.collect()}
+    got = extraction._round_trip(df.unionByName(df)).collect()
+    assert len(got) == len(rows) and {(x.cid, x.value, tuple(x.retracts or ()), x.fault) for x in got} == want
+    spaced = log.parse_lines(spark.createDataFrame([(line().replace('"x"', ' { "b" : 1.0 } ').replace(",", " , "),)], "value string")).first()
+    assert spaced.fault is None and spaced.value == '{ "b" : 1.0 }'
+
+
 def test_chain_walk():
     assert log.chain([("a", None), ("b", "a"), ("c", "b")], "c") == ["a", "b", "c"]
     with pytest.raises(LookupError, match="b names it"):
