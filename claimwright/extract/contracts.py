@@ -107,10 +107,13 @@ class _Text(HTMLParser):
             self.parts.append(data)
 
 
-def html_text(html: str) -> str:
-    """The text of a page, line by line, without scripts and styles."""
+def html_text(html: str | None) -> str | None:
+    """The text of a page, line by line, without scripts and styles; null of null."""
+    if html is None:
+        return None
     parser = _Text()
     parser.feed(html)
+    parser.close()  # what waits for the end of an entity or a tag is text too
     return re.sub(r"\s*\n\s*", "\n", re.sub(r"[ \t\r\f]+", " ", "".join(parser.parts))).strip()
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import itertools
 import json
 import struct
 import zipfile
@@ -108,6 +109,21 @@ def test_mail():
     assert b"Hi you" in text and b"no" not in text and text.startswith("From: Jürg".encode())
 
 
+def test_html_text_by_brute_force(spark, tmp_path):
+    pieces = {"a": "a", " ": " ", "\t": " ", "\n": "\n", "<b>": "", "</b>": "", "<p>": "\n", "<br/>": "\n", "&amp;": "&", "&lt;": "<", "é": "é", "-": "-", "'": "'", "& ": "& ", "<!-- c -->": "", "<script>z</script>": "", "<style>z{}</style>": ""}
+
+    def shown(text):
+        lines = [" ".join(x for x in line.split(" ") if x) for line in text.split("\n")]
+        return "\n".join(x for x in lines if x)
+
+    cases = [(k, "".join(c), shown("".join(pieces[x] for x in c))) for k, c in enumerate(itertools.product(pieces, repeat=3))]
+    assert [(t, contracts.html_text(t)) for _, t, w in cases if contracts.html_text(t) != w] == []
+    assert contracts.html_text("x &amp") == "x &" and contracts.html_text("a & b") == "a & b"
+    spark.createDataFrame([(k, t) for k, t, _ in cases] + [(-1, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: x.shown for x in extraction.QUERIES["html_text"](spark, str(tmp_path)).collect()}
+    assert got == {k: w for k, _, w in cases} | {-1: None}
+
+
 def test_archives():
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
