@@ -483,7 +483,7 @@ _add(
     """SELECT cid, sha256('{"subject":"' || subject || '","attribute":"' || attribute || '","value":' || value || ',"time":"' || time || '","source":"' || source || '"' || coalesce(',"run":"' || run || '"', '') || '}') AS id FROM live""",
 )(lambda c: r.live(c).withColumn("retracts", F.lit(None).cast("array<string>")).select("cid", grammar.claim_id().alias("id")))
 _add("blank_text", "SELECT doc_id, regexp_matches(replace(text, chr(160), ' '), '^\\s*$') AS blank FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '^[\\x00-\\x7f]*$')", "documents")(
-    lambda d: d.where(F.col("text").rlike(r"^[\x00-\x7f]*\z")).select("doc_id", names.blank(F.col("text")).alias("blank"))
+    lambda d: d.where(F.col("text").isNotNull()).select("doc_id", names.blank(F.col("text")).alias("blank"))
 )
 _add("line_breaks", "SELECT doc_id, md5(regexp_replace(text, '\\r\\n?', chr(10), 'g')) AS digest FROM documents WHERE text IS NOT NULL", "documents")(
     lambda d: d.where(F.col("text").isNotNull()).select("doc_id", F.md5(names.line_breaks(F.col("text"))).alias("digest"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from claimwright.extract import contracts
 from claimwright.functions import grammar, mail, names
 from claimwright.plans import record as r
-from claimwright.queries import extraction
+from claimwright.queries import extraction, reference
 from claimwright.sources import files, log
 from claimwright.streaming import intake
 
@@ -206,6 +206,14 @@ def test_names(spark):
         assert value(spark, column) == want, want
 
 
+def test_blank_texts_of_any_letters(spark, tmp_path):
+    spaces = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+    texts = ["", "".join(map(chr, spaces)), *map(chr, spaces), "\u3000é", "日本", "\u200b", "\ufeff", "\u180e", "a", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: x.blank for x in reference.QUERIES["blank_text"](spark, str(tmp_path)).collect()}
+    assert got == {k: k < len(spaces) + 2 for k, t in enumerate(texts) if t is not None}
+
+
 def test_grammar(spark):
     lit = F.lit
     assert value(spark, grammar.valid_subject(lit("A" * 96))) and not value(spark, grammar.valid_subject(lit("a" * 65)))
