@@ -210,23 +210,92 @@ def image_xmp(data: bytes) -> Findings:
     return out
 
 
+# The data sets of record 2 by number, in the format's names.
+_DATASETS = {
+    3: "Object Type Reference", 4: "Object Attribute Reference", 5: "Object Name", 7: "Edit Status", 8: "Editorial Update", 10: "Urgency", 12: "Subject Reference", 15: "Category",
+    20: "Supplemental Category", 22: "Fixture Identifier", 25: "Keywords", 26: "Content Location Code", 27: "Content Location Name", 30: "Release Date", 35: "Release Time",
+    37: "Expiration Date", 38: "Expiration Time", 40: "Special Instructions", 42: "Action Advised", 45: "Reference Service", 47: "Reference Date", 50: "Reference Number", 55: "Date Created",
+    60: "Time Created", 62: "Digital Creation Date", 63: "Digital Creation Time", 65: "Originating Program", 70: "Program Version", 75: "Object Cycle", 80: "By-line", 85: "By-line Title",
+    90: "City", 92: "Sub-location", 95: "Province/State", 100: "Country/Primary Location Code", 101: "Country/Primary Location Name", 103: "Original Transmission Reference", 105: "Headline",
+    110: "Credit", 115: "Source", 116: "Copyright Notice", 118: "Contact", 120: "Caption/Abstract", 121: "Local Caption", 122: "Writer/Editor", 130: "Image Type", 131: "Image Orientation",
+    135: "Language Identifier",
+}
+IPTC_NAMES = {n: re.sub(r"[^a-z0-9]", "-", name.lower()) for n, name in _DATASETS.items()}
+
+
+def _press_block(data: bytes) -> bytes:
+    """Where a picture keeps its IPTC record: a JPEG's APP13 segments, or bare behind its start; a TIFF's tag 33723 or 34377."""
+    if data[:2] == b"\xff\xd8":
+        if data[2:3] == b"\x1c":
+            return data[2:]
+        at, out = 2, b""
+        while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] not in (0xD9, 0xDA):
+            if data[at + 1] == 0xFF or data[at + 1] == 1 or 0xD0 <= data[at + 1] <= 0xD7:
+                at += 1 if data[at + 1] == 0xFF else 2
+                continue
+            size = struct.unpack(">H", data[at + 2 : at + 4])[0]
+            body = data[at + 4 : at + 2 + size]
+            if data[at + 1] == 0xED and body.startswith(b"Photoshop 3.0\0"):
+                out += body[14:]
+            at += 2 + size
+        return out
+    if data[:4] in (b"II*\0", b"MM\0*"):
+        from claimwright.extract.exif import entries
+
+        found = {t: (kind, raw) for t, kind, _, raw in entries(data) if t in (33723, 34377)}
+        kind, raw = found.get(33723) or found.get(34377) or (1, b"")
+        if kind == 4 and data[:2] == b"II":  # old writers' words in this order hold the bytes turned round
+            return b"".join(raw[k : k + 4][::-1] for k in range(0, len(raw), 4))
+        return raw
+    return b""
+
+
+def _resource(block: bytes, wanted: int) -> bytes:
+    """One resource of a run of Photoshop's image resources."""
+    at = 0
+    while block[at : at + 4] == b"8BIM" and at + 12 <= len(block):
+        sized = at + (8 + block[at + 6]) // 2 * 2
+        start = sized + 4
+        size = int.from_bytes(block[sized:start], "big")
+        if start > len(block) or start + size > len(block):
+            break
+        if int.from_bytes(block[at + 4 : at + 6], "big") == wanted:
+            return block[start : start + size]
+        at = start + size + size % 2
+    return b""
+
+
+def _data_sets(record: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(record, number, bytes) in order; a length with the high bit is the length of the length."""
+    at = 0
+    while at + 5 <= len(record) and record[at] == 0x1C:
+        number, size, start = (record[at + 1], record[at + 2]), struct.unpack(">H", record[at + 3 : at + 5])[0], at + 5
+        if size & 0x8000:
+            start += size & 0x7FFF
+            if size & 0x7FFF > 4 or start > len(record):
+                return
+            size = int.from_bytes(record[at + 5 : start], "big")
+        if start + size > len(record):
+            return
+        yield *number, record[start : start + size]
+        at = start + size
+
+
 def image_iptc(data: bytes) -> Findings:
     """Data sets of IPTC record 2, each value once."""
-    names = {5: "object-name", 25: "keywords", 80: "by-line", 90: "city", 101: "country", 120: "caption"}  # fixed values
-    out, at = Findings(), data.find(b"\x1c\x02")
-    while 0 <= at < len(data) - 5 and data[at] == 0x1C:
-        record, number, size = data[at + 1], data[at + 2], struct.unpack(">H", data[at + 3 : at + 5])[0]
-        raw = data[at + 5 : at + 5 + size]
-        if record == 2 and number in names:
+    block = _press_block(data)
+    sets = list(_data_sets(_resource(block, 0x0404) if block.startswith(b"8BIM") else block))
+    declared = (1, 90, b"\x1b%G") in sets
+    out: dict[tuple[str, str], None] = {}
+    for record, number, raw in sets:
+        if record == 2 and number in IPTC_NAMES:
+            raw = raw.removesuffix(b"\0")
             try:
-                text = raw.decode()
+                text = raw.decode("utf-8", "replace" if declared else "strict")
             except UnicodeDecodeError:
                 text = raw.decode("latin-1")
-            fact = (f"iptc:{names[number]}", text.strip("\0 "))
-            if fact not in out.facts:
-                out.facts.append(fact)
-        at += 5 + size
-    return out
+            out[f"iptc:{IPTC_NAMES[number]}", text] = None
+    return Findings(list(out))
 
 
 def pdf_info(data: bytes) -> Findings:
@@ -252,7 +321,7 @@ CONTRACTS = {
         Contract("extractor:mail-headers/1", ("message/rfc822",), mail_headers), Contract("extractor:mail-attachments/1", ("message/rfc822",), mail_attachments),
         Contract("extractor:mail-text/1", ("message/rfc822",), mail_text), Contract("extractor:packed-list/1", ("application/zip",), packed_list),
         Contract("extractor:packed-unpack/1", ("application/zip",), packed_unpack), Contract("extractor:image-raster/3", ("image/png", "image/jpeg"), image_raster),
-        Contract("extractor:image-xmp/1", ("image/jpeg", "image/png"), image_xmp), Contract("extractor:image-iptc/1", ("image/jpeg",), image_iptc),
+        Contract("extractor:image-xmp/1", ("image/jpeg", "image/png"), image_xmp), Contract("extractor:image-iptc/1", ("image/jpeg", "image/tiff"), image_iptc),
         Contract("extractor:pdf-info/1", ("application/pdf",), pdf_info), Contract("extractor:text-stats/1", ("text/plain",), text_stats),
     )
 }

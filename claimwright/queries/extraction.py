@@ -159,13 +159,27 @@ def _picture(row) -> bytes:
     return b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + struct.pack(">IIBB", row.width, row.height, max(row.depth, 0), kind) + b"\0" * 7 + iptc + b"\0" * 6 + xmp
 
 
+def _press(row) -> bytes:
+    """A JPEG whose record has every data set, some twice, one with a long length, behind another resource."""
+    data_set = lambda record, n, v: b"\x1c" + bytes([record, n]) + struct.pack(">H", len(v)) + v
+    named = b"".join(data_set(2, n, f"{name} é {row.width}".encode()) for n, name in contracts.IPTC_NAMES.items())
+    record = data_set(1, 90, b"\x1b%G") + named + data_set(2, 25, b"key") * 2 + b"\x1c\x02\x78\x80\x04" + struct.pack(">I", 5) + b"long\0"
+    resource = lambda n, v: b"8BIM" + struct.pack(">H", n) + b"\0\0" + struct.pack(">I", len(v)) + v + b"\0" * (len(v) % 2)
+    body = b"Photoshop 3.0\0" + resource(0x03ED, b"odd") + resource(0x0404, record)
+    return b"\xff\xd8\xff\xed" + struct.pack(">H", len(body) + 2) + body + b"\xff\xd9"
+
+
+def _rasters(claims: DataFrame) -> DataFrame:
+    return raster(claims).where("width >= 0 AND height >= 0 AND depth BETWEEN -1 AND 255").drop("ordinal")
+
+
 def _pictures(claims: DataFrame) -> DataFrame:
-    return _made(raster(claims).where("width >= 0 AND height >= 0 AND depth BETWEEN -1 AND 255").drop("ordinal"), _picture, "subject")
+    return _made(_rasters(claims), _picture, "subject")
 
 
 _add("image_raster", None)(lambda c: contracts.examine(_pictures(c), _contract("extractor:image-raster/3")).select("subject", "attribute", "value"))
 _add("image_xmp", None)(lambda c: contracts.examine(_pictures(c), _contract("extractor:image-xmp/1")).select("subject", "attribute", "value"))
-_add("image_iptc", None)(lambda c: contracts.examine(_pictures(c), _contract("extractor:image-iptc/1")).select("subject", "attribute", "value"))
+_add("image_iptc", None)(lambda c: contracts.examine(_made(_rasters(c), _press, "subject"), _contract("extractor:image-iptc/1")).select("subject", "attribute", "value"))
 _add("mime_sniff", None)(lambda c: _pictures(c).select("subject", names.image_kind(F.col("content")).alias("mime")))
 _add("pdf_info", "SELECT DISTINCT subject, value FROM live WHERE attribute = 'pdf:title' AND regexp_matches(value, '^\"[A-Za-z0-9 ]*\"$')")(
     lambda c: contracts.examine(
@@ -331,13 +345,25 @@ _add("json_quoted", "SELECT DISTINCT value, value AS back FROM live WHERE attrib
 
 
 def _exif(row) -> bytes:
-    """A little-endian TIFF with the orientation and the place of a location."""
-    rational = lambda x: struct.pack("<II", round(abs(x) * 1_000_000), 1_000_000)
-    gps_at, data_at = 8 + 2 + 24 + 4, 8 + 2 + 24 + 4 + 2 + 48 + 4
-    head = b"II*\0" + struct.pack("<IH", 8, 2) + struct.pack("<HHIHH", 0x0112, 3, 1, 6, 0) + struct.pack("<HHII", exif.GPS_DIRECTORY, 4, 1, gps_at) + struct.pack("<I", 0)
-    ref = lambda tag, c: struct.pack("<HHI", tag, 2, 2) + c + b"\0\0\0"
-    gps = struct.pack("<H", 4) + ref(1, b"S" if row.lat < 0 else b"N") + struct.pack("<HHII", 2, 5, 1, data_at) + ref(3, b"W" if row.lon < 0 else b"E") + struct.pack("<HHII", 4, 5, 1, data_at + 8) + struct.pack("<I", 0)
-    return head + gps + rational(row.lat) + rational(row.lon)
+    """A little-endian TIFF with fields of the picture, the camera and the place of a location, and with some of the file's layout."""
+    word = lambda tag, v: (tag, 3, 1, struct.pack("<H", v))
+    text = lambda tag, v: (tag, 2, len(v) + 1, v + b"\0")
+    rational = lambda tag, x: (tag, 5, 1, struct.pack("<II", round(abs(x) * 1_000_000), 1_000_000))
+    pointer = lambda tag, at: (tag, 4, 1, struct.pack("<I", at))
+
+    def directory(at: int, entries: list[tuple]) -> bytes:
+        heads, rest, free = b"", b"", at + 2 + 12 * len(entries) + 4
+        for tag, kind, count, raw in sorted(entries):
+            heads += struct.pack("<HHI", tag, kind, count) + (raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack("<I", free + len(rest)))
+            rest += raw if len(raw) > 4 else b""
+        return struct.pack("<H", len(entries)) + heads + struct.pack("<I", 0) + rest
+
+    first = lambda camera, gps: directory(8, [word(0x0112, 6), text(0x010F, b"Ann"), text(0x8298, b"Ann\0Bo"), pointer(0x0111, 8), pointer(0x0117, 1), pointer(exif.SUB_DIRECTORY, camera), pointer(exif.GPS_DIRECTORY, gps)])
+    camera_at = 8 + len(first(0, 0))
+    camera = directory(camera_at, [word(0x9209, 16), word(0x9207, 5), word(0xA403, 1), (0x9204, 10, 1, struct.pack("<ii", -1, 3)), (0x9000, 7, 4, b"0232"), (0xA432, 5, 4, struct.pack("<8I", 24, 1, 70, 1, 28, 10, 28, 10))])
+    gps_at = camera_at + len(camera)
+    gps = [text(1, b"S" if row.lat < 0 else b"N"), rational(2, row.lat), text(3, b"W" if row.lon < 0 else b"E"), rational(4, row.lon), (0, 1, 4, b"\2\3\0\0"), text(9, b"A"), text(0x1D, b"2024:03:01")]
+    return b"II*\0" + struct.pack("<I", 8) + first(camera_at, gps_at) + camera + directory(gps_at, gps)
 
 
 def _located(claims: DataFrame) -> DataFrame:

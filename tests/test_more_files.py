@@ -5,13 +5,15 @@ from __future__ import annotations
 import io
 import struct
 import zipfile
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
-from claimwright.extract import exif, sniff
+from claimwright.extract import contracts, exif, sniff
 from claimwright.operators import paths, verify
 from claimwright.plans import record as r
+from claimwright.queries import extraction
 from claimwright.sources import archive, log, mailbox
 
 T = "2024-03-0{}T00:00:00Z".format
@@ -71,6 +73,33 @@ def test_exif_and_positions():
     assert exif.geo_position(b"nothing").facts == exif.image_exif(b"II*\0\xff\xff\xff\0").facts == []
 
 
+def test_all_named_fields_are_found():
+    row = SimpleNamespace(lat=-48.51, lon=11.0, width=4)
+    assert dict(exif.image_fields(extraction._exif(row)).facts) == {
+        "exif:orientation": 6, "exif:make": "Ann", "exif:copyright": ["Ann", "Bo"], "exif:flash": 16, "exif:metering-mode": 5, "exif:white-balance": 1, "exif:exposure-bias-value": "-1/3",
+        "exif:lens-specification": ["24/1", "70/1", "28/10", "28/10"], "exif:gps-version-id": [2, 3, 0, 0], "exif:gps-latitude-ref": "S", "exif:gps-latitude": "48510000/1000000", "exif:gps-longitude-ref": "E",
+        "exif:gps-longitude": "11000000/1000000", "exif:gps-status": "A", "exif:gps-date-stamp": "2024:03:01",
+    }
+    assert exif.geo_position(extraction._exif(row)).facts == [("geo:position", {"latitude": -48.51, "longitude": 11.0})]
+    assert contracts.CONTRACTS["extractor:image-exif/2"].read is exif.image_fields
+    assert (len(exif.TAGS), len(exif.GPS_TAGS), len(exif.INTEROP_TAGS)) == (106, 32, 5) and not exif.LAYOUT & set(exif.TAGS)
+    assert {"focal-length-in35mm-film", "iso-speed", "photographic-sensitivity", "y-cb-cr-coefficients", "pixel-x-dimension", "image-unique-id"} <= set(exif.TAGS.values())
+
+
+def test_all_data_sets_are_found():
+    row = SimpleNamespace(width=4)
+    got = contracts.image_iptc(extraction._press(row)).facts
+    assert len(contracts.IPTC_NAMES) == 48 and len(got) == 50 and {f"iptc:{n}" for n in contracts.IPTC_NAMES.values()} == {a for a, _ in got}
+    assert {("iptc:headline", "headline é 4"), ("iptc:province-state", "province-state é 4"), ("iptc:keywords", "key"), ("iptc:caption-abstract", "long")} <= set(got)
+    record = b"\x1c\x01\x5a\0\x03\x1b%G" + b"\x1c\x02\x69\0\x02\xc3\xa9" + b"\x1c\x02\x6e\0\x02ab"
+    for order, kind, raw in (("<", 7, record), (">", 7, record), ("<", 4, record.ljust(24, b"\0")), (">", 4, record.ljust(24, b"\0"))):
+        if kind == 4 and order == "<":
+            raw = b"".join(raw[k : k + 4][::-1] for k in range(0, len(raw), 4))
+        data = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "IHHHII", 8, 1, 33723, kind, len(raw) // (4 if kind == 4 else 1), 26) + struct.pack("I", 0) + raw
+        assert contracts.image_iptc(data).facts == [("iptc:headline", "é"), ("iptc:credit", "ab")]
+    assert contracts.image_iptc(b"\xff\xd8\xff\xda\0\2\x1c\2\x19\0\1x").facts == []
+
+
 def test_kinds_and_decoders():
     def packed(*names):
         out = io.BytesIO()
