@@ -198,7 +198,7 @@ _add(
     )
 )
 _add("geo_position", "SELECT DISTINCT k, -(k % 90 + (k % 60) / 60.0 + (k % 6000) / 100.0 / 3600)::DOUBLE AS degrees FROM (SELECT o_orderkey AS k FROM orders) WHERE k % 90 < 89", "orders")(
-    lambda o: o.select(F.col("o_orderkey").alias("k")).where("k % 90 < 89").distinct()
+    lambda o: o.select(F.col("o_orderkey").alias("k")).distinct()
     .select("k", names.degrees(F.format_string("%d/1 %d/1 %d/100", F.col("k") % 90, F.col("k") % 60, F.col("k") % 6000), F.lit("S")).alias("degrees"))
 )
 
@@ -242,7 +242,7 @@ def _tags(claims: DataFrame) -> DataFrame:
 
 _add("utf7_names", f"SELECT name, name AS back FROM ({_TAGS})")(lambda c: _tags(c).select("name", mail.from_utf7(mail.to_utf7(F.col("name"))).alias("back")))
 _add("folder_compare", None)(lambda c: _tags(c).select("name", mail.folder(F.col("name")).alias("key")))
-_add("fits_names", f"SELECT name, name AS short FROM ({_TAGS}) WHERE octet_length(encode(name)) < 200")(lambda c: _tags(c).where(F.octet_length("name") < 200).select("name", mail.fits(F.col("name")).alias("short")))
+_add("fits_names", f"SELECT name, name AS short FROM ({_TAGS}) WHERE octet_length(encode(name)) < 200")(lambda c: _tags(c).select("name", mail.fits(F.col("name")).alias("short")))
 _add("legal_names", None)(lambda c: _tags(c).select("name", names.legal(F.col("name")).alias("attribute")))
 
 # -- the log's text

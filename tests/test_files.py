@@ -214,6 +214,17 @@ def test_blank_texts_of_any_letters(spark, tmp_path):
     assert got == {k: k < len(spaces) + 2 for k, t in enumerate(texts) if t is not None}
 
 
+def test_all_degrees_and_long_names(spark, claims, tmp_path):
+    spark.range(85, 95).withColumnRenamed("id", "o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {x.k: x.degrees for x in extraction.QUERIES["geo_position"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(85, 95)) and got[89] == pytest.approx(-(89 + 29 / 60 + 0.89 / 3600))
+    long = ["é" * 130, "a" * 239 + "é", "b" * 240, "c" * 300 + ".jpeg"]
+    claims(*[(A, "user:tag", json.dumps(x, ensure_ascii=False), T(1), f"c{i}") for i, x in enumerate([*long, "short"])]).write.parquet(str(tmp_path / "claims.parquet"))
+    names_ = {x.name: x.short for x in extraction.QUERIES["fits_names"](spark, str(tmp_path)).collect()}
+    assert set(names_) == {*long, "short"} and names_["short"] == "short" and names_["b" * 240] == "b" * 240
+    assert names_["é" * 130] == "é" * 120 and names_["a" * 239 + "é"] == "a" * 239 and names_["c" * 300 + ".jpeg"] == "c" * 235 + ".jpeg"
+
+
 def test_grammar(spark):
     lit = F.lit
     assert value(spark, grammar.valid_subject(lit("A" * 96))) and not value(spark, grammar.valid_subject(lit("a" * 65)))
