@@ -6,24 +6,29 @@ characters. Adjacent atoms stand in a heap, weakest boundary first (then smaller
 then earlier place), and are merged while their sum and the overlap fit the limit.
 Boundaries that are left, the strongest ones, part the pieces.
 
-Sizes are ids of the byte-level vocabulary. Cuts stand between its pieces or, within a
-long word, between tokens at characters, where the ids of the whole text are the ids of
-the parts; so sizes add up and a piece has the same ids by itself. (White space before a word can
-be two pieces of the pattern, which would join at an end; no cut follows the second.)
-
-Each piece after the first begins with the last ``overlap_tokens`` of the one before. An
-overlap that would begin inside a character, or at an apostrophe that would bind anew,
-begins up to a few tokens sooner; texts in which that can happen keep ``SLACK`` tokens free.
+Sizes are ids of the byte-level vocabulary. A cut stands only where the ids of the whole
+text are the ids of the parts, so sizes add up and a piece has the same ids by itself.
+(Two pieces of white space in a row would join at an end; an apostrophe at a beginning
+may bind anew; a token may begin inside a character. No cut stands there.)
+
+Each piece after the first begins with exactly the last ``overlap_tokens`` ids of the one
+before. Where an overlap of that size would begin inside a character, or at an apostrophe
+that binds anew, the boundary is *unclean*. Unclean boundaries of any strength are merged
+away first, and cuts at words and between characters take their place where there are
+clean ones. Only where no clean cut is within reach does an unclean one stay: its overlap
+then begins at the character's first token, and ``beyond`` counts the tokens more.
 
 Defined results: texts within the limit, null texts, and texts of a null or unknown
 source are not oversized and give no piece; a source with several limits has its least,
-with that row's overlap; a null limit is none, a null overlap is 0; limits too small for
-a character and the overlap get a smaller overlap.
+with that row's overlap; a null limit is none, a null or negative overlap is 0. A text whose
+limit cannot hold the overlap and one of its characters is refused: it gives one row,
+piece 0, that is null in all other columns.
 """
 
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate, chain
 
@@ -34,7 +39,6 @@ from claimwright.llm.encode import VOCABULARY, Encoder, encoder
 
 #: Strength of boundaries, from the strongest.
 BLANK_LINE, LINE, SENTENCE, WORD, CHARACTER = 4, 3, 2, 1, 0
-SLACK = 8
 _ENDS = tuple(".!?。！？…؟।")
 _BREAKS = "\n\r\x0b\x0c\x85\u2028\u2029"
 _CLOSING = "\"')]}»”’"
@@ -84,91 +88,127 @@ class Splitter:
                     out.append((i + 1, SENTENCE))
         return [(b, s) for b, s in out if 0 < b < n]
 
-    def split(self, text: str, limit: int, overlap: int) -> tuple[list[int], list[tuple[int, int, int]]]:
-        """The ids of *text* and its pieces (first id, first id behind the overlap, end); no piece if it fits."""
+    def split(self, text: str, limit: int, overlap: int) -> tuple[list[int], list[tuple[int, int, int]] | None]:
+        """The ids of *text* and its pieces (first id, first id behind the overlap, end).
+
+        No piece if the text fits; None for them if the limit cannot hold the overlap and a character.
+        """
         pieces = self.e.pieces(text)
         coded = list(map(self.e.ids_of.__getitem__, pieces))
         ends = list(accumulate(map(len, coded), initial=0))
-        total = ends[-1]
         ids = list(chain.from_iterable(coded))
-        if total <= limit:
+        if len(ids) <= limit:
             return ids, []
-        slack = 0 if text.isascii() and overlap == 0 else (2 if text.isascii() else SLACK)
-        overlap = max(0, min(overlap, limit - slack - 8))
-        room = max(1, limit - overlap - slack)
-        natural = {ends[b]: s for b, s in self.boundaries(pieces)}
-        cuts = {0: BLANK_LINE, total: BLANK_LINE} | natural
-        places = sorted(cuts)
-        index = None
-        for a, b in zip(places, places[1:]):
-            if b - a > room:
-                index = index or {x: i for i, x in enumerate(ends)}
-                lo, hi = index[a], index[b]
-                for i in range(lo, hi):
-                    if not (i > 1 and pieces[i - 1].isspace() and pieces[i - 2].isspace()):
-                        cuts.setdefault(ends[i], WORD)
-                    if ends[i + 1] - ends[i] > room:
-                        cuts |= {c: CHARACTER for c in self._inside(ids, ends[i], ends[i + 1], room)}
-        places = sorted(cuts)
-        kept = self._merged(places, cuts, room, limit)
-        out, before = [], None
-        for a, b in zip(kept, kept[1:]):
-            start = a if before is None else self._overlap(ids, before, a, overlap, ends)
-            while start < a and b - start > limit:
-                start = self._next_character(ids, start + 1, a)
-            out.append((start, a, b))
-            before = start
-        return ids, out
-
-    def _starts_character(self, ids: list[int], at: int) -> bool:
-        return self.bytes_of[ids[at]][0] & 0xC0 != 0x80
-
-    def _next_character(self, ids: list[int], at: int, end: int) -> int:
-        while at < end and not self._starts_character(ids, at):
-            at += 1
+        overlap = max(0, overlap)
+        return ids, _Cuts(self, pieces, ids, ends, limit, overlap).pieces() if overlap < limit else None
+
+
+class _Cuts:
+    """One oversized text: where it may be cut, and how."""
+
+    def __init__(self, splitter: Splitter, pieces: list[str], ids: list[int], ends: list[int], limit: int, overlap: int):
+        self.s, self.words, self.ids, self.ends, self.limit, self.overlap = splitter, pieces, ids, ends, limit, overlap
+        self.total = ends[-1]
+        self.strengths = {ends[b]: s for b, s in splitter.boundaries(pieces)}
+        self.starts: dict[int, int] = {}
+
+    def begins(self, at: int) -> bool:
+        """Whether the text from token *at* on has, by itself, the ids that follow."""
+        i = bisect_right(self.ends, at) - 1
+        if self.ends[i] == at:
+            return True
+        token = self.s.bytes_of[self.ids[at]]
+        if token[0] & 0xC0 == 0x80:
+            return False
+        if not token.startswith(b"'"):
+            return True
+        rest = b"".join(map(self.s.bytes_of.__getitem__, self.ids[at : self.ends[i + 1]])).decode("utf-8", "replace")
+        return self.s.e.pieces(rest + "".join(self.words[i + 1 : i + 2])[:4])[0] == rest
+
+    def parts(self, at: int) -> bool:
+        """Whether a cut may stand before token *at*."""
+        i = bisect_right(self.ends, at) - 1
+        if self.ends[i] == at:
+            return not (i > 1 and self.words[i - 1].isspace() and self.words[i - 2].isspace())
+        if not self.begins(at):
+            return False
+        if i and self.words[i - 1].isspace():
+            return not b"".join(map(self.s.bytes_of.__getitem__, self.ids[self.ends[i] : at])).decode("utf-8", "replace").isspace()
+        return True
+
+    def start(self, cut: int) -> int:
+        """Where the piece behind *cut* begins, overlap included."""
+        at = self.starts.get(cut)
+        if at is None:
+            at = max(0, cut - self.overlap)
+            while not self.begins(at):
+                at -= 1
+            self.starts[cut] = at
         return at
 
-    def _inside(self, ids: list[int], begin: int, end: int, room: int) -> list[int]:
-        """Cuts between characters of one long piece of the pattern, as far apart as *room* allows."""
-        out, at = [], begin
-        while end - at > room:
-            cut = at + room
-            while cut > at and not (self._starts_character(ids, cut) and not self.bytes_of[ids[cut]].startswith(b"'")):
-                cut -= 1
-            if cut == at:  # a character of more tokens than there is room for
-                cut = self._next_character(ids, at + 1, end)
-            if cut >= end:
-                break
-            out.append(cut)
-            at = cut
+    def clean(self, cut: int) -> bool:
+        return cut <= self.overlap or self.start(cut) == cut - self.overlap
+
+    def _fits(self, a: int, b: int) -> bool:
+        return b - (self.start(a) if a else 0) <= self.limit
+
+    def _stepped(self, a: int, b: int) -> list[int] | None:
+        """Cuts that part tokens *a* to *b* as far apart as possible, clean ones before others; None if none does."""
+        out = []
+        while not self._fits(a, b):
+            last = min((self.start(a) if a else 0) + self.limit, b - 1)
+            allowed = [c for c in range(last, a, -1) if self.parts(c)]
+            best = next((c for c in allowed if self.clean(c)), None)
+            if best is None and allowed:
+                edges = set(self.ends[bisect_right(self.ends, a) : bisect_right(self.ends, last)])
+                best = max(allowed, key=lambda c: (self.strengths.get(c, WORD if c in edges else CHARACTER), c))
+            if best is None:
+                return None
+            out.append(best)
+            a = best
         return out
 
-    def _overlap(self, ids: list[int], before: int, a: int, overlap: int, ends: list[int]) -> int:
-        start = max(before, a - overlap)
-        while before < start < a and not (self._starts_character(ids, start) and not self.bytes_of[ids[start]].startswith(b"'")):
-            start -= 1
-        return start
+    def pieces(self) -> list[tuple[int, int, int]] | None:
+        places = [0, *(c for c in sorted(self.strengths) if self.clean(c) and self.parts(c)), self.total]
+        atoms = [0]
+        for a, b in zip(places, places[1:]):
+            if not self._fits(a, b):
+                inner = self.ends[bisect_right(self.ends, a) : bisect_right(self.ends, b - 1)]
+                fine = [a, *(c for c in inner if self.clean(c) and self.parts(c)), b]
+                for x, y in zip(fine, fine[1:]):
+                    steps = [] if self._fits(x, y) else self._stepped(x, y)
+                    if steps is None:
+                        return None
+                    atoms += steps + [y]
+            else:
+                atoms.append(b)
+        kept = self._merged(atoms)
+        out, before = [], 0
+        for a, b in zip(kept, kept[1:]):
+            before = max(before, self.start(a)) if a else 0
+            out.append((before, a, b))
+        return out
 
-    @staticmethod
-    def _merged(places: list[int], cuts: dict[int, int], room: int, limit: int) -> list[int]:
+    def _merged(self, places: list[int]) -> list[int]:
         """The boundaries left when the weakest have been merged away, as far as the sums fit."""
         n = len(places) - 1  # segment k is places[k] to places[k + 1]; boundary k parts k - 1 and k
         start, end = places[:-1], places[1:]
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         alive = [True] * n
+        edges = set(self.ends)
+        strength = [(self.clean(c), self.strengths.get(c, WORD if c in edges else CHARACTER)) for c in start]
 
         def pair(right: int):
-            left = before[right]
-            return cuts[start[right]], end[right] - start[left], right
+            return strength[right], end[right] - start[before[right]], right
 
         heap = [pair(k) for k in range(1, n)]
         heapq.heapify(heap)
         while heap:
-            strength, size, right = heapq.heappop(heap)
+            _, size, right = heapq.heappop(heap)
             if not alive[right] or pair(right)[1] != size:
                 continue
             left = before[right]
-            if size > (limit if start[left] == 0 else room):
+            if not self._fits(start[left], end[right]):
                 continue
             alive[right] = False
             end[left], after[left] = end[right], after[right]
@@ -180,7 +220,7 @@ class Splitter:
         return [start[k] for k in range(n) if alive[k]] + [places[-1]]
 
 
-PIECE_SCHEMA = "doc_id bigint, piece int, tokens int, overlap int, text string"
+PIECE_SCHEMA = "doc_id bigint, piece int, tokens int, overlap int, beyond int, text string"
 
 
 def limits_of(limits: DataFrame) -> DataFrame:
@@ -191,7 +231,7 @@ def limits_of(limits: DataFrame) -> DataFrame:
 
 
 def split(documents: DataFrame, limits: DataFrame, vocabulary: str = VOCABULARY, texts: bool = True) -> DataFrame:
-    """Rows (doc_id, piece, tokens, overlap, text) of the pieces of the oversized documents.
+    """Rows (doc_id, piece, tokens, overlap, beyond, text) of the pieces of the oversized documents.
 
     Spark broadcasts the limits where they are small. *texts* false leaves the texts null.
     """
@@ -205,16 +245,19 @@ def split(documents: DataFrame, limits: DataFrame, vocabulary: str = VOCABULARY,
             out: list[tuple] = []
             for key, text, limit, overlap in zip(*(part.column(i).to_pylist() for i in range(4))):
                 ids, cut = s.split(text, limit, overlap)
+                if cut is None:
+                    out.append((key, 0, None, None, None, None))
+                    continue
                 for k, (start, own, end) in enumerate(cut):
                     shown = b"".join(map(s.bytes_of.__getitem__, ids[start:end])).decode("utf-8", "replace") if texts else None
-                    out.append((key, k, end - start, own - start, shown))
-            columns = list(zip(*out)) or [()] * 5
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+                    out.append((key, k, end - start, own - start, max(0, own - start - max(0, overlap)), shown))
+            columns = list(zip(*out)) or [()] * 6
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [c.split()[0] for c in PIECE_SCHEMA.split(", ")])
 
     return rows.select("doc_id", "text", "max_tokens", "overlap_tokens").mapInArrow(batches, PIECE_SCHEMA)
 
 
 def found(documents: DataFrame, limits: DataFrame) -> DataFrame:
-    """Rows (doc_id) of the documents that were split."""
+    """Rows (doc_id) of the documents that are over their limit."""
     return split(documents, limits, texts=False).where((F.col("piece") == 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct()

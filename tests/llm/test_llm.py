@@ -119,6 +119,12 @@ def test_items_in_blocks(spark, monkeypatch):
 # -- p9
 
 
+def exact(ids, at):
+    """Whether a text may begin at token *at*: its bytes are characters, and encode to the same ids."""
+    data = b"".join(map(E.vocabulary.bytes_of.__getitem__, ids[at:]))
+    return data[0] & 0xC0 != 0x80 and ORACLE.encode_ordinary(data.decode()) == ids[at:]
+
+
 def faults(text, limit, overlap, ids, cut):
     """What is wrong with a split."""
     if len(ORACLE.encode_ordinary(text)) <= limit:
@@ -130,18 +136,45 @@ def faults(text, limit, overlap, ids, cut):
         shown = b"".join(map(bytes_of.__getitem__, ids[start:end])).decode("utf-8")
         if end - start > limit or ORACLE.encode_ordinary(shown) != ids[start:end]:
             out.append(("size or ids", shown))
-        if before and (own != before[2] or not min(overlap, before[2] - before[0]) <= own - start <= overlap + split.SLACK):
-            out.append(("overlap", start, own, before))
+        if before:
+            if own != before[2] or own - start < overlap or start < before[0]:
+                out.append(("overlap", start, own, before))
+            elif own - start > overlap and any(exact(ids, k) for k in range(start + 1, own - overlap + 1)):
+                out.append(("longer overlap than a character needs", start, own))
         before = start, own, end
     return out
 
 
 def test_splits_hold_their_promises():
-    r, s = random.Random(4), split.Splitter(E)
+    r, s, beyond, joins = random.Random(4), split.Splitter(E), 0, 0
     for _ in range(1500):
-        text, limit, overlap = mixed(r, 90), r.randint(32, 64), r.choice([0, 0, 3, 8])
+        text, limit, overlap = mixed(r, 90), r.randint(20, 64), r.choice([0, 0, 3, 8, 15])
         ids, cut = s.split(text, limit, overlap)
         assert ids == ORACLE.encode_ordinary(text) and not faults(text, limit, overlap, ids, cut), (text, limit, overlap)
+        beyond, joins = beyond + sum(own - start > overlap for start, own, _ in cut[1:]), joins + len(cut[1:])
+    assert 0 < beyond < joins / 8  # in texts that are full of characters of several tokens
+
+
+def test_all_small_limits_and_overlaps():
+    r, s, refused = random.Random(9), split.Splitter(E), 0
+    for limit in range(1, 65):
+        for overlap in {0, 1, limit // 2, limit - 2, limit - 1, limit}:
+            text = mixed(r, 60)
+            ids, cut = s.split(text, limit, overlap)
+            if cut is None:
+                refused += 1
+                assert overlap > limit - 8, (limit, overlap)  # never where the overlap and any character fit
+            else:
+                assert not faults(text, limit, max(0, overlap), ids, cut), (text, limit, overlap)
+    assert refused
+
+
+def test_ascii_overlaps_are_what_was_asked():
+    s = split.Splitter(E)
+    text = "The quick brown fox didn't jump over 12 lazy dogs; it slept. " * 40
+    for limit, overlap in [(40, 35), (64, 60), (32, 31), (9, 5)]:
+        ids, cut = s.split(text, limit, overlap)
+        assert not faults(text, limit, overlap, ids, cut) and all(own - start == overlap for start, own, _ in cut[1:])
 
 
 def test_cuts_prefer_strong_boundaries():
@@ -175,6 +208,24 @@ def E_text(text, n):
 
 
 @pytest.mark.parametrize("limit", [1, 2, 9])
-def test_tiny_limits_end(limit):
-    ids, cut = split.Splitter(E).split("👩‍🔧 naïve 日本 text. " * 5, limit, 5)
-    assert cut[-1][2] == len(ids) and [c[1] for c in cut[1:]] == [c[2] for c in cut[:-1]]
+def test_tiny_limits_are_refused(spark, limit):
+    text = "👩‍🔧 naïve 日本 text. " * 5
+    assert split.Splitter(E).split(text, limit, limit)[1] is None
+    docs = spark.createDataFrame([(1, text, "a"), (2, "a b c d e f g h i j k l", "a")], "doc_id long, text string, source string")
+    limits = spark.createDataFrame([("a", limit, limit)], "source string, max_tokens int, overlap_tokens int")
+    assert sorted(r.doc_id for r in split.found(docs, limits).collect()) == [1, 2]
+    assert [tuple(r) for r in split.split(docs, limits).where("doc_id = 1").collect()] == [(1, 0, None, None, None, None)]
+
+
+def test_every_piece_of_the_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    limits = {r.source: r for r in spark.read.parquet("/root/testdata/sf0.01/size_limits.parquet").collect()}
+    s, joins, beyond = split.Splitter(E), 0, 0
+    for r in docs.where("text is not null and source is not null").collect():
+        if r.source in limits:
+            limit, overlap = limits[r.source].max_tokens, limits[r.source].overlap_tokens
+            ids, cut = s.split(r.text, limit, overlap)
+            assert not faults(r.text, limit, overlap, ids, cut), r.doc_id
+            joins += len(cut[1:])
+            beyond += sum(own - start != overlap for start, own, _ in cut[1:])
+    assert joins > 300 and beyond == 0
