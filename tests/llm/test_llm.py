@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import random
+import time
 import unicodedata
 
-import numpy as np
 import pytest
 import regex
 import tiktoken
 
 from claimwright.llm import encode, leaks, split
+from claimwright.plans import skew
 
 E = encode.encoder(encode.VOCABULARY)
 # Written out here on its own: the pattern of the vocabulary's description.
@@ -102,18 +103,42 @@ def test_reordered_passages_are_covered(spark):
     assert leaks.found(docs.limit(0), items).count() == 0 and leaks.found(docs, items.limit(0)).count() == 0
 
 
+def shared_windows(document, item, least):
+    out = {}
+    for k, side in enumerate((document, item)):
+        for at in range(len(side) - least + 1):
+            out.setdefault(tuple(side[at : at + least]), ([], []))[k].append(at)
+    return [x for x in out.values() if x[0] and x[1]]
+
+
 def test_tiles_are_longest_first_and_disjoint():
-    document, item = np.array([1, 2, 3, 4, 5, 6, 1, 2, 3]), np.array([1, 2, 3, 4, 9, 1, 2, 3])
-    seeds = [(d, i) for d in range(7) for i in range(6) if (document[d : d + 3] == item[i : i + 3]).all()]
-    assert sorted(leaks.tiles(document, item, seeds, 3)) == [(0, 0, 4), (6, 5, 3)]
+    shared = shared_windows([1, 2, 3, 4, 5, 6, 1, 2, 3], [1, 2, 3, 4, 9, 1, 2, 3], 3)
+    assert sorted(leaks.tiles(shared, 3)) == sorted(leaks.tiles(shared, 3, 0)) == [(0, 0, 4), (6, 5, 3)]
+
+
+def test_bisected_tiles_are_those_of_listed_seeds():
+    r = random.Random(8)
+    for _ in range(300):
+        document, item = ([r.choice("abc"[: r.randint(1, 3)]) for _ in range(r.randint(3, 60))] for _ in range(2))
+        shared = shared_windows(document, item, 3)
+        if shared:
+            assert leaks.tiles(shared, 3) == leaks.tiles(shared, 3, 0), (document, item)
+
+
+def test_repeated_words_give_no_product_of_seeds(spark):
+    began = time.time()
+    docs = spark.createDataFrame([(1, "no " * 20_000), (2, "yes no " * 9_000)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "no " * 2_000), (2, "yes no " * 500)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.tiles, r.words) for r in leaks.overlaps(docs, items).collect()}
+    assert got == {(1, 1): (1, 2000), (2, 2): (1, 1000)} and time.time() - began < 30
 
 
-def test_items_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(leaks, "BLOCK_ITEMS", 2)
-    texts = [" ".join(f"t{i}w{k}" for k in range(14)) for i in range(7)]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    items = spark.createDataFrame([(i + 10, t) for i, t in enumerate(texts)], "item_id long, text string")
-    assert sorted(tuple(x) for x in leaks.found(docs, items).collect()) == [(i, i + 10) for i in range(7)]
+def test_hot_windows_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(skew.spread_join, "__defaults__", (5,))
+    line = " ".join(f"task{k}" for k in range(13))
+    docs = spark.createDataFrame([(i, f"own{i} {line} end{i}") for i in range(40)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"{line} item{i}") for i in range(30)], "item_id long, text string")
+    assert leaks.found(docs, items).count() == 40 * 30
 
 
 # -- p9
