@@ -1,21 +1,26 @@
 """Inserts, updates and deletes applied to rebuild the current state (problem 2).
 
 The method is that of equality-delete files with sequence numbers: a change feed is cut
-into *data* rows and *delete* keys, both appended and never rewritten, each with the
-sequence number of its batch; a reader anti-joins the rows against the delete keys. An
-update is a delete of the old key and an insert of the new one.
+into *data* rows and *delete* keys, both appended and never rewritten, each with a
+sequence number; a reader anti-joins the rows against the delete keys of later numbers.
+An update is a delete of the old key and an insert of the new one.
 
-Which deletes count is a parameter. ``later``: a delete takes back rows of smaller
-sequence numbers only. ``any``: a delete takes back its key wherever either stands in
-the feed, as retractions of the record do, so order and repetition cannot matter.
+Sequence numbers say in which order changes apply, whatever the order they come in. Most
+feeds number batches. In the record a retraction holds wherever and whenever it was
+recorded and cannot be taken back, so retractions have the number ``OUTLASTS``, behind
+every insert (``feed_of``).
 
-The anti-join runs as one aggregate over the tagged union of both sides, so each side is
-combined before the only shuffle and a key of many repeated rows stays one row a task.
+Both sides of the anti-join are reduced to one row a key with a map-side combine, so a
+key that a third of all rows repeat stays one row a task; the join then finds both sides
+partitioned by the key and moves nothing.
+
+``standing_claims`` gives the same rows in one aggregate straight from the claims, for
+queries that read the record once and keep no files.
 
 Defined results: rows whose key has a null column are in no state (nothing can name
 them); repeated rows are one row; a delete of an unknown key does nothing; of repeated
-rows of one key the row of the greatest sequence number counts (ties: greatest payload).
-Payload columns may have any names; they travel in one struct.
+rows of one key the row of the greatest sequence number counts (ties: greatest payload);
+a null sequence number is 0. Payload columns may have any names but ``op``.
 """
 
 from __future__ import annotations
@@ -23,6 +28,12 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
+
+from claimwright.plans.tables import work_folder
+
+#: The sequence number of deletes that no insert outlasts.
+OUTLASTS = (1 << 63) - 1
 
 
 def _known(keys: list[str]) -> Column:
@@ -37,27 +48,31 @@ def _payload(payload: dict[str, Column]) -> Column:
     return F.struct(*([c.alias(n) for n, c in payload.items()] or [F.lit(0)]))
 
 
-def _merged(tagged: DataFrame, keys: list[str], seq: str, payload: list[str], which: str) -> DataFrame:
-    """The state of tagged changes (k, row, gone): ``row`` of an insert is (seq, payload), ``gone`` of a delete its seq."""
-    if which not in ("any", "later"):
-        raise ValueError(f"which is any or later, not {which!r}")
-    state = tagged.groupBy("k").agg(F.max("row").alias("row"), F.max("gone").alias("gone"))
-    kept = F.col("gone").isNull() if which == "any" else F.col("gone").isNull() | (F.coalesce(F.col("row.seq"), F.lit(0)) >= F.col("gone"))
-    return state.where(F.col("row").isNotNull() & kept).select(
-        *[F.col("k")[k].alias(k) for k in keys], F.col("row.seq").alias(seq), *[F.col("row.p")[c].alias(c) for c in payload]
-    )
+def _latest(data: DataFrame, keys: list[str], seq: str) -> tuple[DataFrame, list[str]]:
+    """One row (keys, _seq, payload) per key, and the payload's names."""
+    payload = [c for c in data.columns if c not in (*keys, seq)]
+    own = F.coalesce(F.col(f"`{seq}`").cast("bigint"), F.lit(0)).alias("_seq")
+    rows = data.where(_known(keys)).groupBy(*[F.col(f"`{k}`") for k in keys])
+    if not payload:
+        return rows.agg(F.max(own).alias("_seq")), payload
+    best = rows.agg(F.max(F.struct(own, _payload({c: F.col(f"`{c}`") for c in payload}).alias("p"))).alias("_row"))
+    return best.select(*[F.col(f"`{k}`") for k in keys], "_row._seq", *[F.col("_row.p")[c].alias(c) for c in payload]), payload
 
 
-def apply_changes(data: DataFrame, deletes: DataFrame, keys: list[str], seq: str = "seq", which: str = "any") -> DataFrame:
+def apply_changes(data: DataFrame, deletes: DataFrame, keys: list[str], seq: str = "seq", which: str = "later") -> DataFrame:
     """The rows of *data* that no delete takes back, one per key.
 
     *data* has the key columns, *seq* and any payload; *deletes* the key columns and *seq*.
+    *which*: ``later`` deletes take back rows of smaller sequence numbers; ``any`` their key.
     """
-    payload = [c for c in data.columns if c not in (*keys, seq)]
-    row = F.struct(F.col(f"`{seq}`").cast("bigint").alias("seq"), _payload({c: F.col(f"`{c}`") for c in payload}).alias("p"))
-    put = data.where(_known(keys)).select(_key(keys), row.alias("row"), F.lit(None).cast("bigint").alias("gone"))
-    taken = deletes.where(_known(keys)).select(_key(keys), F.coalesce(F.col(f"`{seq}`").cast("bigint"), F.lit(0)).alias("gone"))
-    return _merged(put.unionByName(taken, allowMissingColumns=True), keys, seq, payload, which)
+    if which not in ("any", "later"):
+        raise ValueError(f"which is any or later, not {which!r}")
+    rows, payload = _latest(data, keys, seq)
+    gone, _ = _latest(deletes.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{seq}`")), keys, seq)
+    gone = gone.select(*[F.col(f"`{k}`").alias(f"_d{i}") for i, k in enumerate(keys)], F.col("_seq").alias("_gone"))
+    taken = reduce(lambda a, b: a & b, (F.col(f"`{k}`") == F.col(f"_d{i}") for i, k in enumerate(keys)))
+    kept = rows.join(gone, taken & (F.col("_seq") < F.col("_gone")) if which == "later" else taken, "left_anti")
+    return kept.select(*[F.col(f"`{k}`") for k in keys], F.col("_seq").alias(seq), *[F.col(f"`{c}`") for c in payload])
 
 
 def _is_delete() -> Column:
@@ -65,30 +80,45 @@ def _is_delete() -> Column:
     return F.col("retracts").isNotNull()
 
 
-def split_feed(claims: DataFrame, attributes: list[str] | None = None, payload: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
-    """The record as a change feed: (data, deletes) with the key (subject, attribute, claim) and seq."""
+_KEYS = ["subject", "attribute", "claim"]
+
+
+def feed_of(claims: DataFrame, attributes: list[str] | None = None, payload: dict[str, Column] | None = None) -> DataFrame:
+    """The record as a change feed of (subject, attribute, claim, seq, payload…, op), from one scan.
+
+    ``op`` is ``data`` for an assertion, whose ``seq`` is its segment, and ``deletes`` for each
+    id that a retraction names, whose ``seq`` is ``OUTLASTS``. The payload of deletes is null.
+    """
     rows = claims if attributes is None else claims.where(F.col("attribute").isin(attributes))
-    where = [F.lower("subject").alias("subject"), F.col("attribute")]
-    seq = F.col("seq").cast("bigint").alias("seq")
-    data = rows.where(~_is_delete()).select(*where, F.lower("cid").alias("claim"), seq, *[v.alias(k) for k, v in (payload or {}).items()])
-    deletes = rows.where(_is_delete()).select(*where, seq, F.explode("retracts").alias("claim"))
-    return data, deletes.withColumn("claim", F.lower("claim"))
+    made = ~_is_delete()
+    cut = rows.select(
+        F.lower("subject").alias("subject"), "attribute", F.explode(F.when(made, F.array("cid")).otherwise(F.col("retracts"))).alias("claim"),
+        F.when(made, F.col("seq").cast("bigint")).otherwise(F.lit(OUTLASTS)).alias("seq"),
+        *[F.when(made, v).alias(k) for k, v in (payload or {}).items()], F.when(made, "data").otherwise("deletes").alias("op"),
+    )
+    return cut.withColumn("claim", F.lower("claim"))
+
+
+def split_feed(claims: DataFrame, attributes: list[str] | None = None, payload: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The two sides of ``feed_of``: (data, deletes)."""
+    feed = feed_of(claims, attributes, payload)
+    return feed.where(F.col("op") == "data").drop("op"), feed.where(F.col("op") == "deletes").select(*_KEYS, "seq")
 
 
 def standing_claims(claims: DataFrame, attributes: list[str] | None = None, payload: dict[str, Column] | None = None) -> DataFrame:
     """The standing claims as (subject, attribute, claim, seq, payload…), one row per claim.
 
-    The same as ``apply_changes`` of ``split_feed``, with both sides cut from one scan.
+    The same as ``apply_changes`` of ``split_feed``, as one aggregate over both sides.
     """
-    payload, keys = payload or {}, ["subject", "attribute", "claim"]
-    rows = claims if attributes is None else claims.where(F.col("attribute").isin(attributes))
-    seq = F.col("seq").cast("bigint")
-    row = F.struct(seq.alias("seq"), _payload(payload).alias("p"))
-    ids = F.when(_is_delete(), F.col("retracts")).otherwise(F.array("cid"))
-    cut = rows.select(
-        F.lower("subject").alias("subject"), "attribute", F.when(~_is_delete(), row).alias("row"), F.when(_is_delete(), F.coalesce(seq, F.lit(0))).alias("gone"), F.explode(ids).alias("claim")
-    ).withColumn("claim", F.lower("claim"))
-    return _merged(cut.where(_known(keys)).select(_key(keys), "row", "gone"), keys, "seq", list(payload), "any")
+    feed, names = feed_of(claims, attributes, payload).where(_known(_KEYS)), list(payload or {})
+    is_data = F.col("op") == "data"
+    state = [F.max(F.when(~is_data, 1)).alias("gone")]
+    if not names:
+        rows = feed.groupBy(*_KEYS).agg(F.max(F.when(is_data, F.coalesce("seq", F.lit(0)))).alias("seq"), *state)
+        return rows.where(F.col("seq").isNotNull() & F.col("gone").isNull()).select(*_KEYS, "seq")
+    row = F.when(is_data, F.struct(F.coalesce("seq", F.lit(0)).alias("seq"), _payload({n: F.col(f"`{n}`") for n in names}).alias("p")))
+    rows = feed.groupBy(*_KEYS).agg(F.max(row).alias("row"), *state)
+    return rows.where(F.col("row").isNotNull() & F.col("gone").isNull()).select(*_KEYS, F.col("row.seq").alias("seq"), *[F.col("row.p")[n].alias(n) for n in names])
 
 
 def difference(current: DataFrame, copy: DataFrame, key: str = "claim") -> DataFrame:
@@ -101,29 +131,33 @@ def difference(current: DataFrame, copy: DataFrame, key: str = "claim") -> DataF
 class ChangeTable:
     """A table kept as appended data and delete files under one shared folder.
 
-    ``append`` writes a batch; its sequence number is given by the caller, so writing a
-    batch again (a retried job) repeats rows that the reader merges anyway. ``read``
-    merges; ``compact`` writes the merged rows into a new folder as batch 0.
+    ``append`` writes a batch under a sequence number that the caller gives, ``append_feed``
+    changes that carry their own; writing a batch again (a retried job) repeats rows that
+    the reader merges anyway. ``read`` merges; ``compact`` writes the merged rows into a new
+    folder as batch 0.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], which: str = "later"):
         self.spark, self.path, self.keys, self.which = spark, path.rstrip("/"), keys, which
+        self.schema: StructType | None = None
+
+    def append_feed(self, feed: DataFrame) -> None:
+        """Appends changes (keys, seq, payload…, op): data and delete files, each kind in its own folder, in one pass."""
+        feed.write.mode("append").partitionBy("op").parquet(self.path)
+        self.schema = feed.schema
 
     def append(self, seq: int, inserts: DataFrame | None = None, deletes: DataFrame | None = None) -> None:
         if inserts is not None:
-            inserts.withColumn("seq", F.lit(seq).cast("bigint")).write.mode("append").parquet(f"{self.path}/data")
+            self.append_feed(inserts.withColumns({"seq": F.lit(seq).cast("bigint"), "op": F.lit("data")}))
         if deletes is not None:
-            deletes.select(*self.keys).withColumn("seq", F.lit(seq).cast("bigint")).write.mode("append").parquet(f"{self.path}/deletes")
+            deletes.select(*self.keys, F.lit(seq).cast("bigint").alias("seq"), F.lit("deletes").alias("op")).write.mode("append").partitionBy("op").parquet(self.path)
 
     def read(self) -> DataFrame:
-        data = self.spark.read.parquet(f"{self.path}/data")
-        try:
-            deletes = self.spark.read.parquet(f"{self.path}/deletes")
-        except Exception as e:  # no delete was ever written
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            deletes = data.select(*self.keys, "seq").limit(0)
-        return apply_changes(data, deletes, self.keys, which=self.which)
+        """The rows that stand. Without any append since the table was opened, its columns are those of its data files."""
+        reader = self.spark.read.schema(self.schema) if self.schema else self.spark.read.option("mergeSchema", "true")
+        rows = reader.parquet(self.path)
+        deletes = rows.where(F.col("op") == "deletes").select(*self.keys, "seq")
+        return apply_changes(rows.where(F.col("op") == "data").drop("op"), deletes, self.keys, which=self.which)
 
     def compact(self, path: str) -> ChangeTable:
         table = ChangeTable(self.spark, path, self.keys, self.which)
@@ -135,6 +169,13 @@ class ChangeTable:
 COPIED = ("file:path", "mailbox:place", "mailbox:tag", "user:tag")
 
 
+def standing_table(claims: DataFrame, attributes: list[str] | None = None) -> ChangeTable:
+    """The record as a change table in a work folder."""
+    made = ChangeTable(claims.sparkSession, work_folder(claims.sparkSession, "changes"), _KEYS)
+    made.append_feed(feed_of(claims, attributes))
+    return made
+
+
 def found(claims: DataFrame, standing: DataFrame) -> DataFrame:
     """Rows (claim, change) between the standing claims of the copied attributes and the copy."""
-    return difference(standing_claims(claims, list(COPIED)), standing)
+    return difference(standing_table(claims, list(COPIED)).read(), standing)

@@ -1,9 +1,12 @@
 """History of changing entity attributes with periods of validity (problem 4).
 
-Insert-only satellites. Attributes are split by how often they change, one satellite
-each. A satellite row is a *state* of one key from one instant on, with a hash of that
-state; a row is appended only where the hash differs from the state before. Nothing is
-ever updated: the end of a period is computed in a view from the row that follows.
+Insert-only satellites. Attributes are split by the rate at which their values are
+measured to change, a satellite each for those that change seldom and often (``History``).
+A satellite row is a *state* of one key from one instant on, with a hash of that state.
+Appending compares states with the stored hashes and inserts only what differs: a state
+that is new, another state at a known instant, or, where late claims made a stored change
+none, a void row. Nothing is ever updated: of rows of one key and instant the last batch
+counts, and the end of a period is computed in a view from the row that follows.
 
 The state of a key (subject, attribute, value) is the number of claims that then hold it,
 reduced to holds or does not. Changes are netted per key and instant with a map-side
@@ -20,14 +23,16 @@ one; ends not later than their start give no period.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from claimwright.operators.instants import instant_of
+from claimwright.plans.skew import union_all
+from claimwright.plans.tables import work_folder, written
 
-#: The satellites: places change seldom, tags often.
-SATELLITES = {"slow": ("mailbox:place",), "fast": ("user:tag",)}
+#: The attributes whose history is kept.
+TRACKED = ("mailbox:place", "user:tag")
+#: Lifetimes a key from which on an attribute is in the satellite of those that change often.
+OFTEN = 1.25
 OPEN = "open"
 _KEY = ("subject", "attribute", "value")
 
@@ -73,27 +78,69 @@ def ended(rows: DataFrame) -> DataFrame:
     return dated.where("holds").select(*_KEY, F.col("loaded").alias("valid_from"), F.coalesce("next", "head_after").alias("valid_to"))
 
 
-def satellite_of(attribute: Column) -> Column:
-    """The name of the satellite that keeps an attribute."""
-    return reduce(lambda w, s: w.when(attribute.isin(*s[1]), s[0]), SATELLITES.items(), F.when(F.lit(False), ""))
-
-
-def satellites(claims: DataFrame) -> DataFrame:
-    """The rows of all satellites, computed in one pass, with ``satellite``, by which they are kept apart."""
-    rows = satellite(lifetimes(claims, tuple(a for s in SATELLITES.values() for a in s)))
-    return rows.withColumn("satellite", satellite_of(F.col("attribute")))
-
-
-def append(claims: DataFrame, path: str) -> None:
-    """Writes the satellite rows of *claims*, each satellite its own folder; nothing written is changed."""
-    satellites(claims).write.mode("append").partitionBy("satellite").parquet(path)
-
-
-def periods(claims: DataFrame, attributes: tuple[str, ...]) -> DataFrame:
-    """Rows (subject, attribute, value, valid_from, valid_to) of *attributes*; valid_to is null while valid."""
-    return ended(satellite(lifetimes(claims, attributes)))
+def change_rates(lives: DataFrame) -> DataFrame:
+    """Rows (attribute, rate): lifetimes a key, over all rows; the number of keys is estimated within 2 %."""
+    keys = F.approx_count_distinct(F.xxhash64(*_KEY), 0.02)
+    return lives.groupBy("attribute").agg((F.count("*") / F.greatest(keys, F.lit(1))).alias("rate"))
+
+
+class History:
+    """The satellites under one shared folder, each in its own folder, with a folder a batch."""
+
+    def __init__(self, spark: SparkSession, path: str, often: float = OFTEN):
+        self.spark, self.path, self.often = spark, path.rstrip("/"), often
+        self.split: dict[str, str] = {}
+
+    def _batches(self, name: str) -> list[int]:
+        """The batches of a satellite, from the names of its folders."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/batch=*")
+        found_ = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+        return sorted(int(f.getPath().getName().partition("=")[2]) for f in found_ or [])
+
+    def append(self, lives: DataFrame, batch: int) -> None:
+        """Brings the satellites up to *lives*, the lifetimes of the record as it now is.
+
+        Attributes met before stay in their satellite. A batch that is appended again writes its own folder anew.
+        """
+        for r in change_rates(lives).collect():  # one row an attribute
+            self.split.setdefault(r["attribute"], "often" if r["rate"] >= self.often else "seldom")
+        for name in sorted(set(self.split.values())):
+            rows = satellite(lives.where(F.col("attribute").isin([a for a, s in self.split.items() if s == name])))
+            stored = [b for b in self._batches(name) if b < batch]
+            if stored:
+                rows = self._differing(rows, self._states(name, stored))
+            rows.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
+
+    def _states(self, name: str, batches: list[int]) -> DataFrame:
+        """The stored rows that count, void ones included: of one key and instant those of the last of *batches*."""
+        rows = self.spark.read.schema(f"{', '.join(f'{k} string' for k in _KEY)}, day string, loaded string, holds boolean, hash_diff bigint, batch int").parquet(f"{self.path}/{name}")
+        rows = rows.where(F.col("batch").isin(batches))
+        if len(batches) == 1:
+            return rows.drop("batch")
+        last = F.max(F.struct("batch", "day", "holds", "hash_diff")).alias("l")
+        return rows.groupBy(*_KEY, "loaded").agg(last).select(*_KEY, "l.day", "loaded", "l.holds", "l.hash_diff")
+
+    @staticmethod
+    def _differing(rows: DataFrame, stored: DataFrame) -> DataFrame:
+        """What to insert: rows whose hash is not the stored one, and void rows for changes that are none any more."""
+        old = stored.select(*_KEY, "loaded", F.col("day").alias("old_day"), F.col("holds").alias("held"), F.col("hash_diff").alias("old_hash"))
+        both = rows.join(old, [*_KEY, "loaded"], "full")
+        fresh = F.col("hash_diff").isNotNull() & ~F.col("hash_diff").eqNullSafe(F.col("old_hash"))
+        void = F.col("hash_diff").isNull() & F.col("held").isNotNull()
+        void_hash = F.xxhash64(*_KEY, F.lit(None).cast("boolean"))
+        return both.where(fresh | void).select(*_KEY, F.coalesce("day", "old_day").alias("day"), "loaded", "holds", F.coalesce("hash_diff", void_hash).alias("hash_diff"))
+
+    def periods(self) -> DataFrame:
+        """Rows (subject, attribute, value, valid_from, valid_to) of all satellites; valid_to is null while valid."""
+        views = [ended(self._states(n, self._batches(n)).where(F.col("holds").isNotNull())) for n in sorted(set(self.split.values()))]
+        if not views:
+            return self.spark.createDataFrame([], ", ".join(f"{c} string" for c in (*_KEY, "valid_from", "valid_to")))
+        return union_all(views)
 
 
 def found(claims: DataFrame) -> DataFrame:
-    """The periods of all satellites, ``open`` for those without end."""
-    return ended(satellites(claims)).withColumn("valid_to", F.coalesce("valid_to", F.lit(OPEN)))
+    """The periods of the tracked attributes, ``open`` for those without end."""
+    lives = written(lifetimes(claims, TRACKED), "lifetimes", ("attribute",))
+    kept = History(claims.sparkSession, work_folder(claims.sparkSession, "history"))
+    kept.append(lives, 0)
+    return kept.periods().withColumn("valid_to", F.coalesce("valid_to", F.lit(OPEN)))

@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimwright.functions import grammar, mail, names
 from claimwright.operators import ask, lineage, paths, reconcile, rewrite, verify, write
-from claimwright.operators.changes import ChangeTable, split_feed
+from claimwright.operators.changes import ChangeTable, feed_of
 from claimwright.operators.orphans import held
 from claimwright.plans import find as finder
 from claimwright.plans import record as r
-from claimwright.plans.tables import table
+from claimwright.plans.tables import table, work_folder
 from claimwright.plans.terms import value_matches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -519,16 +519,8 @@ _add("mail_addresses", None)(lambda c: mail.standing_addresses(ask.values(c, "ma
 @_add("stream_fold_equals_batch", "SELECT subject, attribute, value FROM vals")
 def _folded(claims: DataFrame) -> DataFrame:
     """The standing set out of a change table that segments were appended to one after the other, last first."""
-    import tempfile
-    import uuid
-
-    spark = claims.sparkSession
-    context = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="claimwright-fold-")
-    path = f"{shared}/fold-{uuid.uuid4()}"
-    fold = ChangeTable(spark, path, ["subject", "attribute", "claim"], which="any")
+    fold = ChangeTable(claims.sparkSession, work_folder(claims.sparkSession, "fold"), ["subject", "attribute", "claim"], which="any")
     half = claims.agg(F.floor(F.avg("seq"))).first()[0] or 0
-    for n, part in enumerate((claims.where(F.col("seq") > half), claims.where(F.col("seq") <= half))):
-        data, deletes = split_feed(part, None, {"value": F.col("value")})
-        fold.append(n, data.drop("seq"), deletes)
+    for part in (claims.where(F.col("seq") > half), claims.where(F.col("seq") <= half)):
+        fold.append_feed(feed_of(part, None, {"value": F.col("value")}))
     return fold.read().select("subject", "attribute", "value").distinct()

@@ -102,13 +102,23 @@ def test_changes_against_a_replay(spark, rows):
     data = spark.createDataFrame([(s, a, c, i) for i, (s, a, c, d) in enumerate(feed) if not d], "s string, a string, c string, seq long")
     gone = spark.createDataFrame([(s, a, c, i) for i, (s, a, c, d) in enumerate(feed) if d], "s string, a string, c string, seq long")
     want = {x[:3] for x in feed if not x[3]} - {x[:3] for x in feed if x[3]}
-    assert {tuple(x) for x in changes.apply_changes(data, gone, ["s", "a", "c"]).select("s", "a", "c").collect()} == want
+    assert {tuple(x) for x in changes.apply_changes(data, gone, ["s", "a", "c"], which="any").select("s", "a", "c").collect()} == want
     state = {}
     for s, a, c, d in feed:
         state.pop((s, a, c), None) if d else state.__setitem__((s, a, c), 1)
     assert {tuple(x) for x in changes.apply_changes(data, gone, ["s", "a", "c"], which="later").select("s", "a", "c").collect()} == set(state)
 
 
+def test_hot_claim_meets_its_delete_in_one_row_a_task(claims, rows):
+    df = claims(*[("a", "user:tag", '"x"', T(1), "hot")] * 400, ("a", "user:tag", ["HOT"] * 300, T(1), "r"), ("a", "user:tag", '"y"', T(1), "c"))
+    table = changes.standing_table(df)
+    assert rows(table.read().select("claim", "seq")) == [("c", 100)]
+    kinds = df.sparkSession.read.parquet(table.path).groupBy("op").count()
+    assert rows(kinds) == [("data", 401), ("deletes", 300)]
+    plan = table.read()._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "_seq" in plan and plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") <= 2
+
+
 # -- p3
 
 
@@ -188,6 +198,34 @@ def test_periods_against_brute_force(claims, rows):
     assert rows(history.found(claims(*made))) == sorted(want, key=repr)
 
 
+def lives_of(claims, *made):
+    return history.lifetimes(claims(*made), history.TRACKED)
+
+
+def test_satellites_take_only_what_differs(spark, claims, rows, tmp_path):
+    kept = history.History(spark, str(tmp_path / "h"))
+    first = [("a", "user:tag", '"x"', T(1), "c1"), ("a", "user:tag", ["c1"], T(3), "r1"), ("a", "mailbox:place", '"p"', T(2), "c2")]
+    stored = lambda b: sum(spark.read.parquet(f"{tmp_path}/h/{n}/batch={b}").count() for n in set(kept.split.values()))
+    kept.append(lives_of(claims, *first), 0)
+    assert stored(0) == 3
+    kept.append(lives_of(claims, *first), 1)
+    assert stored(1) == 0
+    late = ("a", "user:tag", '"x"', T(3), "c3")  # the end at T(3) is none any more
+    kept.append(lives_of(claims, *first, late), 2)
+    assert stored(2) == 1
+    assert rows(kept.periods()) == [("a", "mailbox:place", '"p"', T(2), None), ("a", "user:tag", '"x"', T(1), None)]
+    kept.append(lives_of(claims, *first, late, ("a", "user:tag", ["c3"], T(5), "r3")), 3)
+    kept.append(lives_of(claims, *first, late, ("a", "user:tag", ["c3"], T(5), "r3")), 3)
+    assert stored(3) == 1 and rows(kept.periods())[1] == ("a", "user:tag", '"x"', T(1), T(5))
+
+
+def test_satellites_are_split_by_measured_rate(spark, claims, tmp_path):
+    often = [x for k in range(9) for x in (("a", "user:tag", '"x"', f"2024-03-01T00:00:{2 * k:02}Z", f"c{k}"), ("a", "user:tag", [f"c{k}"], f"2024-03-01T00:00:{2 * k + 1:02}Z", f"r{k}"))]
+    kept = history.History(spark, str(tmp_path / "h"))
+    kept.append(lives_of(claims, *often, ("a", "mailbox:place", '"p"', T(2), "d")), 0)
+    assert kept.split == {"user:tag": "often", "mailbox:place": "seldom"} and kept.periods().count() == 10
+
+
 # -- p5
 
 
