@@ -1,18 +1,23 @@
 """Points near other points, without comparing all pairs (problem 6).
 
-Latitude is cut into strips of fixed height, each strip into blocks of longitude whose
-width follows the strip's own circle, so a cell covers about the same ground everywhere
-and a polar strip is one block. A point is *native* in its own cell and is lent to the
-neighbouring cells within whose reach it lies. A cell's points are sorted by latitude and
-swept: an active set, ordered by longitude, holds the points that are at most the
-distance south of the current one; the current point looks up its range of longitudes in
-it and the true distance is verified. Only native points look up, so each pair has one
-owner: the cell of its later point.
-
-Rows of one place are brought together before the sweep and expanded after it, so a
-location that a third of all rows share is swept once. A cell that still holds more than
-``crowd`` places is dealt out to several sweeps, each of which lets every place of the
-cell in but looks up only its own share.
+Latitude is cut into ranges that hold about ``CROWD`` places each, made of the thinnest
+strips that are as tall as the distance. A place is *native* to the range of its own
+strip and is lent to the range above where its reach crosses the border, so ranges
+overlap by the distance only. The places of a range are sorted by latitude and swept: an
+active set, ordered by longitude, holds the places that are at most the distance south of
+the current one; the current place looks up its reach of longitudes in it and the true
+distance is verified. Only native places look up, so each pair has one owner: the range
+of its later place.
+
+A strip that alone holds more than ``CROWD`` places is a range of its own and is parted
+along its longitudes, into runs of blocks as wide as the distance, again of about
+``CROWD`` places; places are then lent to the parts that their reach touches. So cells
+shrink down to the distance where places crowd, and no place is copied more often than
+it has neighbouring cells. (Within a square of that side most places are pairs anyway.)
+
+Ranges come from counts of all places per strip: at most ``STRIPS`` rows. Rows of one place
+are brought together before the sweep and expanded after it, a place of very many
+subjects dealt out to several tasks.
 
 The sweep streams: it keeps the active set in memory, never the cell.
 
@@ -29,16 +34,17 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from claimwright.functions.jsontext import decimal_member
+from claimwright.plans.skew import spread_join
 from claimwright.plans.tables import checkpointed
 
 EARTH_M = 6_371_008.8
 METRES = 150.0
-#: Height of a strip, and width of a block, in multiples of the distance.
-STRIP, BLOCK = 4, 16
-#: Places of a cell up to which one task sweeps it alone.
+#: Strips of the globe at most, for small distances.
+STRIPS = 200_000
+#: Places of a range, or of a part of a strip, that one sweep takes.
 CROWD = 20_000
 
 
@@ -55,40 +61,75 @@ def reach(lat: float, r: float) -> float:
     return 180.0 if abs(math.radians(lat)) + r >= math.pi / 2 or math.sin(r) >= c else math.degrees(math.asin(math.sin(r) / c)) * (1 + 1e-9) + 1e-9
 
 
-def _blocks(strip: Column, height: float, r: float) -> Column:
-    """The number of blocks of a strip: those of its shorter edge."""
-    edge = F.greatest(F.abs(strip * height), F.abs((strip + 1) * height))
-    return F.greatest(F.lit(1), F.floor(2 * math.pi * F.cos(F.radians(F.least(edge, F.lit(90.0)))) / (BLOCK * r)).cast("bigint"))
+class _Grid:
+    """Strips of latitude and blocks of longitude for a distance."""
 
+    def __init__(self, metres: float):
+        self.r = metres / EARTH_M
+        self.tall = math.degrees(self.r) * (1 + 1e-9) + 1e-9
+        self.height = max(self.tall, 180 / STRIPS)
 
-def cells(places: DataFrame, metres: float = METRES) -> DataFrame:
-    """*places* (lat, lon) once per cell that they belong to: strip, block, native."""
-    r = metres / EARTH_M
-    tall = math.degrees(r) * (1 + 1e-9) + 1e-9
-    height = STRIP * math.degrees(r)
-    strip = lambda lat: F.floor(lat / height).cast("bigint")
-    edge = F.abs(F.col("lat")) + tall
-    c = F.cos(F.radians(F.col("lat")))
-    wide = F.when((edge >= 90) | (c <= math.sin(r)), 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), math.sin(r) / c))) * (1 + 1e-9) + 1e-9)
-    df = places.withColumn("wide", wide).withColumn("strip", F.explode(F.sequence(strip(F.col("lat")), strip(F.col("lat") + tall))))
-    df = df.withColumn("n", _blocks(F.col("strip"), height, r))
-    block = lambda lon: F.floor((lon + 180) * F.col("n") / 360).cast("bigint")
-    spread = F.sequence(block(F.col("lon") - F.col("wide")), block(F.col("lon") + F.col("wide")))
-    around = F.array_distinct(F.transform(spread, lambda b: F.pmod(b, F.col("n"))))
-    all_blocks = F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)
-    df = df.withColumn("block", F.explode(F.when(F.col("wide") >= 180, all_blocks).otherwise(around)))
-    own = (F.col("strip") == strip(F.col("lat"))) & (F.col("block") == F.pmod(block(F.col("lon")), F.col("n")))
-    return df.withColumn("native", own).drop("wide", "n")
-
-
-def _shares(df: DataFrame, crowd: int) -> DataFrame:
-    """Cells of more than *crowd* places dealt out: native places keep their share, and are lent to the others."""
-    counts = df.groupBy("strip", "block").agg(F.count("*").alias("in_cell")).where(F.col("in_cell") > crowd)
-    crowded = counts.select("strip", "block", F.ceil(F.col("in_cell") / crowd).cast("int").alias("of"))
-    df = df.join(crowded, ["strip", "block"], "left").withColumn("of", F.coalesce("of", F.lit(1)))
-    df = df.withColumn("mine", F.pmod(F.xxhash64("lat", "lon"), F.col("of")).cast("int"))
-    df = df.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-    return df.withColumn("native", F.col("native") & (F.col("share") == F.col("mine"))).drop("of", "mine")
+    def strip(self, lat: Column) -> Column:
+        return F.floor(lat / self.height).cast("bigint")
+
+    def blocks(self, strip: Column) -> Column:
+        """The number of blocks of a strip, as wide as the distance on its shorter edge."""
+        edge = F.greatest(F.abs(strip * self.height), F.abs((strip + 1) * self.height))
+        return F.greatest(F.lit(1), F.floor(2 * math.pi * F.cos(F.radians(F.least(edge, F.lit(90.0)))) / math.radians(self.height)).cast("bigint"))
+
+    def block(self, lon: Column, n: Column) -> Column:
+        return F.floor((lon + 180) * n / 360).cast("bigint")
+
+    def reach(self, lat: Column) -> Column:
+        c = F.cos(F.radians(lat))
+        wide = F.degrees(F.asin(F.least(F.lit(1.0), math.sin(self.r) / c))) * (1 + 1e-9) + 1e-9
+        return F.when((F.abs(lat) + self.tall >= 90) | (c <= math.sin(self.r)), 180.0).otherwise(wide)
+
+    def around(self, lat: Column, lon: Column, n: Column) -> Column:
+        """The blocks that the reach of a place touches in a strip of *n* blocks."""
+        wide = self.reach(lat)
+        near = F.array_distinct(F.transform(F.sequence(self.block(lon - wide, n), self.block(lon + wide, n)), lambda b: F.pmod(b, n)))
+        return F.when(wide >= 180, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(near)
+
+
+def ranges(places: DataFrame, grid: _Grid, crowd: int) -> DataFrame:
+    """Per strip that has *places*: its range, whether it is crowded, and the same of the strip above it.
+
+    A range is named by its lowest strip. At most ``STRIPS`` rows, so one task numbers them.
+    """
+    w = Window.orderBy("strip")
+    rows = places.groupBy(grid.strip(F.col("lat")).alias("strip")).agg(F.count("*").alias("n")).withColumn("crowded", F.col("n") > crowd)
+    light = F.when(F.col("crowded"), 0).otherwise(F.col("n"))
+    rows = rows.withColumn("run", F.when(~F.col("crowded"), F.floor((F.sum(light).over(w) - light) / crowd)))
+    first = F.min("strip").over(Window.partitionBy("run"))
+    rows = rows.withColumn("range", F.when(F.col("crowded"), F.col("strip")).otherwise(first))
+    adjoins = F.lead("strip").over(w) == F.col("strip") + 1
+    above = lambda c: F.when(adjoins, F.lead(c).over(w)).alias(f"{c}_above")
+    return rows.select("strip", "range", "crowded", above("range"), above("crowded"))
+
+
+def cells(places: DataFrame, metres: float = METRES, crowd: int = CROWD) -> DataFrame:
+    """*places* (lat, lon), each once, with the cells they belong to: (range, part, lat, lon, native)."""
+    grid = _Grid(metres)
+    of_strip = checkpointed(ranges(places, grid, crowd))
+    rows = places.withColumn("strip", grid.strip(F.col("lat"))).join(of_strip, "strip")
+    own = F.struct(F.col("strip").alias("at"), "range", "crowded", F.lit(True).alias("native"))
+    lent = F.struct((F.col("strip") + 1).alias("at"), F.col("range_above").alias("range"), F.col("crowded_above").alias("crowded"), F.lit(False).alias("native"))
+    crosses = (F.col("range_above") != F.col("range")) & (grid.strip(F.col("lat") + grid.tall) > F.col("strip"))
+    rows = rows.select("lat", "lon", F.inline(F.when(crosses, F.array(own, lent)).otherwise(F.array(own))))
+    plain = rows.where(~F.col("crowded")).select("range", F.lit(0).cast("bigint").alias("part"), "lat", "lon", "native")
+    if of_strip.where("crowded").isEmpty():
+        return plain
+    n = grid.blocks(F.col("at"))
+    dense = rows.where("crowded").withColumn("n", n).withColumn("own", grid.block(F.col("lon"), F.col("n")) % F.col("n"))
+    counts = dense.where("native").groupBy("range", F.col("own").alias("block")).agg(F.count("*").alias("_n"))
+    part = F.floor((F.sum("_n").over(Window.partitionBy("range").orderBy("block")) - F.col("_n")) / crowd).alias("part")
+    parts = counts.select("range", "block", part)
+    # Of the blocks around, only the own one and those of another part: most places go to one part.
+    dense = dense.join(parts.select("range", F.col("block").alias("own"), F.col("part").alias("own_part")), ["range", "own"], "left")
+    dense = dense.withColumn("block", F.explode(grid.around(F.col("lat"), F.col("lon"), F.col("n")))).join(parts, ["range", "block"])
+    dense = dense.where((F.col("block") == F.col("own")) | ~F.col("part").eqNullSafe(F.col("own_part")))
+    return plain.unionByName(dense.select("range", "part", "lat", "lon", (F.col("native") & (F.col("block") == F.col("own"))).alias("native")))
 
 
 def _sweeper(metres: float):
@@ -96,12 +137,15 @@ def _sweeper(metres: float):
     tall = math.degrees(r) * (1 + 1e-9) + 1e-9
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cell, by_lat, by_lon = None, deque(), []
+        cell, last, by_lat, by_lon = None, None, deque(), []
         for batch in batches:
             out = []
-            for strip, block, share, lat, lon, native in zip(*(batch[c].tolist() for c in ("strip", "block", "share", "lat", "lon", "native"))):
-                if cell != (strip, block, share):
-                    cell, by_lat, by_lon = (strip, block, share), deque(), []
+            for range_, part, lat, lon, native in zip(*(batch[c].tolist() for c in ("range", "part", "lat", "lon", "native"))):
+                if cell != (range_, part):
+                    cell, last, by_lat, by_lon = (range_, part), None, deque(), []
+                if last == (lat, lon):  # lent to a part twice; the native row comes first
+                    continue
+                last = lat, lon
                 while by_lat and by_lat[0][0] < lat - tall:
                     old = by_lat.popleft()
                     del by_lon[bisect_left(by_lon, (old[1], old[0]))]
@@ -123,8 +167,8 @@ def _sweeper(metres: float):
 
 def near_places(places: DataFrame, metres: float = METRES, crowd: int = CROWD) -> DataFrame:
     """Pairs (lat_a, lon_a, lat_b, lon_b) of different places of *places* (lat, lon) at most *metres* apart, each once."""
-    dealt = _shares(cells(places.select("lat", "lon").distinct(), metres), crowd)
-    ordered = dealt.select("strip", "block", "share", "lat", "lon", "native").repartition("strip", "block", "share").sortWithinPartitions("strip", "block", "share", "lat", "lon")
+    celled = cells(checkpointed(places.select("lat", "lon").distinct()), metres, crowd)
+    ordered = celled.repartitionByRange("range", "part").sortWithinPartitions("range", "part", "lat", "lon", F.desc("native"))
     return ordered.mapInPandas(_sweeper(metres), "lat_a double, lon_a double, lat_b double, lon_b double")
 
 
@@ -135,11 +179,11 @@ def near_pairs(points: DataFrame, metres: float = METRES, crowd: int = CROWD) ->
     """
     points = checkpointed(points.where(F.col("id").isNotNull()).select("id", "lat", "lon").distinct())
     side = lambda s: points.select(F.col("id").alias(f"id{s}"), F.col("lat").alias(f"lat{s}"), F.col("lon").alias(f"lon{s}"))
-    near = near_places(points, metres, crowd).join(side("_a"), ["lat_a", "lon_a"]).join(side("_b"), ["lat_b", "lon_b"])
+    near = spread_join(side("_a"), near_places(points, metres, crowd), ["lat_a", "lon_a"])
+    near = spread_join(side("_b"), near, ["lat_b", "lon_b"])
     near = near.where(F.col("id_a") != F.col("id_b")).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
-    a, b = side("_a"), side("_b")
-    here = a.join(b, (F.col("lat_a") == F.col("lat_b")) & (F.col("lon_a") == F.col("lon_b")) & (F.col("id_a") < F.col("id_b"))).select("id_a", "id_b")
-    return near.unionByName(here).distinct()
+    here = spread_join(points.withColumnRenamed("id", "id_a"), points.withColumnRenamed("id", "id_b"), ["lat", "lon"])
+    return near.unionByName(here.where(F.col("id_a") < F.col("id_b")).select("id_a", "id_b")).distinct()
 
 
 def locations(claims: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from claimwright.functions import jsontext
@@ -34,6 +35,10 @@ from claimwright.operators.instants import instant_of
 from claimwright.plans.tables import checkpointed, shuffle_partitions
 
 
+#: Cells of an ordinal range, which one task assembles in memory.
+CELLS = 400_000
+
+
 @dataclass(frozen=True)
 class Spec:
     """A column of the wide table: its attribute, its reader (JSON text to a cell or null), type and default."""
@@ -92,12 +97,11 @@ def stitch(cells: DataFrame, specs: list[Spec], entity: str, ranges: int) -> Dat
         size = int(place.max()) + 1 if len(place) else 0
         starts = np.full(size, -1)
         starts[place] = np.arange(len(place))
-        attribute = np.asarray(table["attribute"].to_pylist(), dtype=object)
         columns = {"ordinal": table["ordinal"].take(pa.array(starts)), entity: table["entity"].take(pa.array(starts))}
         for s in specs:
             source = table["number" if s.sql_type == "bigint" else "text"]
             at = np.full(size, -1)
-            mine = np.flatnonzero(attribute == s.attribute)
+            mine = np.flatnonzero(pc.equal(table["attribute"], s.attribute).to_numpy())
             at[place[mine]] = mine
             column = source.take(pa.array(at, mask=at < 0)).fill_null(s.default)
             columns[s.name] = column.cast(types[s.sql_type])
@@ -112,10 +116,11 @@ def widen(cells: DataFrame, specs: list[Spec], order: list[str], entity: str = "
 
     The winning cells are written to the checkpoint folder once; ordinals and columns are made from there.
 
-    *ranges* is the number of ordinal ranges, by default four a shuffle partition, so a
-    range holds a fraction of a partition whatever the size of the data.
+    *ranges* is the number of ordinal ranges, by default as many as keep a range at about
+    ``CELLS`` cells, and no fewer than shuffle partitions; so a range's size does not grow with the data.
     """
-    return stitch(checkpointed(winners(cells, specs, order)), specs, entity, ranges or 4 * shuffle_partitions(cells.sparkSession))
+    won = checkpointed(winners(cells, specs, order))
+    return stitch(won, specs, entity, ranges or max(shuffle_partitions(cells.sparkSession), -(-won.count() // CELLS)))
 
 
 def raster(claims: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimwright.operators import changes, history, instants, nearby, orphans, wide
+from claimwright.plans import skew
 
 T = "2024-03-0{}T00:00:00Z".format
 
@@ -289,6 +290,20 @@ def _far(a, b):
     return nearby.angle(a[1], a[2], b[1], b[2]) * nearby.EARTH_M
 
 
+def test_a_strip_of_200000_places_is_parted(spark):
+    step = 0.0018  # about 129 m at 50 degrees north
+    line = spark.range(200_000).select(F.lit(50.0).alias("lat"), (F.col("id") * step - 180.0).alias("lon"))
+    parts = nearby.cells(line).groupBy("range", "part").agg(F.count("*").alias("n"), F.sum(F.col("native").cast("int")).alias("own")).collect()
+    assert len(parts) == 10 and sum(p.own for p in parts) == 200_000 and max(p.n for p in parts) < 21_000
+    assert nearby.near_places(line).count() == 200_000  # each with the next, and the last with the first
+
+
+def test_a_place_of_many_subjects_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(skew.spread_join, "__defaults__", (50,))
+    df = spark.range(300).select(F.concat(F.lit("s"), F.col("id")).alias("id"), F.lit(1.0).alias("lat"), F.when(F.col("id") < 290, 1.0).otherwise(1.0005).alias("lon"))
+    assert nearby.near_pairs(df).count() == 300 * 299 // 2
+
+
 @pytest.mark.parametrize("crowd", [nearby.CROWD, 7])
 def test_near_pairs_against_all_pairs(spark, crowd):
     r = random.Random(9)
