@@ -1,24 +1,55 @@
 """The lineage graph: edges from an origin to what was taken from it, and closures over them.
 
 Closures run in rounds: each round joins only the newly reached nodes with the edges,
-drops those known, and ends when none is new. Each round is cut by a checkpoint in the
-shared folder, so a lost executor costs one round. Cycles end because known nodes do not
-come again. Nothing is collected; the driver sees one count a round.
+drops those known, and ends when none is new. What a round finds is written once, to the
+shared folder, and never again but to merge many small fronts into one (``_Known``), so a
+lost executor costs one round and all writing together is the result a few times over.
+Joins deal out origins of very many files. Cycles end because known nodes do not come
+again. Nothing is collected; the driver sees one flag a round.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from claimwright.plans.ranks import ranked
 from claimwright.plans.record import is_digest, live
+from claimwright.plans.skew import hot_keys, spread_join, union_all
 from claimwright.plans.tables import checkpointed
 
 ROOTS = ("file:path", "mailbox:place")
+ORIGIN = "prov:origin"
+#: Fronts that are merged into one when there are more.
+FRONTS = 8
+
+
+class _Known:
+    """What the rounds have found so far, as written fronts."""
+
+    def __init__(self, first: DataFrame):
+        self.fronts, self.columns = [checkpointed(first)], first.columns
+
+    @property
+    def last(self) -> DataFrame:
+        return self.fronts[-1]
+
+    def all(self) -> DataFrame:
+        return union_all(self.fronts)
+
+    def add(self, found: DataFrame, by: list[str]) -> bool:
+        """Writes the rows of *found* whose *by* is not known as the next front; whether there are any."""
+        new = checkpointed(found.join(self.all().select(*by), by, "left_anti").select(*self.columns))
+        if new.isEmpty():
+            return False
+        if len(self.fronts) >= FRONTS:
+            self.fronts = [checkpointed(self.all())]
+        self.fronts.append(new)
+        return True
 
 
 def edges(claims: DataFrame) -> DataFrame:
     """Distinct (origin, subject) of the standing ``prov:origin`` values that are digests."""
-    return edges_of(live(claims, ["prov:origin"], ("value",)))
+    return edges_of(live(claims, [ORIGIN], ("value",)))
 
 
 def edges_of(rows: DataFrame) -> DataFrame:
@@ -26,24 +57,23 @@ def edges_of(rows: DataFrame) -> DataFrame:
     return rows.select(origin.alias("origin"), "subject").where(is_digest(F.col("origin"))).distinct()
 
 
+def _own_place():
+    """Whether a standing claim gives its subject a place of its own: a place in an archive, led by ``@``, does not."""
+    return (F.col("attribute") == "mailbox:place") | ((F.col("attribute") == "file:path") & ~F.col("value").startswith('"@'))
+
+
 def roots(claims: DataFrame) -> DataFrame:
     """Subjects with a standing path of their own, or a place in a mailbox."""
-    rows = live(claims, list(ROOTS), ("value",))
-    own = (F.col("attribute") == "mailbox:place") | (F.col("value").startswith('"') & ~F.col("value").startswith('"@'))
-    return rows.where(own).select("subject").distinct()
+    return live(claims, list(ROOTS), ("value",)).where(_own_place()).select("subject").distinct()
 
 
-def closure(start: DataFrame, steps: DataFrame, rounds: int = 10_000) -> DataFrame:
+def closure(start: DataFrame, steps: DataFrame) -> DataFrame:
     """The nodes reachable from *start* (node) over *steps* (node, next), *start* included."""
-    known = checkpointed(start.select("node").distinct())
-    front, steps = known, checkpointed(steps.select("node", "next").distinct())
-    for _ in range(rounds):
-        reached = front.join(steps, "node").select(F.col("next").alias("node")).distinct()
-        front = checkpointed(reached.join(known, "node", "left_anti"))
-        if front.isEmpty():
-            return known
-        known = checkpointed(known.unionByName(front))
-    raise RuntimeError(f"no end after {rounds} rounds")
+    known, steps = _Known(start.select("node").distinct()), checkpointed(steps.select("node", "next").distinct())
+    hot = checkpointed(hot_keys(steps, ["node"]))
+    while known.add(spread_join(steps, known.last, ["node"], hot).select(F.col("next").alias("node")).distinct(), ["node"]):
+        pass
+    return known.all()
 
 
 def placed(claims: DataFrame) -> DataFrame:
@@ -53,20 +83,27 @@ def placed(claims: DataFrame) -> DataFrame:
 
 
 def placed_hits(claims: DataFrame, hits: DataFrame) -> DataFrame:
-    """Those of *hits* (subject) that are placed, climbing from the hits only."""
-    ground = checkpointed(roots(claims))
-    up = checkpointed(edges(claims))
-    good = checkpointed(hits.join(ground, "subject", "left_semi").select("subject"))
-    front = checkpointed(hits.join(ground, "subject", "left_anti").select(F.col("subject").alias("start"), F.col("subject").alias("node")))
-    seen = front
-    while not front.isEmpty():
-        above = front.join(up, F.col("node") == F.col("subject")).select("start", F.col("origin").alias("node")).distinct()
-        above = checkpointed(above.join(seen, ["start", "node"], "left_anti"))
-        arrived = above.join(ground.withColumnRenamed("subject", "node"), "node", "left_semi").select(F.col("start").alias("subject"))
-        good = checkpointed(good.unionByName(arrived).distinct())
-        front = checkpointed(above.join(good.withColumnRenamed("subject", "start"), "start", "left_anti"))
-        seen = checkpointed(seen.unionByName(front))
-    return good
+    """Those of *hits* (subject) that are placed, climbing from the hits only.
+
+    Each round reads the places and origins of the nodes it stands at: claims of other
+    subjects are dropped before the standing set is built, so nothing is shuffled for them. A
+    hit stops climbing where one of its origins has a place.
+    """
+    start = hits.select(F.col("subject").alias("start"), F.col("subject").alias("node")).distinct()
+    known, arrived = _Known(start), []
+    lineage_of = claims.where(F.col("attribute").isin(*ROOTS, ORIGIN)).withColumn("subject", F.lower("subject"))
+    while True:
+        nodes = known.last.select(F.col("node").alias("subject")).distinct()
+        facts = live(lineage_of.join(nodes, "subject", "left_semi"), None, ("value",))
+        origin = F.regexp_extract("value", r'^"([0-9a-f]+)"\z', 1)
+        facts = facts.select(F.col("subject").alias("node"), _own_place().alias("placed"), F.when((F.col("attribute") == ORIGIN) & is_digest(origin), origin).alias("origin"))
+        facts = facts.where(F.col("placed") | F.col("origin").isNotNull()).distinct()
+        step = checkpointed(spread_join(known.last, facts, ["node"]))
+        here = step.where("placed").select(F.col("start").alias("subject")).distinct()
+        arrived.append(here)
+        above = step.where(F.col("origin").isNotNull()).select("start", F.col("origin").alias("node")).distinct()
+        if not known.add(above.join(here.withColumnRenamed("subject", "start"), "start", "left_anti"), ["start", "node"]):
+            return union_all(arrived).distinct()
 
 
 def trees(links: DataFrame, starts: DataFrame) -> DataFrame:
@@ -74,41 +111,46 @@ def trees(links: DataFrame, starts: DataFrame) -> DataFrame:
 
     A node that a round reaches from several parents takes the least of them.
     """
-    rows = checkpointed(starts.select(F.col("subject").alias("root"), F.col("subject").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth")).distinct())
-    front, depth, links = rows, 0, checkpointed(links)
-    while not front.isEmpty():
+    first = starts.select(F.col("subject").alias("root"), F.col("subject").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth")).distinct()
+    known, depth, links = _Known(first), 0, checkpointed(links.select("origin", "subject"))
+    hot = checkpointed(hot_keys(links, ["origin"]))
+    while True:
         depth += 1
-        below = front.select("root", F.col("node").alias("origin")).join(links, "origin")
+        below = spread_join(links, known.last.select("root", F.col("node").alias("origin")), ["origin"], hot)
         below = below.groupBy("root", F.col("subject").alias("node")).agg(F.min("origin").alias("parent")).withColumn("depth", F.lit(depth))
-        front = checkpointed(below.join(rows.select("root", "node"), ["root", "node"], "left_anti"))
-        rows = checkpointed(rows.unionByName(front))
-    return rows
+        if not known.add(below, ["root", "node"]):
+            return known.all()
+
+
+def flat(tree: DataFrame) -> DataFrame:
+    """The rows of *tree* with ``place``, the 1-based place of each node in its tree: origins before what was taken from them."""
+    return ranked(tree, ["root"], ["depth", "node"], "place")
 
 
 def descents(links: DataFrame, hits: DataFrame) -> DataFrame:
     """Rows (subject, path): each simple path from an origin that has none down to a hit."""
-    links = checkpointed(links)
-    has_origin = links.select("subject").distinct()
-    front = checkpointed(hits.select("subject", F.array("subject").alias("path")))
-    done = None
+    links = checkpointed(links.select(F.col("subject").alias("top"), "origin"))
+    has_origin, hot = links.select("top").distinct(), checkpointed(hot_keys(links, ["top"]))
+    front, done = checkpointed(hits.select("subject", F.array("subject").alias("path"))), []
     while not front.isEmpty():
-        top = F.col("path")[0]
-        at_top = front.withColumn("top", top)
-        ended = at_top.join(has_origin.withColumnRenamed("subject", "top"), "top", "left_anti").select("subject", "path")
-        done = ended if done is None else done.unionByName(ended)
-        up = at_top.join(links.select(F.col("subject").alias("top"), "origin"), "top").where(~F.array_contains("path", F.col("origin")))
+        at_top = front.withColumn("top", F.col("path")[0])
+        done.append(at_top.join(has_origin, "top", "left_anti").select("subject", "path"))
+        up = spread_join(links, at_top, ["top"], hot).where(~F.array_contains("path", F.col("origin")))
         front = checkpointed(up.select("subject", F.concat(F.array("origin"), F.col("path")).alias("path")))
-    return done if done is not None else hits.select("subject", F.array("subject").alias("path")).limit(0)
+    return union_all(done) if done else hits.select("subject", F.array("subject").alias("path")).limit(0)
 
 
 def only_from(links: DataFrame, removed: DataFrame, kept: DataFrame) -> DataFrame:
     """*removed* (subject) and the files all of whose origins are in the set and that *kept* (subject) lacks."""
-    links = checkpointed(links)
-    known = checkpointed(removed.select("subject").distinct())
+    links = checkpointed(links.select("origin", "subject"))
+    left = checkpointed(links.groupBy("subject").agg(F.count("*").alias("origins")))  # a row a file
+    hot = checkpointed(hot_keys(links, ["origin"]))
+    known, gone = _Known(removed.select("subject").distinct()), []
     while True:
-        marked = links.join(known.select(F.col("subject").alias("origin"), F.lit(True).alias("gone")), "origin", "left")
-        full = marked.groupBy("subject").agg(F.bool_and(F.coalesce("gone", F.lit(False))).alias("full")).where("full").select("subject")
-        more = checkpointed(full.join(known, "subject", "left_anti").join(kept.select("subject"), "subject", "left_anti"))
-        if more.isEmpty():
-            return known
-        known = checkpointed(known.unionByName(more))
+        # Origins that fell in this round, counted per file; a file falls when all its origins have.
+        gone.append(checkpointed(spread_join(links, known.last.select(F.col("subject").alias("origin")), ["origin"], hot).groupBy("subject").agg(F.count("*").alias("n"))))
+        if len(gone) > FRONTS:
+            gone = [checkpointed(union_all(gone).groupBy("subject").agg(F.sum("n").alias("n")))]
+        fallen = union_all(gone).groupBy("subject").agg(F.sum("n").alias("n")).join(left, "subject").where(F.col("n") >= F.col("origins"))
+        if not known.add(fallen.join(kept.select("subject"), "subject", "left_anti").select("subject"), ["subject"]):
+            return known.all()

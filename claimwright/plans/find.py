@@ -3,7 +3,8 @@
 Instead of one INTERSECT an arm, the claims are scanned once, kept if any arm or any
 missing name concerns them, and grouped by subject once with a flag for each; a subject
 is found if all flags of arms are set and none of what is missing. Flags combine before
-the shuffle, so a subject of very many claims stays one row a task.
+the shuffle, so a subject of very many claims stays one row a task. In the scope
+``present`` the climb to a place starts from what was found, never from the whole archive.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from claimwright.operators.lineage import placed
+from claimwright.operators.lineage import placed_hits
 from claimwright.plans.record import live, record
 from claimwright.plans.terms import Term, field_matches, part_of, text_matches, value_matches
 
@@ -71,4 +72,4 @@ def find(claims: DataFrame, terms: list[str | Term], missing: tuple[str, ...] =
     )
     keep = [F.col(f"a{i}") for i in range(len(arms))] + [~F.col(f"m{i}") for i in range(len(gone))]
     found = flags.where(reduce(lambda a, b: a & b, keep)).select("subject")
-    return found.join(placed(claims), "subject", "left_semi") if scope == "present" else found
+    return placed_hits(claims, found) if scope == "present" else found

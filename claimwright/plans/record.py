@@ -15,14 +15,14 @@ HEAD = 9223372036854775807
 
 
 def record(claims: DataFrame) -> DataFrame:
-    """One row per claim id, that of its first place (seq, position); digests and ids in lower case."""
+    """One row per claim id, that of its last place (seq, position); digests and ids in lower case."""
     rows = claims.select(
         F.lower("subject").alias("subject"), "attribute", "value", "time", "source", "run",
         F.transform("retracts", F.lower).alias("retracts"), F.lower("cid").alias("cid"), "seq", "position",
     )
     rest = [c for c in FIELDS if c not in ("cid", "seq", "position")]
-    first = F.min(F.struct("seq", "position", *rest)).alias("f")
-    return rows.where(F.col("cid").isNotNull()).groupBy("cid").agg(first).select(*[F.col("cid") if c == "cid" else F.col(f"f.{c}").alias(c) for c in FIELDS])
+    last = F.max(F.struct("seq", "position", *rest)).alias("f")
+    return rows.where(F.col("cid").isNotNull()).groupBy("cid").agg(last).select(*[F.col("cid") if c == "cid" else F.col(f"f.{c}").alias(c) for c in FIELDS])
 
 
 def live(claims: DataFrame, attributes: list[str] | None = None, fields: tuple[str, ...] = ("value", "time", "source", "run")) -> DataFrame:

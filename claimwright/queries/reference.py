@@ -26,14 +26,14 @@ DIGEST = "^([0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})$"
 #: Views that the SQL of the queries shares: one row per claim, the standing claims, the lineage.
 PRELUDE = f"""WITH RECURSIVE rec AS (
   SELECT lower(subject) AS subject, attribute, value, time, source, run, list_transform(retracts, lambda x: lower(x)) AS retracts, lower(cid) AS cid, seq, position
-  FROM claims QUALIFY row_number() OVER (PARTITION BY lower(cid) ORDER BY seq, position) = 1),
+  FROM claims QUALIFY row_number() OVER (PARTITION BY lower(cid) ORDER BY seq DESC, position DESC) = 1),
 targets AS (SELECT DISTINCT unnest(retracts) AS target, subject, attribute FROM rec WHERE retracts IS NOT NULL),
 live AS (SELECT * FROM rec c WHERE retracts IS NULL AND NOT EXISTS (
   SELECT 1 FROM targets t WHERE t.target = c.cid AND t.subject = c.subject AND t.attribute = c.attribute)),
 vals AS (SELECT DISTINCT subject, attribute, value FROM live),
 links AS (SELECT DISTINCT regexp_extract(value, '^"([0-9a-f]+)"$', 1) AS origin, subject FROM live
   WHERE attribute = 'prov:origin' AND regexp_matches(regexp_extract(value, '^"([0-9a-f]+)"$', 1), '{DIGEST}')),
-roots AS (SELECT DISTINCT subject FROM live WHERE attribute = 'mailbox:place' OR (attribute = 'file:path' AND value LIKE '"%' AND value NOT LIKE '"@%')),
+roots AS (SELECT DISTINCT subject FROM live WHERE attribute = 'mailbox:place' OR (attribute = 'file:path' AND value NOT LIKE '"@%')),
 placed(subject) AS (SELECT subject FROM roots UNION SELECT l.subject FROM placed p JOIN links l ON l.origin = p.subject),
 held AS (SELECT DISTINCT lower(digest) AS digest FROM blobs WHERE removed IS NULL),
 refs AS (SELECT DISTINCT lower(subject) AS digest FROM claims),

@@ -299,7 +299,7 @@ def test_a_strip_of_200000_places_is_parted(spark):
 
 
 def test_a_place_of_many_subjects_is_dealt_out(spark, monkeypatch):
-    monkeypatch.setattr(skew.spread_join, "__defaults__", (50,))
+    monkeypatch.setattr(skew, "MOST", 50)
     df = spark.range(300).select(F.concat(F.lit("s"), F.col("id")).alias("id"), F.lit(1.0).alias("lat"), F.when(F.col("id") < 290, 1.0).otherwise(1.0005).alias("lon"))
     assert nearby.near_pairs(df).count() == 300 * 299 // 2
 
