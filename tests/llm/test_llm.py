@@ -134,7 +134,7 @@ def test_repeated_words_give_no_product_of_seeds(spark):
 
 
 def test_hot_windows_are_dealt_out(spark, monkeypatch):
-    monkeypatch.setattr(skew.spread_join, "__defaults__", (5,))
+    monkeypatch.setattr(skew, "MOST", 5)
     line = " ".join(f"task{k}" for k in range(13))
     docs = spark.createDataFrame([(i, f"own{i} {line} end{i}") for i in range(40)], "doc_id long, text string")
     items = spark.createDataFrame([(i, f"{line} item{i}") for i in range(30)], "item_id long, text string")
