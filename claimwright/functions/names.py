@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+UNITS = ("KiB", "MiB", "GiB", "TiB", "PiB")
+
 
 def basename(name: Column) -> Column:
     """What stands behind the last ``/`` or ``\\``, trimmed; null for nothing, ``.`` and ``..``."""
@@ -25,12 +27,22 @@ def legal(name: Column) -> Column:
 
 
 def byte_count(size: Column) -> Column:
-    """A size for people: bytes below 1024, else one decimal of the binary unit."""
+    """A size for people: bytes below 1024, else in the binary unit that leaves less than 1024, one decimal below ten."""
     size = size.cast("double")
     out = F.when(size < 1024, F.concat(size.cast("bigint").cast("string"), F.lit(" B")))
-    for power, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        scaled = F.format_string("%.1f " + unit, F.bround(size / float(1024**power), 1))
-        out = out.when(size < float(1024 ** (power + 1)), scaled) if unit != "TiB" else out.otherwise(scaled)
+    for power, unit in enumerate(UNITS, 1):
+        scaled = size / float(1024**power)
+        shown = F.when(scaled < 10, F.format_string("%.1f " + unit, F.bround(scaled, 1))).otherwise(F.format_string("%.0f " + unit, F.bround(scaled, 0)))
+        out = out.when(scaled < 1024, shown) if unit != UNITS[-1] else out.otherwise(shown)
+    return out
+
+
+def whole_byte_count(size: Column) -> Column:
+    """A bound as it is said: in the greatest unit of up to a TiB that divides it."""
+    out = F.concat(size.cast("string"), F.lit(" bytes"))
+    for power, unit in enumerate(UNITS[:4], 1):
+        step = F.lit(1024**power).cast("bigint")
+        out = F.when((size > 0) & (size % step == 0), F.concat((size / step).cast("bigint").cast("string"), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 
@@ -62,9 +74,16 @@ def message_ids(header: Column) -> Column:
 
 
 def epoch(time: Column) -> Column:
-    """Whole seconds since 1970 of a strict UTC time, clamped to 32 bits without sign."""
-    seconds = F.unix_seconds(F.try_to_timestamp(time, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")))
-    return F.least(F.greatest(seconds, F.lit(0)), F.lit(4294967295))
+    """Whole seconds since 1970 that a recorded time spells; null for no time, and where 32 bits without sign cannot hold them.
+
+    Read with leniency: fractions are dropped, ``Z`` may be missing, and a day beyond the month's end runs on.
+    """
+    shape = r"^\+?([0-9]{1,9})-\+?([0-9]{1,9})-\+?([0-9]{1,9})T\+?([0-9]{1,9}):\+?([0-9]{1,9}):\+?([0-9]{1,9})(?:\..*)?Z?\z"
+    year, month, day, hour, minute, second = (F.regexp_extract(time, "(?s)" + shape, i).try_cast("bigint") for i in range(1, 7))
+    good = month.between(1, 12) & day.between(1, 31) & (hour <= 23) & (minute <= 59) & (year <= 9999)
+    first = F.when(good, F.make_date(year.cast("int"), month.cast("int"), F.lit(1)))
+    seconds = (F.unix_date(first).cast("bigint") + day - 1) * 86_400 + hour * 3_600 + minute * 60 + second
+    return F.when(seconds.between(0, 4294967295), seconds)
 
 
 def modified_text(seconds: Column, nanos: Column) -> Column:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
+from claimwright.functions.grammar import json_quote
 from claimwright.plans.ranks import ranked
 from claimwright.plans.record import live, live_values, record
-from claimwright.plans.terms import part_of, quote
+from claimwright.plans.terms import CLAIM_FIELDS, part_of, quote
 
 PATHS = ("file:path", "mailbox:place", "file:name")
-CHUNK = 10_000
 
 
 def values(claims: DataFrame, attribute: str) -> DataFrame:
@@ -39,18 +41,36 @@ def about(claims: DataFrame, subject: str) -> DataFrame:
 
 
 def gather(claims: DataFrame, hits: DataFrame, names: list[str]) -> DataFrame:
-    """Per hit and projected attribute, its standing values each once, in order: (subject, attribute, chunk, values).
+    """Per hit, the projected *names* in question order: rows (subject, asked, name, place, value).
 
-    A chunk holds ``CHUNK`` values at most, so a file of very many values never stands in one row.
+    A name is an attribute, ``ns:`` for a namespace, a part of an attribute (``ns:name.step``) or a
+    claim field. ``asked`` is the name's place in the question, ``place`` the 1-based place of a
+    value among the distinct ones of its name, in order. Names without values are left out,
+    and an attribute that is asked for itself is not repeated by its namespace. One row a value,
+    so no list grows with the data.
     """
-    rows = live_values(claims, names).join(hits, "subject", "left_semi")
-    return chunked(rows, ["subject", "attribute"], "value")
-
-
-def chunked(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Distinct values per key as sorted lists of up to ``CHUNK``: (keys, chunk, values)."""
-    placed = ranked(rows, keys, [value]).withColumn("chunk", F.floor((F.col("rank") - 1) / CHUNK))
-    return placed.groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list(value)).alias("values"))
+    plain = [n for n in names if not n.endswith(":") and "." not in n and n not in CLAIM_FIELDS]
+    spaces = [n for n in names if n.endswith(":")]
+    fields, parted = [n for n in names if n in CLAIM_FIELDS], [n for n in names if "." in n]
+    wanted = [F.col("attribute").isin(sorted({*plain, *(n.split(".", 1)[0] for n in parted)})), *[F.col("attribute").startswith(n) for n in spaces]]
+    # Fields are those of all standing claims of a hit; otherwise only the named attributes are read.
+    bearing = claims if fields else claims.where(reduce(lambda a, b: a | b, wanted))
+    rows = live(bearing, None, ("value", *[f for f in fields if f not in ("subject", "attribute", "retract")])).join(hits.select("subject").distinct(), "subject", "left_semi")
+    shown = []
+    for at, n in enumerate(names):
+        if n in fields:
+            shown.append((F.lit(at), F.lit(n), json_quote(F.col(n)) if n != "retract" else F.lit(None).cast("string")))
+        elif n in spaces:
+            own = F.col("attribute").startswith(n) & ~F.col("attribute").isin(plain)
+            shown.append((F.lit(at), F.when(own, F.col("attribute")), F.col("value")))
+        elif n in parted:
+            attribute, part = n.split(".", 1)
+            shown.append((F.lit(at), F.when(F.col("attribute") == attribute, F.lit(n)), part_of(F.col("value"), part)))
+        else:
+            shown.append((F.lit(at), F.when(F.col("attribute") == n, F.lit(n)), F.col("value")))
+    made = F.array(*[F.struct(a.alias("asked"), n.alias("name"), v.alias("value")) for a, n, v in shown])
+    rows = rows.select("subject", F.inline(made)).where(F.col("name").isNotNull() & F.col("value").isNotNull()).distinct()
+    return ranked(rows, ["subject", "asked", "name"], ["value"], "place").select("subject", "asked", "name", "place", "value")
 
 
 def subjects(claims: DataFrame, scope: str = "held") -> DataFrame:
@@ -68,8 +88,10 @@ def attribute_counts(claims: DataFrame) -> DataFrame:
     return attributes(claims).join(counts, "attribute", "left").select("attribute", F.coalesce("files", F.lit(0)).alias("files"))
 
 
-def standing_ids(claims: DataFrame, attribute: str) -> DataFrame:
-    return live(claims, [attribute], ()).select("subject", "cid")
+def standing_ids(claims: DataFrame, attribute: str, value: str | None = None) -> DataFrame:
+    """Rows (subject, cid) of the standing claims of *attribute*, or of those that give this *value* (JSON text)."""
+    rows = live(claims, [attribute], () if value is None else ("value",))
+    return (rows if value is None else rows.where(F.col("value") == value)).select("subject", "cid")
 
 
 def history(claims: DataFrame) -> DataFrame:
@@ -178,16 +200,59 @@ def counters(claims: DataFrame) -> DataFrame:
 
 
 def pairs(claims: DataFrame, attributes: list[str]) -> DataFrame:
-    """Standing pairs spelt ``attribute=value`` as the term language reads them; bare where that is unambiguous."""
+    """Standing pairs spelt as the term language reads them: strings bare where that is unambiguous, else in quotes; all else as JSON."""
     rows = live_values(claims, attributes)
     text = F.get_json_object("value", "$")
-    plain = F.col("value").rlike(r'^"[A-Za-z/_][^"\\*?\[]*"\z') & ~text.contains("..") & ~text.isin("true", "false", "null") & ~text.rlike(r"\s")
-    return rows.select("subject", F.concat("attribute", F.lit("="), F.when(plain, text).otherwise(F.col("value"))).alias("pair"))
+    plain = (text != "") & ~text.contains("..") & ~text.rlike(r'(?U)[\s*?"]')
+    shown = F.when(~F.col("value").startswith('"'), F.col("value")).when(plain, text).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
+    return rows.select("subject", F.concat("attribute", F.lit("="), shown).alias("pair"))
+
+
+def objects(claims: DataFrame, hits: DataFrame, names: list[str]) -> DataFrame:
+    """The JSON object of each hit, name to sorted list of values, as rows (subject, place, text).
+
+    The texts of a subject, in order of place, are the object: its head, then a text a
+    value. So an object of very many values never stands in one row.
+    """
+    rows = gather(claims, hits, names)
+    head = hits.select("subject").distinct().select("subject", F.lit(-1).alias("asked"), F.lit("").alias("name"), F.lit(0).cast("bigint").alias("at"), F.concat(F.lit('{"subject":"'), "subject", F.lit('"')).alias("text"))
+    value = F.concat(F.when(F.col("place") == 1, F.concat(F.lit(',"'), "name", F.lit('":['))).otherwise(","), "value")
+    parts = head.unionByName(rows.select("subject", "asked", "name", F.col("place").cast("bigint").alias("at"), value.alias("text")))
+    ends = parts.groupBy("subject", "asked", "name").agg(F.max("at").alias("last"))
+    last = ends.groupBy("subject").agg(F.max(F.struct("asked", "name")).alias("end"))
+    placed = ranked(parts, ["subject"], ["asked", "name", "at"], "place").join(ends, ["subject", "asked", "name"]).join(last, "subject")
+    is_last = F.col("at") == F.col("last")
+    list_ends = F.when(is_last & (F.col("asked") >= 0), "]").otherwise("")
+    all_ends = F.when(is_last & (F.struct("asked", "name") == F.col("end")), "}").otherwise("")
+    return placed.select("subject", "place", F.concat("text", list_ends, all_ends).alias("text"))
+
+
+def in_run_order(claims: DataFrame) -> DataFrame:
+    """``history`` with ``place``, the 1-based place of each run by its first claim."""
+    first = run_order(claims).select("run", "seq", "time", "position", F.lit(1).alias("one"))
+    return history(claims).join(ranked(first, ["one"], ["seq", "time", "position", "run"], "place").select("run", "place"), "run")
+
+
+def resolved(claims: DataFrame, given: str) -> DataFrame:
+    """The answer to a digest or a prefix of one: a row (answer, subject), ``found``, ``ambiguous`` or ``unknown``.
+
+    A whole digest is taken as it is. An ambiguous prefix names its least subject.
+    """
+    hits = resolve(claims, given).agg(F.min("subject").alias("low"), F.max("subject").alias("high"))
+    whole = len(given) in (64, 96, 128)
+    answer = F.when(F.col("low").isNull(), "unknown").when(F.col("low") == F.col("high"), "found").otherwise("ambiguous")
+    return hits.select(F.lit("found").alias("answer"), F.lit(given.lower()).alias("subject")) if whole else hits.select(answer.alias("answer"), F.col("low").alias("subject"))
+
+
+def register_views(claims: DataFrame) -> None:
+    """The temporary views ``v_claims``, ``v_standing``, ``v_places`` and ``v_runs`` of the record, for SQL."""
+    record(claims).createOrReplaceTempView("v_claims")
+    live(claims).createOrReplaceTempView("v_standing")
+    values_ = live_values(claims, list(PATHS)).where(F.col("value").startswith('"'))
+    values_.select("subject", "attribute", F.get_json_object("value", "$").alias("place")).createOrReplaceTempView("v_places")
+    history(claims).createOrReplaceTempView("v_runs")
 
 
-def objects(claims: DataFrame, attributes: list[str]) -> DataFrame:
-    """JSON objects of subjects: attribute to its sorted list of standing values, an object a chunk."""
-    lists = chunked(live_values(claims, attributes), ["subject", "attribute"], "value")
-    one = F.concat(F.lit('"'), F.col("attribute"), F.lit('":['), F.array_join("values", ","), F.lit("]"))
-    whole = lists.groupBy("subject", "chunk").agg(F.array_join(F.sort_array(F.collect_list(one)), ",").alias("members"))
-    return whole.select("subject", F.concat(F.lit('{"subject":"'), F.col("subject"), F.lit('",'), F.col("members"), F.lit("}")).alias("line"))
+def run_exists(claims: DataFrame, run: str) -> DataFrame:
+    """One row (there): whether the record has a claim of *run*; one claim is read."""
+    return claims.where(F.col("run") == run).select("run").limit(1).agg((F.count("*") > 0).alias("there"))

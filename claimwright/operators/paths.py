@@ -7,8 +7,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from claimwright.functions.names import account_of, epoch, folder_of
+from claimwright.operators.ask import placements
 from claimwright.plans.ranks import ranked
 from claimwright.plans.record import live, live_values
+from claimwright.plans.skew import union_all
 from claimwright.plans.terms import quote
 
 
@@ -51,65 +54,163 @@ def newest_by_path(claims: DataFrame) -> DataFrame:
 
 
 def forest(claims: DataFrame) -> DataFrame:
-    """The tree a reader sees: a file whose path is also a folder steps aside to ``stem-<8 hex>.ext``."""
-    won = newest_by_path(claims)
-    folders = won.select(F.explode(_above(F.col("path"))).alias("path")).distinct().withColumn("folder", F.lit(True))
-    both = won.join(folders, "path", "left")
-    return both.select(F.when(F.col("folder"), aside(F.col("path"), F.col("subject"))).otherwise(F.col("path")).alias("shown"), "path", "subject")
+    """The tree a reader sees: rows (id, parent, name, folder, subject, size, modified).
 
+    Of the claims on one place the newest wins; of paths that differ in spelling only, the last.
+    A file whose place is also a folder steps aside to ``stem-<8 hex>.ext``, with more of the
+    digest where that name is taken. Ids are those of a walk that takes each folder's names
+    in order, the root, which has no row, being 0; they come from one range sort by components.
+    Size and change time are the newest standing ones, 0 and the time of the place without.
+    """
+    won = newest_by_path(claims).select("path", "subject", "time", components(F.col("path")).alias("c")).where(F.size("c") > 0)
+    won = won.groupBy("c").agg(F.max(F.struct("path", "subject", "time")).alias("w")).select("c", "w.subject", "w.time")
+    folders = won.select(F.explode(_prefixes(F.col("c"))).alias("c")).distinct()
+    taken = won.select("c").unionByName(folders).distinct().select(F.col("c").alias("shown"), F.lit(True).alias("used"))
+    mine = won.join(folders.withColumn("both", F.lit(True)), "c", "left")
+    parent = F.slice("c", 1, F.size("c") - 1)
+    named = lambda size: F.concat(parent, F.array(aside(F.element_at("c", -1), F.col("subject"), size)))
+    stays = mine.where(F.col("both").isNull()).select("c", F.col("c").alias("shown"), "subject", "time")
+    wants = mine.where("both").select("c", "subject", "time", F.posexplode(F.array(*[named(n) for n in range(8, 65, 8)])).alias("n", "shown"))
+    steps = wants.join(taken, "shown", "left").groupBy("c", "subject", "time")
+    steps = steps.agg(F.coalesce(F.min_by(F.when(F.col("used").isNull(), F.col("shown")), F.when(F.col("used").isNull(), F.col("n"))), F.max_by("shown", "n")).alias("shown"))
+    newest = live(claims, ["file:size", "file:modified"], ("value", "time")).groupBy("subject").agg(
+        *[F.max(F.when(F.col("attribute") == a, F.struct("time", "cid", "value")))["value"].alias(n) for a, n in (("file:size", "size"), ("file:modified", "modified"))]
+    )
+    files = stays.unionByName(steps).join(newest, "subject", "left").select(
+        "shown", F.lit(False).alias("folder"), "subject", F.coalesce(F.col("size").try_cast("bigint"), F.lit(0)).alias("size"),
+        F.coalesce(epoch(F.get_json_object("modified", "$")), epoch(F.col("time")), F.lit(0)).cast("bigint").alias("modified"),
+    )
+    none = F.lit(None)
+    nodes = files.unionByName(folders.select(F.col("c").alias("shown"), F.lit(True).alias("folder"), none.cast("string").alias("subject"), none.cast("bigint").alias("size"), none.cast("bigint").alias("modified")))
+    ids = ranked(nodes.withColumn("one", F.lit(1)), ["one"], ["shown"], "id").drop("one")
+    above = ids.where("folder").select(F.col("shown").alias("up"), F.col("id").alias("parent"))
+    rows = ids.withColumn("up", F.slice("shown", 1, F.size("shown") - 1)).join(above, "up", "left")
+    return rows.select("id", F.coalesce("parent", F.lit(0).cast("bigint")).alias("parent"), F.element_at("shown", -1).alias("name"), "folder", "subject", "size", "modified")
+
+
+def _prefixes(parts: Column) -> Column:
+    """The folders above a place, as components."""
+    return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.slice(parts, 1, n))).otherwise(F.array().cast("array<array<string>>"))
+
+
+def aside(name: Column, subject: Column, size: int = 8) -> Column:
+    """The name of a file that steps aside, with *size* characters of its digest."""
+    mark = F.concat(F.lit("-"), F.substring(subject, 1, size))
+    stem, ext = F.regexp_extract(name, _STEM, 1), F.regexp_extract(name, _STEM, 2)
+    return F.when(stem != "", F.concat(stem, mark, ext)).otherwise(F.concat(name, mark))
+
+
+#: A path in what stands before the last dot of its name, and the rest.
+_STEM = r"(?s)^(.*[^/])(\.[^./]*)\z"
 
-def _above(path: Column) -> Column:
-    parts = F.split(path, "/")
-    return F.when(F.size(parts) > 2, F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).otherwise(F.array().cast("array<string>"))
 
+def components(path: Column) -> Column:
+    return F.filter(F.split(path, "/"), lambda x: ~x.isin("", ".", ".."))
 
-def aside(path: Column, subject: Column) -> Column:
-    """The name of a file that steps aside."""
-    mark = F.concat(F.lit("-"), F.substring(subject, 1, 8))
-    stem, ext = F.regexp_extract(path, r"(?s)^(.*/[^/]+)(\.[^./]+)\z", 1), F.regexp_extract(path, r"(?s)^(.*/[^/]+)(\.[^./]+)\z", 2)
-    return F.when(stem != "", F.concat(stem, mark, ext)).otherwise(F.concat(path, mark))
 
+def _common(low: Column, high: Column) -> Column:
+    """How many first elements two lists share; of the least and greatest of many lists, those that all share."""
+    most = F.least(F.size(low), F.size(high))
+    same = F.filter(F.sequence(F.lit(1), most), lambda n: F.slice(low, 1, n) == F.slice(high, 1, n))
+    return F.when(most == 0, 0).otherwise(F.size(same))
 
-def components(path: Column) -> Column:
-    return F.filter(F.split(path, "/"), lambda x: ~x.isin("", ".", ".."))
+
+def lay_out(pairs: DataFrame) -> DataFrame:
+    """Export targets of placements: rows (subject, target) of *pairs* (subject, attribute, place).
+
+    Paths lose the folders that all of them share. Where they share none, they are parted by
+    their first component, and each group keeps the last folder of what it shares. A place in an
+    archive is its path there, without the ``@``. Names land flat, messages under account and folder.
+    A pair said twice is one file, a subject at two places two. Only named components count.
+    The shared folders of a group are those of its least and greatest path, so two
+    combined values a group suffice.
+    """
+    pairs = pairs.select("subject", "attribute", "place").distinct()
+    of = lambda a: pairs.where(F.col("attribute") == a)
+    rows = of("file:path").select("subject", components(F.regexp_replace("place", "^@", "")).alias("c")).where(F.size("c") > 0)
+    rows = rows.withColumns({"root": F.when(F.size("c") > 1, F.col("c")[0]), "dirs": F.slice("c", 1, F.size("c") - 1)})
+    groups = rows.groupBy("root").agg(F.min("dirs").alias("low"), F.max("dirs").alias("high"), F.count("*").alias("n"))
+    ends = groups.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"), F.count("*").alias("groups"))
+    whole = ends.select(F.struct(_common(F.col("low"), F.col("high")).alias("shared"), "n", "groups")).scalar()
+    shared_by_all = whole["shared"]
+    one_group = (whole["n"] == 1) | (shared_by_all > 0) | (whole["groups"] == 1)
+    kept = groups.select(F.col("root").alias("_root"), F.when(one_group, shared_by_all).otherwise(_common(F.col("low"), F.col("high"))).alias("shared"), one_group.alias("single"))
+    joined = rows.join(kept, F.col("root").eqNullSafe(F.col("_root")))
+    # The last shared folder stays where groups must be kept apart.
+    start = F.col("shared") + F.when(F.col("single") | (F.col("shared") == 0), 1).otherwise(0)
+    pathed = joined.select("subject", F.slice("c", start.cast("int"), F.size("c")).alias("t"))
+    flat = of("file:name").select("subject", components(F.col("place")).alias("c")).where(F.size("c") > 0).select("subject", F.slice("c", -1, 1).alias("t"))
+    mail = of("mailbox:place").select("subject", F.concat(components(account_of(F.col("place"))), components(F.coalesce(folder_of(F.col("place")), F.lit(""))), F.array(F.concat("subject", F.lit(".eml")))).alias("t"))
+    return union_all([pathed, flat, mail]).select("subject", F.array_join("t", "/").alias("target"))
 
 
 def layout(claims: DataFrame) -> DataFrame:
-    """Export targets of the standing paths: per first component, the folders all its files share are trimmed but the last.
+    """``lay_out`` of where each subject stands now."""
+    return lay_out(placements(claims).select("subject", "attribute", F.get_json_object("value", "$").alias("place")))
 
-    The shared prefix of a group is that of its least and greatest path, so two map-side
-    combined values a group suffice.
+
+def bumped(target: Column, n: Column) -> Column:
+    stem, ext = F.regexp_extract(target, _STEM, 1), F.regexp_extract(target, _STEM, 2)
+    return F.when(stem != "", F.concat(stem, F.lit("-"), n, ext)).otherwise(F.concat(target, F.lit("-"), n))
+
+
+def disambiguate(targets: DataFrame, fold_case: bool = False) -> DataFrame:
+    """Rows (subject, target, name): of subjects that want one target the first has it, the others get ``-n`` before the extension.
+
+    Numbers count from 2 and skip names that others want as they stand, so no two names
+    are alike; with *fold_case*, not even in other case. Everything is ranks and joins,
+    so a target of very many subjects is no group of one task.
     """
-    rows = all_paths(claims).select("subject", components(F.col("path")).alias("c")).where(F.size("c") > 0)
-    rows = rows.withColumns({"root": F.col("c")[0], "dirs": F.slice("c", 1, F.greatest(F.size("c") - 1, F.lit(0)))})
-    ends = rows.groupBy("root").agg(F.min("dirs").alias("low"), F.max("dirs").alias("high"))
-    same = F.filter(F.sequence(F.lit(1), F.least(F.size("low"), F.size("high"))), lambda n: F.slice("low", 1, n) == F.slice("high", 1, n))
-    shared = F.when((F.size("low") == 0) | (F.size("high") == 0), 0).otherwise(F.size(same))
-    joined = rows.join(ends.select("root", shared.alias("shared")), "root")
-    start = F.greatest(F.col("shared"), F.lit(1)).cast("int")
-    return joined.select("subject", F.array_join(F.slice("c", start, F.size("c")), "/").alias("target")).distinct()
-
-
-def disambiguate(targets: DataFrame) -> DataFrame:
-    """Targets that several subjects want: the n-th by subject, n from 2, gets ``-n`` before the extension."""
-    stem, ext = F.regexp_extract("target", r"(?s)^(.*[^/])(\.[^./]+)\z", 1), F.regexp_extract("target", r"(?s)^(.*[^/])(\.[^./]+)\z", 2)
-    rows = ranked(targets.select("subject", "target").distinct(), ["target"], ["subject"], "n")
-    bumped = F.when(stem != "", F.concat(stem, F.lit("-"), F.col("n"), ext)).otherwise(F.concat("target", F.lit("-"), F.col("n")))
-    return rows.select("subject", "target", F.when(F.col("n") == 1, F.col("target")).otherwise(bumped).alias("name"))
-
-
-def excluded(path: Column, patterns: list[str]) -> Column:
-    """Whether an exclude glob matches: without ``/`` the bare name at any level, else the path, ``*`` in a level, ``**`` across."""
-    def one(glob: str) -> Column:
-        out, i = "", 0
-        body = glob.lstrip("/")
-        while i < len(body):
-            if body.startswith("**", i):
+    fold = F.lower if fold_case else (lambda c: F.col(c) if isinstance(c, str) else c)
+    rows = ranked(targets.select("subject", "target").distinct().withColumn("key", fold("target")), ["key"], ["target", "subject"], "n")
+    wanted = rows.select("key").distinct()
+    numbered = r"(?s)^(.*[^/])-([2-9]|[1-9][0-9]{1,17})(\.[^./]*)?\z"
+    part = lambda i: F.regexp_extract("key", numbered, i)
+    # A target spelt like the k-th copy of another keeps that number from it.
+    used = wanted.where(part(2) != "").select(F.concat(part(1), part(3)).alias("key"), part(2).cast("bigint").alias("k"))
+    used = ranked(used, ["key"], ["k"], "i").select("key", (F.col("k") - F.col("i") + 1).alias("at"), F.lit(0).alias("copy"), F.lit("").alias("subject"), F.lit("").alias("target"))
+    copies = rows.where("n > 1").select("key", F.col("n").cast("bigint").alias("at"), F.lit(1).alias("copy"), "subject", "target")
+    placed = ranked(used.join(copies.select("key").distinct(), "key", "left_semi").unionByName(copies), ["key"], ["at", "copy", "target", "subject"], "rank")
+    later = placed.where("copy = 1").select("subject", "target", bumped(F.col("target"), F.col("rank") + 1).alias("name"))
+    return rows.where("n = 1").select("subject", "target", F.col("target").alias("name")).unionByName(later)
+
+
+def _glob(pattern: str) -> str:
+    """An exclude glob as a regular expression: ``*`` and ``?`` within a level, ``**`` across levels, classes and alternatives."""
+    out, i, open_ = "", 0, 0
+    while i < len(pattern):
+        c, start = pattern[i], i == 0 or pattern[i - 1] == "/"
+        if pattern.startswith("**", i) and start and pattern[i + 2 : i + 3] in ("", "/"):
+            if i + 2 == len(pattern):
                 out, i = out + ".*", i + 2
             else:
-                out += "[^/]*" if body[i] == "*" else "[^/]" if body[i] == "?" else re.escape(body[i])
-                i += 1
-        return path.rlike(rf"(?s)(?:^|/){out}(?:/|\z)") if "/" not in glob else path.rlike(rf"(?s)^/?{out}(?:/|\z)")
+                out, i = out + "(?:.*/)?", i + 3
+        elif c == "*":
+            out, i = out + "[^/]*", i + 1
+        elif c == "[" and (end := pattern.find("]", i + 2 + (pattern[i + 1 : i + 2] in ("!", "^")))) > 0:
+            inside = pattern[i + 1 : end]
+            negated = inside[:1] in ("!", "^")
+            out, i = out + ("[^" if negated else "[") + re.sub(r"([\\\[\]&^~])", r"\\\1", inside[negated:]) + "]", end + 1
+        elif c in "{}":
+            open_, out, i = open_ + (1 if c == "{" else -1), out + ("(?:" if c == "{" else ")"), i + 1
+        elif c == "," and open_:
+            out, i = out + "|", i + 1
+        elif c == "\\" and i + 1 < len(pattern):
+            out, i = out + re.escape(pattern[i + 1]), i + 2
+        else:
+            out, i = out + ("[^/]" if c == "?" else re.escape(c) if ord(c) < 128 else c), i + 1
+    return out
+
+
+def excluded(relative: Column, patterns: list[str]) -> Column:
+    """Whether an exclude glob holds a path below the walked root, or a folder above it there.
+
+    A pattern without ``/`` is held against bare names at any level, another against the whole relative path.
+    """
+    def one(glob: str) -> Column:
+        if "/" not in glob:
+            return relative.rlike(rf"(?s)(?:^|/)(?:{_glob(glob)})(?:/|\z)")
+        return relative.rlike(rf"(?s)^(?:{_glob(glob.lstrip('/'))})(?:/|\z)")
 
     return reduce(lambda a, b: a | b, map(one, patterns), F.lit(False))
 
@@ -126,15 +227,16 @@ def gone_places(claims: DataFrame, listing: DataFrame, root: str) -> DataFrame:
 def disappeared(claims: DataFrame, met: DataFrame, roots: list[str], host: str, unreadable: list[str] = (), excludes: list[str] = (), emptied: list[str] = ()) -> DataFrame:
     """Standing places under the walked *roots* that were not *met* (path): (path, subject).
 
-    Spared are places in *unreadable* folders, excluded ones, those of files that *host*
+    Spared are places in *unreadable* folders, those that *excludes* hold below their root, those of files that *host*
     never saw, and all of a root where nothing was met, unless it is named in *emptied*.
     """
     below = lambda path, place: (path == place.rstrip("/")) | path.startswith(place.rstrip("/") + "/")
     path = F.col("path")
     rooted = lambda df: df.withColumn("root", reduce(lambda w, x: w.when(below(path, x), x), sorted(roots, key=len, reverse=True), F.when(F.lit(False), "")))
-    spared = reduce(lambda a, b: a | b, [below(path, u) for u in unreadable], F.lit(False)) | excluded(path, list(excludes))
+    spared = reduce(lambda a, b: a | b, [below(path, u) for u in unreadable], F.lit(False))
+    relative = F.regexp_replace(F.substr("path", F.length("root") + 1), "^/+", "")
     seen_here = live_values(claims, ["prov:host"]).where(F.col("value") == quote(host)).select("subject")
-    here = rooted(all_paths(claims)).where(F.col("root").isNotNull() & ~spared).join(seen_here, "subject", "left_semi")
+    here = rooted(all_paths(claims)).where(F.col("root").isNotNull() & ~spared & ~excluded(relative, list(excludes))).join(seen_here, "subject", "left_semi")
     walked = rooted(met.select("path")).where(F.col("root").isNotNull())
     lost = here.join(walked.select("path").distinct(), "path", "left_anti")
     alive = walked.select("root").distinct()

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F
 
 from claimwright.plans.ranks import ranked
+from claimwright.plans.skew import union_all
+from claimwright.plans.tables import checkpointed
 
 
 def settled(listed: DataFrame, archived: DataFrame) -> DataFrame:
@@ -21,6 +27,65 @@ def claimed(listed: DataFrame, archived: DataFrame) -> DataFrame:
     return rows.join(copies, "key").where(F.col("rank") <= F.col("copies")).select("key", "place")
 
 
+#: Bytes from which a server may have cut a key short.
+CUT_FROM = 128
+
+
+def claimed_copies(listed: DataFrame, archived: DataFrame) -> DataFrame:
+    """Listed copies (place, key) against archived keys (key, a row a copy): rows (place, key, taken, settled).
+
+    In listing order each copy takes one archived copy of its key. A key of more than
+    ``CUT_FROM`` bytes that the archive lacks may be one that was cut: it takes a copy of the first
+    archived key that begins with it and has one left. A copy is settled if it took one and no
+    copy that got none reached the same key.
+
+    Keys that cannot be cut are ranks and joins. Of the others those with the same first
+    ``CUT_FROM`` bytes are claimed one after the other by a stream that holds the archived keys only.
+    """
+    counts = archived.where(F.col("key") != "").groupBy("key").agg(F.count("*").alias("copies"))
+    # Byte for byte: cutting a key within a character must not change what begins with what.
+    short = F.octet_length("key") <= CUT_FROM
+    exact = ranked(listed.where((F.col("key") != "") & short).select("key", "place"), ["key"], ["place"]).join(counts, "key", "left")
+    taken = F.col("rank") <= F.coalesce("copies", F.lit(0))
+    exact = exact.select("place", "key", taken.alias("taken"), F.when(F.col("copies").isNotNull(), F.array("key")).otherwise(F.array().cast("array<string>")).alias("reached"))
+    none = listed.where(F.coalesce(F.col("key") == "", F.lit(True))).select("place", "key", F.lit(False).alias("taken"), F.array().cast("array<string>").alias("reached"))
+    head = F.substring(F.encode("key", "utf-8"), 1, CUT_FROM).alias("head")
+    row = lambda df, is_listed, *cols: df.where(~short).select(head, F.lit(is_listed).alias("listed"), *cols)
+    both = row(counts, False, "key", F.lit(None).cast(listed.schema["place"].dataType).alias("place"), "copies").unionByName(row(listed, True, "key", "place", F.lit(0).cast("bigint").alias("copies")))
+    ordered = both.repartition("head").sortWithinPartitions("head", "listed", "place", "key")
+    kind = listed.schema["place"].dataType.simpleString()
+
+    def claim(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, left, keys = None, {}, []
+        for part in parts:
+            out = []
+            for head_, is_listed, key, place, copies in zip(*(part[c].tolist() for c in ("head", "listed", "key", "place", "copies"))):
+                if at != head_:
+                    at, left, keys = head_, {}, []
+                if not is_listed:
+                    left[key.encode()] = copies
+                    continue
+                if len(keys) != len(left):
+                    keys = sorted(left)
+                own, got, reached = key.encode(), False, []
+                near = [own] if own in left else keys[bisect_left(keys, own) :]
+                for candidate in near:
+                    if not candidate.startswith(own):
+                        break
+                    if left[candidate] > 0:
+                        left[candidate] -= 1
+                        got, reached = True, [candidate.decode()]
+                        break
+                    reached.append(candidate.decode())
+                out.append((place, key, got, reached))
+            yield pd.DataFrame(out, columns=["place", "key", "taken", "reached"])
+
+    every = checkpointed(union_all([exact, none, ordered.mapInPandas(claim, f"place {kind}, key string, taken boolean, reached array<string>")]))
+    contested = every.where(~F.col("taken")).select(F.explode("reached").alias("own")).distinct()
+    sound = every.where("taken").select("place", "key", F.col("reached")[0].alias("own")).join(contested, "own", "left_anti").select("place", "key", F.lit(True).alias("settled"))
+    return every.join(sound, ["place", "key"], "left").select("place", "key", "taken", F.coalesce("settled", F.lit(False)).alias("settled"))
+
+
 def snapshot_changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that a new snapshot asserts or retracts: (keys, change)."""
     tag = lambda df, m: df.select(*keys, F.lit(m).alias("m")).distinct()
@@ -35,6 +100,22 @@ def frontier(rows: DataFrame, key: str, order: str, passed: str) -> DataFrame:
     return good.groupBy(key).agg(F.max(order).alias("resume"))
 
 
+def stopped(attempts: DataFrame, keys: list[str], order: str, ok: str, limit: int = 10) -> DataFrame:
+    """Where a folder's fetch stops: per *keys* the *order* of the attempt that is the *limit*-th refusal in a row; rows (keys, stop).
+
+    A refusal's run is named by the number of successes before it, so runs of any length are two counts.
+    """
+    placed = ranked(attempts.select(*keys, order, ok), keys, [order], "at")
+    good = ranked(placed.where(F.col(ok)), keys, ["at"], "n")
+    # Refusals keep their distance from their place to the successes before them: at - successes counts refusals.
+    ends = good.select(*keys, F.col("at").alias("after"), F.lead("at").over(Window.partitionBy(*keys).orderBy("at")).alias("before"))
+    first = placed.groupBy(*keys).agg(F.min(F.when(F.col(ok), F.col("at"))).alias("before"), F.max("at").alias("last")).select(*keys, F.lit(0).cast("bigint").alias("after"), F.coalesce("before", F.col("last") + 1).alias("before"))
+    last = placed.groupBy(*keys).agg(F.max("at").alias("last"))
+    gaps = ends.unionByName(first).join(last, keys).select(*keys, "after", F.coalesce("before", F.col("last") + 1).alias("before"))
+    stop = gaps.where(F.col("before") - F.col("after") - 1 >= limit).groupBy(*keys).agg(F.min(F.col("after") + limit).alias("at"))
+    return placed.join(stop, [*keys, "at"]).select(*keys, F.col(order).alias("stop"))
+
+
 def pending(attempts: DataFrame, keys: list[str], limit: int = 3) -> DataFrame:
     """Items tried without success: (keys, tries, given_up)."""
     rows = attempts.groupBy(*keys).agg(F.count("*").alias("tries"), F.bool_or("ok").alias("ok"))

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from claimwright.functions.grammar import claim_id, claim_line, json_quote
 from claimwright.operators.orphans import held
 from claimwright.plans.ranks import ranked
 from claimwright.plans.record import live, record
+from claimwright.plans.skew import union_all
+from claimwright.sources.log import header
 
 
 def chain_check(segments: DataFrame) -> DataFrame:
@@ -77,31 +84,90 @@ def delta(ahead: DataFrame, behind: DataFrame) -> DataFrame:
 
 
 def sealed_order(claims: DataFrame) -> DataFrame:
-    """The place of each claim in its segment if sealed by (time, cid)."""
-    rows = ranked(record(claims).select("cid", "seq", "time"), ["seq"], ["time", "cid"])
-    return rows.select("cid", "seq", (F.col("rank") - 1).alias("place"))
+    """The place of each claim in its segment if sealed, by (time, line)."""
+    rows = record(claims).select("cid", "seq", "time", claim_line().alias("line"))
+    return ranked(rows, ["seq"], ["time", "line", "cid"]).select("cid", "seq", (F.col("rank") - 1).alias("place"))
 
 
-def sealed_digests(claims: DataFrame) -> DataFrame:
-    """A digest per segment over its claims in sealed order: of the digests of its blocks of places.
+def sealed_digests(claims: DataFrame, segments: DataFrame) -> DataFrame:
+    """The digest of each segment as it would be sealed from its claims: rows (seq, digest).
 
-    Places are blocked, so no group holds more than a block of ids however large a segment is.
+    It is that of the segment's bytes: the header, which names the segment before it, then
+    the lines by (time, line). The bytes stream through one task a segment and are never held.
+    """
+    head = segments.select("seq", F.lower("previous").alias("previous")).distinct()
+    rows = record(claims).where(F.col("seq").isNotNull()).select("seq", "time", claim_line().alias("line")).join(head, "seq", "left")
+    ordered = rows.select("seq", "previous", "time", "line").repartition("seq").sortWithinPartitions("seq", "time", "line")
+
+    def digests(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seq, hashed = None, None
+        for part in parts:
+            done = []
+            for own, previous, line in zip(part["seq"].tolist(), part["previous"].tolist(), part["line"].tolist()):
+                if own != seq:
+                    if hashed:
+                        done.append((seq, hashed.hexdigest()))
+                    seq, hashed = own, hashlib.sha256((header(previous) + "\n").encode())
+                hashed.update((line + "\n").encode())
+            yield pd.DataFrame(done, columns=["seq", "digest"])
+        if hashed:
+            yield pd.DataFrame([(seq, hashed.hexdigest())], columns=["seq", "digest"])
+
+    return ordered.mapInPandas(digests, "seq bigint, digest string")
+
+
+def set_aside(claims: DataFrame, fixities: DataFrame) -> DataFrame:
+    """Damaged files of *fixities* (digest, store, fixity): rows (digest, derived, path, mail), one per standing path, or one without.
+
+    ``mail`` says whether the record has the file in a mailbox.
     """
-    size = 4096
-    blocks = sealed_order(claims).groupBy("seq", F.floor(F.col("place") / size).alias("block"))
-    ids = F.transform(F.sort_array(F.collect_list(F.struct("place", "cid"))), lambda x: x["cid"])
-    parts = blocks.agg(F.sha2(F.array_join(ids, "\n"), 256).alias("part"))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("block", "part"))), lambda x: x["part"])
-    return parts.groupBy("seq").agg(F.sha2(F.array_join(ordered, "\n"), 256).alias("digest"))
+    bad = fixities.where(F.col("fixity") == "damaged").select(F.lower("digest").alias("digest"), (F.col("store") == "derived").alias("derived")).distinct()
+    rows = live(claims, ["file:path", "mailbox:place"], ("value",)).withColumnRenamed("subject", "digest")
+    paths = rows.where((F.col("attribute") == "file:path") & F.col("value").startswith('"')).select("digest", F.get_json_object("value", "$").alias("path")).distinct()
+    mails = rows.where(F.col("attribute") == "mailbox:place").select("digest", F.lit(True).alias("mail")).distinct()
+    return bad.join(paths, "digest", "left").join(mails, "digest", "left").select("digest", "derived", "path", F.coalesce("mail", F.lit(False)).alias("mail"))
+
 
+def weed(fixities: DataFrame) -> DataFrame:
+    """What becomes of each digest in both stores: rows (digest, verdict) of *fixities* (digest, store, fixity).
 
-def set_aside(claims: DataFrame, blobs: DataFrame) -> DataFrame:
-    """Files that were removed from the stores for good, a row per standing path (or null), and whether they are mail."""
-    gone = blobs.groupBy(F.lower("digest").alias("subject")).agg(F.bool_and(F.col("removed").isNotNull()).alias("gone")).where("gone").select("subject")
-    rows = live(claims, ["file:path", "file:mime"], ("value",))
-    paths = rows.where(F.col("attribute") == "file:path").select("subject", F.col("value").alias("path")).distinct()
-    mails = rows.where((F.col("attribute") == "file:mime") & (F.col("value") == '"message/rfc822"')).select("subject", F.lit(True).alias("mail")).distinct()
-    return gone.join(paths, "subject", "left").join(mails, "subject", "left").select("subject", "path", F.coalesce("mail", F.lit(False)).alias("mail"))
+    ``release``: the copy in ``derived`` can go, since the original is sound and the copy could be
+    read. ``repair``: the original is damaged and the copy sound. ``stand``: neither.
+    """
+    of = lambda store: F.max(F.when(F.col("store") == store, F.col("fixity")))
+    both = fixities.groupBy(F.lower("digest").alias("digest")).agg(of("content").alias("content"), of("derived").alias("derived")).dropna()
+    verdict = F.when((F.col("content") == "sound") & F.col("derived").isin("sound", "damaged"), "release").when((F.col("content") == "damaged") & (F.col("derived") == "sound"), "repair")
+    return both.select("digest", F.coalesce(verdict, F.lit("stand")).alias("verdict"))
+
+
+def describe(lacking: DataFrame, files: DataFrame, time: str, run: str) -> DataFrame:
+    """Claims of source ``maintain`` for what ``undescribed`` files lack, from *files* (digest, size, mime) as read; files that are gone give none."""
+    rows = lacking.join(files, "digest")
+    facts = F.array(
+        F.struct(F.lit("file:size").alias("attribute"), F.when(F.col("no_size"), F.col("size").cast("string")).alias("value")),
+        F.struct(F.lit("file:mime").alias("attribute"), F.when(F.col("no_mime"), json_quote(F.col("mime"))).alias("value")),
+    )
+    made = rows.select(F.col("digest").alias("subject"), F.inline(facts)).where(F.col("value").isNotNull())
+    made = made.withColumns({"time": F.lit(time), "source": F.lit("maintain"), "run": F.lit(run), "retracts": F.lit(None).cast("array<string>")})
+    return made.withColumn("cid", claim_id())
+
+
+def findings(claims: DataFrame, blobs: DataFrame, segments: DataFrame, fixities: DataFrame | None = None) -> DataFrame:
+    """All that an audit finds, in one table: rows (kind, name).
+
+    Kinds: ``missing`` and ``unrecorded`` files, ``twin``, ``undescribed``, segments ``forked``, ``missing-segment`` or
+    ``miscounted``, and of *fixities* ``damaged`` and ``unreadable`` files.
+    """
+    of = lambda kind, df: df.select(F.lit(kind).alias("kind"), F.col(df.columns[0]).cast("string").alias("name"))
+    links, counts = chain_check(segments), segment_counts(claims, segments)
+    parts = [
+        of("missing", missing(claims, blobs)), of("unrecorded", unrecorded(claims, blobs)), of("twin", twins(blobs)), of("undescribed", undescribed(claims, blobs)),
+        of("forked", links.where("link = 'forked'").select("digest")), of("missing-segment", links.where("link = 'missing'").select("digest")),
+        of("miscounted", counts.where("announced <> held").select("seq")),
+    ]
+    if fixities is not None:
+        parts += [of(kind, fixities.where(F.col("fixity") == kind).select("digest")) for kind in ("damaged", "unreadable")]
+    return union_all(parts)
 
 
 def stored_since(blobs: DataFrame, moment: str) -> DataFrame:
@@ -109,14 +175,21 @@ def stored_since(blobs: DataFrame, moment: str) -> DataFrame:
     return blobs.where(F.coalesce(F.col("stored") >= F.lit(moment).cast("timestamp_ntz"), F.lit(True))).select(F.lower("digest").alias("digest"), "store").distinct()
 
 
-def seal_check(claims: DataFrame, blobs: DataFrame, segments: DataFrame, seal: str) -> DataFrame:
+def seal_check(claims: DataFrame, blobs: DataFrame, segments: DataFrame, seal: str, fixities: DataFrame | None = None) -> DataFrame:
     """The files that a seal (the digest of a segment) covers: (digest, presence), ``content``, ``derived`` or ``missing``.
 
-    A seal covers the segments up to its own; a seal that no segment has covers nothing.
+    A seal covers the segments up to its own; a seal that no segment has covers nothing. With
+    *fixities* (digest, store, fixity) a file of which no copy is sound is ``damaged`` or ``unreadable``.
     """
     last = segments.where(F.lower("digest") == seal.lower()).agg(F.max("seq")).scalar()
     covered = referenced(claims.where(F.col("seq") <= last))
-    return covered.join(content_of(blobs).select("digest", "store"), "digest", "left").select("digest", F.coalesce("store", F.lit("missing")).alias("presence"))
+    found = covered.join(content_of(blobs).select("digest", "store"), "digest", "left").select("digest", F.coalesce("store", F.lit("missing")).alias("presence"))
+    if fixities is None:
+        return found
+    # One sound copy, in either store, is enough.
+    state = fixities.groupBy(F.lower("digest").alias("digest")).agg(F.max((F.col("fixity") == "sound").cast("int")).alias("sound"), F.max((F.col("fixity") == "damaged").cast("int")).alias("bad"))
+    lost = F.when((F.col("presence") != "missing") & (F.col("sound") == 0), F.when(F.col("bad") == 1, "damaged").otherwise("unreadable"))
+    return found.join(state, "digest", "left").select("digest", F.coalesce(lost, "presence").alias("presence"))
 
 
 def copy_plan(claims: DataFrame, blobs: DataFrame, segments: DataFrame, copied: DataFrame) -> DataFrame:
@@ -128,7 +201,9 @@ def copy_plan(claims: DataFrame, blobs: DataFrame, segments: DataFrame, copied:
     return ahead.select(F.lit("segment").alias("kind"), F.lower("digest").alias("digest")).unionByName(files.select(F.lit("file").alias("kind"), "digest"))
 
 
-def fixity(files: DataFrame) -> DataFrame:
-    """Stored files (digest, content) as ``sound``, ``damaged`` or ``unreadable``."""
+def fixity(files: DataFrame, read: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Stored files (digest, content) as ``sound``, ``damaged`` or ``unreadable``; all ``unchecked`` where they are listed only (*read* false)."""
+    if not read:
+        return files.select(*keep, "digest", F.lit("unchecked").alias("fixity"))
     bits = F.when(F.length("digest") == 64, F.sha2("content", 256)).when(F.length("digest") == 96, F.sha2("content", 384)).otherwise(F.sha2("content", 512))
-    return files.select("digest", F.when(F.col("content").isNull(), "unreadable").when(bits == F.lower("digest"), "sound").otherwise("damaged").alias("fixity"))
+    return files.select(*keep, "digest", F.when(F.col("content").isNull(), "unreadable").when(bits == F.lower("digest"), "sound").otherwise("damaged").alias("fixity"))

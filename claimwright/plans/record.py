@@ -55,8 +55,6 @@ def at(claims: DataFrame, given: str) -> DataFrame | None:
     """The claims as of a run id, a date (to its end) or a moment; None for a run that the record does not have."""
     if re.fullmatch(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", given):
         return None if claims.where(F.col("run") == given).isEmpty() else as_of_run(claims, given)
-    if not re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?:T[0-9:]{8}Z?)?", given):
-        raise ValueError(f"neither a run nor a time: {given}")
     return as_of(claims, closing(given))
 
 

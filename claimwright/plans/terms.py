@@ -11,10 +11,13 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass
+from datetime import date
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+from claimwright.functions.grammar import valid_time
 from claimwright.functions.jsontext import NUMBER
 
 CLAIM_FIELDS = ("subject", "attribute", "source", "run", "time", "retract")
@@ -69,6 +72,10 @@ def number_of(value: Column) -> Column:
     return F.when(value.rlike(NUMBER), value.try_cast("double"))
 
 
+def _no_constant(name: str):
+    raise ValueError(f"no JSON: {name}")
+
+
 def value_matches(value: Column, pattern: str) -> Column:
     """Whether JSON text *value* matches *pattern*."""
     if len(pattern) >= 2 and pattern[0] == pattern[-1] == '"':
@@ -83,14 +90,40 @@ def value_matches(value: Column, pattern: str) -> Column:
             return _between(number_of(value), *(float(b) if b else None for b in bounds))
         return value.startswith('"') & _between(value, *(quote(b) if b else None for b in bounds))
     try:
-        scalar = json.loads(pattern)
+        scalar = json.loads(pattern, parse_int=lambda t: float(t) if t == "-0" else int(t), parse_constant=_no_constant)
     except ValueError:
         scalar = ""
     if not isinstance(scalar, str):
-        return value.isin(pattern, quote(pattern))
+        return value.isin(spelled_json(scalar), quote(pattern))
     return value == quote(pattern)
 
 
+def spelled_json(value) -> str:
+    """The one spelling of a JSON value: members in order, no spaces, numbers as ``spelled_number`` has them."""
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{quote(k)}:{spelled_json(v)}" for k, v in sorted(value.items())) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(spelled_json, value)) + "]"
+    return spelled_number(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else json.dumps(value, ensure_ascii=False)
+
+
+def spelled_number(value: int | float) -> str:
+    """A number as the record spells it: 64-bit integers as they are, others as the shortest double, always with a point or an exponent."""
+    if isinstance(value, int) and -(1 << 63) <= value < 1 << 64:
+        return str(value)
+    sign, digits, power = Decimal(repr(float(value))).normalize().as_tuple()
+    text, point = "".join(map(str, digits)), len(digits) + power
+    if text == "0":
+        out = "0.0"
+    elif 0 < point <= 16:
+        out = f"{text[:point].ljust(point, '0')}.{text[point:] or '0'}"
+    elif -5 < point <= 0:
+        out = f"0.{'0' * -point}{text}"
+    else:
+        out = f"{text[0]}{'.' * (len(text) > 1)}{text[1:]}e{point - 1}"
+    return "-" * sign + out
+
+
 def text_matches(text: Column, pattern: str) -> Column:
     """Whether plain text matches *pattern*."""
     if len(pattern) >= 2 and pattern[0] == pattern[-1] == '"':
@@ -102,20 +135,50 @@ def text_matches(text: Column, pattern: str) -> Column:
     return text == pattern
 
 
-def opening(time: str) -> str:
-    return f"{time}T00:00:00Z" if len(time) == 10 else time if time.endswith("Z") else time + "Z"
+def is_date(text: str) -> bool:
+    return re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", text, re.ASCII) is not None
 
 
-def closing(time: str) -> str:
-    return f"{time}T23:59:59Z" if len(time) == 10 else time if time.endswith("Z") else time + "Z"
+def _moment(given: str, edge: str) -> str:
+    """*given* as a strict UTC time: a date is widened by *edge*, a moment may lack its ``Z``; all else is refused."""
+    text = given.strip()
+    text += edge if is_date(text) else ""
+    text += "Z" if len(text) == 19 and not text.endswith("Z") else ""
+    try:
+        date.fromisoformat(text[:10])
+    except ValueError:
+        raise ValueError(f"no time: {given}") from None
+    if not re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}T(?:[01][0-9]|2[0-3]):[0-5][0-9]:(?:[0-5][0-9]|60)Z", text, re.ASCII):
+        raise ValueError(f"no time: {given}")
+    return text
+
+
+def opening(given: str) -> str:
+    """The first moment of what *given* names."""
+    return _moment(given, "T00:00:00")
+
+
+def closing(given: str) -> str:
+    """The last moment of what *given* names."""
+    return _moment(given, "T23:59:59")
+
+
+def widened(given: Column, edge: str) -> Column:
+    """``opening`` (edge ``T00:00:00``) or ``closing`` (``T23:59:59``) of a column; null where it is refused."""
+    text = F.regexp_replace(given, r"(?U)^\s+|\s+\z", "")
+    text = F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), F.concat(text, F.lit(edge))).otherwise(text)
+    text = F.when((F.length(text) == 19) & ~text.endswith("Z"), F.concat(text, F.lit("Z"))).otherwise(text)
+    return F.when(valid_time(text), text)
 
 
 def time_matches(time: Column, pattern: str) -> Column:
-    """Whether a claim's time matches: a date is its whole day, a range opens and closes with its days."""
-    if pattern[:1] == '"' or "*" in pattern or "?" in pattern:
+    """Whether a claim's time matches: a date is its whole day, a range opens and closes with its days, a moment is itself."""
+    if (len(pattern) >= 2 and pattern[0] == pattern[-1] == '"') or "*" in pattern or "?" in pattern:
         return text_matches(time, pattern)
-    low, high = _bounds(pattern) or (pattern, pattern)
-    return _between(time, opening(low) if low else None, closing(high) if high else None) if low or high else time.isNotNull()
+    if bounds := _bounds(pattern):
+        low, high = bounds
+        return _between(time, opening(low) if low else None, closing(high) if high else None) if low or high else time.isNotNull()
+    return time.between(opening(pattern), closing(pattern)) if is_date(pattern) else time == closing(pattern)
 
 
 def field_matches(field: str, pattern: str) -> Column:

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimwright.functions import grammar, mail, names
 from claimwright.operators import ask, lineage, paths, reconcile, rewrite, verify, write
-from claimwright.operators.changes import ChangeTable, feed_of
+from claimwright.operators.changes import ChangeTable, feed_of, split_feed
+from claimwright.operators.instants import spelled
 from claimwright.operators.orphans import held
 from claimwright.plans import find as finder
 from claimwright.plans import record as r
@@ -116,8 +117,8 @@ _find(
 _find("find_field_source", ["source=extractor:*", "raster:depth=.."], "SELECT DISTINCT subject FROM live WHERE attribute = 'raster:depth' AND source LIKE 'extractor:%'")
 _find("find_field_time_day", ["time=2024-06-05"], "SELECT DISTINCT subject FROM live WHERE time >= '2024-06-05T00:00:00Z' AND time <= '2024-06-05T23:59:59Z'")
 _find(
-    "find_field_time_range", ["time=2024-05..2024-07-01", "file:mime=.."],
-    "SELECT DISTINCT subject FROM live WHERE attribute = 'file:mime' AND time >= '2024-05Z' AND time <= '2024-07-01T23:59:59Z'",
+    "find_field_time_range", ["time=2024-05-02..2024-07-01T12:00:00", "file:mime=.."],
+    "SELECT DISTINCT subject FROM live WHERE attribute = 'file:mime' AND time >= '2024-05-02T00:00:00Z' AND time <= '2024-07-01T12:00:00Z'",
 )
 _find("find_field_subject_prefix", ["subject=a8*"], "SELECT DISTINCT subject FROM live WHERE subject LIKE 'a8%'")
 _find("find_field_retract", ["retract=true"], "SELECT DISTINCT subject FROM rec WHERE retracts IS NOT NULL", scope="record")
@@ -143,14 +144,15 @@ _find(
     ("user:tag",), "present",
 )
 
-_RUN = "(SELECT min(run) FROM claims)"
+_RUN = "(SELECT run FROM claims WHERE run IS NOT NULL GROUP BY run ORDER BY count(*) DESC, run LIMIT 1)"
 
 
-def _least_run(claims: DataFrame) -> str:
-    return claims.agg(F.min("run")).first()[0]
+def _largest_run(claims: DataFrame) -> str:
+    """The run of most claims, the least of several."""
+    return claims.where(F.col("run").isNotNull()).groupBy("run").count().agg(F.min_by("run", F.struct(-F.col("count"), "run"))).first()[0]
 
 
-_add("find_field_run", f"SELECT DISTINCT subject FROM live WHERE run = {_RUN}")(lambda c: finder.find(c, [finder.Term("run", _least_run(c))]))
+_add("find_field_run", f"SELECT DISTINCT subject FROM live WHERE run = {_RUN}")(lambda c: finder.find(c, [finder.Term("run", _largest_run(c))]))
 
 # -- projections
 
@@ -165,25 +167,38 @@ _add("about_subject", "SELECT cid, attribute, value, time, seq, position FROM re
 )
 _add(
     "gather_projection",
-    "SELECT subject, attribute, 0::BIGINT AS chunk, string_agg(value, ' ' ORDER BY value) AS shown FROM vals WHERE attribute IN ('file:path', 'user:tag')"
-    " AND subject IN (SELECT subject FROM vals WHERE attribute = 'file:mime' AND value = '\"image/jpeg\"') GROUP BY 1, 2",
-)(lambda c: ask.gather(c, finder.find(c, ["file:mime=image/jpeg"]), ["file:path", "user:tag"]).select("subject", "attribute", "chunk", F.array_join("values", " ").alias("shown")))
+    """, hit AS (SELECT DISTINCT subject FROM vals WHERE attribute = 'file:mime' AND value = '"image/jpeg"'), g AS (
+      SELECT DISTINCT subject, 0 AS asked, 'file:path' AS name, value FROM vals WHERE attribute = 'file:path' AND subject IN (FROM hit)
+      UNION SELECT subject, 1, attribute, value FROM vals WHERE attribute LIKE 'raster:%' AND attribute <> 'raster:width' AND subject IN (FROM hit)
+      UNION SELECT subject, 2, 'raster:width', value FROM vals WHERE attribute = 'raster:width' AND subject IN (FROM hit)
+      UNION SELECT subject, 3, 'source', '"' || source || '"' FROM live WHERE subject IN (FROM hit))
+    SELECT *, row_number() OVER (PARTITION BY subject, asked, name ORDER BY value) AS place FROM g""",
+)(lambda c: ask.gather(c, finder.find(c, ["file:mime=image/jpeg"]), ["file:path", "raster:", "raster:width", "source"]))
+_add("gather_parts", None)(lambda c: ask.gather(c, finder.find(c, ["geo:position=.."]), ["geo:position.latitude", "geo:position.altitude"]))
 _add("standing_bare", "SELECT subject, json_extract_string(value, '$') AS value FROM vals WHERE attribute = 'file:name' AND value LIKE '\"%'")(
     lambda c: ask.values(c, "file:name").where(F.col("value").startswith('"')).select("subject", paths.path_text(F.col("value")).alias("value"))
 )
 _add("parts_projection", None)(lambda c: ask.parts(c, "geo:position", "altitude"))
 _add("standing_ids", "SELECT subject, cid FROM live WHERE attribute = 'user:tag'")(lambda c: ask.standing_ids(c, "user:tag"))
+_add("standing_ids_of_value", "SELECT subject, cid FROM live WHERE attribute = 'user:tag' AND value = '\"keep\"'")(lambda c: ask.standing_ids(c, "user:tag", '"keep"'))
+_add("resolve_answers", "SELECT CASE count(DISTINCT subject) WHEN 0 THEN 'unknown' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS answer, min(subject) AS subject FROM rec WHERE subject LIKE 'a8%'")(lambda c: ask.resolved(c, "A8"))
+_add("runs_in_order", "SELECT run, row_number() OVER (ORDER BY seq, time, position, run) AS place FROM (SELECT * FROM rec WHERE run IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run ORDER BY seq, time, position) = 1)")(
+    lambda c: ask.in_run_order(c).select("run", "place")
+)
+_TEXT = "json_extract_string(value, '$')"
 _add(
     "pair_spelling",
-    "SELECT subject, attribute || '=' || CASE WHEN regexp_matches(value, '^\"[A-Za-z/_][^\"\\\\*?\\[]*\"$') AND NOT contains(json_extract_string(value, '$'), '..')"
-    " AND json_extract_string(value, '$') NOT IN ('true', 'false', 'null') AND NOT regexp_matches(json_extract_string(value, '$'), '\\s')"
-    " THEN json_extract_string(value, '$') ELSE value END AS pair FROM vals WHERE attribute IN ('file:name', 'user:tag')",
-)(lambda c: ask.pairs(c, ["file:name", "user:tag"]))
+    f"""SELECT subject, attribute || '=' || CASE WHEN value NOT LIKE '"%' THEN value WHEN {_TEXT} <> '' AND NOT contains({_TEXT}, '..') AND NOT regexp_matches({_TEXT}, '[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}*?"]')
+    THEN {_TEXT} ELSE '"' || {_TEXT} || '"' END AS pair FROM vals WHERE attribute IN ('file:name', 'user:tag', 'file:size')""".replace("\\\\", "\\"),
+)(lambda c: ask.pairs(c, ["file:name", "user:tag", "file:size"]))
 _add(
     "json_match_objects",
-    """, lists AS (SELECT subject, attribute, '[' || string_agg(value, ',' ORDER BY value) || ']' AS list FROM vals WHERE attribute IN ('user:tag', 'file:mime') GROUP BY 1, 2)
-    SELECT subject, '{"subject":"' || subject || '",' || string_agg('"' || attribute || '":' || list, ',' ORDER BY attribute) || '}' AS line FROM lists GROUP BY 1""",
-)(lambda c: ask.objects(c, ["user:tag", "file:mime"]))
+    """, lists AS (SELECT subject, attribute, value, row_number() OVER (PARTITION BY subject, attribute ORDER BY value) AS n, count(*) OVER (PARTITION BY subject, attribute) AS last,
+      row_number() OVER (PARTITION BY subject ORDER BY CASE attribute WHEN 'user:tag' THEN 0 ELSE 1 END, value) AS place, count(*) OVER (PARTITION BY subject) AS whole FROM vals WHERE attribute IN ('user:tag', 'file:mime'))
+    SELECT DISTINCT subject, 1 AS place, '{"subject":"' || subject || '"' AS text FROM vals WHERE attribute = 'file:mime'
+    UNION ALL SELECT subject, place + 1, CASE WHEN n = 1 THEN ',"' || attribute || '":[' ELSE ',' END || value || CASE WHEN n = last THEN ']' ELSE '' END || CASE WHEN place = whole THEN '}' ELSE '' END
+      FROM lists WHERE subject IN (SELECT subject FROM vals WHERE attribute = 'file:mime')""",
+)(lambda c: ask.objects(c, finder.find(c, ["file:mime=.."]), ["user:tag", "file:mime"]))
 
 # -- runs and moments
 
@@ -197,7 +212,7 @@ _add(
     "run_closing",
     "SELECT run, max(time) AS closes, max(seq) AS last_seq, arg_max(time, (seq, time)) AS last_time FROM claims WHERE run IS NOT NULL GROUP BY run",
 )(ask.run_closing)
-_add("run_exists", f"SELECT count(*) > 0 AS there FROM rec WHERE run = {_RUN}")(lambda c: c.where(F.col("run") == c.agg(F.min("run")).scalar()).agg((F.count("*") > 0).alias("there")))
+_add("run_exists", f"SELECT count(*) > 0 AS there FROM rec WHERE run = {_RUN}")(lambda c: ask.run_exists(c, _largest_run(c)))
 _CUT = "2025-01-01T00:00:00Z"
 _AS_OF = f"""SELECT DISTINCT c.subject, c.attribute, c.value FROM rec c WHERE c.retracts IS NULL AND c.time <= '{_CUT}' AND NOT EXISTS (
   SELECT 1 FROM (SELECT unnest(retracts) AS target, subject, attribute FROM rec WHERE retracts IS NOT NULL AND time <= '{_CUT}') t
@@ -211,7 +226,7 @@ _add(
 )(lambda c: reconcile.snapshot_changes(r.live_values(r.as_of(c, _CUT), ["file:path"]), r.live_values(c, ["file:path"]), ["subject", "value"]))
 _BY_RUN = f"""SELECT * FROM claims, (SELECT max((seq, time)) AS l FROM claims WHERE run = {_RUN}) WHERE seq < l[1] OR (seq = l[1] AND (time < l[2] OR (time = l[2] AND run = {_RUN})))"""
 _add("as_of_run", f"SELECT lower(cid) AS cid, count(*) AS n FROM ({_BY_RUN}) GROUP BY 1")(
-    lambda c: r.as_of_run(c, _least_run(c)).groupBy(F.lower("cid").alias("cid")).agg(F.count("*").alias("n"))
+    lambda c: r.as_of_run(c, _largest_run(c)).groupBy(F.lower("cid").alias("cid")).agg(F.count("*").alias("n"))
 )
 _add("run_tally", "SELECT source, count(value) AS assertions, count(retracts) AS retractions, count(DISTINCT subject) AS files FROM rec GROUP BY 1")(ask.tally)
 _add(
@@ -224,7 +239,7 @@ _add("first_sighting", "SELECT subject, value AS place, min(time) AS first FROM
 # -- kinds, worklists, places
 
 _add("of_kind", "SELECT DISTINCT subject FROM live WHERE attribute = 'file:mime' AND value IN ('\"image/jpeg\"', '\"application/pdf\"')")(lambda c: ask.kinds(c, ["image/jpeg", "application/pdf"]))
-_SOURCE = "extractor:image-raster/1"
+_SOURCE = "extractor:image-exif/1"
 _add(
     "worklist",
     f"SELECT subject FROM live WHERE attribute = 'file:mime' AND value = '\"image/jpeg\"' EXCEPT SELECT subject FROM live WHERE attribute = 'prov:examined' AND value = '\"{_SOURCE}\"'",
@@ -290,11 +305,54 @@ _add(
     ", w AS (SELECT json_extract_string(value, '$') AS path, subject, time, cid FROM live WHERE attribute = 'file:path' AND value LIKE '\"%')"
     " SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY path ORDER BY time DESC, cid DESC) = 1",
 )(paths.newest_by_path)
-_add("forest", None)(paths.forest)
-_add("layout_export", None)(paths.layout)
-_add("layout_disambiguate", None)(lambda c: paths.disambiguate(paths.layout(c)))
-_add("excluded_paths", "SELECT path, subject FROM paths WHERE regexp_matches(path, '(?s)(^|/)[^/]*\\.zip(/|$)') OR regexp_matches(path, '(?s)^/?home/.*/scan[^/]*(/|$)')")(
-    lambda c: paths.all_paths(c).where(paths.excluded(F.col("path"), ["*.zip", "/home/**/scan*"]))
+_PARTS = "list_filter(string_split({}, '/'), lambda x: x NOT IN ('', '.', '..'))"
+_ASIDE = "regexp_replace({0}, '(?s)^(.*[^/])(\\.[^./]*)$', '\\1-' || {1} || '\\2')"
+_EPOCH = "(epoch(make_date(y::BIGINT, m::BIGINT, 1)) + (d - 1) * 86400 + h * 3600 + mi * 60 + s)::BIGINT"
+_add(
+    "forest",
+    f""", won AS (SELECT {_PARTS.format('path')} AS c, path, subject, time FROM (SELECT json_extract_string(value, '$') AS path, subject, time, cid FROM live WHERE attribute = 'file:path' AND value LIKE '"%')
+      QUALIFY row_number() OVER (PARTITION BY path ORDER BY time DESC, cid DESC) = 1),
+    file AS (SELECT * FROM won WHERE len(c) > 0 QUALIFY row_number() OVER (PARTITION BY c ORDER BY path DESC) = 1),
+    folder AS (SELECT DISTINCT c[1:n] AS c FROM (SELECT c, unnest(range(1, len(c))) AS n FROM file)),
+    shown AS (SELECT CASE WHEN c IN (SELECT c FROM folder) THEN list_append(c[1:len(c) - 1], CASE WHEN regexp_matches(c[len(c)], '^(.*[^/])(\\.[^./]*)$') THEN {_ASIDE.format('c[len(c)]', 'subject[1:8]')} ELSE c[len(c)] || '-' || subject[1:8] END)
+      ELSE c END AS c, subject, time FROM file),
+    size AS (SELECT subject, try_cast(value AS BIGINT) AS size FROM live WHERE attribute = 'file:size' QUALIFY row_number() OVER (PARTITION BY subject ORDER BY time DESC, cid DESC) = 1),
+    changed AS (SELECT subject, json_extract_string(value, '$') AS moment FROM live WHERE attribute = 'file:modified' QUALIFY row_number() OVER (PARTITION BY subject ORDER BY time DESC, cid DESC) = 1),
+    t AS (SELECT DISTINCT x, regexp_extract(x, '^([0-9]+)-([0-9]+)-([0-9]+)T([0-9]+):([0-9]+):([0-9]+)([.].*)?Z?$', ['y', 'm', 'd', 'h', 'mi', 's', 'f']) AS g FROM (SELECT moment AS x FROM changed UNION SELECT time FROM won)),
+    u AS (SELECT x, {_EPOCH} AS e FROM (SELECT x, try_cast(g.y AS BIGINT) AS y, try_cast(g.m AS BIGINT) AS m, try_cast(g.d AS BIGINT) AS d, try_cast(g.h AS BIGINT) AS h, try_cast(g.mi AS BIGINT) AS mi, try_cast(g.s AS BIGINT) AS s FROM t)
+      WHERE m BETWEEN 1 AND 12 AND d BETWEEN 1 AND 31 AND h <= 23 AND mi <= 59 AND y <= 9999),
+    e AS (SELECT x, e FROM u WHERE e BETWEEN 0 AND 4294967295),
+    node AS (SELECT c, false AS folder, shown.subject, coalesce(size, 0) AS size, coalesce(a.e, b.e, 0) AS modified FROM shown LEFT JOIN size USING (subject) LEFT JOIN changed ON changed.subject = shown.subject
+      LEFT JOIN e a ON a.x = changed.moment LEFT JOIN e b ON b.x = shown.time UNION ALL SELECT c, true, NULL, NULL, NULL FROM folder),
+    numbered AS (SELECT *, row_number() OVER (ORDER BY c) AS id FROM node)
+    SELECT n.id, coalesce(p.id, 0) AS parent, n.c[len(n.c)] AS name, n.folder, n.subject, n.size, n.modified FROM numbered n LEFT JOIN numbered p ON p.folder AND p.c = n.c[1:len(n.c) - 1]""",
+)(paths.forest)
+_LAID = f""", pl AS (SELECT DISTINCT subject, attribute, json_extract_string(value, '$') AS place FROM (SELECT subject, attribute, value, CASE attribute WHEN 'file:path' THEN 0 WHEN 'mailbox:place' THEN 1 ELSE 2 END AS k FROM vals
+      WHERE attribute IN ('file:path', 'mailbox:place', 'file:name') AND value LIKE '"%' QUALIFY k = min(k) OVER (PARTITION BY subject))),
+    pathed AS (SELECT subject, c, c[1:len(c) - 1] AS dirs, CASE WHEN len(c) > 1 THEN c[1] END AS root FROM (SELECT subject, {_PARTS.format("regexp_replace(place, '^@', '')")} AS c FROM pl WHERE attribute = 'file:path') WHERE len(c) > 0),
+    grp AS (SELECT root, min(dirs) AS low, max(dirs) AS high, count(*) AS n FROM pathed GROUP BY root),
+    sh AS (SELECT root, len(list_filter(range(1, least(len(low), len(high)) + 1), lambda i: low[1:i] = high[1:i])) AS shared FROM grp),
+    whole AS (SELECT len(list_filter(range(1, least(len(low), len(high)) + 1), lambda i: low[1:i] = high[1:i])) AS shared, n, groups FROM (SELECT min(low) AS low, max(high) AS high, sum(n) AS n, count(*) AS groups FROM grp)),
+    laid AS (SELECT subject, c[CASE WHEN w.n = 1 OR w.shared > 0 OR w.groups = 1 THEN w.shared + 1 WHEN s.shared = 0 THEN 1 ELSE s.shared END:] AS t FROM pathed p JOIN sh s ON s.root IS NOT DISTINCT FROM p.root, whole w
+      UNION ALL SELECT subject, c[len(c):] FROM (SELECT subject, {_PARTS.format('place')} AS c FROM pl WHERE attribute = 'file:name') WHERE len(c) > 0
+      UNION ALL SELECT subject, list_append({_PARTS.format("split_part(place, ':', 1)")} || CASE WHEN contains(place, ':') THEN {_PARTS.format("place[instr(place, ':') + 1:]")} ELSE [] END, subject || '.eml') FROM pl WHERE attribute = 'mailbox:place'),
+    target AS (SELECT subject, array_to_string(t, '/') AS target FROM laid)"""
+_add("layout_export", _LAID + " SELECT * FROM target")(paths.layout)
+_add(
+    "layout_disambiguate",
+    _LAID + """, n AS (SELECT subject, target, row_number() OVER (PARTITION BY target ORDER BY subject) AS n FROM (SELECT DISTINCT * FROM target)),
+    free AS (SELECT target, k, row_number() OVER (PARTITION BY target ORDER BY k) AS n FROM (SELECT DISTINCT d.target, k, CASE WHEN regexp_matches(d.target, '(?s)^(.*[^/])(\\.[^./]*)$') THEN regexp_replace(d.target, '(?s)^(.*[^/])(\\.[^./]*)$', '\\1-' || k || '\\2')
+      ELSE d.target || '-' || k END AS name FROM (SELECT target, unnest(range(2, (2 * max(n) + 1)::BIGINT)) AS k FROM n GROUP BY target HAVING max(n) > 1) d) WHERE name NOT IN (SELECT target FROM target))
+    SELECT n.subject, n.target, CASE WHEN n.n = 1 THEN n.target WHEN regexp_matches(n.target, '(?s)^(.*[^/])(\\.[^./]*)$') THEN regexp_replace(n.target, '(?s)^(.*[^/])(\\.[^./]*)$', '\\1-' || f.k || '\\2') ELSE n.target || '-' || f.k END AS name
+    FROM n LEFT JOIN free f ON f.target = n.target AND f.n = n.n - 1""",
+)(lambda c: paths.disambiguate(paths.layout(c)))
+_add("layout_names", _LAID.replace("target AS (SELECT subject, array_to_string(t, '/') AS target FROM laid)", "target AS (SELECT subject, t[len(t)] AS target FROM laid)") + """, n AS (SELECT subject, target, row_number() OVER (PARTITION BY lower(target) ORDER BY target, subject) AS n FROM (SELECT DISTINCT * FROM target))
+    SELECT lower(target) AS wanted, count(*) AS copies FROM n GROUP BY 1""")(
+    lambda c: paths.disambiguate(paths.layout(c).select("subject", F.element_at(F.split("target", "/"), -1).alias("target")), fold_case=True)
+    .groupBy(F.lower("target").alias("wanted")).agg(F.count_distinct(F.lower("name")).alias("copies"))
+)
+_add("excluded_paths", "SELECT path, subject FROM paths WHERE regexp_matches(path, '(?s)(^|/)[^/]*\\.zip(/|$)') OR regexp_matches(path, '(?s)^/*home/(.*/)?scan[^/]*(/|$)')")(
+    lambda c: paths.all_paths(c).where(paths.excluded(F.regexp_replace("path", "^/+", ""), ["*.zip", "/home/**/scan*"]))
 )
 _LIST = f"SELECT DISTINCT json_extract_string(value, '$') AS path FROM rec WHERE attribute = 'file:path' AND value LIKE '\"%' AND time > '{_CUT}'"
 _add("gone_places", f"SELECT path, subject FROM paths WHERE starts_with(path, '/home/') AND path NOT IN ({_LIST})")(
@@ -330,15 +388,63 @@ _add("content_by_prefix", "SELECT lower(digest) AS digest, min(store) AS store F
 _add("seal_cover", "SELECT DISTINCT subject AS digest FROM (SELECT lower(subject) AS subject FROM claims WHERE seq <= 1)")(lambda c: verify.seal_cover(c, 1))
 _add("since_seal", "SELECT seq, count(*) AS claims, count(DISTINCT subject) AS files FROM rec WHERE seq > 1 GROUP BY 1")(lambda c: verify.since_seal(c, 1))
 _add("delta_files", "SELECT DISTINCT lower(subject) AS digest FROM claims EXCEPT SELECT lower(subject) FROM claims WHERE seq <= 1")(lambda c: verify.delta(c, c.where(F.col("seq") <= 1)))
-_add("sealed_order", "SELECT cid, seq, row_number() OVER (PARTITION BY seq ORDER BY time, cid) - 1 AS place FROM rec")(verify.sealed_order)
-_add("seal_segments", None)(verify.sealed_digests)
+#: The line of a claim in SQL, whose texts but the value hold nothing to escape.
+_LINE = """'{"subject":"' || subject || '","attribute":"' || attribute || '",' || CASE WHEN retracts IS NULL THEN '"value":' || value ELSE '"retracts":["' || array_to_string(retracts, '","') || '"]' END || ',"time":"' || time || '","source":"' || source || '"' || coalesce(',"run":"' || run || '"', '') || '}'"""
+_add("sealed_order", f"SELECT cid, seq, row_number() OVER (PARTITION BY seq ORDER BY time, {_LINE}, cid) - 1 AS place FROM rec")(verify.sealed_order)
+_add(
+    "seal_segments",
+    f"""SELECT r.seq, sha256('{{"segment":1' || coalesce(',"previous":"' || lower(any_value(s.previous)) || '"', '') || '}}' || chr(10) || string_agg({_LINE} || chr(10), '' ORDER BY time, {_LINE})) AS digest
+    FROM rec r LEFT JOIN segments s ON s.seq = r.seq WHERE r.seq IS NOT NULL GROUP BY r.seq""",
+    "claims", "segments",
+)(verify.sealed_digests)
+
+
+def _fixities(blobs: DataFrame, documents: DataFrame) -> DataFrame:
+    """The state of each held copy: the tables hold bytes of texts only, so a copy is that of its document, and of another length than it damaged."""
+    texts = documents.where(F.col("text").isNotNull() & F.col("subject").isNotNull()).groupBy(F.lower("subject").alias("digest")).agg(F.min("text").alias("text"))
+    copies = blobs.where(F.col("removed").isNull()).select(F.lower("digest").alias("digest"), "store", "length").join(texts, "digest")
+    cut = F.when(F.col("length") == F.octet_length("text"), F.encode("text", "utf-8")).when(F.col("length").isNotNull(), F.encode(F.concat("text", F.lit("?")), "utf-8"))
+    return verify.fixity(copies.select("store", "digest", cut.alias("content")), keep=("store",)).distinct()
+
+
+_FIXITIES = """, x AS (SELECT lower(subject) AS digest, min(text) AS text FROM documents WHERE text IS NOT NULL AND subject IS NOT NULL GROUP BY 1),
+    fix AS (SELECT DISTINCT lower(b.digest) AS digest, store, CASE WHEN length IS NULL THEN 'unreadable' WHEN sha256(CASE WHEN length = octet_length(encode(text)) THEN text ELSE text || '?' END) = x.digest THEN 'sound' ELSE 'damaged' END AS fixity
+      FROM blobs b JOIN x ON x.digest = lower(b.digest) WHERE removed IS NULL)"""
+_add("blob_fixity", _FIXITIES + " SELECT digest, store, fixity FROM fix", "blobs", "documents")(_fixities)
 _add(
     "set_aside_sources",
-    ", g AS (SELECT lower(digest) AS subject FROM blobs GROUP BY 1 HAVING bool_and(removed IS NOT NULL))"
-    " SELECT g.subject, p.value AS path, g.subject IN (SELECT subject FROM vals WHERE attribute = 'file:mime' AND value = '\"message/rfc822\"') AS mail"
-    " FROM g LEFT JOIN (SELECT subject, value FROM vals WHERE attribute = 'file:path') p ON p.subject = g.subject",
+    _FIXITIES + """ SELECT DISTINCT f.digest, f.store = 'derived' AS derived, p.path, f.digest IN (SELECT subject FROM vals WHERE attribute = 'mailbox:place') AS mail
+    FROM fix f LEFT JOIN paths p ON p.subject = f.digest WHERE f.fixity = 'damaged'""",
+    "claims", "blobs", "documents",
+)(lambda c, b, d: verify.set_aside(c, _fixities(b, d)))
+_add(
+    "weed_twins",
+    _FIXITIES + """, t AS (SELECT digest, max(fixity) FILTER (WHERE store = 'content') AS c, max(fixity) FILTER (WHERE store = 'derived') AS d FROM fix GROUP BY 1)
+    SELECT digest, CASE WHEN c = 'sound' AND d IN ('sound', 'damaged') THEN 'release' WHEN c = 'damaged' AND d = 'sound' THEN 'repair' ELSE 'stand' END AS verdict FROM t WHERE c IS NOT NULL AND d IS NOT NULL""",
+    "blobs", "documents",
+)(lambda b, d: verify.weed(_fixities(b, d)))
+_add(
+    "describe_files",
+    """, f AS (SELECT digest, digest NOT IN (SELECT subject FROM live WHERE attribute = 'file:size') AS no_size, digest NOT IN (SELECT subject FROM live WHERE attribute = 'file:mime') AS no_mime
+      FROM (SELECT digest FROM held INTERSECT SELECT digest FROM refs)), l AS (SELECT lower(digest) AS digest, max(length) AS size FROM blobs WHERE removed IS NULL GROUP BY 1)
+    SELECT digest AS subject, 'file:size' AS attribute, size::VARCHAR AS value FROM f JOIN l USING (digest) WHERE no_size AND size IS NOT NULL
+    UNION ALL SELECT digest, 'file:mime', '"application/octet-stream"' FROM f JOIN l USING (digest) WHERE no_mime""",
     "claims", "blobs",
-)(verify.set_aside)
+)(
+    lambda c, b: verify.describe(
+        verify.undescribed(c, b), b.where(F.col("removed").isNull()).groupBy(F.lower("digest").alias("digest")).agg(F.max("length").alias("size")).withColumn("mime", F.lit("application/octet-stream")), "2026-12-01T00:00:00Z", "r"
+    ).select("subject", "attribute", "value")
+)
+_add(
+    "audit_findings",
+    """, l AS (SELECT s.seq, lower(s.digest) AS digest, CASE WHEN s.previous IS NULL THEN 'first' WHEN lower(s.previous) NOT IN (SELECT lower(digest) FROM segments) THEN 'missing' WHEN (SELECT count(*) FROM segments o WHERE lower(o.previous) = lower(s.previous)) > 1 THEN 'forked' ELSE 'linked' END AS link FROM segments s)
+    SELECT 'missing' AS kind, digest AS name FROM (SELECT digest FROM refs EXCEPT SELECT digest FROM held) UNION ALL SELECT 'unrecorded', digest FROM (SELECT digest FROM held EXCEPT SELECT digest FROM refs)
+    UNION ALL SELECT 'twin', digest FROM (SELECT lower(digest) AS digest FROM blobs WHERE removed IS NULL AND store = 'content' INTERSECT SELECT lower(digest) FROM blobs WHERE removed IS NULL AND store = 'derived')
+    UNION ALL SELECT 'undescribed', digest FROM (SELECT digest FROM held INTERSECT SELECT digest FROM refs) WHERE digest NOT IN (SELECT subject FROM live WHERE attribute = 'file:size') OR digest NOT IN (SELECT subject FROM live WHERE attribute = 'file:mime')
+    UNION ALL SELECT CASE link WHEN 'forked' THEN 'forked' ELSE 'missing-segment' END, digest FROM l WHERE link IN ('forked', 'missing')
+    UNION ALL SELECT 'miscounted', seq::VARCHAR FROM (SELECT s.seq, s.n_claims, count(c.cid) AS n FROM segments s LEFT JOIN claims c ON c.seq = s.seq GROUP BY 1, 2) WHERE n <> n_claims""",
+    "claims", "blobs", "segments",
+)(verify.findings)
 _add("audit_since", "SELECT DISTINCT lower(digest) AS digest, store FROM blobs WHERE coalesce(stored >= TIMESTAMP '2025-01-01', true)", "blobs")(lambda b: verify.stored_since(b, "2025-01-01 00:00:00"))
 
 # -- writing and surgery
@@ -394,7 +500,26 @@ _add(
 _add("remove_files", None, "claims", "blobs")(
     lambda c, b: rewrite.remove(c, verify.missing(c, b).select(F.col("digest").alias("subject")), b.where(F.col("store") == "content").select(F.lower("digest").alias("subject"))).select("cid")
 )
-_add("rehash_map", None)(rewrite.rehash)
+_RENAMED = f"""CASE WHEN attribute = 'prov:origin' AND value LIKE '"%' THEN '"' || (SELECT any_value(new) FROM names WHERE old = lower(json_extract_string(value, '$'))) || '"' ELSE value END"""
+_add(
+    "rehash_map",
+    f""", names AS (SELECT digest AS old, md5(digest) || md5(digest || '1') || md5(digest || '2') || md5(digest || '3') AS new FROM (SELECT DISTINCT digest FROM held)),
+    made AS (SELECT cid AS old_cid, n.new AS subject, attribute, {_RENAMED} AS value, NULL::VARCHAR[] AS retracts, time, source, run, r.subject AS was FROM rec r LEFT JOIN names n ON n.old = r.subject WHERE retracts IS NULL),
+    ided AS (SELECT old_cid AS cid, sha256({_LINE}) AS new_cid FROM made),
+    aim AS (SELECT cid, unnest(retracts) AS target, generate_subscripts(retracts, 1) AS k FROM rec WHERE retracts IS NOT NULL),
+    aimed AS (SELECT a.cid, list(coalesce(i.new_cid, a.target) ORDER BY k) AS retracts FROM aim a LEFT JOIN ided i ON i.cid = a.target GROUP BY 1),
+    taken AS (SELECT r.cid AS old_cid, n.new AS subject, r.attribute, NULL AS value, a.retracts, r.time, r.source, r.run FROM rec r JOIN aimed a ON a.cid = r.cid LEFT JOIN names n ON n.old = r.subject)
+    SELECT cid, new_cid FROM ided UNION ALL SELECT old_cid, sha256({_LINE}) FROM taken""",
+    "claims", "blobs",
+)(
+    lambda c, b: rewrite.rehash(c, held(b).distinct().select(F.col("digest").alias("old"), F.concat(*[F.md5(F.concat("digest", F.lit(k))) for k in ("", "1", "2", "3")]).alias("new")), 256).select("cid", "new_cid")
+)
+_add(
+    "replace_files",
+    """, p AS (SELECT digest AS old, reverse(digest) AS new FROM (SELECT digest FROM refs EXCEPT SELECT digest FROM held))
+    SELECT p.new AS subject, attribute, value, min(time) AS time FROM live l JOIN p ON p.old = l.subject WHERE attribute NOT IN ('file:size', 'file:mime') AND source NOT LIKE 'extractor:%' GROUP BY 1, 2, 3""",
+    "claims", "blobs",
+)(lambda c, b: rewrite.replace(c, verify.missing(c, b).select(F.col("digest").alias("old"), F.reverse("digest").alias("new"))).select("subject", "attribute", "value", "time"))
 _add("restate_attribute", "SELECT subject, value FROM vals WHERE attribute = 'mailbox:tag' EXCEPT SELECT subject, value FROM vals WHERE attribute = 'user:tag'")(lambda c: rewrite.restate(c, "mailbox:tag", "user:tag"))
 
 # -- listings held against each other
@@ -410,13 +535,21 @@ _add(
 )
 _add(
     "ledger_claim",
-    ", l AS (SELECT value AS key, cid AS place, row_number() OVER (PARTITION BY value ORDER BY cid) AS n FROM rec WHERE attribute = 'user:tag' AND value IS NOT NULL), a AS (SELECT value AS key, count(*) AS copies FROM live WHERE attribute = 'user:tag' GROUP BY 1)"
-    " SELECT key, place FROM l JOIN a USING (key) WHERE n <= copies",
+    """, l AS (SELECT value AS key, cid AS place, row_number() OVER (PARTITION BY value ORDER BY cid) AS n, count(*) OVER (PARTITION BY value) AS listed FROM rec WHERE attribute = 'user:tag' AND value IS NOT NULL),
+    a AS (SELECT value AS key, count(*) AS copies FROM live WHERE attribute = 'user:tag' GROUP BY 1)
+    SELECT key, place, n <= coalesce(copies, 0) AS taken, coalesce(copies, 0) >= listed AS settled FROM l LEFT JOIN a USING (key)""",
 )(
-    lambda c: reconcile.claimed(
+    lambda c: reconcile.claimed_copies(
         r.record(c).where((F.col("attribute") == "user:tag") & F.col("value").isNotNull()).select(F.col("value").alias("key"), F.col("cid").alias("place")), r.live(c, ["user:tag"]).select(F.col("value").alias("key"))
     )
 )
+_add("ledger_claim_cut", None, "claims")(
+    # The same listing as a server gives it that cuts keys at 128 bytes, of keys made longer than that.
+    lambda c: reconcile.claimed_copies(
+        r.record(c).where((F.col("attribute") == "user:tag") & F.col("value").isNotNull()).select(F.substring(F.concat(F.repeat(F.lit("k"), F.lit(120)), "value"), 1, 129).alias("key"), F.col("cid").alias("place")),
+        r.live(c, ["user:tag"]).select(F.concat(F.repeat(F.lit("k"), F.lit(120)), "value").alias("key")),
+    ).groupBy("taken", "settled").agg(F.count("*").alias("n"))
+)
 _COPY = "SELECT DISTINCT lower(subject) AS subject, value FROM standing WHERE attribute = 'mailbox:tag'"
 _add(
     "tag_snapshot_diff",
@@ -453,9 +586,15 @@ _add(
 )(lambda e: reconcile.frontier(e.withColumn("ok", F.col("event_type") != "error"), "user_id", "event_id", "ok"))
 _add(
     "pending_attempts",
-    "SELECT user_id, count(*) AS tries, count(*) >= 3 AS given_up FROM events GROUP BY 1 HAVING NOT bool_or(event_type = 'purchase')",
+    "SELECT user_id, event_type, count(*) AS tries, count(*) >= 3 AS given_up FROM events GROUP BY 1, 2 HAVING NOT bool_or(value > 60)",
     "events",
-)(lambda e: reconcile.pending(e.withColumn("ok", F.col("event_type") == "purchase"), ["user_id"]))
+)(lambda e: reconcile.pending(e.withColumn("ok", F.col("value") > 60), ["user_id", "event_type"]))
+_add(
+    "fetch_stops",
+    """SELECT user_id, min(event_id) AS stop FROM (SELECT *, row_number() OVER (PARTITION BY user_id, good ORDER BY event_id) AS n FROM (SELECT *, count(*) FILTER (WHERE event_type = 'click') OVER (PARTITION BY user_id ORDER BY event_id) AS good FROM events)
+      WHERE event_type <> 'click') WHERE n = 10 GROUP BY 1""",
+    "events",
+)(lambda e: reconcile.stopped(e.withColumn("ok", F.col("event_type") == "click"), ["user_id"], "event_id", "ok"))
 
 # -- grammar and scalar functions
 
@@ -482,18 +621,24 @@ _add(
     "claims_ids",
     """SELECT cid, sha256('{"subject":"' || subject || '","attribute":"' || attribute || '","value":' || value || ',"time":"' || time || '","source":"' || source || '"' || coalesce(',"run":"' || run || '"', '') || '}') AS id FROM live""",
 )(lambda c: r.live(c).withColumn("retracts", F.lit(None).cast("array<string>")).select("cid", grammar.claim_id().alias("id")))
-_add("blank_text", "SELECT doc_id, regexp_matches(replace(text, chr(160), ' '), '^\\s*$') AS blank FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '^[\\x00-\\x7f]*$')", "documents")(
+_WHITE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_add("blank_text", f"SELECT doc_id, regexp_matches(text, '^{_WHITE}*$') AS blank FROM documents WHERE text IS NOT NULL", "documents")(
     lambda d: d.where(F.col("text").isNotNull()).select("doc_id", names.blank(F.col("text")).alias("blank"))
 )
 _add("line_breaks", "SELECT doc_id, md5(regexp_replace(text, '\\r\\n?', chr(10), 'g')) AS digest FROM documents WHERE text IS NOT NULL", "documents")(
     lambda d: d.where(F.col("text").isNotNull()).select("doc_id", F.md5(names.line_breaks(F.col("text"))).alias("digest"))
 )
 _add("junk_ratio", None, "documents")(lambda d: d.select("doc_id", names.junk_percent(F.col("text")).alias("percent")))
+_SIZED = " ".join(f"WHEN length < 10 * pow(1024, {p}) THEN printf('%.1f {u}', length / pow(1024, {p}))" + (f" WHEN length < pow(1024, {p + 1}) THEN printf('%.0f {u}', length / pow(1024, {p}))" if u != "PiB" else f" ELSE printf('%.0f {u}', length / pow(1024, {p}))") for p, u in enumerate(names.UNITS, 1))
+_WHOLE = " ".join(f"WHEN length > 0 AND length % {1024**p} = 0 THEN (length // {1024**p}) || ' {u}'" for p, u in reversed(list(enumerate(names.UNITS[:4], 1))))
 _add(
     "byte_counts",
-    "SELECT DISTINCT length AS size, CASE WHEN length < 1024 THEN length || ' B' WHEN length < 1048576 THEN printf('%.1f KiB', length / 1024.0) WHEN length < 1073741824 THEN printf('%.1f MiB', length / 1048576.0) ELSE printf('%.1f GiB', length / 1073741824.0) END AS shown FROM blobs WHERE length IS NOT NULL",
+    f"SELECT DISTINCT length AS size, CASE WHEN length < 1024 THEN length || ' B' {_SIZED} END AS shown, CASE {_WHOLE} ELSE length || ' bytes' END AS bound FROM (SELECT length FROM blobs UNION ALL SELECT length * 1048576 FROM blobs UNION ALL SELECT length * 1000000007 FROM blobs) WHERE length IS NOT NULL",
     "blobs",
-)(lambda b: b.where(F.col("length").isNotNull()).select(F.col("length").alias("size"), names.byte_count(F.col("length")).alias("shown")).distinct())
+)(
+    lambda b: b.where(F.col("length").isNotNull()).select(F.explode(F.transform(F.array(F.lit(1), F.lit(1048576), F.lit(1000000007)), lambda x: F.col("length").cast("bigint") * x)).alias("size")).distinct()
+    .select("size", names.byte_count(F.col("size")).alias("shown"), names.whole_byte_count(F.col("size")).alias("bound"))
+)
 _add("path_components", "SELECT path, array_to_string(list_filter(string_split(path, '/'), lambda x: x NOT IN ('', '.', '..')), '|') AS components FROM (SELECT DISTINCT path FROM paths)")(
     lambda c: paths.all_paths(c).select("path").distinct().select("path", F.array_join(paths.components(F.col("path")), "|").alias("components"))
 )
@@ -510,8 +655,11 @@ _add(
     "compare_keys",
     "SELECT DISTINCT json_extract_string(value, '$') AS id, lower(regexp_replace(regexp_replace(json_extract_string(value, '$'), '^\\s*<|>\\s*$', '', 'g'), '\\s', '', 'g')) AS key FROM live WHERE attribute = 'mail:message-id' AND value LIKE '\"%'",
 )(lambda c: ask.values(c, "mail:message-id").where(F.col("value").startswith('"')).select(paths.path_text(F.col("value")).alias("id")).distinct().select("id", names.compare_key(F.col("id")).alias("key")))
-_add("unix_round_trip", "SELECT DISTINCT time, least(greatest(epoch(time::TIMESTAMP), 0), 4294967295)::BIGINT AS seconds FROM claims WHERE regexp_matches(time, '^....-..-..T..:..:[0-5].Z$')")(
-    lambda c: c.where(F.col("time").rlike(r"^....-..-..T..:..:[0-5].Z\z")).select("time").distinct().select("time", names.epoch(F.col("time")).cast("bigint").alias("seconds"))
+_add(
+    "unix_round_trip",
+    "SELECT DISTINCT time, epoch(time::TIMESTAMP)::BIGINT AS seconds, time AS back FROM claims WHERE regexp_matches(time, '^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-5][0-9]Z$') AND try_cast(time AS TIMESTAMP) IS NOT NULL",
+)(
+    lambda c: c.where(grammar.valid_time(F.col("time")) & ~F.col("time").endswith(":60Z")).select("time").distinct().withColumn("seconds", names.epoch(F.col("time"))).withColumn("back", spelled(F.col("seconds")))
 )
 _add("mail_addresses", None)(lambda c: mail.standing_addresses(ask.values(c, "mail:from")))
 

@@ -12,11 +12,12 @@ from claimwright.functions import grammar
 
 LINE = "subject string, attribute string, value string, retracts array<string>, time string, source string, run string"
 MEMBERS = [c.split()[0] for c in LINE.split(", ")]
+#: The member of a header that holds the generation; a parameter of an archive.
 HEADER = "segment"
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
-    """Claim lines (value) as claims with their id, and ``fault`` where a line is none.
+def parse_lines(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Claim lines (value) as claims with their id, ``fault`` where a line is none, and the columns *keep*.
 
     The id is that of the bytes read, and a value keeps the spelling of the line. Unknown members, both or neither of value and
     retracts, a null value and ill-formed fields are faults.
@@ -24,7 +25,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     line = F.col("value")
     row = F.from_json(line, LINE, {"mode": "PERMISSIVE"})
     keys = F.json_object_keys(line)
-    df = lines.select(line.alias("line"), keys.alias("keys"), row.alias("r"))
+    df = lines.select(*keep, line.alias("line"), keys.alias("keys"), row.alias("r"))
     value = F.get_json_object("line", "$.value")
     text = F.when(F.array_contains("keys", "value"), F.to_json(F.try_variant_get(F.try_parse_json("line"), "$.value", "variant")))
     df = df.withColumns({**{k: F.col("r")[k] for k in MEMBERS if k != "value"}, "value": text, "has_value": value.isNotNull()})
@@ -37,7 +38,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         .when(F.size("retracts") == 0, "empty retracts").when(~F.coalesce(good, F.lit(False)), "field")
     )
     written = F.when(F.col("value").isNotNull(), F.coalesce(grammar.written_value("line"), "value")).alias("value")
-    return df.select(F.lower("subject").alias("subject"), "attribute", written, "time", "source", "run", "retracts", F.sha2("line", 256).alias("cid"), "line", fault.alias("fault"))
+    return df.select(*keep, F.lower("subject").alias("subject"), "attribute", written, "time", "source", "run", "retracts", F.sha2("line", 256).alias("cid"), "line", fault.alias("fault"))
 
 
 def claim_lines(claims: DataFrame) -> DataFrame:
@@ -45,11 +46,6 @@ def claim_lines(claims: DataFrame) -> DataFrame:
     return claims.select("*", grammar.claim_line().alias("line"))
 
 
-def write_segment(claims: DataFrame, path: str) -> None:
-    """One segment as text lines in sealed order (time, line). A segment is of bounded size by the seal rule."""
-    claim_lines(claims).select("time", "line").orderBy("time", "line").select("line").coalesce(1).write.mode("errorifexists").text(path)
-
-
 def read_segments(spark: SparkSession, *paths: str) -> DataFrame:
     return parse_lines(spark.read.text(list(paths)))
 
@@ -68,7 +64,8 @@ def chain(links: Iterable[tuple[str, str | None]], last: str) -> list[str]:
 
 
 def header(previous: str | None) -> str:
-    return json.dumps({HEADER: 1, "previous": previous}, separators=(",", ":"))
+    """The first line of a segment; that of the first segment names none before it."""
+    return json.dumps({HEADER: 1} | ({"previous": previous} if previous else {}), separators=(",", ":"))
 
 
 def segment_digest(previous: str | None, lines: list[str]) -> str:
