@@ -12,13 +12,10 @@ import io
 import json
 import re
 import struct
-import tempfile
-import uuid
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from email import message_from_bytes, policy
 from functools import lru_cache
 from html.parser import HTMLParser
 from xml.etree import ElementTree
@@ -26,8 +23,10 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from claimwright.extract import sniff
-from claimwright.functions.mail import address_list, decoded_text
+from claimwright.extract import headers, mime, sniff
+from claimwright.operators import ask
+from claimwright.plans.skew import union_all
+from claimwright.plans.tables import work_folder
 
 ANSWER = "subject string, source string, derived string, attribute string, value string, error string"
 #: An answer of a round: the kind under which the subject was examined, and on one row per derived file its kind and bytes.
@@ -44,6 +43,8 @@ class Findings:
 
     facts: list[tuple[str, object]] = field(default_factory=list)
     files: list[tuple[bytes, list[tuple[str, object]]]] = field(default_factory=list)
+    #: What could not be recorded, and why; remarks are no facts.
+    remarks: list[str] = field(default_factory=list)
 
 
 @dataclass(frozen=True)
@@ -54,38 +55,40 @@ class Contract:
 
 
 @lru_cache(maxsize=1)
-def _message(data: bytes):
-    """The message of *data*, parsed once for the contracts that read it one after the other; none changes it."""
-    return message_from_bytes(data, policy=policy.compat32)
+def _message(data: bytes) -> mime.Entity:
+    """The structure of *data*, found once for the contracts that read it one after the other; none changes it."""
+    return mime.parse(data)
 
 
 def mail_headers(data: bytes) -> Findings:
-    """Subject, sender, receivers, ids and date of a message."""
-    message = _message(data)
+    """The kind of a message, and each value of its recorded headers; of a mailbox its kind only."""
     out = Findings()
-    for name in ("subject", "message-id", "date"):
-        out.facts += [(f"mail:{name}", decoded_text(str(v))) for v in message.get_all(name, [])]
-    for name in ("from", "to", "cc"):
-        out.facts += [(f"mail:{name}", a) for v in message.get_all(name, []) for a in address_list(str(v))]
+    if sniff.looks_like_mbox(data):
+        out.facts.append(("file:mime", "application/mbox"))
+    elif sniff.looks_like_mail(data):
+        out.facts.append(("file:mime", "message/rfc822"))
+        for name, raw in _message(data).fields:
+            if name in headers.RECORDED:
+                values, remarks = headers.read(name, raw)
+                out.facts += [(f"mail:{name}", v) for v in values]
+                out.remarks += [f"mail:{name} not recorded, {r}" for r in remarks]
     return out
 
 
-def _walk(message, depth: int = 0):
-    if depth > 64:
-        return
-    yield message
-    if message.is_multipart():
-        for part in message.get_payload():
-            yield from _walk(part, depth + 1)
-
-
 def mail_attachments(data: bytes) -> Findings:
-    """Named parts of a message as derived files."""
+    """Named parts and attached messages as derived files, of the kind that they declare."""
     out = Findings()
-    for part in _walk(_message(data)):
-        name = part.get_filename()
-        if name and not part.is_multipart():
-            out.files.append((part.get_payload(decode=True) or b"", [("file:name", decoded_text(name)), ("file:path", "@" + decoded_text(name))]))
+    if not sniff.looks_like_mail(data):
+        return out
+    for part in _message(data).leaves():
+        if part.is_attachment:
+            kind = part.kind or ("message/rfc822" if part.is_message else "application/octet-stream")
+            facts = [("file:mime", kind)]
+            name = re.split(r"[/\\\\]", part.name)[-1].strip() if part.name else ""
+            if name not in ("", ".", ".."):
+                facts += [("file:name", name), ("file:path", "@" + part.name)]
+            own = headers.one_id(part.last("content-id") or "")
+            out.files.append((part.decoded(), facts + ([("mail:content-id", own)] if own else [])))
     return out
 
 
@@ -117,25 +120,40 @@ def html_text(html: str | None) -> str | None:
     return re.sub(r"\s*\n\s*", "\n", re.sub(r"[ \t\r\f]+", " ", "".join(parser.parts))).strip()
 
 
-def _decoded(part) -> str:
-    data = part.get_payload(decode=True) or b""
-    for charset in (part.get_content_charset(), "utf-8", "windows-1252"):
-        try:
-            return data.decode(charset)
-        except (LookupError, TypeError, UnicodeDecodeError):
-            continue
-    return data.decode("windows-1252", "replace")
+_HEADED = ("From", "To", "Cc", "Date", "Subject")
+
+
+def _blank(text: str) -> bool:
+    return not text.strip()
+
+
+def _shown(entity: mime.Entity) -> str:
+    """The text of a part that is body: plain, or of a page; of alternatives the first plain one that says something, else the first that does."""
+    if entity.parts is None:
+        if entity.is_attachment or entity.kind not in (None, "text/plain", "text/html"):
+            return ""
+        text = mime.as_text(entity.decoded(), entity.given.get("charset"))
+        return html_text(text) if entity.kind == "text/html" else re.sub("\r\n?", "\n", text)
+    if entity.kind == "multipart/alternative":
+        plain = (p for p in entity.parts if p.parts is None and p.kind == "text/plain")
+        shown = next((t for t in map(_shown, plain) if not _blank(t)), None)
+        return shown if shown is not None else next((t for t in map(_shown, entity.parts) if not _blank(t)), "")
+    out = ""
+    for text in map(_shown, entity.parts):
+        if text:
+            out += ("\n" if out and not out.endswith("\n") else "") + text
+    return out
 
 
 def mail_text(data: bytes) -> Findings:
-    """Header block and readable body as one derived text."""
-    message = _message(data)
-    head = [f"{n}: {decoded_text(str(message[n]))}" for n in ("From", "To", "Subject", "Date") if message[n]]
-    leaves = [p for p in _walk(message) if not p.is_multipart() and not p.get_filename()]
-    plain = [_decoded(p) for p in leaves if p.get_content_type() == "text/plain"]
-    body = plain or [html_text(_decoded(p)) for p in leaves if p.get_content_type() == "text/html"]
-    text = "\n".join([*head, "", *body]).replace("\r\n", "\n")
-    return Findings(files=[(text.encode(), [("file:mime", "text/plain")])])
+    """The headers of the letter, a blank line and its readable body as one derived text."""
+    if not sniff.looks_like_mail(data):
+        return Findings()
+    root = _message(data)
+    lines = [(n, " ".join(mime.unfolded(raw).split())) for n in _HEADED for own, raw in root.fields if own == n.lower()]
+    head, body = "".join(f"{n:<9}{v}\n" for n, v in lines if v), _shown(root)
+    text = head + ("\n" if head and not _blank(body) else "") + ("" if _blank(body) else body)
+    return Findings(files=[(text.encode("utf-8", "replace"), [("file:mime", "text/plain")])]) if text else Findings()
 
 
 def packed_list(data: bytes) -> Findings:
@@ -327,6 +345,10 @@ CONTRACTS = {
 }
 
 
+#: Troubles that are no file's own: the run stops.
+STOPS = (MemoryError, OSError, ImportError)
+
+
 def _spelt(value) -> str:
     return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
@@ -341,6 +363,8 @@ def _answer(contract: Contract, subject: str, data: bytes) -> tuple[list[tuple],
             own = [("prov:origin", subject), ("file:size", len(content)), *facts]
             out += [(subject, contract.source, digest, a, _spelt(v), None) for a, v in own]
         return sorted(set(out), key=lambda r: tuple(x or "" for x in r)), files
+    except STOPS:
+        raise
     except Exception as e:  # whatever a file's bytes provoke is that file's trouble
         return [(subject, contract.source, None, None, None, f"{type(e).__name__}: {e}"[:200])], []
 
@@ -366,31 +390,30 @@ def _round(work: DataFrame, runs: list[Contract]) -> DataFrame:
     names = [c.split()[0] for c in ROUND.split(", ")]
     taken = {m for c in runs for m in c.mimes}
 
-    def rows(subject: str, mime: str | None, data: bytes) -> Iterator[tuple]:
-        mime = mime or sniff.kind(data)
+    def rows(subject: str, kind: str | None, data: bytes) -> Iterator[tuple]:
+        kind = kind or sniff.kind(data)
         for contract in runs:
-            if mime not in contract.mimes:
+            if kind not in contract.mimes:
                 continue
             answer, files = _answer(contract, subject, data)
             for row in answer:
-                yield *row, mime, None, None
+                yield *row, kind, None, None
             if not answer:
-                yield subject, contract.source, None, None, None, None, mime, None, None
+                yield subject, contract.source, None, None, None, None, kind, None, None
             for digest, content, facts in files:
-                kind = dict(facts).get("file:mime")
-                if kind is None:
-                    kind = sniff.kind(content)
-                    yield subject, contract.source, digest, "file:mime", _spelt(kind), None, mime, None, None
-                if kind in taken:
-                    yield subject, contract.source, digest, None, None, None, mime, kind, content
+                told, found = dict(facts).get("file:mime"), sniff.kind(content)
+                if told != found:
+                    yield subject, contract.source, digest, "file:mime", _spelt(found), None, kind, None, None
+                for own in {told, found} & taken:
+                    yield subject, contract.source, digest, None, None, None, kind, own, content
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out, held = [], 0
-            for subject, mime, data in zip(part["subject"], part["mime"], part["content"]):
+            for subject, kind, data in zip(part["subject"], part["mime"], part["content"]):
                 if data is None:
                     continue
-                for row in rows(subject, mime, bytes(data)):
+                for row in rows(subject, kind, bytes(data)):
                     out.append(row)
                     held += len(row[-1] or b"")
                 if held > HANDED_ON:
@@ -410,8 +433,7 @@ def settle(files: DataFrame, runs: list[Contract] | None = None) -> DataFrame:
     """
     spark = files.sparkSession
     runs = list(CONTRACTS.values()) if runs is None else runs
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="claimwright-rounds-")
-    folder = f"{shared}/rounds-{uuid.uuid4()}"
+    folder = work_folder(spark, "rounds")
     work, paths = files.select("subject", F.lit(None).cast("string").alias("mime"), "content"), []
     while True:
         paths.append(f"{folder}/{len(paths)}")
@@ -427,6 +449,41 @@ def settle(files: DataFrame, runs: list[Contract] | None = None) -> DataFrame:
     return spark.read.schema(ROUND).parquet(*paths).select(*[c.split()[0] for c in ANSWER.split(", ")])
 
 
+def named(words: list[str]) -> list[Contract]:
+    """The contracts that *words* name: ``NAME`` all of an extractor, ``NAME:CONTRACT`` one; unknown ones and repeats are refused."""
+    out: list[Contract] = []
+    for word in words:
+        if not re.fullmatch(r"[a-z0-9]+(?::[a-z0-9-]+)?", word):
+            raise ValueError(f"not NAME or NAME:CONTRACT: {word}")
+        name, _, own = word.partition(":")
+        found = [c for c in CONTRACTS.values() if re.fullmatch(rf"extractor:{name}-{own or '[a-z0-9-]+'}/[0-9]+", c.source)]
+        if not found:
+            raise ValueError(f"no such contract: {word}")
+        if twice := [c.source for c in found if c in out]:
+            raise ValueError(f"named twice: {', '.join(twice)}")
+        out += found
+    return out
+
+
+def work(claims: DataFrame, runs: list[Contract], subjects: DataFrame | None = None, full: bool = False) -> DataFrame:
+    """What *runs* have to examine: rows (subject, source).
+
+    By default the files of the kinds of a contract that have no receipt of it; with *full*, also
+    those that have one. *subjects* (subject) are examined whatever their kind and receipts. As a dry
+    run this is the answer.
+    """
+    if subjects is not None:
+        return union_all([subjects.select("subject", F.lit(c.source).alias("source")).distinct() for c in runs])
+    rows = [(ask.kinds(claims, list(c.mimes)) if full else ask.worklist(claims, list(c.mimes), c.source)).withColumn("source", F.lit(c.source)) for c in runs]
+    return union_all(rows)
+
+
+def run(claims: DataFrame, files: DataFrame, runs: list[Contract], subjects: DataFrame | None = None, full: bool = False) -> DataFrame:
+    """The answers (ANSWER) of *runs* on their ``work``, with the bytes of *files* (subject, content)."""
+    todo = work(claims, runs, subjects, full)
+    return union_all([examine(todo.where(F.col("source") == c.source).join(files, "subject"), c) for c in runs])
+
+
 def recorded(answers: DataFrame, time: str, run: str) -> DataFrame:
     """Claims of *answers*: findings and facts of derived files, then a receipt per file without error."""
     made = lambda df: df.withColumns({"time": F.lit(time), "run": F.lit(run), "retracts": F.lit(None).cast("array<string>")})

@@ -14,17 +14,22 @@ MAGIC = [
     (b"PK\x03\x04", "application/zip"), (b"PK\x05\x06", "application/zip"), (b"\x1f\x8b", "application/gzip"), (b"BZh", "application/x-bzip2"), (b"\xfd7zXZ\0", "application/x-xz"), (b"OggS", "audio/ogg"), (b"fLaC", "audio/x-flac"),
 ]
 OFFICE = {"word/": "wordprocessingml.document", "xl/": "spreadsheetml.sheet", "ppt/": "presentationml.presentation"}
-HEADERS = {"from", "to", "cc", "subject", "date", "message-id", "received", "reply-to", "return-path", "mime-version", "content-type", "references", "in-reply-to", "sender", "delivered-to"}
+#: Names of headers that only a message has.
+HEADERS = {"from", "sender", "reply-to", "to", "cc", "bcc", "subject", "date", "message-id", "in-reply-to", "references", "received", "return-path", "delivered-to"}
 
 
 def header_names(data: bytes) -> list[str] | None:
-    """The names of a well-formed header block, or None."""
-    block = re.split(rb"\r?\n\r?\n", data[:65536], maxsplit=1)[0]
+    """The names of a well-formed header block, or None. Lines are read to the first empty one, however far."""
     out: list[str] = []
-    for line in re.split(rb"\r?\n", block):
-        if line[:1] in (b" ", b"\t") and out:
+    for line in io.BytesIO(data):
+        line = line.removesuffix(b"\n").removesuffix(b"\r")
+        if not line:
+            break
+        if line[:1] in (b" ", b"\t"):
+            if not out:
+                return None
             continue
-        m = re.match(rb"([!-9;-~]+)[ \t]*:", line)
+        m = re.match(rb"([!-9;-~]+):", line)
         if not m:
             return None
         out.append(m[1].decode("ascii").lower())
@@ -32,13 +37,15 @@ def header_names(data: bytes) -> list[str] | None:
 
 
 def looks_like_mail(data: bytes) -> bool:
-    """A header block with two different known names, and no mailbox of many."""
-    names = None if looks_like_mbox(data) else header_names(data)
+    """A header block with two different names that only a message has; the first line of a mailbox is none."""
+    names = None if data.startswith(b"From ") else header_names(data)
     return names is not None and len(HEADERS & set(names)) >= 2
 
 
 def looks_like_mbox(data: bytes) -> bool:
-    return re.match(rb"From \S+ .*\d{4}\r?\n[!-9;-~]+:", data) is not None
+    """A line that begins with ``From`` and a space, and a message behind it."""
+    first, end, rest = data.partition(b"\n") if data.startswith(b"From ") else (b"", b"", b"")
+    return bool(end) and looks_like_mail(rest)
 
 
 def container_kind(data: bytes) -> str | None:
@@ -79,30 +86,30 @@ def kind(data: bytes) -> str:
 
 
 def lenient_base64(data: bytes) -> bytes:
-    """Base64 with anything foreign left out and a cut end made up for; ends at the first padding."""
-    clean = re.sub(rb"[^A-Za-z0-9+/=]", b"", data).split(b"=")[0]
-    clean = clean[: len(clean) - (len(clean) % 4 == 1)]
-    return base64.b64decode(clean + b"=" * (-len(clean) % 4))
+    """Base64 with anything foreign left out; padding ends a group and decoding goes on, a group cut short gives what it holds."""
+    groups = (g[: len(g) - (len(g) % 4 == 1)] for g in re.sub(rb"[^A-Za-z0-9+/=]", b"", data).split(b"="))
+    return b"".join(base64.b64decode(g + b"=" * (-len(g) % 4)) for g in groups)
 
 
-def lenient_quoted(data: bytes) -> bytes:
-    """Quoted-printable; an escape that is none stays as it is written."""
-    data = re.sub(rb"[ \t]+(?=\r?\n)", b"", data)
-    data = re.sub(rb"=\r?\n", b"", data)
+def lenient_quoted(data: bytes, line: bool = True) -> bytes:
+    """Quoted-printable; an escape that is none stays as it is written. Without *line*, the form of encoded words."""
+    if line:
+        data = re.sub(rb"[ \t]+(?=\r?\n|\Z)", b"", data)
+        data = re.sub(rb"=\r?(?:\n|\Z)", b"", data)
     return re.sub(rb"=([0-9A-Fa-f]{2})", lambda m: bytes([int(m[1], 16)]), data)
 
 
 def lenient_uu(data: bytes) -> bytes:
-    """The lines between ``begin`` and ``end``; damaged ones are left out."""
+    """The lines behind ``begin`` up to ``end``, short ones filled with zeros. Without a ``begin`` line, *data* as it is."""
+    start = re.search(rb"(?m)^begin [0-7]+(?: .*)?$", data)
+    if not start:
+        return data
     out = []
-    for line in data.splitlines():
-        if line.startswith(b"begin "):
-            out = []
-        elif line == b"end":
+    for line in data[start.end() :].splitlines():
+        if line.strip() == b"end":
             break
-        elif line:
-            try:
-                out.append(binascii.a2b_uu(line))
-            except binascii.Error:
-                continue
+        if line:
+            size = (line[0] - 32) & 63
+            letters = bytes(((c - 32) & 63) + 32 for c in line[1 : 1 + (size + 2) // 3 * 4])
+            out.append(binascii.a2b_uu(bytes([size + 32]) + letters))
     return b"".join(out)

@@ -3,42 +3,28 @@
 from __future__ import annotations
 
 import base64
-import email.header
-import email.utils
 import re
 import unicodedata
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from claimwright.extract import headers, mime
 from claimwright.functions.batched import batched
-from claimwright.operators.instants import read_text, spelled
-
-
-def unfold(header: Column) -> Column:
-    return F.trim(F.regexp_replace(header, r"\r?\n[ \t]+", " "))
-
-
-def mail_date(header: Column) -> Column:
-    """A Date header as a UTC time; null without a zone."""
-    return spelled(read_text(unfold(header)))
 
 
 def decoded_text(text: str | None) -> str | None:
-    """Encoded words of a header decoded; what cannot be is left as it stands."""
-    if text is None:
-        return None
-    text = re.sub(r"\r?\n(?=[ \t])", "", text)
-    try:
-        return "".join(p.decode(c or "ascii", "replace") if isinstance(p, bytes) else p for p, c in email.header.decode_header(text)).strip()
-    except (LookupError, ValueError, email.errors.HeaderParseError):
-        return text.strip()
+    """A header's text on one line, encoded words decoded; null of null."""
+    return None if text is None else mime.unfolded(text.encode("utf-8", "replace"))
 
 
 def address_list(text: str | None) -> list[str]:
-    """One ``Name <address>`` per mailbox, addresses in lower case; what is no address is left out."""
-    found = email.utils.getaddresses([text], strict=False) if text else []
-    good = [(decoded_text(n), a.lower()) for n, a in found if re.fullmatch(r"[^@\s]+@[^@\s]+", a)]
-    return [f"{n} <{a}>" if n else a for n, a in good]
+    """One ``Name <address>`` per mailbox of an address list; what is no address is left out."""
+    return headers.read("to", text.encode("utf-8", "replace"))[0] if text else []
+
+
+def address_faults(text: str | None) -> list[str]:
+    """Why entries of an address list give no address."""
+    return headers.read("to", text.encode("utf-8", "replace"))[1] if text else []
 
 
 def utf7_decode(name: str | None) -> str | None:
@@ -75,14 +61,18 @@ def fitted(name: str | None, most: int = 240) -> str | None:
     if name is None:
         return None
     name = "".join(c for c in name if unicodedata.category(c) != "Cc")
+    if len(name.encode()) <= most:
+        return name
     stem, dot, ext = name.rpartition(".")
-    ext = dot + ext if stem and len(ext.encode()) <= 16 else ""
+    ext = dot + ext if stem and len((dot + ext).encode()) <= 16 else ""
     stem = name[: len(name) - len(ext)]
     return stem.encode()[: most - len(ext.encode())].decode("utf-8", "ignore") + ext
 
 
 
+mail_date = batched(headers.moment, "string")
 decode = batched(decoded_text, "string")
+faults = batched(address_faults, "array<string>")
 addresses = batched(address_list, "array<string>")
 from_utf7 = batched(utf7_decode, "string")
 to_utf7 = batched(utf7_encode, "string")

@@ -256,3 +256,13 @@ def register_views(claims: DataFrame) -> None:
 def run_exists(claims: DataFrame, run: str) -> DataFrame:
     """One row (there): whether the record has a claim of *run*; one claim is read."""
     return claims.where(F.col("run") == run).select("run").limit(1).agg((F.count("*") > 0).alias("there"))
+
+
+def first(names: DataFrame, column: str, n: int = 5) -> DataFrame:
+    """The first *n* names of a report that lists only some."""
+    return names.orderBy(column).limit(n)
+
+
+def remembered(worklist_: DataFrame, memo: DataFrame) -> DataFrame:
+    """Of a worklist (subject) the files that a memo of examinations (subject) knows: their answers need not be found again."""
+    return worklist_.join(memo.select("subject"), "subject", "left_semi")

@@ -132,3 +132,15 @@ def receivers(carriers: DataFrame) -> DataFrame:
 def label_removed(labelled: DataFrame, in_mailbox: DataFrame, in_folder: DataFrame) -> DataFrame:
     """Subjects with a label that are still in the mailbox but no longer in the label's folder."""
     return labelled.join(in_mailbox, "subject", "left_semi").join(in_folder, "subject", "left_anti")
+
+
+def import_plan(logs: DataFrame, accounts: DataFrame) -> DataFrame:
+    """What an import makes of each log of an older vault (log_id, mailbox, folder): rows (log_id, kind, place).
+
+    A folder of a known account is a ``place``, an account without a folder is ``listed``, and the logs of
+    unknown mailboxes become ``label`` tags: their messages keep the places they have.
+    """
+    known = accounts.where(F.col("mailbox").isNotNull()).select("mailbox", F.lit(True).alias("known")).distinct()
+    rows = logs.select("log_id", "mailbox", "folder").distinct().join(known, "mailbox", "left")
+    kind = F.when(F.col("known").isNull(), "label").when(F.col("folder").isNull(), "listed").otherwise("place")
+    return rows.select("log_id", kind.alias("kind"), F.when(F.col("known") & F.col("folder").isNotNull(), F.concat("mailbox", F.lit(":"), "folder")).alias("place"))

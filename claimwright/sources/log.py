@@ -9,6 +9,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimwright.functions import grammar
+from claimwright.plans.skew import union_all
 
 LINE = "subject string, attribute string, value string, retracts array<string>, time string, source string, run string"
 MEMBERS = [c.split()[0] for c in LINE.split(", ")]
@@ -105,3 +106,8 @@ def pieces(links: Iterable[tuple[str, str | None]]) -> list[list[str]]:
                 run.append(heir[run[-1]])
             out.append(run)
     return out
+
+
+def concatenated(parts: list[DataFrame]) -> DataFrame:
+    """Several logs as one, in their order: claims with ``part``, the 0-based place of the log they are from. Nothing is deduplicated."""
+    return union_all([p.withColumn("part", F.lit(n)) for n, p in enumerate(parts)])

@@ -114,8 +114,8 @@ def test_kinds_and_decoders():
     ]:
         assert sniff.kind(data) == want, data
     assert not sniff.looks_like_mail(b"Subject: one name only\n\n") and not sniff.looks_like_mail(b"no header\n\n")
-    assert sniff.lenient_base64(b"aGV!sbG8\n") == b"hello" and sniff.lenient_base64(b"aGVsbG8=trash") == b"hello" and sniff.lenient_base64(b"a") == b""
-    assert sniff.lenient_quoted(b"a=C3=A9 =\r\nb=zz ") == "aé b=zz ".encode() and sniff.lenient_uu(b"begin 644 f\n#86)C\n\nend\n") == b"abc"
+    assert sniff.lenient_base64(b"aGV!sbG8\n") == b"hello" and sniff.lenient_base64(b"aGVsbG8=d29ybGQ=") == b"helloworld" and sniff.lenient_base64(b"a") == b""
+    assert sniff.lenient_quoted(b"a=C3=A9 =\r\nb=zz \nc=") == "aé b=zz\nc".encode() and sniff.lenient_uu(b"begin 644 f\n#86)C\n\nend\n") == b"abc"
 
 
 def test_disappearances_are_spared(claims, spark, rows):
