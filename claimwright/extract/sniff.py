@@ -48,30 +48,43 @@ def looks_like_mbox(data: bytes) -> bool:
     return bool(end) and looks_like_mail(rest)
 
 
-def container_kind(data: bytes) -> str | None:
-    """The sharper kind of a zip that is a document: its own ``mimetype`` entry, or the parts of an office file."""
+def container_kind(z: zipfile.ZipFile) -> str | None:
+    """The kind of a document in a zip: what its first entry ``mimetype`` declares, or the office file that its parts make.
+
+    Empty for an office file of no known kind, None for an archive.
+    """
+    first = next(iter(z.infolist()), None)
+    if first and first.filename == "mimetype" and first.file_size <= 100:
+        try:
+            declared = z.read(first).decode("utf-8").strip()
+        except (zipfile.BadZipFile, RuntimeError, NotImplementedError, UnicodeDecodeError):
+            declared = ""
+        if re.fullmatch(r"[a-z0-9.+-]+/[a-z0-9.+-]+", declared):
+            return declared
+    names = z.namelist()
+    if "[Content_Types].xml" in names:
+        kinds = [k for part, k in OFFICE.items() if any(n.startswith(part) for n in names)]
+        return f"application/vnd.openxmlformats-officedocument.{kinds[0]}" if kinds else ""
+    return None
+
+
+def _zip_kind(data: bytes) -> str:
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
-            names = z.namelist()
-            if names[:1] == ["mimetype"]:
-                return z.read("mimetype")[:100].decode("ascii", "replace").strip()
-            if "[Content_Types].xml" in names:
-                kinds = [k for part, k in OFFICE.items() if any(n.startswith(part) for n in names)]
-                return f"application/vnd.openxmlformats-officedocument.{kinds[0]}" if kinds else None
-    except (zipfile.BadZipFile, KeyError, RuntimeError, ValueError):
-        pass
-    return None
+            return container_kind(z) or "application/zip"
+    except zipfile.BadZipFile:
+        return "application/zip"
 
 
 def kind(data: bytes) -> str:
     """The mime of bytes; text is what decodes and has no control characters."""
     for head, mime in MAGIC:
         if data.startswith(head):
-            return (container_kind(data) or mime) if mime == "application/zip" else mime
+            return _zip_kind(data) if mime == "application/zip" else mime
     if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
         return "image/webp"
     if data[4:8] == b"ftyp":
-        return "image/heic" if data[8:12] in (b"heic", b"heix", b"mif1") else "video/mp4"
+        return {b"heic": "image/heic", b"heix": "image/heic", b"mif1": "image/heif", b"avif": "image/avif"}.get(data[8:12], "video/mp4")
     if looks_like_mbox(data):
         return "application/mbox"
     if looks_like_mail(data):

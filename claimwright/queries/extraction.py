@@ -26,6 +26,7 @@ from claimwright.operators.orphans import held
 from claimwright.operators.wide import raster
 from claimwright.plans import record as r, terms
 from claimwright.plans.ranks import ranked
+from claimwright.queries import training
 from claimwright.queries.reference import PRELUDE
 from claimwright.plans.tables import table, work_folder
 from claimwright.sources import files as sources, log
@@ -82,6 +83,11 @@ def _contract(source: str) -> contracts.Contract:
     return contracts.CONTRACTS[source]
 
 
+def _facts(files: DataFrame, source: str) -> DataFrame:
+    """What a contract finds in *files*: (subject, attribute, value)."""
+    return contracts.examine(files, _contract(source)).where("attribute IS NOT NULL").select("subject", "attribute", "value")
+
+
 _DOCS = "(SELECT doc_id AS k, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL)"
 _ROWS = "SELECT k::VARCHAR AS subject, {} AS attribute, '\"' || {} || '\"' AS value FROM " + _DOCS
 _DATE = "CASE k % 4 WHEN 0 THEN '2024-03-01T09:00:' || lpad((k % 60)::VARCHAR, 2, '0') || 'Z' WHEN 1 THEN '2024-03-01T10:' || lpad((k % 60)::VARCHAR, 2, '0') || ':00' ELSE '2016-12-31T23:59:60Z' END"
@@ -173,19 +179,60 @@ def _packs(claims: DataFrame) -> DataFrame:
 
 
 _PACKED = "SELECT DISTINCT subject, json_extract_string(value, '$') AS name FROM live WHERE attribute = 'packed:path' AND value LIKE '\"%'"
-_add("packed_list", _PACKED)(
+_add("packed_list", f"SELECT subject, '@' || name AS name FROM ({_PACKED})")(
     lambda c: contracts.examine(_packs(c), _contract("extractor:packed-list/1")).select(F.split_part("subject", F.lit("/"), F.lit(1)).alias("subject"), F.get_json_object("value", "$").alias("name"))
 )
 _add("packed_unpack", f"SELECT subject, sha256(name) AS derived FROM ({_PACKED})")(
-    lambda c: contracts.examine(_packs(c), _contract("extractor:packed-unpack/1")).where("attribute = 'packed:path'").select(F.split_part("subject", F.lit("/"), F.lit(1)).alias("subject"), "derived")
+    lambda c: contracts.examine(_packs(c), _contract("extractor:packed-unpack/1")).where("attribute = 'file:path'").select(F.split_part("subject", F.lit("/"), F.lit(1)).alias("subject"), "derived")
 )
 
 
+def _packet(row) -> bytes:
+    """An XMP packet with a value of every shape, each with the picture's width in it."""
+    w = row.width
+    return f"""<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description xmlns:d="http://purl.org/dc/elements/1.1/" xmlns:m="http://ns.adobe.com/xap/1.0/mm/"
+      xmlns:own="u:own" own:CreatorTool="t{w}"><d:subject><rdf:Bag><rdf:li>a</rdf:li><rdf:li>b{w}</rdf:li><rdf:li>a</rdf:li></rdf:Bag></d:subject><d:creator><rdf:Seq><rdf:li>x{w}</rdf:li><rdf:li>y</rdf:li></rdf:Seq></d:creator>
+      <d:title><rdf:Alt><rdf:li xml:lang="de">nein</rdf:li><rdf:li xml:lang="x-default">t{w}</rdf:li></rdf:Alt></d:title><m:DerivedFrom rdf:parseType="Resource"><m:documentID>i{w}</m:documentID></m:DerivedFrom></rdf:Description></rdf:RDF></x:xmpmeta>""".encode()
+
+
+def _chunk(name: bytes, body: bytes) -> bytes:
+    return struct.pack(">I", len(body)) + name + body + b"\0" * 4
+
+
+def _box(name: bytes, body: bytes) -> bytes:
+    return struct.pack(">I", len(body) + 8) + name + body
+
+
 def _picture(row) -> bytes:
-    kind = {("gray", False): 0, ("rgb", False): 2, ("indexed", False): 3, ("gray", True): 4, ("rgb", True): 6}.get((row.color, row.alpha == "true"), 2)
-    xmp = b'<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:d="u:d"><rdf:Description><d:subject><rdf:Bag><rdf:li>a</rdf:li><rdf:li>b</rdf:li></rdf:Bag></d:subject><d:CreatorTool>t</d:CreatorTool></rdf:Description></rdf:RDF></x:xmpmeta>'
-    iptc = b"".join(b"\x1c\x02" + bytes([n]) + struct.pack(">H", len(v)) + v for n, v in ((5, b"title"), (25, b"key"), (25, "é".encode()), (25, b"key")))
-    return b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + struct.pack(">IIBB", row.width, row.height, max(row.depth, 0), kind) + b"\0" * 7 + iptc + b"\0" * 6 + xmp
+    """A picture of one of five kinds, by its width: its grid, and its packet where the kind keeps one."""
+    w, h, alpha, xmp = row.width, row.height, row.alpha == "true", _packet(row)
+    depth, gray = max(row.depth, 1), row.color == "gray"
+    kind = w % 5
+    if kind == 0:
+        model = {("gray", False): 0, ("indexed", False): 3, ("indexed", True): 3, ("gray", True): 4, ("rgb", True): 6}.get((row.color, alpha), 2)
+        clear = _chunk(b"tRNS", b"\0") if alpha else b""
+        return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", struct.pack(">IIBB", w, h, depth, model) + b"\0" * 3) + clear + _chunk(b"iTXt", b"XML:com.adobe.xmp\0\0\0\0\0" + xmp) + _chunk(b"IDAT", b"")
+    if kind == 1:
+        n = {"gray": 1, "cmyk": 4}.get(row.color, 3)
+        part = b"http://ns.adobe.com/xap/1.0/\0" + xmp
+        return b"\xff\xd8\xff\xe1" + struct.pack(">H", len(part) + 2) + part + b"\xff\xc0" + struct.pack(">HBHHB", 8 + 3 * n, 8, h % 65536, w % 65536, n) + b"\0" * (3 * n) + b"\xff\xd9"
+    if kind == 2:
+        own, samples = {"gray": (1, 1), "indexed": (3, 1), "cmyk": (5, 4)}.get(row.color, (2, 3))
+        fields = [(256, 4, 1, struct.pack(">I", w)), (257, 4, 1, struct.pack(">I", h)), (258, 3, 1, struct.pack(">HH", depth, 0)), (262, 3, 1, struct.pack(">HH", own, 0)), (277, 3, 1, struct.pack(">HH", samples + alpha, 0))]
+        at = 8 + 2 + 12 * (len(fields) + 1) + 4
+        fields.append((700, 1, len(xmp), struct.pack(">I", at)))
+        return b"MM\0*" + struct.pack(">IH", 8, len(fields)) + b"".join(struct.pack(">HHI", *f[:3]) + f[3] for f in fields) + b"\0" * 4 + xmp
+    if kind == 3:
+        body = b"VP8X" + struct.pack("<I", 10) + bytes([0x10 * alpha + 4, 0, 0, 0]) + (w - 1).to_bytes(4, "little")[:3] + (h - 1).to_bytes(4, "little")[:3] + b"XMP " + struct.pack("<I", len(xmp)) + xmp
+        return b"RIFF" + struct.pack("<I", len(body) + 4) + b"WEBP" + body
+    full = b"\0" * 4
+    properties = _box(b"ispe", full + struct.pack(">II", w, h)) + _box(b"pixi", full + bytes([1] if gray else [3]) + bytes([depth]) * (1 if gray else 3)) + _box(b"auxC", full + b"urn:mpeg:hevc:2015:auxid:1\0")
+    owned = _box(b"ipma", full + struct.pack(">I", 2) + struct.pack(">HBBB", 1, 2, 1, 2) + struct.pack(">HBB", 2, 1, 3))
+    refers = _box(b"iref", full + (_box(b"auxl", struct.pack(">HHH", 2, 1, 1)) if alpha else b""))
+    items = _box(b"iinf", full + struct.pack(">H", 1) + _box(b"infe", b"\2\0\0\0" + struct.pack(">HH", 3, 0) + b"mime\0application/rdf+xml\0"))
+    place = _box(b"iloc", b"\1\0\0\0" + bytes([0x44, 0]) + struct.pack(">H", 1) + struct.pack(">HHHHII", 3, 1, 0, 1, 0, len(xmp)))
+    meta = full + _box(b"pitm", full + struct.pack(">H", 1)) + items + place + _box(b"iprp", _box(b"ipco", properties) + owned) + refers + _box(b"idat", xmp)
+    return _box(b"ftyp", b"heic" + full) + _box(b"meta", meta)
 
 
 def _press(row) -> bytes:
@@ -199,16 +246,16 @@ def _press(row) -> bytes:
 
 
 def _rasters(claims: DataFrame) -> DataFrame:
-    return raster(claims).where("width >= 0 AND height >= 0 AND depth BETWEEN -1 AND 255").drop("ordinal")
+    return raster(claims).where("width BETWEEN 1 AND 16777216 AND height BETWEEN 1 AND 16777216 AND depth BETWEEN -1 AND 255").drop("ordinal")
 
 
 def _pictures(claims: DataFrame) -> DataFrame:
     return _made(_rasters(claims), _picture, "subject")
 
 
-_add("image_raster", None)(lambda c: contracts.examine(_pictures(c), _contract("extractor:image-raster/3")).select("subject", "attribute", "value"))
-_add("image_xmp", None)(lambda c: contracts.examine(_pictures(c), _contract("extractor:image-xmp/1")).select("subject", "attribute", "value"))
-_add("image_iptc", None)(lambda c: contracts.examine(_made(_rasters(c), _press, "subject"), _contract("extractor:image-iptc/1")).select("subject", "attribute", "value"))
+_add("image_raster", None)(lambda c: _facts(_pictures(c), "extractor:image-raster/3"))
+_add("image_xmp", None)(lambda c: _facts(_pictures(c), "extractor:image-xmp/1"))
+_add("image_iptc", None)(lambda c: _facts(_made(_rasters(c), _press, "subject"), "extractor:image-iptc/1"))
 _add("mime_sniff", None)(lambda c: _pictures(c).select("subject", names.image_kind(F.col("content")).alias("mime")))
 _add("pdf_info", "SELECT DISTINCT subject, value FROM live WHERE attribute = 'pdf:title' AND regexp_matches(value, '^\"[A-Za-z0-9 ]*\"$')")(
     lambda c: contracts.examine(
@@ -352,7 +399,7 @@ _add("ordered_lists", "SELECT path, subject, row_number() OVER (PARTITION BY pat
 _RUNS = ["image:raster", "image:exif", "text:stats"]
 _add(
     "worklist_full",
-    """SELECT DISTINCT subject, v.source FROM live l JOIN (VALUES ('"image/png"', 'extractor:image-raster/3'), ('"image/jpeg"', 'extractor:image-raster/3'), ('"image/tiff"', 'extractor:image-raster/3'), ('"image/webp"', 'extractor:image-raster/3'), ('"image/heic"', 'extractor:image-raster/3'), ('"image/heif"', 'extractor:image-raster/3'),
+    """SELECT DISTINCT subject, v.source FROM live l JOIN (VALUES ('"image/png"', 'extractor:image-raster/3'), ('"image/jpeg"', 'extractor:image-raster/3'), ('"image/tiff"', 'extractor:image-raster/3'), ('"image/webp"', 'extractor:image-raster/3'), ('"image/heic"', 'extractor:image-raster/3'), ('"image/heif"', 'extractor:image-raster/3'), ('"image/avif"', 'extractor:image-raster/3'),
     ('"image/jpeg"', 'extractor:image-exif/2'), ('"image/tiff"', 'extractor:image-exif/2'), ('"text/plain"', 'extractor:text-stats/1')) v(value, source) ON l.attribute = 'file:mime' AND l.value = v.value""",
 )(lambda c: contracts.work(c, contracts.named(_RUNS), full=True))
 _add(
@@ -448,8 +495,8 @@ def _located(claims: DataFrame) -> DataFrame:
     return _made(rows, _exif, "id")
 
 
-_add("image_exif", None)(lambda c: contracts.examine(_located(c), _contract("extractor:image-exif/2")).select("subject", "attribute", "value"))
-_add("image_geo", None)(lambda c: contracts.examine(_located(c), _contract("extractor:image-geo/1")).select("subject", "attribute", "value"))
+_add("image_exif", None)(lambda c: _facts(_located(c), "extractor:image-exif/2"))
+_add("image_geo", None)(lambda c: _facts(_located(c), "extractor:image-geo/1"))
 
 
 def _mixture(d) -> bytes:
@@ -494,3 +541,23 @@ _add(
         json.loads(c.where("attribute = 'prov:host'").agg(F.min("value")).first()[0]), ["/home/2019"], ["*.zip"],
     )
 )
+
+
+def _over_grids(select: str) -> str:
+    """SQL over the pictures made of the wide table of grids, which the training query states."""
+    return (
+        "WITH raster AS (" + training.SQL["p1_found"] + "), g AS (SELECT subject, width AS w, height AS h, greatest(depth, 1) AS d, alpha = 'true' AS a, color AS c FROM raster"
+        " WHERE width BETWEEN 1 AND 16777216 AND height BETWEEN 1 AND 16777216 AND depth BETWEEN -1 AND 255) " + select
+    )
+
+
+SQL["image_raster"] = _over_grids("""SELECT subject, 'raster:width' AS attribute, (CASE w % 5 WHEN 1 THEN w % 65536 ELSE w END)::VARCHAR AS value FROM g UNION ALL SELECT subject, 'raster:height', (CASE w % 5 WHEN 1 THEN h % 65536 ELSE h END)::VARCHAR FROM g
+    UNION ALL SELECT subject, 'raster:depth', (CASE WHEN w % 5 IN (1, 3) THEN 8 ELSE d END)::VARCHAR FROM g UNION ALL SELECT subject, 'raster:alpha', (a AND w % 5 <> 1 AND NOT (w % 5 = 2 AND c = 'indexed'))::VARCHAR FROM g
+    UNION ALL SELECT subject, 'raster:color', '"' || CASE WHEN c = 'gray' AND w % 5 <> 3 OR c = 'indexed' AND w % 5 IN (0, 2) OR c = 'cmyk' AND w % 5 IN (1, 2) THEN c ELSE 'rgb' END || '"' FROM g WHERE NOT (w % 5 = 2 AND c = 'indexed' AND a)""")
+SQL["image_xmp"] = _over_grids("""SELECT subject, unnest(['xmp:own-creator-tool', 'xmp:dc-subject', 'xmp:dc-subject', 'xmp:dc-creator', 'xmp:dc-title', 'xmp:xmp-mm-derived-from-xmp-mm-document-id']) AS attribute,
+    unnest(['"t' || w || '"', '"a"', '"b' || w || '"', '["x' || w || '","y"]', '"t' || w || '"', '"i' || w || '"']) AS value FROM g""")
+SQL["mime_sniff"] = _over_grids("SELECT subject, ['image/png', 'image/jpeg', 'image/tiff', 'image/webp', 'image/heif'][w % 5 + 1] AS mime FROM g")
+SQL["image_iptc"] = _over_grids(
+    "SELECT subject, unnest([" + ", ".join(f"'iptc:{n}'" for n in contracts.IPTC_NAMES.values()) + "]) AS attribute, unnest([" + ", ".join(f"'\"{n} é ' || w || '\"'" for n in contracts.IPTC_NAMES.values())
+    + "]) AS value FROM g UNION ALL SELECT subject, 'iptc:keywords', '\"key\"' FROM g UNION ALL SELECT subject, 'iptc:caption-abstract', '\"long\"' FROM g"
+)

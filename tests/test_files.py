@@ -46,7 +46,7 @@ def test_all_claims_round_trip(spark, claims):
     df = claims(*rows).withColumn("run", F.lit(RUN)).withColumn("cid", grammar.claim_id())
     want = {(x.cid, x.value, tuple(y.lower() for y in x.retracts or ()), "field" if "." in x.time else None) for x in df.collect()}
     got = extraction._round_trip(df.unionByName(df)).collect()
-    assert len(got) == len(rows) and {(x.cid, x.value, tuple(x.retracts or ()), x.fault) for x in got} == want
+    assert len(got) == len(rows) and {(x.cid, x.value, tuple((x.retracts or "").split()), x.fault) for x in got} == want
     spaced = log.parse_lines(spark.createDataFrame([(line().replace('"x"', ' { "b" : 1.0 } ').replace(",", " , "),)], "value string")).first()
     assert spaced.fault is None and spaced.value == '{ "b" : 1.0 }'
 
@@ -119,7 +119,7 @@ def test_archives():
         z.writestr("b/x.txt", "1")
         z.writestr("a.txt", "2")
         z.writestr("dir/", "")
-    assert found("extractor:packed-list/1", out.getvalue()).facts == [("packed:path", "a.txt"), ("packed:path", "b/x.txt")]
+    assert found("extractor:packed-list/1", out.getvalue()).facts == [("packed:path", "@a.txt"), ("packed:path", "@b/x.txt")]
     assert sorted(d for d, _ in found("extractor:packed-unpack/1", out.getvalue()).files) == [b"1", b"2"]
 
 
@@ -138,8 +138,10 @@ def test_faults_leave_no_receipt(spark, rows):
     answers = contracts.examine(df, contracts.CONTRACTS["extractor:text-stats/1"])
     claims = rows(contracts.recorded(answers, T(1), "r").select("subject", "attribute", "value"))
     assert claims == [("good", "prov:examined", '"extractor:text-stats/1"'), ("good", "text:lines", "2"), ("good", "text:words", "3")]
-    bad = contracts.examine(df.where("subject = 'good'"), contracts.CONTRACTS["extractor:packed-list/1"])
-    assert bad.first().error.startswith("BadZipFile") and contracts.recorded(bad, T(1), "r").count() == 0
+    nothing = contracts.examine(df.where("subject = 'good'"), contracts.CONTRACTS["extractor:packed-list/1"])
+    assert rows(contracts.recorded(nothing, T(1), "r").select("subject", "attribute", "value")) == [("good", "prov:examined", '"extractor:packed-list/1"')]
+    bad = contracts.examine(df.where("subject = 'good'"), contracts.Contract("extractor:bad/1", (), lambda data: 1 // 0))
+    assert bad.first().error.startswith("ZeroDivision") and contracts.recorded(bad, T(1), "r").count() == 0
 
 
 def test_rounds_reach_the_innermost_files(spark, rows):
@@ -162,11 +164,11 @@ def test_rounds_reach_the_innermost_files(spark, rows):
     files = spark.createDataFrame([("top", bytearray(top)), ("again", bytearray(outer)), ("odd", bytearray(b"PK\x03\x04")), ("none", None)], "subject string, content binary")
     got = contracts.recorded(contracts.settle(files), T(1), "r").select("subject", "attribute", "value").collect()
     facts = {(x.subject, x.attribute, x.value) for x in got}
-    assert {("top", "packed:path", '"outer.eml"'), (digest(outer), "file:mime", '"message/rfc822"'), (digest(box), "prov:origin", f'"{digest(outer)}"'), (digest(box), "prov:origin", '"again"')} <= facts
+    assert {("top", "packed:path", '"@outer.eml"'), (digest(outer), "file:mime", '"message/rfc822"'), (digest(box), "prov:origin", f'"{digest(outer)}"'), (digest(box), "prov:origin", '"again"')} <= facts
     assert {(digest(inner), "mail:subject", '"leaf.txt"'), (digest(leaf), "text:words", "3"), (digest(leaf), "text:lines", "2"), (digest(leaf), "prov:origin", f'"{digest(inner)}"')} <= facts
     text = digest(b"From     a@b.c\nSubject  leaf.txt\n\nbody of leaf.txt")
     assert {(text, "prov:origin", f'"{digest(inner)}"'), (text, "text:words", "7"), (text, "prov:examined", '"extractor:text-stats/1"')} <= facts
-    assert not [x for x in facts if x[0] in ("odd", "none")]
+    assert {x[1] for x in facts if x[0] == "odd"} == {"prov:examined"} and not [x for x in facts if x[0] == "none"]
 
 
 def test_rounds_without_an_end_are_an_error(spark):
@@ -210,7 +212,7 @@ def test_all_degrees_and_long_names(spark, claims, tmp_path):
     long = ["é" * 130, "a" * 239 + "é", "b" * 240, "c" * 300 + ".jpeg"]
     claims(*[(A, "user:tag", json.dumps(x, ensure_ascii=False), T(1), f"c{i}") for i, x in enumerate([*long, "short"])]).write.parquet(str(tmp_path / "claims.parquet"))
     names_ = {x.name: x.short for x in extraction.QUERIES["fits_names"](spark, str(tmp_path)).collect()}
-    assert set(names_) == {*long, "short"} and names_["short"] == "short" and names_["b" * 240] == "b" * 240
+    assert set(names_) > {*long, "short"} and names_["short"] == "short" and names_["b" * 240] == "b" * 240
     assert names_["é" * 130] == "é" * 120 and names_["a" * 239 + "é"] == "a" * 239 and names_["c" * 300 + ".jpeg"] == "c" * 235 + ".jpeg"
 
 
