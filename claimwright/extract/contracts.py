@@ -11,7 +11,10 @@ import hashlib
 import io
 import json
 import re
+import shutil
 import struct
+import subprocess
+import unicodedata
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
@@ -22,7 +25,8 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from claimwright.extract import headers, images, mime, sniff
+from claimwright.extract import headers, images, mime, pdf, sniff
+from claimwright.extract.limited import limited
 from claimwright.functions.mail import fitted
 from claimwright.operators import ask
 from claimwright.plans.skew import union_all
@@ -177,7 +181,7 @@ def packed_unpack(data: bytes) -> Findings:
 
 
 def _unpacked(z: zipfile.ZipFile) -> Findings:
-    out, stays = Findings(), lambda entry, why: out.facts.append(("prov:note", f"{entry}: {why}"))
+    out, stays = Findings(), lambda entry, why: out.facts.append(("prov:note", f"entry {entry} not unpacked: {why}"))
     for entry in z.infolist():
         if entry.is_dir() or entry.external_attr >> 28 == 0xA:
             continue
@@ -305,18 +309,89 @@ def image_iptc(data: bytes) -> Findings:
     return Findings(list(out))
 
 
+def _words(key: str) -> str | None:
+    """A key as a legal attribute name, or None."""
+    name = re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "-", key).lower()
+    return name if re.fullmatch(r"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?", name) else None
+
+
+def _pdf_info(data: bytes) -> Findings:
+    file = pdf.Document(data)
+    return Findings([(f"pdf:{name}", v) for k, v in file.info().items() if (name := _words(k))] if file.readable else [])
+
+
 def pdf_info(data: bytes) -> Findings:
-    """Literal and hexadecimal strings of the info dictionary of a plain PDF."""
-    out = Findings()
-    for name, key in ((b"Title", "title"), (b"Author", "author"), (b"CreationDate", "creation-date")):
-        m = re.search(rb"/" + name + rb"\s*(?:\(((?:\\.|[^\\()])*)\)|<([0-9A-Fa-f\s]*)>)", data)
-        if m:
-            raw = re.sub(rb"\\(.)", rb"\1", m[1]) if m[1] is not None else bytes.fromhex(re.sub(rb"\s", b"", m[2]).decode())
-            text = raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw[3:].decode("utf-8", "replace") if raw[:3] == b"\xef\xbb\xbf" else raw.decode("latin-1")
-            out.facts.append((f"pdf:{key}", text))
+    """The information dictionary as the file spells it."""
+    return limited(_pdf_info, data)
+
+
+def junk_verdict(text: str) -> str | None:
+    """Why *text* is noise: more than half of its ink cannot be written text."""
+    ink = re.sub(r"\s", "", text)
+    junk = sum(map(unwritable, ink))
+    return f"{(junk * 100 + len(ink) // 2) // len(ink)}% of the extracted characters are invalid; text discarded" if junk * 2 > len(ink) else None
+
+
+def unwritable(c: str) -> bool:
+    """Controls, the replacement character, private use and what is no character."""
+    code = ord(c)
+    return unicodedata.category(c) in ("Cc", "Co") or c == "\ufffd" or 0xFDD0 <= code <= 0xFDEF or code & 0xFFFE == 0xFFFE
+
+
+def pdf_text(data: bytes) -> Findings:
+    """The information dictionary, and the text that the program ``pdftotext`` reads, where it is installed; noise is discarded with a note."""
+    out = pdf_info(data)
+    program = shutil.which("pdftotext")
+    if program is None:
+        out.remarks.append("pdftotext is not installed; no text")
+        return out
+    ran = subprocess.run([program, "-enc", "UTF-8", "-", "-"], input=data, capture_output=True)
+    if ran.returncode == 3:
+        out.facts.append(("prov:note", "the document does not permit text extraction"))
+    elif ran.returncode == 1:
+        out.facts.append(("prov:note", "pdftotext could not read this document"))
+    elif ran.returncode:
+        raise OSError(f"pdftotext failed: {ran.returncode}")
+    elif ran.stdout.strip():
+        why = junk_verdict(ran.stdout.decode("utf-8", "replace"))
+        out.facts += [("prov:note", why)] if why else []
+        out.files += [] if why else [(ran.stdout, [("file:mime", "text/plain")])]
     return out
 
 
+def _pdf_attachments(data: bytes) -> Findings:
+    out, file = Findings(), pdf.Document(data)
+    stays = lambda what, why: out.facts.append(("prov:note", f"attachment {what} not extracted: {why}"))
+    for spec, at in file.embedded() if file.readable else ():
+        spelled = next((t for k in ("UF", "F") if (t := pdf.spoken(file.at(spec.get(k))))), None)
+        name = re.split(r"[/\\\\]", spelled or "")[-1].strip()
+        if name in ("", ".", "..") or not fitted(name):
+            stays(json.dumps(spelled, ensure_ascii=False) if spelled else f"(object {at.number} 0)", "no file name")
+            continue
+        stream = file.at(at)
+        if not isinstance(stream, pdf.Stream):
+            stays(spelled, "embedded file missing" if stream is None else "embedded file damaged")
+            continue
+        try:
+            content = stream.decoded(MOST_UNPACKED)
+        except ValueError as e:
+            stays(spelled, str(e))
+            continue
+        if len(content) > MOST_UNPACKED:
+            stays(spelled, "larger than 1 GiB")
+            continue
+        declared, params = str(file.at(stream.entries.get("Subtype")) or ""), file.entries(stream.entries.get("Params"))
+        facts = [("file:mime", declared if re.fullmatch(r"[a-z0-9.+-]+/[a-z0-9.+-]+", declared) else "application/octet-stream"), ("file:name", name), ("file:path", "@" + spelled)]
+        told = [(own, k) for own, k in ((spec, "Desc"), (spec, "AFRelationship"), (params, "CreationDate"), (params, "ModDate"))]
+        out.files.append((content, facts + [(f"pdf:{_words(k)}", v) for own, k in told if (v := pdf.spoken(file.at(own.get(k))))]))
+    return out
+
+
+def pdf_attachments(data: bytes) -> Findings:
+    """Embedded files as derived files, with what the document says of them; what stays inside leaves a note."""
+    return limited(_pdf_attachments, data)
+
+
 def text_stats(data: bytes) -> Findings:
     text = data.decode("utf-8", "replace")
     return Findings([("text:lines", text.count("\n") + 1), ("text:words", len(text.split()))])
@@ -329,7 +404,7 @@ CONTRACTS = {
         Contract("extractor:mail-text/1", ("message/rfc822",), mail_text), Contract("extractor:packed-list/1", ("application/zip",), packed_list),
         Contract("extractor:packed-unpack/1", ("application/zip",), packed_unpack), Contract("extractor:image-raster/3", ("image/png", "image/jpeg", "image/tiff", "image/webp", "image/heic", "image/heif", "image/avif"), image_raster),
         Contract("extractor:image-xmp/1", ("image/jpeg", "image/png", "image/tiff", "image/webp", "image/heic", "image/heif", "image/avif"), image_xmp), Contract("extractor:image-iptc/1", ("image/jpeg", "image/tiff"), image_iptc),
-        Contract("extractor:pdf-info/1", ("application/pdf",), pdf_info), Contract("extractor:text-stats/1", ("text/plain",), text_stats),
+        Contract("extractor:pdf-text/1", ("application/pdf",), pdf_text), Contract("extractor:pdf-attachments/1", ("application/pdf",), pdf_attachments), Contract("extractor:text-stats/1", ("text/plain",), text_stats),
     )
 }
 

@@ -103,10 +103,14 @@ def blank(text: Column) -> Column:
 
 
 def junk_percent(text: Column) -> Column:
-    """Characters that no text should hold, as a rounded percent of the characters that are no space; null if there are none."""
-    solid = F.length(F.regexp_replace(text, r"(?U)\s", ""))
-    bad = F.length(text) - F.length(F.regexp_replace(text, "[\\u0000-\\u0008\\u000b\\u000e-\\u001f\\u007f\\ufffd\\ufffe\\uffff]", ""))
-    return F.when(solid > 0, F.round(bad * 100.0 / solid).cast("int"))
+    """Characters that written text cannot hold, as a rounded percent of those that are no white space; null if there are none.
+
+    They are controls, the replacement character, private use and what is no character.
+    """
+    ink = F.regexp_replace(text, r"(?U)\s", "")
+    clean = F.regexp_replace(ink, r"[\p{Cc}\p{Co}\x{FFFD}\x{FDD0}-\x{FDEF}" + "".join(rf"\x{{{p:X}FFFE}}\x{{{p:X}FFFF}}" if p else r"\x{FFFE}\x{FFFF}" for p in range(17)) + "]", "")
+    size, junk = F.length(ink), F.length(ink) - F.length(clean)
+    return F.when(size > 0, F.floor((junk * 100 + F.floor(size / 2)) / size).cast("int"))
 
 
 def degrees(dms: Column, ref: Column) -> Column:

@@ -12,6 +12,7 @@ import io
 import json
 import struct
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -257,13 +258,39 @@ _add("image_raster", None)(lambda c: _facts(_pictures(c), "extractor:image-raste
 _add("image_xmp", None)(lambda c: _facts(_pictures(c), "extractor:image-xmp/1"))
 _add("image_iptc", None)(lambda c: _facts(_made(_rasters(c), _press, "subject"), "extractor:image-iptc/1"))
 _add("mime_sniff", None)(lambda c: _pictures(c).select("subject", names.image_kind(F.col("content")).alias("mime")))
-_add("pdf_info", "SELECT DISTINCT subject, value FROM live WHERE attribute = 'pdf:title' AND regexp_matches(value, '^\"[A-Za-z0-9 ]*\"$')")(
-    lambda c: contracts.examine(
-        ask.values(c, "pdf:title").where(F.col("value").rlike(r'^"[A-Za-z0-9 ]*"\z'))
-        .select("subject", F.encode(F.concat(F.lit("%PDF-1.4 << /Title ("), F.get_json_object("value", "$"), F.lit(") >>")), "utf-8").alias("content")),
-        _contract("extractor:pdf-info/1"),
-    ).select("subject", "value")
-)
+
+
+def _document(row) -> bytes:
+    """A PDF of a title: as a literal, in hexadecimal UTF-16 or in an object stream, with an embedded file that holds the title, in the name tree or on a page."""
+    title, k = row.title, len(row.title) % 3
+    wide = b"\xfe\xff" + title.encode("utf-16-be", "replace")
+    literal = b"(" + wide.replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)").replace(b"\r", b"\\r") + b")"
+    info = b"<< /Title " + (literal if k == 0 else b"<" + wide.hex().encode() + b">") + b" /Trapped /True /x_y (no) >>"
+    inside = zlib.compress(b"4 0 " + info)
+    data = zlib.compress(title.encode("utf-8", "replace"))
+    spec = b"<< /Type /Filespec /UF (dir/t.txt) /Desc (d) /AFRelationship /Data /EF << /F 7 0 R >> >>"
+    where = b"/Names << /EmbeddedFiles << /Kids [8 0 R] >> >>" if k else b"/Pages 5 0 R"
+    return (
+        b"%PDF-1.7\n1 0 obj << /Type /Catalog " + where + b" >> endobj\n" + (b"4 0 obj " + info + b" endobj\n" if k < 2 else b"9 0 obj << /Type /ObjStm /N 1 /First 4 /Filter /FlateDecode /Length %d >> stream\n" % len(inside) + inside + b"\nendstream endobj\n")
+        + b"5 0 obj << /Type /Pages /Kids [6 0 R] >> endobj\n6 0 obj << /Type /Page /Annots [<< /Subtype /FileAttachment /FS " + spec + b" >>] >> endobj\n"
+        + b"7 0 obj << /Type /EmbeddedFile /Subtype /text#2Fplain /Filter /FlateDecode /Length %d /Params << /ModDate (D:2024) >> >> stream\r\n" % len(data) + data + b"\r\nendstream endobj\n8 0 obj << /Names [(a) " + spec + b"] >> endobj\ntrailer << /Root 1 0 R /Info 4 0 R >>\n"
+    )
+
+
+def _titled(claims: DataFrame) -> DataFrame:
+    rows = ask.values(claims, "pdf:title").where(F.col("value").startswith('"')).groupBy("subject").agg(F.min(F.get_json_object("value", "$")).alias("title"))
+    return _made(rows, _document, "subject")
+
+
+_TITLES = "FROM (SELECT subject, min(json_extract_string(value, '$')) AS t FROM live WHERE attribute = 'pdf:title' AND value LIKE '\"%' GROUP BY 1)"
+_add("pdf_info", f"SELECT subject, 'pdf:title' AS attribute, t AS text {_TITLES} WHERE t <> '' UNION ALL SELECT subject, 'pdf:trapped', 'True' {_TITLES}")(
+    lambda c: contracts.examine(_titled(c), _contract("extractor:pdf-text/1")).where("attribute IS NOT NULL").select("subject", "attribute", F.get_json_object("value", "$").alias("text"))
+)
+_add(
+    "pdf_attachments",
+    f"SELECT subject, sha256(t) AS derived, unnest(['file:size', 'file:mime', 'file:name', 'file:path', 'pdf:desc', 'pdf:af-relationship', 'pdf:mod-date', 'prov:origin']) AS attribute,"
+    f" unnest([octet_length(encode(t))::VARCHAR, '\"text/plain\"', '\"t.txt\"', '\"@dir/t.txt\"', '\"d\"', '\"Data\"', '\"D:2024\"', '\"' || subject || '\"']) AS value {_TITLES}",
+)(lambda c: contracts.examine(_titled(c), _contract("extractor:pdf-attachments/1")).where("attribute IS NOT NULL").select("subject", "derived", "attribute", "value"))
 _add("html_text", None, "documents")(
     lambda d: d.select("doc_id", batched(contracts.html_text, "string")(F.concat(F.lit("<html><style>x{}</style><b>"), "text", F.lit("</b></html>"))).alias("shown"))
 )

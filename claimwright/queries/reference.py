@@ -628,7 +628,12 @@ _add("blank_text", f"SELECT doc_id, regexp_matches(text, '^{_WHITE}*$') AS blank
 _add("line_breaks", "SELECT doc_id, md5(regexp_replace(text, '\\r\\n?', chr(10), 'g')) AS digest FROM documents WHERE text IS NOT NULL", "documents")(
     lambda d: d.where(F.col("text").isNotNull()).select("doc_id", F.md5(names.line_breaks(F.col("text"))).alias("digest"))
 )
-_add("junk_ratio", None, "documents")(lambda d: d.select("doc_id", names.junk_percent(F.col("text")).alias("percent")))
+_JUNK = r"[\x{0}-\x{1f}\x{7f}-\x{9f}\x{e000}-\x{f8ff}\x{f0000}-\x{ffffd}\x{100000}-\x{10fffd}\x{fffd}\x{fdd0}-\x{fdef}\x{fffe}\x{ffff}" + "".join(rf"\x{{{p:x}fffe}}\x{{{p:x}ffff}}" for p in range(1, 17)) + "]"
+_add(
+    "junk_ratio",
+    f"SELECT doc_id, CASE WHEN length(ink) > 0 THEN ((length(ink) - length(regexp_replace(ink, '{_JUNK}', '', 'g'))) * 100 + length(ink) // 2) // length(ink) END::INTEGER AS percent FROM (SELECT doc_id, regexp_replace(text, '{_WHITE}', '', 'g') AS ink FROM documents)",
+    "documents",
+)(lambda d: d.select("doc_id", names.junk_percent(F.col("text")).alias("percent")))
 _SIZED = " ".join(f"WHEN length < 10 * pow(1024, {p}) THEN printf('%.1f {u}', length / pow(1024, {p}))" + (f" WHEN length < pow(1024, {p + 1}) THEN printf('%.0f {u}', length / pow(1024, {p}))" if u != "PiB" else f" ELSE printf('%.0f {u}', length / pow(1024, {p}))") for p, u in enumerate(names.UNITS, 1))
 _WHOLE = " ".join(f"WHEN length > 0 AND length % {1024**p} = 0 THEN (length // {1024**p}) || ' {u}'" for p, u in reversed(list(enumerate(names.UNITS[:4], 1))))
 _add(

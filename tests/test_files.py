@@ -7,13 +7,15 @@ import hashlib
 import io
 import itertools
 import json
+import os
 import struct
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from claimwright.extract import contracts
+from claimwright.extract import contracts, pdf
+from claimwright.extract.limited import limited
 from claimwright.functions import grammar, mail, names
 from claimwright.plans import record as r
 from claimwright.queries import extraction, reference
@@ -130,7 +132,29 @@ def test_pictures_and_documents():
     assert dict(found("extractor:image-raster/3", jpeg).facts)["raster:width"] == 40
     iptc = b"\xff\xd8" + b"\x1c\x02\x19\0\x03key" + b"\x1c\x02\x19\0\x01\xe9" + b"\x1c\x02\x19\0\x03key" + b"\0" * 6
     assert found("extractor:image-iptc/1", iptc).facts == [("iptc:keywords", "key"), ("iptc:keywords", "é")]
-    assert found("extractor:pdf-info/1", b"<< /Title (a\\)b) /Author <FEFF00E9> >>").facts == [("pdf:title", "a)b"), ("pdf:author", "é")]
+
+
+def test_pdf_objects():
+    whole = pdf.Document(b"%PDF\n1 0 obj << /A (old) >> endobj 1 0 obj << /A [1 -.5 (a\\(b\\)(c)\\101\\\nd\\n) <4 1> /N#20x true null 2 0 R] % note\n >> endobj 2 0 obj (x) endobj")
+    a = whole.objects[1]["A"]
+    assert a[:6] == [1, -0.5, b"a(b)(c)Ad\n", b"A", "N x", True] and a[6] is None and whole.at(a[7]) == b"x"
+    assert pdf.text(b"\xfe\xff\0\xe9") == "é" and pdf.text(b"\xef\xbb\xbf\xc3\xa9") == "é" and pdf.text(b"\x80\x92\xa0\x18\xe9") == "•™€˘é"
+    assert contracts.pdf_info(b"trailer << /Info << /Title (a) /CreationDate (D:1) /No_Name (x) /N 3 >> >>").facts == [("pdf:title", "a"), ("pdf:creation-date", "D:1")]
+    for broken in (b"", b"%PDF", b"1 0 obj << /A", b"1 0 obj << /Length 9 >> stream\nabc", b"[" * 5000, b"1 0 obj " + b"[" * 5000):
+        assert contracts.pdf_info(broken).facts == [] and contracts.pdf_attachments(broken).files == []
+    assert contracts.pdf_info(b"trailer << /Encrypt 1 0 R /Info << /Title (a) >> >>").facts == []
+
+
+def test_memory_is_bounded_by_size():
+    assert limited(lambda d: len(d), b"abc") == 3
+    with pytest.raises(ValueError, match="memory"):
+        limited(lambda d: len(bytearray(1 << 31)), b"abc")
+    with pytest.raises(ValueError, match="status"):
+        limited(lambda d: os.kill(os.getpid(), 9), b"")
+
+
+def test_noise_is_told():
+    assert contracts.junk_verdict("abc") is None and contracts.junk_verdict("a\x01\x02\ue000") == "75% of the extracted characters are invalid; text discarded"
 
 
 def test_faults_leave_no_receipt(spark, rows):
