@@ -140,6 +140,28 @@ def _seconds(r: Column, zone: Column) -> Column:
     return F.coalesce(r["epoch"], placed).cast("bigint")
 
 
+def _nested(levels: int) -> str:
+    """A pair of parentheses with up to *levels* pairs inside one another; possessive, so text without an end costs one look."""
+    out = r"\([^()]*+\)"
+    for _ in range(levels - 1):
+        out = rf"\((?:[^()]++|{out})*+\)"
+    return out
+
+
+#: Levels of parentheses that one pass takes away.
+LEVELS = 8
+_COMMENT = _nested(LEVELS)
+
+
+def without_comments(text: Column) -> Column:
+    """*text* with what stands in parentheses, at any depth, as a space; passes go on until one changes nothing."""
+    state = lambda now, done: F.named_struct(F.lit("now"), now, F.lit("done"), done)
+    most = F.floor((F.length(text) - F.length(F.replace(text, F.lit("("), F.lit("")))) / LEVELS).cast("int") + 1
+    one = lambda acc, _: F.when(acc["done"], acc).otherwise(_let(F.regexp_replace(acc["now"], _COMMENT, " "), lambda n: state(n, n == acc["now"])))
+    passed = F.aggregate(F.sequence(F.lit(1), most), state(text, F.lit(False)), one)["now"]
+    return F.when(F.contains(text, F.lit("(")), passed).otherwise(text)
+
+
 def read_text(text: Column, zone: Column | None = None, order: Column | None = None) -> Column:
     """Seconds since 1970 of the one moment that *text* names, or null.
 
@@ -147,8 +169,7 @@ def read_text(text: Column, zone: Column | None = None, order: Column | None = N
     all-numeric dates; without them such texts name no moment.
     """
     missing = F.lit(None).cast("string")
-    bare = F.regexp_replace(F.regexp_replace(text, r"\([^()]*\)", " "), r"\([^()]*\)", " ")
-    parts = F.split(F.regexp_replace(F.regexp_replace(bare, r"^\s+|\s+\z", ""), PATTERN, _TEMPLATE), r"\|")
+    parts = F.split(F.regexp_replace(F.regexp_replace(without_comments(text), r"^\s+|\s+\z", ""), PATTERN, _TEMPLATE), r"\|")
     fields = lambda p: _let(_fields(p, missing if order is None else order), lambda r: _seconds(r, missing if zone is None else zone))
     return F.when(text.isNotNull(), _let(parts, fields))
 

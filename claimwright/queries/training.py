@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,3 +80,45 @@ SELECT DISTINCT a.s AS subject_a, b.s AS subject_b FROM g a JOIN n b ON a.cell =
   2 * 6371008.8 * asin(least(1, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 150""",
 }
 SQL["p3_report"] = SQL["p3_found"].replace("SELECT DISTINCT field, period, target FROM refs", "SELECT field, period, count(DISTINCT target) AS targets, count(*) AS refs FROM refs") + " GROUP BY 1, 2"
+
+#: The spellings of dates in DuckDB's regular expressions, one a form, over lower-case text without comments.
+_CLOCK = r"(?P<h>[0-9]{1,2}):(?P<mi>[0-9]{2})(?::(?P<s>[0-9]{2})(?:[.,][0-9]+)?)?(?:\s*(?P<half>[ap]m))?"
+_ZONE, _DAY = r"(?:\s*(?P<z>[+-][0-9]{2}(?::?[0-9]{2})?|[a-z]+))?", r"(?:(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?\.?,?\s+)?"
+_MONTH = r"(?P<mo>jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+_FORMS = {
+    "a": rf"(?P<y>[0-9]{{4}})-(?P<mo>[0-9]{{2}})-(?P<d>[0-9]{{2}})(?:t|\s+){_CLOCK}{_ZONE}",
+    "b": rf"(?P<y>[0-9]{{4}})(?P<mo>[0-9]{{2}})(?P<d>[0-9]{{2}})t(?P<h>[0-9]{{2}})(?P<mi>[0-9]{{2}})(?:(?P<s>[0-9]{{2}})(?:[.,][0-9]+)?)?(?P<half>x?x?)?{_ZONE}",
+    "c": rf"{_DAY}(?P<d>[0-9]{{1,2}})(?:\s+|-){_MONTH}\.?(?:,?\s+|-)(?P<y>[0-9]{{4}}|[0-9]{{2}}),?\s+{_CLOCK}{_ZONE}",
+    "d": rf"{_DAY}{_MONTH}\.?\s+(?P<d>[0-9]{{1,2}})\s+{_CLOCK}(?:\s+(?P<z>[+-][0-9]{{2}}(?::?[0-9]{{2}})?|[a-z]+))?\s+(?P<y>[0-9]{{4}})",
+    "e": rf"{_DAY}{_MONTH}\.?\s+(?P<d>[0-9]{{1,2}}),?\s+(?P<y>[0-9]{{4}}),?\s+{_CLOCK}{_ZONE}",
+    "f": rf"(?P<d>[0-9]{{1,2}})[./-](?P<mo>[0-9]{{1,2}})[./-](?P<y>[0-9]{{4}}|[0-9]{{2}}),?\s+{_CLOCK}{_ZONE}",
+}
+
+
+def _form(tag: str, pattern: str) -> str:
+    """SQL: the fields of the texts of one form, groups taken in the order they stand."""
+    names = re.findall(r"\(\?P<([a-z]+)>", pattern)
+    plain = re.sub(r"\(\?P<[a-z]+>", "(", pattern)
+    field = lambda n: f"g.{n}" if n in names else "''"
+    listed = "[" + ", ".join(f"'{n}'" for n in names) + "]"
+    month, day = (f"CASE ord WHEN 'dmy' THEN {field(a)} WHEN 'mdy' THEN {field(b)} END" if tag == "f" else field(a) for a, b in (("mo", "d"), ("d", "mo")))
+    return f"SELECT rid, {field('y')} AS y, {month} AS mo, {day} AS d, {field('h')} AS h, {field('mi')} AS mi, {field('s')} AS s, {field('half')} AS half, {field('z')} AS z FROM (SELECT rid, ord, regexp_extract(x, '^(?:{plain})$', {listed}) AS g FROM t WHERE regexp_matches(x, '^(?:{plain})$'))"
+
+
+_BARE = "date"
+for _ in range(6):
+    _BARE = f"regexp_replace({_BARE}, '\\([^()]*\\)', ' ', 'g')"
+SQL["p5_found"] = rf"""WITH zones AS (SELECT mailbox, min(zone) AS zone, CASE WHEN min(date_order) = max(date_order) THEN min(date_order) END AS ord FROM accounts WHERE mailbox IS NOT NULL AND zone IN (SELECT name FROM pg_timezone_names()) GROUP BY mailbox HAVING min(zone) = max(zone)),
+src AS (SELECT DISTINCT 'vault_logs' AS place, log_id::VARCHAR AS row_key, date, zone, ord FROM vault_logs LEFT JOIN zones USING (mailbox) WHERE log_id IS NOT NULL AND date IS NOT NULL
+  UNION SELECT 'claims', lower(cid), time, NULL, NULL FROM claims WHERE cid IS NOT NULL AND NOT regexp_matches(time, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}Z$')),
+t AS (SELECT *, row_number() OVER () AS rid, lower(regexp_replace({_BARE}, '^\s+|\s+$', '', 'g')) AS x FROM src),
+f AS ({" UNION ALL ".join(_form(k, p) for k, p in _FORMS.items())}),
+n AS (SELECT rid, CASE WHEN length(y) = 2 THEN 2000 + y::INT ELSE y::INT END AS y, CASE WHEN regexp_matches(mo, '^[0-9]') THEN try_cast(mo AS INT) ELSE (instr('jan feb mar apr may jun jul aug sep oct nov dec', mo[1:3]) + 3) // 4 END AS mo, try_cast(d AS INT) AS d,
+  CASE WHEN half = '' THEN CASE WHEN h::INT <= 23 THEN h::INT END WHEN h::INT BETWEEN 1 AND 12 THEN h::INT % 12 + CASE half WHEN 'pm' THEN 12 ELSE 0 END END AS h, mi::INT AS mi, CASE WHEN s = '' THEN 0 ELSE s::INT END AS s, z,
+  CASE WHEN regexp_matches(z, '^[+-]') THEN CASE WHEN z[2:3]::INT <= 23 AND coalesce(try_cast(nullif(right(replace(z[4:], ':', ''), 2), '') AS INT), 0) <= 59 THEN (CASE z[1] WHEN '-' THEN -1 ELSE 1 END) * (z[2:3]::INT * 60 + coalesce(try_cast(nullif(right(replace(z[4:], ':', ''), 2), '') AS INT), 0)) END
+    ELSE CASE z WHEN 'z' THEN 0 WHEN 'gmt' THEN 0 WHEN 'ut' THEN 0 WHEN 'utc' THEN 0 WHEN 'est' THEN -300 WHEN 'edt' THEN -240 WHEN 'cst' THEN -360 WHEN 'cdt' THEN -300 WHEN 'mst' THEN -420 WHEN 'mdt' THEN -360 WHEN 'pst' THEN -480 WHEN 'pdt' THEN -420 WHEN 'cet' THEN 60 WHEN 'cest' THEN 120 END END AS off FROM f),
+w AS (SELECT rid, z, off, try_cast(printf('%04d-%02d-%02d %02d:%02d:%02d', y, mo, d, h, mi, s) AS TIMESTAMP) AS wall FROM n WHERE y >= 1 AND mo BETWEEN 1 AND 12 AND d >= 1 AND h IS NOT NULL AND mi <= 59 AND s <= 59),
+u AS (SELECT w.rid, CASE WHEN z <> '' THEN wall - to_minutes(off) WHEN zone IS NOT NULL AND ((wall AT TIME ZONE zone) AT TIME ZONE zone) = wall
+    AND len(list_filter(range(-12, 13), lambda k: k <> 0 AND (((wall AT TIME ZONE zone) + to_minutes(15 * k)) AT TIME ZONE zone) = wall)) = 0 THEN (wall AT TIME ZONE zone) AT TIME ZONE 'UTC' END AS utc FROM w JOIN t USING (rid)
+  UNION ALL SELECT rid, make_timestamp((CASE length(x) WHEN 10 THEN try_cast(x AS BIGINT) ELSE try_cast(x AS BIGINT) // 1000 END * 1000000)::BIGINT) FROM t WHERE regexp_matches(x, '^([0-9]{{10}}|[0-9]{{13}})$'))
+SELECT DISTINCT place, row_key, strftime(utc, '%Y-%m-%dT%H:%M:%SZ') AS instant FROM u JOIN t USING (rid) WHERE utc IS NOT NULL"""

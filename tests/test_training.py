@@ -233,7 +233,7 @@ def test_satellites_are_split_by_measured_rate(spark, claims, tmp_path):
 READINGS = [
         ("2024-03-01T00:24:38Z", None, None, "2024-03-01T00:24:38Z"), ("2024-03-01 00:24:38.999+02", None, None, "2024-02-29T22:24:38Z"),
         ("20240301T002438z", None, None, "2024-03-01T00:24:38Z"), ("2024-03-01T00:24-00:00", None, None, "2024-03-01T00:24:00Z"),
-        ("Fri, 1 Mar 2024 10:00:00 +0530 (a (nested) note)", None, None, "2024-03-01T04:30:00Z"), ("Mon, 01 MARCH 24 10:00 pst", None, None, "2024-03-01T18:00:00Z"),
+        ("Fri, 1 Mar 2024 10:00:00 +0530 (a (nested) note)", None, None, "2024-03-01T04:30:00Z"), ("(" * 30 + "deep" + ")" * 30 + "1 Mar 2024 10:00:00 (x)(y(z)) Z", None, None, "2024-03-01T10:00:00Z"), ("(" * 5000 + "1 Mar 2024 10:00:00 Z", None, None, None), ("Mon, 01 MARCH 24 10:00 pst", None, None, "2024-03-01T18:00:00Z"),
         ("Fri Mar  1 10:00:00 CEST 2024", None, None, "2024-03-01T08:00:00Z"), ("Fri, 1 Mar 2024 10:00:00 IST", "Asia/Kolkata", None, None),
         ("1709251200", None, None, "2024-03-01T00:00:00Z"), ("1709251200999", None, None, "2024-03-01T00:00:00Z"), ("170925120", None, None, None),
         ("2024-03-10 01:59:59", "America/New_York", None, "2024-03-10T06:59:59Z"), ("2024-03-10 02:30:00", "America/New_York", None, None),
