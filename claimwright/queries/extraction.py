@@ -588,3 +588,10 @@ SQL["image_iptc"] = _over_grids(
     "SELECT subject, unnest([" + ", ".join(f"'iptc:{n}'" for n in contracts.IPTC_NAMES.values()) + "]) AS attribute, unnest([" + ", ".join(f"'\"{n} é ' || w || '\"'" for n in contracts.IPTC_NAMES.values())
     + "]) AS value FROM g UNION ALL SELECT subject, 'iptc:keywords', '\"key\"' FROM g UNION ALL SELECT subject, 'iptc:caption-abstract', '\"long\"' FROM g"
 )
+
+_PLACED = training.SQL["p6_found"].partition(",\nn AS")[0] + """, l AS (SELECT s AS subject, min(row(lat, lon)) AS p FROM g GROUP BY s),
+    c AS (SELECT subject, round_even(abs(p[1]) * 1000000, 0)::BIGINT AS la, round_even(abs(p[2]) * 1000000, 0)::BIGINT AS lo, p[1] < 0 AS south, p[2] < 0 AS west FROM l)"""
+SQL["image_exif"] = _PLACED + """ SELECT subject, unnest(['exif:copyright', 'exif:exposure-bias-value', 'exif:flash', 'exif:gps-date-stamp', 'exif:gps-latitude', 'exif:gps-latitude-ref', 'exif:gps-longitude', 'exif:gps-longitude-ref', 'exif:gps-status',
+    'exif:gps-version-id', 'exif:lens-specification', 'exif:make', 'exif:metering-mode', 'exif:orientation', 'exif:white-balance']) AS attribute, unnest(['["Ann","Bo"]', '"-1/3"', '16', '"2024:03:01"', '"' || la || '/1000000"', CASE WHEN south THEN '"S"' ELSE '"N"' END,
+    '"' || lo || '/1000000"', CASE WHEN west THEN '"W"' ELSE '"E"' END, '"A"', '[2,3,0,0]', '["24/1","70/1","28/10","28/10"]', '"Ann"', '5', '6', '1']) AS value FROM c"""
+SQL["image_geo"] = _PLACED + """ SELECT subject, 'geo:position' AS attribute, '{"latitude":' || (CASE WHEN south THEN -la ELSE la END / 1000000.0)::DOUBLE || ',"longitude":' || (CASE WHEN west THEN -lo ELSE lo END / 1000000.0)::DOUBLE || '}' AS value FROM c WHERE la <> 0 OR lo <> 0"""

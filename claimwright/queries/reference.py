@@ -178,7 +178,7 @@ _add("gather_parts", None)(lambda c: ask.gather(c, finder.find(c, ["geo:position
 _add("standing_bare", "SELECT subject, json_extract_string(value, '$') AS value FROM vals WHERE attribute = 'file:name' AND value LIKE '\"%'")(
     lambda c: ask.values(c, "file:name").where(F.col("value").startswith('"')).select("subject", paths.path_text(F.col("value")).alias("value"))
 )
-_add("parts_projection", None)(lambda c: ask.parts(c, "geo:position", "altitude"))
+_add("parts_projection", "SELECT DISTINCT subject, regexp_replace(regexp_replace(json_extract(value, '$.altitude')::VARCHAR, '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') AS part FROM live WHERE attribute = 'geo:position' AND json_valid(value) AND json_extract(value, '$.altitude') IS NOT NULL")(lambda c: ask.parts(c, "geo:position", "altitude"))
 _add("standing_ids", "SELECT subject, cid FROM live WHERE attribute = 'user:tag'")(lambda c: ask.standing_ids(c, "user:tag"))
 _add("standing_ids_of_value", "SELECT subject, cid FROM live WHERE attribute = 'user:tag' AND value = '\"keep\"'")(lambda c: ask.standing_ids(c, "user:tag", '"keep"'))
 _add("resolve_answers", "SELECT CASE count(DISTINCT subject) WHEN 0 THEN 'unknown' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS answer, min(subject) AS subject FROM rec WHERE subject LIKE 'a8%'")(lambda c: ask.resolved(c, "A8"))
@@ -254,7 +254,11 @@ _add(
 )(ask.run_sightings)
 _add("placements", f"SELECT subject, attribute, value FROM vals WHERE {_KINDS} QUALIFY {_KIND} = min({_KIND}) OVER (PARTITION BY subject)")(ask.placements)
 _add("resolve_prefix", "SELECT DISTINCT subject FROM rec WHERE subject LIKE 'a8e%'")(lambda c: ask.resolve(c, "A8E"))
-_add("shortest_prefix", None)(ask.shortest_prefix)
+_add(
+    "shortest_prefix",
+    """, n AS (SELECT subject, lag(subject) OVER (ORDER BY subject) AS a, lead(subject) OVER (ORDER BY subject) AS b FROM (SELECT DISTINCT subject FROM rec))
+    SELECT subject, subject[1:greatest(8, 1 + coalesce(len(list_filter(range(1, 129), lambda i: i <= length(subject) AND subject[1:i] = a[1:i])), 0), 1 + coalesce(len(list_filter(range(1, 129), lambda i: i <= length(subject) AND subject[1:i] = b[1:i])), 0))] AS short FROM n""",
+)(ask.shortest_prefix)
 _add("newest_value", "SELECT subject, value, time, cid FROM live WHERE attribute = 'file:size' QUALIFY row_number() OVER (PARTITION BY subject ORDER BY time DESC, cid DESC) = 1")(lambda c: ask.newest(c, "file:size"))
 
 # -- lineage
@@ -276,7 +280,15 @@ _add(
     " SELECT c.subject, l.origin || ' ' || c.path, l.origin FROM climb c JOIN links l ON l.subject = c.top WHERE NOT contains(c.path, l.origin))"
     " SELECT subject, path FROM climb WHERE top NOT IN (SELECT subject FROM links)",
 )(lambda c: lineage.descents(lineage.edges(c), lineage.edges(c).select("subject").distinct()).select("subject", F.array_join("path", " ").alias("path")))
-_add("only_from", None, "claims", "blobs")(
+def _only_from_sql(rounds: int = 8) -> str:
+    """Files that came only from missing ones, in so many rounds; the data are less deep."""
+    out = ", kept AS (SELECT DISTINCT lower(digest) AS subject FROM blobs WHERE store = 'content'), o0 AS (SELECT digest AS subject FROM refs WHERE digest NOT IN (SELECT digest FROM held))"
+    for n in range(1, rounds + 1):
+        out += f", o{n} AS (SELECT subject FROM o{n - 1} UNION SELECT subject FROM links GROUP BY subject HAVING bool_and(origin IN (SELECT subject FROM o{n - 1})) AND subject NOT IN (SELECT subject FROM kept))"
+    return out
+
+
+_add("only_from", _only_from_sql() + " SELECT subject FROM o8", "claims", "blobs")(
     lambda c, b: lineage.only_from(lineage.edges(c), verify.missing(c, b).select(F.col("digest").alias("subject")), b.where(F.col("store") == "content").select(F.lower("digest").alias("subject")))
 )
 _add(
@@ -497,7 +509,13 @@ _add(
     """, gone AS (SELECT cid FROM rec WHERE source LIKE 'extractor:%') SELECT cid FROM rec WHERE source NOT LIKE 'extractor:%' AND NOT (retracts IS NOT NULL AND
     cid NOT IN (SELECT cid FROM (SELECT cid, unnest(retracts) AS t FROM rec WHERE retracts IS NOT NULL) WHERE t NOT IN (SELECT cid FROM gone)))""",
 )(lambda c: rewrite.unextract(c).select("cid"))
-_add("remove_files", None, "claims", "blobs")(
+_add(
+    "remove_files",
+    _only_from_sql() + """, doom AS (SELECT subject FROM o0), gone AS (SELECT cid FROM rec WHERE subject IN (SELECT subject FROM doom) OR (subject IN (SELECT subject FROM o8) AND source LIKE 'extractor:%')
+      OR (attribute = 'prov:origin' AND value IN (SELECT '"' || subject || '"' FROM doom)))
+    SELECT cid FROM rec WHERE cid NOT IN (SELECT cid FROM gone) AND NOT (retracts IS NOT NULL AND cid NOT IN (SELECT cid FROM (SELECT cid, unnest(retracts) AS t FROM rec WHERE retracts IS NOT NULL) WHERE t NOT IN (SELECT cid FROM gone)))""",
+    "claims", "blobs",
+)(
     lambda c, b: rewrite.remove(c, verify.missing(c, b).select(F.col("digest").alias("subject")), b.where(F.col("store") == "content").select(F.lower("digest").alias("subject"))).select("cid")
 )
 _RENAMED = f"""CASE WHEN attribute = 'prov:origin' AND value LIKE '"%' THEN '"' || (SELECT any_value(new) FROM names WHERE old = lower(json_extract_string(value, '$'))) || '"' ELSE value END"""
@@ -666,7 +684,7 @@ _add(
 )(
     lambda c: c.where(grammar.valid_time(F.col("time")) & ~F.col("time").endswith(":60Z")).select("time").distinct().withColumn("seconds", names.epoch(F.col("time"))).withColumn("back", spelled(F.col("seconds")))
 )
-_add("mail_addresses", None)(lambda c: mail.standing_addresses(ask.values(c, "mail:from")))
+_add("mail_addresses", f"SELECT DISTINCT subject, '<' || lower({_TEXT}) || '>' AS address FROM vals WHERE attribute = 'mail:from' AND value LIKE '\"%' AND regexp_matches({_TEXT}, '^[^\\s@<>()\",;:]+@[^\\s@<>()\",;:]+$')")(lambda c: mail.standing_addresses(ask.values(c, "mail:from")))
 
 
 @_add("stream_fold_equals_batch", "SELECT subject, attribute, value FROM vals")
