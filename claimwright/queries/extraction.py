@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import io
 import json
+import re
 import struct
 import zipfile
 import zlib
@@ -68,7 +69,7 @@ def _message(d) -> bytes:
     clock = [f"Fri, 1 Mar 2024 10:00:{k % 60:02d} +0100", f"Fri Mar  1 10:{k % 60:02d}:00 2024", f"31 Dec 2016 23:59:60 GMT (leap {k})", "no date"][k % 4]
     head = f'From: {sender}\r\nTo: b@x.org, "C, D" <c@x.org>, nobody\r\nSubject: note\r\n {k}\r\nMessage-ID: <{k}@x.org>\r\nDate: {clock}\r\nContent-Type: multipart/mixed; boundary="b{k}x"\r\n\r\n'
     way = ["8bit", "base64", "quoted-printable"][k % 3]
-    sent = text if way == "8bit" else base64.encodebytes(text) if way == "base64" else b"".join(b"=%02X" % c if c < 33 or c > 126 or c == 61 else bytes([c]) for c in text)
+    sent = text if way == "8bit" else base64.encodebytes(text) if way == "base64" else re.sub(rb"[^!-<>-~]", lambda m: b"=%02X" % m[0][0], text)
     part = f"--b{k}x\r\nContent-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: {way}\r\n\r\n".encode()
     name = [f'; filename="n{k}.txt"', f"; filename*=utf-8''n%C3%A9{k}.txt", f"; filename*0=long; filename*1=n{k}.txt", f'; filename="dir/n{k}.txt"'][k % 4]
     kept = f"\r\n--b{k}x\r\nContent-Type: text/x-note\r\nContent-Transfer-Encoding: base64\r\nContent-Disposition: attachment{name}\r\n\r\n".encode() + base64.b64encode(text)
