@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from claimwright.functions.grammar import json_quote
+from claimwright.operators.lineage import descents, edges
 from claimwright.plans.ranks import ranked
 from claimwright.plans.record import live, live_values, record
 from claimwright.plans.terms import CLAIM_FIELDS, part_of, quote
@@ -193,9 +194,9 @@ def counters(claims: DataFrame) -> DataFrame:
     """Counters of the log, one row. Files are counted after one row a file is left, not by expanding every claim."""
     has = lambda a: F.max((F.col("attribute") == a).cast("bigint"))
     files = record(claims).groupBy("subject").agg(F.count("*").alias("n"), has("file:size").alias("sized"), has("file:mime").alias("typed"), F.max("time").alias("last"))
-    segments = claims.select("seq").distinct().agg(F.count("seq")).scalar()
+    segments, referenced = claims.select("seq").distinct().agg(F.count("seq")).scalar(), references(claims).agg(F.count("*")).scalar()
     return files.agg(
-        segments.alias("segments"), F.coalesce(F.sum("n"), F.lit(0)).alias("claims"), F.count("subject").alias("files"), F.coalesce(F.sum("sized"), F.lit(0)).alias("sized"), F.coalesce(F.sum("typed"), F.lit(0)).alias("typed"), F.max("last").alias("last")
+        segments.alias("segments"), referenced.alias("referenced"), F.coalesce(F.sum("n"), F.lit(0)).alias("claims"), F.count("subject").alias("files"), F.coalesce(F.sum("sized"), F.lit(0)).alias("sized"), F.coalesce(F.sum("typed"), F.lit(0)).alias("typed"), F.max("last").alias("last")
     )
 
 
@@ -266,3 +267,43 @@ def first(names: DataFrame, column: str, n: int = 5) -> DataFrame:
 def remembered(worklist_: DataFrame, memo: DataFrame) -> DataFrame:
     """Of a worklist (subject) the files that a memo of examinations (subject) knows: their answers need not be found again."""
     return worklist_.join(memo.select("subject"), "subject", "left_semi")
+
+
+def run_lines(claims: DataFrame) -> DataFrame:
+    """One JSON object a run: (run, line)."""
+    sources = F.concat(F.lit("["), F.array_join(F.transform(F.filter(F.split("sources", " "), lambda x: x != ""), json_quote), ","), F.lit("]"))
+    parts = [F.lit('{"run":'), json_quote(F.col("run")), F.lit(',"first":'), json_quote(F.col("first")), F.lit(',"last":'), json_quote(F.col("last"))]
+    parts += [x for n in ("files", "claims", "retractions") for x in (F.lit(f',"{n}":'), F.col(n).cast("string"))]
+    return history(claims).select("run", F.concat(*parts, F.lit(',"sources":'), sources, F.lit("}")).alias("line"))
+
+
+def attribute_lines(claims: DataFrame) -> DataFrame:
+    """One JSON object an attribute with the number of its files: (line)."""
+    return attribute_counts(claims).select(F.concat(F.lit('{"attribute":'), json_quote(F.col("attribute")), F.lit(',"files":'), F.col("files").cast("string"), F.lit("}")).alias("line"))
+
+
+def grep(documents: DataFrame, claims: DataFrame, pattern: str) -> DataFrame:
+    """Where texts that match *pattern* come from, all the way up: (subject, path), ``path`` from the first origin down to the text."""
+    hits = documents.where(F.col("text").rlike(pattern) & F.col("subject").isNotNull()).select(F.lower("subject").alias("subject")).distinct()
+    return descents(edges(claims), hits)
+
+
+def references(claims: DataFrame) -> DataFrame:
+    """The digests that the record refers to: subjects, and files that links name."""
+    links = edges(claims).select(F.col("origin").alias("digest"))
+    return claims.where(F.col("subject").isNotNull()).select(F.lower("subject").alias("digest")).unionByName(links).distinct()
+
+
+def ingest_tally(files: DataFrame) -> DataFrame:
+    """What became of listed files (status, size): (status, files, bytes) for stored, known, unchanged, excluded, gone and failed ones, 0 included."""
+    kinds = files.sparkSession.createDataFrame([(k,) for k in ("stored", "known", "unchanged", "excluded", "gone", "failed")], "status string")
+    sums = files.groupBy("status").agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+    return kinds.join(sums, "status", "left").select("status", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
+
+
+def extraction_tally(answers: DataFrame) -> DataFrame:
+    """What contracts found (answers of ``contracts.examine``): (source, examined, found, derived, skipped)."""
+    return answers.groupBy("source").agg(
+        F.count_distinct(F.when(F.col("error").isNull(), F.col("subject"))).alias("examined"), F.count(F.when(F.col("derived").isNull(), F.col("attribute"))).alias("found"),
+        F.count_distinct("derived").alias("derived"), F.count_distinct(F.when(F.col("error").isNotNull(), F.col("subject"))).alias("skipped"),
+    )

@@ -107,17 +107,18 @@ def placed_hits(claims: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def trees(links: DataFrame, starts: DataFrame) -> DataFrame:
-    """Derivation trees: rows (root, node, parent, depth) below each of *starts* (subject), a node once a tree.
+    """Derivation trees: rows (root, node, parent, depth, path) below each of *starts* (subject), a node once a tree.
 
-    A node that a round reaches from several parents takes the least of them.
+    A node that a round reaches from several parents takes the least of them; ``path`` are the nodes from the root to it.
     """
-    first = starts.select(F.col("subject").alias("root"), F.col("subject").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth")).distinct()
+    first = starts.select(F.col("subject").alias("root"), F.col("subject").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.array("subject").alias("path")).distinct()
     known, depth, links = _Known(first), 0, checkpointed(links.select("origin", "subject"))
     hot = checkpointed(hot_keys(links, ["origin"]))
     while True:
         depth += 1
-        below = spread_join(links, known.last.select("root", F.col("node").alias("origin")), ["origin"], hot)
-        below = below.groupBy("root", F.col("subject").alias("node")).agg(F.min("origin").alias("parent")).withColumn("depth", F.lit(depth))
+        below = spread_join(links, known.last.select("root", F.col("node").alias("origin"), "path"), ["origin"], hot)
+        least = F.min(F.struct("origin", "path")).alias("l")
+        below = below.groupBy("root", F.col("subject").alias("node")).agg(least).select("root", "node", F.col("l.origin").alias("parent"), F.lit(depth).alias("depth"), F.concat("l.path", F.array("node")).alias("path"))
         if not known.add(below, ["root", "node"]):
             return known.all()
 
@@ -127,6 +128,22 @@ def flat(tree: DataFrame) -> DataFrame:
     return ranked(tree, ["root"], ["depth", "node"], "place")
 
 
+def tree_lines(tree: DataFrame) -> DataFrame:
+    """Each derivation tree as nested JSON objects, as rows (root, place, text): the texts of a root in order of place are its object.
+
+    A node's object has its subject and the list ``derived`` of the objects below it, empty or not.
+    """
+    rows = ranked(tree, ["root"], ["path"], "place").select("root", "place", "node", "depth")
+    after = rows.select("root", (F.col("place") - 1).alias("place"), F.col("depth").alias("next"))
+    both = rows.join(after, ["root", "place"], "left")
+    # A first child stands right behind its parent; an object ends with all those it is the last of.
+    before = rows.select("root", (F.col("place") + 1).alias("place"), F.col("depth").alias("last"))
+    both = both.join(before, ["root", "place"], "left")
+    comma = F.when(F.col("depth") <= F.col("last"), ",").otherwise("")
+    ends = F.when(F.col("next") > F.col("depth"), "").otherwise(F.repeat(F.lit("]}"), F.col("depth") - F.coalesce("next", F.lit(0)) + 1))
+    return both.select("root", "place", F.concat(comma, F.lit('{"subject":"'), "node", F.lit('","derived":['), ends).alias("text"))
+
+
 def descents(links: DataFrame, hits: DataFrame) -> DataFrame:
     """Rows (subject, path): each simple path from an origin that has none down to a hit."""
     links = checkpointed(links.select(F.col("subject").alias("top"), "origin"))

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from claimwright.functions.grammar import json_quote
 from claimwright.functions.names import account_of, epoch, folder_of
 from claimwright.operators.ask import placements
 from claimwright.plans.ranks import ranked
@@ -39,6 +40,22 @@ def level(claims: DataFrame, place: str) -> DataFrame:
     return entry.groupBy("name").agg(F.sum((~F.col("deep")).cast("bigint")).alias("files"), F.sum(F.col("deep").cast("bigint")).alias("below"))
 
 
+def level_lines(claims: DataFrame, place: str) -> DataFrame:
+    """The level below *place* as JSON objects: (name, kind, part, line), a file with the subjects that stand there, a folder as itself.
+
+    A file's subjects come a thousand a line, ``part`` counting the lines, so a place of very many subjects is no one row.
+    """
+    base = place.rstrip("/") + "/"
+    rest = F.substr("path", F.lit(len(base) + 1))
+    rows = all_paths(claims).where(F.col("path").startswith(base)).select("subject", F.split(rest, "/").alias("parts")).where(F.col("parts")[0] != "")
+    name = F.col("parts")[0].alias("name")
+    folders = rows.where(F.size("parts") > 1).select(name).distinct().select("name", F.lit("folder").alias("kind"), F.lit(0).cast("bigint").alias("part"), F.concat(F.lit('{"folder":'), json_quote(F.col("name")), F.lit("}")).alias("line"))
+    files = ranked(rows.where(F.size("parts") == 1).select(name, "subject").distinct(), ["name"], ["subject"], "n").groupBy("name", F.floor((F.col("n") - 1) / 1000).alias("part"))
+    files = files.agg(F.array_join(F.transform(F.sort_array(F.collect_list("subject")), json_quote), ",").alias("own"))
+    line = F.concat(F.lit('{"file":'), json_quote(F.col("name")), F.lit(',"subjects":['), F.col("own"), F.lit("]}"))
+    return folders.unionByName(files.select("name", F.lit("file").alias("kind"), "part", line.alias("line")))
+
+
 def tree_counts(claims: DataFrame) -> DataFrame:
     """Files at and below each folder: (folder, files). Each path counts once in each folder above it."""
     parts = F.split("path", "/")

@@ -54,15 +54,46 @@ def retract(claims: DataFrame, attribute: str, condition: Column, time: str, run
     return df.withColumn("cid", claim_id()).select(*CLAIM)
 
 
+def retract_all(claims: DataFrame, asked: DataFrame, time: str, run: str, source: str = "user") -> tuple[DataFrame, DataFrame]:
+    """Retractions of all that is *asked* (subject, attribute, pattern), or of nothing: (retractions, unmet).
+
+    A pattern is a value as it is written, a string with or without quotes, or ``..`` for every value of the
+    attribute; globs are refused. ``unmet`` has what stands nowhere; with a row in it there are no retractions.
+    """
+    named = asked.select(F.lower("subject").alias("subject"), "attribute", "pattern").distinct()
+    globs = named.where(F.col("pattern").rlike(r"[*?]") & ~F.col("pattern").rlike(r'(?s)^".*"\z')).limit(1).collect()
+    if globs:
+        raise ValueError(f"a retraction names a value, not a glob: {globs[0].pattern}")
+    rows = live(claims, None, ("value",)).join(named.select("subject", "attribute").distinct(), ["subject", "attribute"], "left_semi")
+    p, v = F.col("pattern"), F.col("value")
+    bare = F.regexp_replace(p, r'(?s)^"(.*)"\z', "$1")
+    met = (p == "..") | (v == p) | (v == json_quote(bare))
+    hits = named.join(rows, ["subject", "attribute"]).where(met)
+    unmet = named.join(hits.select("subject", "attribute", "pattern").distinct(), ["subject", "attribute", "pattern"], "left_anti")
+    taken = hits.groupBy("subject", "attribute").agg(F.sort_array(F.collect_set("cid")).alias("retracts"))
+    taken = taken.where(unmet.agg(F.count("*") == 0).scalar())
+    df = taken.select("subject", "attribute", F.lit(None).cast("string").alias("value"), F.lit(time).alias("time"), F.lit(source).alias("source"), F.lit(run).alias("run"), "retracts")
+    return df.withColumn("cid", claim_id()).select(*CLAIM), unmet
+
+
+def preview(files: DataFrame) -> DataFrame:
+    """What an ingest of listed files (size) would take in, without reading one: (files, bytes)."""
+    return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+
+
 def receipts(subjects: DataFrame, source: str, time: str, run: str) -> DataFrame:
     """The receipt of an examination: ``prov:examined`` with the source as value."""
     return _claims(subjects, {"prov:examined": json_quote(F.lit(source))}, F.lit(time), source, run)
 
 
 def land(messages: DataFrame, run: str) -> DataFrame:
-    """Facts of fetched messages (subject, place, message_id, size, time, fresh)."""
+    """Facts of fetched messages (subject, place, message_id, size, time, fresh, tags): place, id, kind and each tag on every sighting, size for new bytes."""
     facts = {
         "mailbox:place": json_quote(F.col("place")), "mailbox:id": json_quote(F.col("message_id")),
         "file:mime": json_quote(F.lit("message/rfc822")), "file:size": F.when(F.col("fresh"), F.col("size").cast("string")),
     }
-    return _claims(messages, facts, F.col("time"), "mailvault", run)
+    told = _claims(messages, facts, F.col("time"), "mailvault", run)
+    if "tags" not in messages.columns:
+        return told
+    tags = messages.select("subject", "time", F.explode("tags").alias("tag"))
+    return told.unionByName(_claims(tags, {"mailbox:tag": json_quote(F.col("tag"))}, F.col("time"), "mailvault", run))

@@ -231,11 +231,32 @@ _add("as_of_run", f"SELECT lower(cid) AS cid, count(*) AS n FROM ({_BY_RUN}) GRO
 _add("run_tally", "SELECT source, count(value) AS assertions, count(retracts) AS retractions, count(DISTINCT subject) AS files FROM rec GROUP BY 1")(ask.tally)
 _add(
     "log_counters",
-    "SELECT count(DISTINCT seq) AS segments, count(*) AS claims, count(DISTINCT subject) AS files, count(DISTINCT subject) FILTER (WHERE attribute = 'file:size') AS sized,"
+    "SELECT count(DISTINCT seq) AS segments, (SELECT count(*) FROM (SELECT digest FROM refs UNION SELECT origin FROM links)) AS referenced, count(*) AS claims, count(DISTINCT subject) AS files, count(DISTINCT subject) FILTER (WHERE attribute = 'file:size') AS sized,"
     " count(DISTINCT subject) FILTER (WHERE attribute = 'file:mime') AS typed, max(time) AS last FROM rec",
 )(ask.counters)
 _add("first_sighting", "SELECT subject, value AS place, min(time) AS first FROM rec WHERE attribute = 'mailbox:place' AND retracts IS NULL GROUP BY 1, 2")(ask.first_sightings)
 
+_add(
+    "run_lines",
+    """, h AS (SELECT run, min(time) AS first, max(time) AS last, count(DISTINCT subject) AS files, count(*) AS claims, count(retracts) AS retractions, list_sort(list(DISTINCT source)) AS sources FROM rec WHERE run IS NOT NULL GROUP BY run)
+    SELECT run, '{"run":"' || run || '","first":"' || first || '","last":"' || last || '","files":' || files || ',"claims":' || claims || ',"retractions":' || retractions || ',"sources":["' || array_to_string(sources, '","') || '"]}' AS line FROM h""",
+)(ask.run_lines)
+_add(
+    "attribute_lines",
+    """SELECT '{"attribute":"' || a.attribute || '","files":' || count(DISTINCT l.subject) || '}' AS line FROM (SELECT DISTINCT attribute FROM rec) a LEFT JOIN live l ON l.attribute = a.attribute GROUP BY a.attribute""",
+)(ask.attribute_lines)
+_add(
+    "ingest_tally",
+    """SELECT k AS status, count(d.doc_id) AS files, coalesce(sum(octet_length(encode(d.text))), 0)::BIGINT AS bytes FROM (SELECT unnest(['stored', 'known', 'unchanged', 'excluded', 'gone', 'failed']) AS k)
+    LEFT JOIN (SELECT doc_id, text, CASE WHEN text IS NULL THEN 'failed' WHEN lower(subject) IN (SELECT digest FROM held) THEN 'known' ELSE 'stored' END AS status FROM documents WHERE subject IS NOT NULL) d ON d.status = k GROUP BY k""",
+    "documents", "blobs",
+)(
+    lambda d, b: ask.ingest_tally(
+        write.admit(d.where("subject IS NOT NULL").select(F.lower("subject").alias("subject"), "text"), held(b))
+        .select(F.when(F.col("text").isNull(), "failed").when(F.col("fresh"), "stored").otherwise("known").alias("status"), F.octet_length("text").alias("size"))
+    )
+)
+
 # -- kinds, worklists, places
 
 _add("of_kind", "SELECT DISTINCT subject FROM live WHERE attribute = 'file:mime' AND value IN ('\"image/jpeg\"', '\"application/pdf\"')")(lambda c: ask.kinds(c, ["image/jpeg", "application/pdf"]))
@@ -299,6 +320,26 @@ _add(
     lambda d, c: d.where(F.col("text").contains("attachment")).select(F.lower("subject").alias("subject")).join(lineage.edges(c), "subject").select("subject", "origin").distinct()
 )
 
+_DOWN = (
+    ", tree(root, node, path, depth) AS (SELECT subject, subject, [subject], 0 FROM roots UNION ALL SELECT t.root, l.subject, list_append(t.path, l.subject), t.depth + 1 FROM tree t JOIN links l ON l.origin = t.node WHERE t.depth < 20 AND NOT list_contains(t.path, l.subject)),"
+    " best AS (SELECT root, node, depth, path FROM tree QUALIFY row_number() OVER (PARTITION BY root, node ORDER BY depth, path[depth], path) = 1)"
+)
+_add("flat_lineage", _DOWN + " SELECT root, node, row_number() OVER (PARTITION BY root ORDER BY depth, node) AS place FROM best")(
+    lambda c: lineage.flat(lineage.trees(lineage.edges(c), lineage.roots(c))).select("root", "node", "place")
+)
+_add(
+    "lineage_lines",
+    _DOWN + """, o AS (SELECT *, row_number() OVER w AS place, lag(depth) OVER w AS last, lead(depth) OVER w AS next FROM best WINDOW w AS (PARTITION BY root ORDER BY path))
+    SELECT root, place, CASE WHEN depth <= last THEN ',' ELSE '' END || '{"subject":"' || node || '","derived":[' || CASE WHEN next > depth THEN '' ELSE repeat(']}', depth - coalesce(next, 0) + 1) END AS text FROM o""",
+)(lambda c: lineage.tree_lines(lineage.trees(lineage.edges(c), lineage.roots(c))))
+_add(
+    "grep_lineage",
+    ", hits AS (SELECT DISTINCT lower(subject) AS subject FROM documents WHERE regexp_matches(text, '(?i)attach(ment|ed)') AND subject IS NOT NULL), climb(subject, path, top) AS (SELECT subject, [subject], subject FROM hits UNION ALL"
+    " SELECT c.subject, list_prepend(l.origin, c.path), l.origin FROM climb c JOIN links l ON l.subject = c.top WHERE NOT list_contains(c.path, l.origin))"
+    " SELECT subject, array_to_string(path, ' ') AS path FROM climb WHERE top NOT IN (SELECT subject FROM links)",
+    "documents", "claims",
+)(lambda d, c: ask.grep(d, c, "(?i)attach(ment|ed)").select("subject", F.array_join("path", " ").alias("path")))
+
 # -- paths and layout
 
 _add("under_place", "SELECT path, subject FROM paths WHERE path = '/photos' OR starts_with(path, '/photos/')")(lambda c: paths.under(c, "/photos"))
@@ -307,6 +348,13 @@ _add(
     ", e AS (SELECT split_part(path[9:], '/', 1) AS name, contains(path[9:], '/') AS deep FROM paths WHERE starts_with(path, '/photos/'))"
     " SELECT name, count(*) FILTER (WHERE NOT deep) AS files, count(*) FILTER (WHERE deep) AS below FROM e WHERE name <> '' GROUP BY 1",
 )(lambda c: paths.level(c, "/photos"))
+_add(
+    "level_lines",
+    """, e AS (SELECT subject, split_part(path[9:], '/', 1) AS name, contains(path[9:], '/') AS deep FROM paths WHERE starts_with(path, '/photos/')), n AS (SELECT DISTINCT subject, name FROM e WHERE NOT deep AND name <> ''),
+    p AS (SELECT *, (row_number() OVER (PARTITION BY name ORDER BY subject) - 1) // 1000 AS part FROM n)
+    SELECT DISTINCT name, 'folder' AS kind, 0 AS part, '{"folder":' || to_json(name) || '}' AS line FROM e WHERE deep AND name <> ''
+    UNION ALL SELECT name, 'file', part, '{"file":' || to_json(name) || ',"subjects":["' || string_agg(subject, '","' ORDER BY subject) || '"]}' FROM p GROUP BY name, part""",
+)(lambda c: paths.level_lines(c, "/photos"))
 _add(
     "tree_counts",
     ", e AS (SELECT string_split(path, '/') AS p FROM paths WHERE path LIKE '/%'), f AS (SELECT array_to_string(p[1:n], '/') || '/' AS folder FROM (SELECT p, unnest(range(1, len(p))) AS n FROM e))"
@@ -468,6 +516,15 @@ _add(
 )(
     lambda c: write.retract(c, "user:tag", value_matches(F.col("value"), '"review"'), "2026-12-01T00:00:00Z", "r").select("subject", F.array_join("retracts", " ").alias("taken"), "cid")
 )
+_add(
+    "retract_asked",
+    """, a AS (SELECT DISTINCT subject FROM live WHERE attribute = 'user:tag' AND value = '"keep"'),
+    t AS (SELECT l.subject, l.attribute, list_sort(list(DISTINCT cid)) AS taken FROM live l JOIN a USING (subject) WHERE (attribute = 'user:tag' AND value = '"keep"') OR attribute = 'user:tag' GROUP BY 1, 2) SELECT subject, attribute, array_to_string(taken, ' ') AS taken FROM t""",
+)(
+    lambda c: write.retract_all(
+        c, finder.find(c, ["user:tag=keep"]).select("subject", F.lit("user:tag").alias("attribute"), F.explode(F.array(F.lit("keep"), F.lit(".."))).alias("pattern")), "2026-12-01T00:00:00Z", "r"
+    )[0].select("subject", "attribute", F.array_join("retracts", " ").alias("taken"))
+)
 _add(
     "annotate",
     """, h AS (SELECT DISTINCT subject FROM live WHERE attribute = 'file:mime' AND value = '"application/pdf"'), f(attribute, value) AS (VALUES ('user:comment', '"seen"'), ('user:tag', '"a"'), ('user:tag', '"b"'))
@@ -498,7 +555,7 @@ _add("admit_dedupe", "SELECT DISTINCT lower(subject) AS subject, lower(subject)
     lambda d, b: write.admit(_listed(d).select("subject").distinct(), held(b))
 )
 _add("ingest_preview", "SELECT count(*) AS files, sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS bytes FROM documents WHERE subject IS NOT NULL AND source IS NOT NULL", "documents")(
-    lambda d: _listed(d).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    lambda d: write.preview(_listed(d))
 )
 _add(
     "receipts",
