@@ -73,22 +73,6 @@ def segment_digest(previous: str | None, lines: list[str]) -> str:
     return hashlib.sha256("".join(x + "\n" for x in (header(previous), *lines)).encode()).hexdigest()
 
 
-def rewritten(segments: list[tuple[str, str | None, list[str]]], edited: dict[str, list[str]]) -> list[tuple[str, str, str | None, list[str]]]:
-    """New names of a chain after an edit: (old name, new name, previous, lines), first to last.
-
-    Segments before the first edited one keep their names; all behind it are renamed,
-    since each names the one before.
-    """
-    out, renamed = [], {None: None}
-    for name, previous, lines in segments:
-        changed = name in edited or renamed.get(previous, previous) != previous
-        kept = edited.get(name, lines)
-        before = renamed.get(previous, previous)
-        renamed[name] = segment_digest(before, kept) if changed else name
-        out.append((name, renamed[name], before, kept))
-    return out
-
-
 def pieces(links: Iterable[tuple[str, str | None]]) -> list[list[str]]:
     """The maximal runs of linked segments; two heirs of one segment are an error."""
     previous = dict(links)

@@ -21,7 +21,7 @@ import hashlib
 import json
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -202,7 +202,11 @@ class Log:
         bad = claims.where(~F.coalesce(valid_time(F.col("time")), F.lit(False))).limit(1).count()
         if bad:
             raise ValueError("a claim's time is not of the strict form")
-        lines = claims.select("time", claim_line().alias("line")).sortWithinPartitions("time", "line").select("line")
+        self._bundle(claims.select("time", claim_line().alias("line")), folder)
+
+    def _bundle(self, rows: DataFrame, folder: str) -> None:
+        """Writes the lines of *rows* (time, line) as bundles of an open segment."""
+        lines = rows.sortWithinPartitions("time", "line").select("line")
 
         def bundled(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held: list[str] = []
@@ -234,28 +238,98 @@ class Log:
         if now.folder == name and not self._rename(f"open/{name}", f"open/{name}.sealing"):
             raise RuntimeError("another writer is sealing")
         folder = f"{name}.sealing"
-        lines = self._lines(folder, now.bundles[:SEAL_BUNDLES]).distinct()
-        ordered = lines.select(F.get_json_object("value", "$.time").alias("time"), "value").repartition(1).sortWithinPartitions("time", "value").select("value")
-        first = header(now.previous)
-
-        def headed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            yield pd.DataFrame({"value": [first]})
-            yield from parts
-
-        made = f"open/{folder}/segment-{uuid.uuid4().hex}"
-        ordered.mapInPandas(headed, "value string").write.text(f"{self.root}/{made}")
-        text = self.spark.read.text(f"{self.root}/{made}", wholetext=True)
-        digest = text.select(F.sha2("value", 256)).first()[0]
+        digest = self._write(self._lines(folder, now.bundles[:SEAL_BUNDLES]).distinct(), now.previous, f"open/{folder}/segment-{uuid.uuid4().hex}")
         if not self._rename(f"open/{folder}", f"open/{name}.sealed-{digest}"):
             raise RuntimeError("another writer sealed first")
         return self._settle(f"{name}.sealed-{digest}")
 
+    def _write(self, lines: DataFrame, previous: str | None, path: str) -> str:
+        """Writes the segment of *lines* (value) behind *previous* to *path*; its digest. One task, of a size that the seal rule bounds."""
+        head = self.spark.createDataFrame([(0, "", header(previous))], "kind int, time string, value string")
+        rows = head.unionByName(lines.select(F.lit(1).alias("kind"), F.get_json_object("value", "$.time").alias("time"), "value"))
+        rows.repartition(1).sortWithinPartitions("kind", "time", "value").select("value").write.text(f"{self.root}/{path}")
+        return self._digest(path)
+
+    def _digest(self, path: str) -> str:
+        return self.spark.read.text(f"{self.root}/{path}", wholetext=True).select(F.sha2("value", 256)).first()[0]
+
+    def seal_checked(self) -> str | None:
+        """Seals if an audit finds nothing, else an error that names the first finding."""
+        found = self.audit()
+        if found["findings"]:
+            raise ValueError(f"not sealed: {found['findings'][0]}")
+        return self.seal()
+
+    def audit(self) -> dict:
+        """What a reader of the whole log meets: ``segments``, ``findings`` (kind, segment, line), where the walk back ``ends``, and ``unreached`` segments.
+
+        The walk ends at the first segment, without a head, at one that is missing, or blocked by one that
+        cannot be read; only a whole walk tells what it did not reach.
+        """
+        sealed = self.sealed()
+        rows = self._contents(sealed)
+        heads = {r.segment: r for r in rows.select("segment", "sound", "header").distinct().collect()}  # a row a segment
+        first_bad = parse_lines(rows.where(F.col("line").isNotNull() & F.col("sound")).withColumnRenamed("line", "value"), keep=("segment", "number")).where(F.col("fault").isNotNull())
+        broken = {r.segment: r.number for r in first_bad.groupBy("segment").agg(F.min("number").alias("number")).collect()}
+        findings, previous = [], {}
+        for name in sealed:
+            if not heads[name].sound:
+                findings.append(("damaged", name, None))
+                continue
+            try:
+                before = parse_header(heads[name].header)
+            except ValueError:
+                findings.append(("broken", name, 1))
+                continue
+            if name in broken:
+                findings.append(("broken", name, broken[name]))
+            else:
+                previous[name] = before
+        try:
+            at = self.open().previous
+        except (LookupError, ValueError) as e:
+            return {"segments": len(sealed), "findings": [*findings, ("no head", str(e), None)], "ends": ("no head", None), "unreached": []}
+        seen, ends = [], ("first", None)
+        while at is not None:
+            if at not in previous:
+                ends = ("blocked", at) if at in heads else ("missing", at)
+                findings += [("missing", at, None)] * (ends[0] == "missing")
+                break
+            if at in seen:
+                raise ValueError(f"segment {at} comes twice")
+            seen.append(at)
+            at = previous[at]
+        return {"segments": len(sealed), "findings": findings, "ends": ends, "unreached": sorted(set(previous) - set(seen)) if ends[0] == "first" else []}
+
+    def rewrite(self, target: Log, edit: Callable[[DataFrame], DataFrame]) -> dict[str, str]:
+        """Writes the chain into the empty log *target* with *edit* (of lines, value) applied; old segment to new name.
+
+        Segments before the first that changes keep their names; all behind it get new ones, since each names
+        the one before. The open segment is edited too. Segments are written one after the other, as the chain demands.
+        """
+        renamed: dict[str, str] = {}
+        before: str | None = None
+        for name in self.segments():
+            old = self._contents([name]).where(F.col("line").isNotNull()).select(F.col("line").alias("value"))
+            made = f"open/.{uuid.uuid4().hex}"
+            renamed[name] = target._write(edit(old), before, made)
+            target._fs.mkdirs(target._path(f"{target.root}/claims"))
+            target._rename(made, f"claims/{renamed[name]}")
+            before = renamed[name]
+        now = self.open()
+        if now.bundles:
+            lines = edit(self._lines(now.folder, now.bundles).distinct())
+            target._bundle(lines.select(F.get_json_object("value", "$.time").alias("time"), F.col("value").alias("line")), before or FIRST)
+        else:
+            target._fs.mkdirs(target._path(f"{target.root}/open/{before or FIRST}"))
+        return renamed
+
     def _settle(self, folder: str) -> str:
         """The last two steps of a seal: the segment to the claims store, its bundles deleted, the folder open again."""
         digest = folder.partition(".sealed-")[2]
         if not self._exists(f"claims/{digest}"):
             for n in self._names(f"open/{folder}"):
-                if n.startswith("segment-") and self.spark.read.text(f"{self.root}/open/{folder}/{n}", wholetext=True).select(F.sha2("value", 256)).first()[0] == digest:
+                if n.startswith("segment-") and self._digest(f"open/{folder}/{n}") == digest:
                     self._fs.mkdirs(self._path(f"{self.root}/claims"))
                     self._rename(f"open/{folder}/{n}", f"claims/{digest}")
                     break

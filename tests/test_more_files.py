@@ -1,4 +1,4 @@
-"""Mail folders as a stream, marks and configuration, EXIF, kinds of files, disappearances, seals, rewritten chains."""
+"""Mail folders as a stream, marks and configuration, EXIF, kinds of files, disappearances, seals."""
 
 from __future__ import annotations
 
@@ -150,11 +150,3 @@ def test_moment_dispatch(claims):
         r.at(df, "yesterday")
 
 
-def test_rewritten_chains():
-    chain = [("a", None, ["1"]), ("b", "a", ["2"]), ("c", "b", ["3"])]
-    assert [x[1] for x in log.rewritten(chain, {})] == ["a", "b", "c"]
-    new = log.rewritten(chain, {"b": ["2x"]})
-    assert new[0][1] == "a" and new[1][1] == log.segment_digest("a", ["2x"]) and new[2][2] == new[1][1] and new[2][1] == log.segment_digest(new[1][1], ["3"])
-    assert log.pieces([("a", None), ("b", "a"), ("d", "x"), ("e", "d")]) == [["a", "b"], ["d", "e"]]
-    with pytest.raises(ValueError):
-        log.pieces([("a", None), ("b", "a"), ("c", "a")])

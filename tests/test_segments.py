@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from claimwright.sources import segments
 from claimwright.sources.log import header
 from claimwright.sources.segments import Log, parse_header
+from claimwright.streaming import ingest
 from claimwright.streaming.index import Index
 
 A, B = "a" * 64, "b" * 64
@@ -121,3 +122,51 @@ def test_appending_beyond_the_rule_seals_first(spark, claims, tmp_path, monkeypa
     log.append(some(claims, "a").coalesce(1))
     log.append(some(claims, "b", day=2).coalesce(1))
     assert len(log.segments()) == 1 and log.head().count() == 1
+
+
+def test_audit(sealed, claims, spark):
+    log, first, _ = sealed
+    second = log.seal()
+    assert log.audit() == {"segments": 2, "findings": [], "ends": ("first", None), "unreached": []}
+    assert log.seal_checked() is None
+    lone = log._write(spark.createDataFrame([('{"x":1}',)], "value string"), None, "made")
+    os.rename(f"{log.root}/made", f"{log.root}/claims/{lone}")
+    assert log.audit()["findings"] == [("broken", lone, 2)]
+    with pytest.raises(ValueError, match="not sealed"):
+        log.seal_checked()
+    os.rename(f"{log.root}/claims/{first}", f"{log.root}/gone")
+    found = log.audit()
+    assert found["ends"] == ("missing", first) and ("missing", first, None) in found["findings"] and found["unreached"] == []
+    os.rename(f"{log.root}/claims/{second}", f"{log.root}/claims/{B}")
+    assert ("damaged", B, None) in log.audit()["findings"]
+
+
+def test_rewrite_renames_from_the_first_change_on(spark, sealed, claims, tmp_path):
+    log, first, _ = sealed
+    second = log.seal()
+    log.append(some(claims, "c", day=3))
+    same = Log(spark, str(tmp_path / "same"))
+    assert log.rewrite(same, lambda lines: lines) == {first: first, second: second} and same.segments() == [first, second] and same.head().count() == 1
+    cut = Log(spark, str(tmp_path / "cut"))
+    renamed = log.rewrite(cut, lambda lines: lines.where(~F.contains("value", F.lit('"b"'))))
+    assert renamed[first] == first and renamed[second] != second and cut.segments() == [first, renamed[second]] and cut.audit()["findings"] == []
+    assert [json.loads(r.value) for r in cut.claims().collect()] == ["a"] and [json.loads(r.value) for r in cut.head().collect()] == ["c"]
+
+
+def test_ingest_as_a_stream(spark, tmp_path):
+    folder, log = tmp_path / "in", Log(spark, str(tmp_path / "archive"))
+    (folder / "d").mkdir(parents=True)
+    (folder / "a.txt").write_bytes(b"same")
+    (folder / "d" / "b.txt").write_bytes(b"same")
+    run = lambda: ingest.ingest(spark, str(folder), log, str(tmp_path / "archive/content"), str(tmp_path / "memory"), str(tmp_path / "state"), "here", "0" * 8 + "-0000-0000-0000-" + "0" * 12, "2024-03-01T00:00:00Z").awaitTermination()
+    run()
+    digest = hashlib.sha256(b"same").hexdigest()
+    assert (tmp_path / f"archive/content/{digest[:2]}/{digest}").read_bytes() == b"same"
+    told = [(r.attribute, r.value) for r in log.head().collect()]
+    assert sorted(v for a, v in told if a == "file:name") == ['"a.txt"', '"b.txt"'] and ("file:size", "4") in told and ("file:mime", '"text/plain"') in told
+    (folder / "c.txt").write_bytes(b"same")
+    run()
+    run()
+    told = [(r.attribute, r.value) for r in log.head().collect()]
+    assert len([v for a, v in told if a == "file:name"]) == 3 and len([v for a, v in told if a == "file:size"]) == 1
+    assert spark.read.parquet(str(tmp_path / "memory")).count() == 3
