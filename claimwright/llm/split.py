@@ -51,31 +51,33 @@ def _strength(piece: str) -> int:
     return SENTENCE if piece.rstrip(_CLOSING).endswith(_ENDS) else 0
 
 
+class _Marks(dict):
+    """Piece to its strength, computed where missing and remembered for short pieces."""
+
+    def __missing__(self, piece: str) -> int:
+        mark = _strength(piece)
+        if len(piece) < 64:
+            if len(self) > 200_000:
+                self.clear()
+            self[piece] = mark
+        return mark
+
+
 class Splitter:
     """Texts to token ranges, with one encoder's memory."""
 
     def __init__(self, e: Encoder):
         self.e, self.bytes_of = e, e.vocabulary.bytes_of
-        self.marks: dict[str, int] = {}
-
-    def _mark(self, piece: str) -> int:
-        mark = self.marks.get(piece)
-        if mark is None:
-            if len(self.marks) > 200_000:
-                self.marks.clear()
-            mark = _strength(piece)
-            if len(piece) < 64:
-                self.marks[piece] = mark
-        return mark
+        self.marks = _Marks()
 
     def boundaries(self, pieces: list[str]) -> list[tuple[int, int]]:
         """(index of the first piece behind it, strength) of the natural boundaries of a text."""
         out, k, n = [], 0, len(pieces)
-        at = [i for i, m in enumerate(map(self._mark, pieces)) if m]
+        at = [i for i, m in enumerate(map(self.marks.__getitem__, pieces)) if m]
         while k < len(at):
             i = at[k]
             k += 1
-            if self._mark(pieces[i]) == LINE:
+            if self.marks[pieces[i]] == LINE:
                 first = i - 1 if pieces[i - 1].isspace() and i else i  # a run of white space is one or two pieces
                 last = i + 1 if i + 1 < n and pieces[i + 1].isspace() else i
                 run = "".join(pieces[first : last + 1])
@@ -84,7 +86,7 @@ class Splitter:
                 # Behind the first: the second would join it if it stood at an end.
                 out.append((first + 1, BLANK_LINE if len(run.splitlines()) > 1 else LINE))
             elif i + 1 < n and (pieces[i + 1][0].isspace() or pieces[i].rstrip(_CLOSING)[-1:] in "。！？"):
-                if not pieces[i + 1].isspace() or not self._mark(pieces[i + 1]):
+                if not pieces[i + 1].isspace() or not self.marks[pieces[i + 1]]:
                     out.append((i + 1, SENTENCE))
         return [(b, s) for b, s in out if 0 < b < n]
 
@@ -195,8 +197,9 @@ class _Cuts:
         start, end = places[:-1], places[1:]
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         alive = [True] * n
-        edges = set(self.ends)
-        strength = [(self.clean(c), self.strengths.get(c, WORD if c in edges else CHARACTER)) for c in start]
+        known = self.strengths.get
+        edges = set(self.ends) if any(known(c) is None for c in start[1:]) else ()  # only cuts at words and characters need them
+        strength = [(self.clean(c), WORD if (s := known(c)) is None and c in edges else s or CHARACTER) for c in start]
 
         def pair(right: int):
             return strength[right], end[right] - start[before[right]], right
