@@ -15,6 +15,7 @@ import os
 import re
 import subprocess
 import tempfile
+from contextlib import nullcontext
 from dataclasses import dataclass
 
 from claimwright.extract.contracts import Contract, Findings
@@ -31,10 +32,15 @@ class Program:
 
     path: str
     contract: str | None
-    derives: bool
+    #: Where derived files wait to be read, below a folder that is shared; None if the contract derives none.
+    scratch: str | None
+
+    @property
+    def derives(self) -> bool:
+        return self.scratch is not None
 
     def __call__(self, data: bytes) -> Findings:
-        with tempfile.TemporaryDirectory() as folder:  # within one call, on one executor
+        with tempfile.TemporaryDirectory(dir=self.scratch) if self.derives else nullcontext() as folder:
             command = [self.path, *([self.contract] if self.contract else []), *([folder] if self.derives else [])]
             ran = subprocess.run(command, input=data, capture_output=True)
             remarks = [re.sub(rf"^{re.escape(os.path.basename(self.path))}: ", "", x) for x in ran.stderr.decode("utf-8", "replace").splitlines()]
@@ -75,8 +81,8 @@ def read_answer(answer: str, folder: str | None) -> Findings:
     return out
 
 
-def identify(path: str) -> list[Contract]:
-    """The contracts of the program at *path*; several must each have a name, no name twice."""
+def identify(path: str, scratch: str) -> list[Contract]:
+    """The contracts of the program at *path*; several must each have a name, no name twice. *scratch* is a folder that all executors share."""
     ran = subprocess.run([path, "--identify"], capture_output=True)
     if ran.returncode:
         raise OSError(f"{path} --identify failed: {ran.stderr.decode('utf-8', 'replace').strip()}")
@@ -86,4 +92,4 @@ def identify(path: str) -> list[Contract]:
     names = [r.get("contract") for r in rows]
     if (len(rows) > 1 and None in names) or len(set(names)) < len(names) or not all(re.fullmatch(_NAME, n) for n in names if n):
         raise ValueError(f"{path}: contracts need names of their own")
-    return [Contract(r["source"], tuple(r["mimes"]), Program(path, r.get("contract"), bool(r.get("derives")))) for r in rows]
+    return [Contract(r["source"], tuple(r["mimes"]), Program(path, r.get("contract"), scratch if r.get("derives") else None)) for r in rows]

@@ -50,8 +50,8 @@ def program(tmp_path_factory):
     return str(path)
 
 
-def test_programs_answer_by_the_protocol(spark, program, rows):
-    words, halves, wild = process.identify(program)
+def test_programs_answer_by_the_protocol(spark, program, rows, tmp_path):
+    words, halves, wild = process.identify(program, str(tmp_path))
     assert words.source == "extractor:own-words/1" and words.mimes == ("text/plain",)
     assert words.read(b"a b").facts == [("own:words", 2)] and words.read(b"a b").remarks == ["looked"]
     assert halves.read(b"abcd").files == [(b"ab", [("file:mime", "text/plain"), ("file:name", "f")])]
