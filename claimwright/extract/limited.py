@@ -5,10 +5,13 @@ from __future__ import annotations
 import os
 import pickle
 import resource
+import signal
 from collections.abc import Callable
 
 #: Bytes that a child may take beyond what its parent has: so many, and so many for each byte of input.
 BASE, EACH = 256 << 20, 64
+#: Seconds after which a child is ended.
+LONGEST = 900
 
 
 def limited(f: Callable[[bytes], object], data: bytes):
@@ -21,6 +24,8 @@ def limited(f: Callable[[bytes], object], data: bytes):
             os.close(there)
             with open("/proc/self/statm") as own:
                 now = int(own.read().split()[0]) * resource.getpagesize()
+            signal.signal(signal.SIGALRM, signal.SIG_DFL)
+            signal.alarm(LONGEST)
             resource.setrlimit(resource.RLIMIT_AS, (now + BASE + EACH * len(data),) * 2)
             try:
                 answer = True, f(data)

@@ -247,17 +247,29 @@ def disappeared(claims: DataFrame, met: DataFrame, roots: list[str], host: str,
     Spared are places in *unreadable* folders, those that *excludes* hold below their root, those of files that *host*
     never saw, and all of a root where nothing was met, unless it is named in *emptied*.
     """
-    below = lambda path, place: (path == place.rstrip("/")) | path.startswith(place.rstrip("/") + "/")
-    path = F.col("path")
-    rooted = lambda df: df.withColumn("root", reduce(lambda w, x: w.when(below(path, x), x), sorted(roots, key=len, reverse=True), F.when(F.lit(False), "")))
-    spared = reduce(lambda a, b: a | b, [below(path, u) for u in unreadable], F.lit(False))
+    spark = claims.sparkSession
+    named = lambda places: spark.createDataFrame([(p.rstrip("/"),) for p in places], "place string").distinct()
+    rooted = lambda df: held_by(df, named(roots)).withColumnRenamed("place", "root")
     relative = F.regexp_replace(F.substr("path", F.length("root") + 1), "^/+", "")
     seen_here = live_values(claims, ["prov:host"]).where(F.col("value") == quote(host)).select("subject")
-    here = rooted(all_paths(claims)).where(F.col("root").isNotNull() & ~spared & ~excluded(relative, list(excludes))).join(seen_here, "subject", "left_semi")
-    walked = rooted(met.select("path")).where(F.col("root").isNotNull())
+    here = rooted(all_paths(claims)).where(~excluded(relative, list(excludes))).join(seen_here, "subject", "left_semi")
+    here = here.join(held_by(here.select("path").distinct(), named(unreadable)).select("path"), "path", "left_anti")
+    walked = rooted(met.select("path"))
     lost = here.join(walked.select("path").distinct(), "path", "left_anti")
-    alive = walked.select("root").distinct()
-    return lost.where(F.col("root").isin(list(emptied))).unionByName(lost.where(~F.col("root").isin(list(emptied))).join(alive, "root", "left_semi"), allowMissingColumns=True).select("path", "subject")
+    judged = walked.select("root").distinct().unionByName(named(emptied).withColumnRenamed("place", "root")).distinct()
+    return lost.join(judged, "root", "left_semi").select("path", "subject")
+
+
+def held_by(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """*rows* (path, …) at or below one of *places* (place, without a last ``/``), with the longest such ``place``.
+
+    An equality join on the folders of each path, not a comparison of all with all.
+    """
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    hits = rows.select("path").distinct().select("path", F.explode(above).alias("place")).join(places, "place")
+    longest = hits.groupBy("path").agg(F.max_by("place", F.length("place")).alias("place"))
+    return rows.join(longest, "path")
 
 
 def shown_tree(names: list[str]) -> str:

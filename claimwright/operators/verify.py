@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from claimwright.functions.blake3 import digest
 from claimwright.functions.grammar import claim_id, claim_line, json_quote
 from claimwright.operators.orphans import held
 from claimwright.plans.ranks import ranked
@@ -201,9 +202,12 @@ def copy_plan(claims: DataFrame, blobs: DataFrame, segments: DataFrame, copied:
     return ahead.select(F.lit("segment").alias("kind"), F.lower("digest").alias("digest")).unionByName(files.select(F.lit("file").alias("kind"), "digest"))
 
 
-def fixity(files: DataFrame, read: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Stored files (digest, content) as ``sound``, ``damaged`` or ``unreadable``; all ``unchecked`` where they are listed only (*read* false)."""
+def fixity(files: DataFrame, read: bool = True, keep: tuple[str, ...] = (), algorithm: str = "sha2") -> DataFrame:
+    """Stored files (digest, content) as ``sound``, ``damaged`` or ``unreadable``; all ``unchecked`` where they are listed only (*read* false).
+
+    *algorithm* is that of the archive's mark: ``sha2``, of the size that a name has, or ``blake3``.
+    """
     if not read:
         return files.select(*keep, "digest", F.lit("unchecked").alias("fixity"))
-    bits = F.when(F.length("digest") == 64, F.sha2("content", 256)).when(F.length("digest") == 96, F.sha2("content", 384)).otherwise(F.sha2("content", 512))
+    bits = digest("content") if algorithm == "blake3" else F.when(F.length("digest") == 64, F.sha2("content", 256)).when(F.length("digest") == 96, F.sha2("content", 384)).otherwise(F.sha2("content", 512))
     return files.select(*keep, "digest", F.when(F.col("content").isNull(), "unreadable").when(bits == F.lower("digest"), "sound").otherwise("damaged").alias("fixity"))

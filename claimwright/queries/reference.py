@@ -19,6 +19,7 @@ from claimwright.plans import find as finder
 from claimwright.plans import record as r
 from claimwright.plans.tables import table, work_folder
 from claimwright.plans.terms import value_matches
+from claimwright.streaming import intake
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -78,6 +79,24 @@ _add(
     "SELECT subject, attribute, json_extract_string(value, '$') AS place FROM vals WHERE attribute IN ('file:path', 'mailbox:place', 'file:name') AND value LIKE '\"%'",
 )(lambda c: r.live_values(c, list(ask.PATHS)).where(F.col("value").startswith('"')).select("subject", "attribute", paths.path_text(F.col("value")).alias("place")))
 
+
+
+def _views(claims: DataFrame) -> DataFrame:
+    """A question in SQL over the views of the record."""
+    ask.register_views(claims)
+    return claims.sparkSession.sql(
+        "SELECT p.attribute, count(DISTINCT p.subject) AS files, count(DISTINCT s.run) AS runs, (SELECT max(last) FROM v_runs) AS last, (SELECT count(*) FROM v_claims WHERE retracts IS NOT NULL) AS retractions"
+        " FROM v_places p JOIN v_standing s ON s.subject = p.subject AND s.attribute = p.attribute GROUP BY p.attribute"
+    )
+
+
+_add(
+    "views_sql",
+    """, p AS (SELECT subject, attribute FROM vals WHERE attribute IN ('file:path', 'mailbox:place', 'file:name') AND value LIKE '"%')
+    SELECT p.attribute, count(DISTINCT p.subject) AS files, count(DISTINCT l.run) AS runs, (SELECT max(time) FROM rec WHERE run IS NOT NULL) AS last, (SELECT count(*) FROM rec WHERE retracts IS NOT NULL) AS retractions
+    FROM p JOIN live l ON l.subject = p.subject AND l.attribute = p.attribute GROUP BY p.attribute""",
+)(_views)
+
 # -- find: patterns
 
 _find("find_exact", ["file:mime=text/plain"], "SELECT DISTINCT subject FROM live WHERE attribute = 'file:mime' AND value = '\"text/plain\"'")
@@ -505,6 +524,13 @@ _add(
     UNION ALL SELECT 'miscounted', seq::VARCHAR FROM (SELECT s.seq, s.n_claims, count(c.cid) AS n FROM segments s LEFT JOIN claims c ON c.seq = s.seq GROUP BY 1, 2) WHERE n <> n_claims""",
     "claims", "blobs", "segments",
 )(verify.findings)
+_add(
+    "seal_soundness",
+    _FIXITIES + """, s AS (SELECT digest, bool_or(fixity = 'sound') AS sound, bool_or(fixity = 'damaged') AS bad FROM fix GROUP BY 1)
+    SELECT r.digest, CASE WHEN b.store IS NULL THEN 'missing' WHEN s.sound = false THEN CASE WHEN s.bad THEN 'damaged' ELSE 'unreadable' END ELSE b.store END AS presence
+    FROM (SELECT DISTINCT lower(subject) AS digest FROM claims WHERE seq <= (SELECT seq FROM segments ORDER BY digest LIMIT 1)) r LEFT JOIN (SELECT lower(digest) AS digest, min(store) AS store FROM blobs WHERE removed IS NULL GROUP BY 1) b USING (digest) LEFT JOIN s USING (digest)""",
+    "claims", "blobs", "segments", "documents",
+)(lambda c, b, s, d: verify.seal_check(c, b, s, s.agg(F.min("digest")).first()[0] or "", _fixities(b, d)))
 _add("audit_since", "SELECT DISTINCT lower(digest) AS digest, store FROM blobs WHERE coalesce(stored >= TIMESTAMP '2025-01-01', true)", "blobs")(lambda b: verify.stored_since(b, "2025-01-01 00:00:00"))
 
 # -- writing and surgery
@@ -746,9 +772,20 @@ _add("mail_addresses", f"SELECT DISTINCT subject, '<' || lower({_TEXT}) || '>' A
 
 @_add("stream_fold_equals_batch", "SELECT subject, attribute, value FROM vals")
 def _folded(claims: DataFrame) -> DataFrame:
+    """The standing set out of a stream of bundles, the segments in two, the later first, with a query run for each."""
+    spark, folder = claims.sparkSession, work_folder(claims.sparkSession, "stream")
+    half = claims.agg(F.floor(F.avg("seq"))).first()[0] or 0
+    for part in (claims.where(F.col("seq") > half), claims.where(F.coalesce(F.col("seq") <= half, F.lit(True)))):
+        part.write.mode("append").parquet(f"{folder}/landing")
+        intake.follow(spark, f"{folder}/landing", claims.schema, f"{folder}/into", f"{folder}/state").awaitTermination()
+    return intake.standing_now(spark, f"{folder}/into").select("subject", "attribute", "value").distinct()
+
+
+@_add("change_table_in_any_order", "SELECT subject, attribute, value FROM vals")
+def _merged(claims: DataFrame) -> DataFrame:
     """The standing set out of a change table that segments were appended to one after the other, last first."""
-    fold = ChangeTable(claims.sparkSession, work_folder(claims.sparkSession, "fold"), ["subject", "attribute", "claim"], which="any")
+    fold = ChangeTable(claims.sparkSession, work_folder(claims.sparkSession, "fold"), ["subject", "attribute", "claim"])
     half = claims.agg(F.floor(F.avg("seq"))).first()[0] or 0
-    for part in (claims.where(F.col("seq") > half), claims.where(F.col("seq") <= half)):
+    for part in (claims.where(F.col("seq") > half), claims.where(F.coalesce(F.col("seq") <= half, F.lit(True)))):
         fold.append_feed(feed_of(part, None, {"value": F.col("value")}))
     return fold.read().select("subject", "attribute", "value").distinct()

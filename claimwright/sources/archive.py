@@ -7,8 +7,8 @@ import tomllib
 from dataclasses import dataclass
 
 GENERATION = 1
-ALGORITHMS = ("sha256", "sha384", "sha512")
-DIGEST_BITS = {a: int(a[3:]) for a in ALGORITHMS}
+ALGORITHMS = ("sha256", "sha384", "sha512", "blake3")
+DIGEST_BITS = {"sha256": 256, "sha384": 384, "sha512": 512, "blake3": 256}
 
 
 @dataclass(frozen=True)

@@ -301,15 +301,24 @@ class Log:
             at = previous[at]
         return {"segments": len(sealed), "findings": findings, "ends": ends, "unreached": sorted(set(previous) - set(seen)) if ends[0] == "first" else []}
 
-    def rewrite(self, target: Log, edit: Callable[[DataFrame], DataFrame]) -> dict[str, str]:
+    def by_first_time(self) -> list[str]:
+        """All sealed segments by their first claim's time: the order for a log whose headers give none."""
+        rows = self._contents(self.sealed())
+        first = rows.groupBy("segment").agg(F.min(F.get_json_object("line", "$.time")).alias("first"))
+        return [r.segment for r in first.orderBy("first", "segment").collect()]  # a row a segment
+
+    def rewrite(self, target: Log, edit: Callable[[DataFrame], DataFrame] = lambda lines: lines, order: list[str] | None = None) -> dict[str, str]:
         """Writes the chain into the empty log *target* with *edit* (of lines, value) applied; old segment to new name.
 
+        With *order*, the segments that it names follow each other in the new chain, whatever theirs said:
+        so gaps are closed, and a log without one chain gets one.
+
         Segments before the first that changes keep their names; all behind it get new ones, since each names
         the one before. The open segment is edited too. Segments are written one after the other, as the chain demands.
         """
         renamed: dict[str, str] = {}
         before: str | None = None
-        for name in self.segments():
+        for name in self.segments() if order is None else order:
             old = self._contents([name]).where(F.col("line").isNotNull()).select(F.col("line").alias("value"))
             made = f"open/.{uuid.uuid4().hex}"
             renamed[name] = target._write(edit(old), before, made)

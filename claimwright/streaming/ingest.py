@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from claimwright.extract import sniff
 from claimwright.functions.batched import batched
+from claimwright.functions.names import modified_text
 from claimwright.operators import write
 from claimwright.plans.tables import checkpointed
 from claimwright.sources.delivery import deliver
@@ -38,7 +39,7 @@ def ingest(spark: SparkSession, folder: str, log: Log, store: str, memory: str,
         bad = stored.where(F.col("outcome").startswith("failed")).limit(1).collect()
         if bad:
             raise OSError(f"{bad[0].target}: {bad[0].outcome}")
-        modified = F.concat(F.date_format(F.to_utc_timestamp("modificationTime", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+        modified = modified_text(F.unix_seconds("modificationTime"), F.unix_micros("modificationTime") % 1_000_000 * 1000)
         told = hashed.select("subject", F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("length").alias("size"), modified.alias("modified"), batched(sniff.kind, "string")("content").alias("mime"))
         told = checkpointed(told.join(stored.select("subject", (F.col("outcome") == "exported").alias("fresh")), "subject").withColumn("time", F.lit(time)))
         log.append(write.ingest(told, host, run))

@@ -153,6 +153,20 @@ def test_rewrite_renames_from_the_first_change_on(spark, sealed, claims, tmp_pat
     assert [json.loads(r.value) for r in cut.claims().collect()] == ["a"] and [json.loads(r.value) for r in cut.head().collect()] == ["c"]
 
 
+def test_a_log_without_one_chain_gets_one(spark, sealed, claims, tmp_path):
+    log, first, _ = sealed
+    second = log.seal()
+    log.append(some(claims, "c", day=3))
+    third = log.seal()
+    os.rename(f"{log.root}/claims/{second}", f"{log.root}/gone")
+    with pytest.raises(LookupError, match=second):
+        log.segments()
+    assert log.by_first_time() == [first, third]
+    closed = Log(spark, str(tmp_path / "closed"))
+    renamed = log.rewrite(closed, order=log.by_first_time())
+    assert closed.segments() == [first, renamed[third]] and closed.audit()["findings"] == [] and closed.claims().count() == 2
+
+
 def test_ingest_as_a_stream(spark, tmp_path):
     folder, log = tmp_path / "in", Log(spark, str(tmp_path / "archive"))
     (folder / "d").mkdir(parents=True)

@@ -13,7 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimwright.extract import contracts, process
-from claimwright.operators import ask, lineage, paths, write
+from claimwright.functions.blake3 import blake3
+from claimwright.operators import ask, lineage, paths, verify, write
 from claimwright.plans import record as r
 from claimwright.sources import delivery, files
 from claimwright.sources.archive import Mark
@@ -182,3 +183,19 @@ def test_landing_tells_tags(spark, rows):
     df = spark.createDataFrame([(A, "m:f", "i", 3, T(1), True, ["t", "u"]), (B, "m:f", "j", 4, T(1), False, [])], "subject string, place string, message_id string, size long, time string, fresh boolean, tags array<string>")
     told = [(s, a, v) for s, a, v in rows(write.land(df, "r").select("subject", "attribute", "value")) if s == A]
     assert told == [(A, "file:mime", '"message/rfc822"'), (A, "file:size", "3"), (A, "mailbox:id", '"i"'), (A, "mailbox:place", '"m:f"'), (A, "mailbox:tag", '"t"'), (A, "mailbox:tag", '"u"')]
+
+
+def test_blake3():
+    pattern = lambda n: bytes(i % 251 for i in range(n))
+    for size, want in {
+        0: "af1349b9f5f9a1a6a0404dea36dcc9499bcb25c9adc112b7cc9a93cae41f3262", 1: "2d3adedff11b61f14c886e35afa036736dcd87a74d27b5c1510225d0f592e213", 1024: "42214739f095a406f3fc83deb889744ac00df831c10daa55189b5d121c855af7",
+        1025: "d00278ae47eb27b34faecf67b4fe263f82d5412916c1ffd97c8cb7fb814b8444", 2049: "5f4d72f40d7a5f82b15ca2b2e44b1de3c2ef86c426c95c1af0b6879522563030", 3072: "b98cb0ff3623be03326b373de6b9095218513e64f1ee2edd2525c7ad1e5cffd2",
+        31744: "62b6960e1a44bcc1eb1a611a8d6235b6b4b78f32e7abc4fb4c6cdcce94895c47",
+    }.items():
+        assert blake3(pattern(size)) == want, size
+
+
+def test_fixity_by_algorithm(spark, rows):
+    df = spark.createDataFrame([(blake3(b"x"), bytearray(b"x")), (blake3(b"x"), bytearray(b"y")), (hashlib.sha512(b"x").hexdigest(), bytearray(b"x")), (A, None)], "digest string, content binary")
+    assert sorted(x.fixity for x in verify.fixity(df, algorithm="blake3").collect()) == ["damaged", "damaged", "sound", "unreadable"]
+    assert sorted(x.fixity for x in verify.fixity(df).collect()) == ["damaged", "damaged", "sound", "unreadable"]
