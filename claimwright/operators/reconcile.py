@@ -6,7 +6,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from claimwright.plans.ranks import ranked
 from claimwright.plans.skew import union_all
@@ -108,7 +108,8 @@ def stopped(attempts: DataFrame, keys: list[str], order: str, ok: str, limit: in
     placed = ranked(attempts.select(*keys, order, ok), keys, [order], "at")
     good = ranked(placed.where(F.col(ok)), keys, ["at"], "n")
     # Refusals keep their distance from their place to the successes before them: at - successes counts refusals.
-    ends = good.select(*keys, F.col("at").alias("after"), F.lead("at").over(Window.partitionBy(*keys).orderBy("at")).alias("before"))
+    after = good.select(*keys, (F.col("n") - 1).alias("n"), F.col("at").alias("before"))  # the next success, by its number: no window over a folder
+    ends = good.join(after, [*keys, "n"], "left").select(*keys, F.col("at").alias("after"), "before")
     first = placed.groupBy(*keys).agg(F.min(F.when(F.col(ok), F.col("at"))).alias("before"), F.max("at").alias("last")).select(*keys, F.lit(0).cast("bigint").alias("after"), F.coalesce("before", F.col("last") + 1).alias("before"))
     last = placed.groupBy(*keys).agg(F.max("at").alias("last"))
     gaps = ends.unionByName(first).join(last, keys).select(*keys, "after", F.coalesce("before", F.col("last") + 1).alias("before"))

@@ -17,7 +17,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimwright.extract import contracts, exif, sniff
 from claimwright.functions import grammar, mail, names
@@ -396,7 +396,7 @@ def _round_trip(claims: DataFrame) -> DataFrame:
     return back.select("cid", "subject", "attribute", "value", F.array_join(F.transform("retracts", F.lower), " ").alias("retracts"), "time", "source", "run", "fault")
 
 
-@_add("log_seal", "SELECT lower(cid) AS cid, count(*) OVER () AS claims FROM (SELECT DISTINCT lower(cid) AS cid FROM claims WHERE regexp_matches(time, '^[0-9]{4}-[0-9]{2}-[0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:([0-5][0-9]|60)Z$') AND try_cast(time[1:10] AS DATE) IS NOT NULL)")
+@_add("log_seal", "SELECT cid FROM (SELECT DISTINCT lower(cid) AS cid FROM claims WHERE regexp_matches(time, '^[0-9]{4}-[0-9]{2}-[0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:([0-5][0-9]|60)Z$') AND try_cast(time[1:10] AS DATE) IS NOT NULL)")
 def _sealed(claims: DataFrame) -> DataFrame:
     """The record appended to a log in two bundles, sealed, folded into a copy and read from there."""
     written = Log(claims.sparkSession, work_folder(claims.sparkSession, "log"))
@@ -407,7 +407,7 @@ def _sealed(claims: DataFrame) -> DataFrame:
     copy = Index(written, work_folder(claims.sparkSession, "copy"))
     copy.catch_up()
     lines = copy.claims().select("cid").distinct()
-    return rows.withColumn("id", grammar.claim_id()).join(lines.withColumnRenamed("cid", "id"), "id", "left_semi").select("cid", F.count("*").over(Window.partitionBy()).alias("claims"))
+    return rows.withColumn("id", grammar.claim_id()).join(lines.withColumnRenamed("cid", "id"), "id", "left_semi").select("cid")
 
 
 _add("log_faults", """SELECT CASE WHEN NOT (regexp_matches(time, '^[0-9]{4}-[0-9]{2}-[0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:([0-5][0-9]|60)Z$') AND try_cast(time[1:10] AS DATE) IS NOT NULL) THEN 'field' END AS fault, count(*) AS n FROM rec GROUP BY 1""")(
