@@ -19,8 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Month names, and the zone names of RFC 5322 with their neighbours (minutes).
-MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
-MONTH_ENDS = ("uary", "ruary", "ch", "il", "", "e", "y", "ust", "tember", "ober", "ember", "ember")
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 ZONES = {
     "z": 0, "gmt": 0, "ut": 0, "utc": 0,
     "est": -300, "edt": -240, "cst": -360, "cdt": -300, "mst": -420, "mdt": -360, "pst": -480, "pdt": -420,
@@ -30,7 +29,7 @@ ZONES = {
 SHAPE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z\z"
 
 _WEEKDAY = r"(?:(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?\.?,?\s+)?"
-_MONTH = "(?:" + "|".join(m + (f"(?:{e})?" if e else "") for m, e in zip(MONTHS, MONTH_ENDS)) + ")"
+_MONTH = "(?:" + "|".join(f"{m}|{m[:3]}" for m in MONTHS) + ")"
 _PARTS = ("year", "month", "day", "first", "second", "hour", "minute", "sec", "half", "zone", "epoch", "milli")
 
 
@@ -110,7 +109,7 @@ def _fields(parts: Column, order: Column) -> Column:
     at = {name: parts[i] for i, name in enumerate(_PARTS)}
     number = {k: at[k].try_cast("int") for k in ("year", "day", "first", "second", "hour", "minute")}
     name = F.lower(F.substring(at["month"], 1, 3))
-    named = reduce(lambda w, m: w.when(name == m[1], m[0]), enumerate(MONTHS, 1), F.when(at["month"].rlike("^[0-9]"), at["month"].try_cast("int")))
+    named = reduce(lambda w, m: w.when(name == m[1][:3], m[0]), enumerate(MONTHS, 1), F.when(at["month"].rlike("^[0-9]"), at["month"].try_cast("int")))
     numeric, half = at["first"] != "", F.lower(at["half"])
     digits = F.regexp_replace(at["zone"], "[^0-9]", "")
     off_hours, off_minutes = F.substring(digits, 1, 2).try_cast("int"), F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0))

@@ -97,7 +97,8 @@ _add(
     "mail_headers",
     " UNION ALL ".join([
         _ROWS.format("'file:mime'", "'message/rfc822'"), _ROWS.format("'mail:subject'", "'note ' || k"), _ROWS.format("'mail:message-id'", "k || '@x.org'"), _ROWS.format("'mail:to'", "'<b@x.org>'"), _ROWS.format("'mail:to'", "'C, D <c@x.org>'"),
-        _ROWS.format("'mail:from'", "CASE k % 3 WHEN 0 THEN 'Ann Müller <ann.' || k || '@example.org>' WHEN 1 THEN 'Ann <ann.' || k || '@example.org>' ELSE '<root>' END"), _ROWS.format("'mail:from'", "'<x' || k || '@y.z>'") + " WHERE k % 3 = 2",
+        _ROWS.format("'mail:from'", "CASE k % 3 WHEN 0 THEN 'Ann Müller <ann.' || k || '@example.org>' WHEN 1 THEN 'Ann <ann.' || k || '@example.org>'"
+    " ELSE '<root>' END"), _ROWS.format("'mail:from'", "'<x' || k || '@y.z>'") + " WHERE k % 3 = 2",
         _ROWS.format("'mail:date'", _DATE) + " WHERE k % 4 <> 3",
     ]),
     "documents",
@@ -117,7 +118,8 @@ def _date_text(k):
 
 _add(
     "mail_attachments",
-    f"SELECT k::VARCHAR AS subject, sha256(text) AS derived, '\"' || CASE k % 4 WHEN 0 THEN 'n' WHEN 1 THEN 'né' WHEN 2 THEN 'longn' ELSE 'n' END || k || '.txt\"' AS value, octet_length(encode(text))::VARCHAR AS size FROM {_DOCS}",
+    f"SELECT k::VARCHAR AS subject, sha256(text) AS derived, '\"' || CASE k % 4 WHEN 0 THEN 'n' WHEN 1 THEN 'né' WHEN 2 THEN 'longn'"
+    f" ELSE 'n' END || k || '.txt\"' AS value, octet_length(encode(text))::VARCHAR AS size FROM {_DOCS}",
     "documents",
 )(
     lambda d: contracts.examine(_messages(d), _contract("extractor:mail-attachments/1")).where("attribute IN ('file:name', 'file:size')").groupBy("subject", "derived")
@@ -314,11 +316,13 @@ _add(
 )
 _add(
     "rfc3339_shift",
-    "SELECT DISTINCT time, strftime(time[1:19]::TIMESTAMP - to_minutes((CASE time[20:20] WHEN '-' THEN -1 ELSE 1 END * (time[21:22]::INT * 60 + time[24:25]::INT))::BIGINT), '%Y-%m-%dT%H:%M:%SZ') AS utc FROM claims WHERE regexp_matches(time, '^....-..-..T..:..:..[+-]..:..$')",
+    "SELECT DISTINCT time, strftime(time[1:19]::TIMESTAMP - to_minutes((CASE time[20:20] WHEN '-' THEN -1"
+    " ELSE 1 END * (time[21:22]::INT * 60 + time[24:25]::INT))::BIGINT), '%Y-%m-%dT%H:%M:%SZ') AS utc FROM claims WHERE regexp_matches(time, '^....-..-..T..:..:..[+-]..:..$')",
 )(lambda c: c.where(F.col("time").rlike(r"^....-..-..T..:..:..[+-]..:..\z")).select("time").distinct().select("time", spelled(read_text(F.col("time"))).alias("utc")))
 _add(
     "mtime_text",
-    "SELECT DISTINCT epoch(ts)::BIGINT AS s, strftime(to_timestamp(epoch(ts)::BIGINT) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') || CASE WHEN event_id % 1000 = 0 THEN '' ELSE '.' || rtrim(lpad((event_id % 1000)::VARCHAR, 9, '0'), '0') END || 'Z' AS text FROM events",
+    "SELECT DISTINCT epoch(ts)::BIGINT AS s, strftime(to_timestamp(epoch(ts)::BIGINT) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') || CASE WHEN event_id % 1000 = 0 THEN ''"
+    " ELSE '.' || rtrim(lpad((event_id % 1000)::VARCHAR, 9, '0'), '0') END || 'Z' AS text FROM events",
     "events",
 )(lambda e: e.select(F.unix_seconds(F.to_timestamp(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("+00:00")))).alias("s"), (F.col("event_id") % 1000).alias("n")).distinct().select("s", names.modified_text(F.col("s"), F.col("n")).alias("text")))
 SQL["mtime_text"] = SQL["mtime_text"].replace("to_timestamp(epoch(ts)::BIGINT) AT TIME ZONE 'UTC'", "date_trunc('second', ts)").replace("epoch(ts)::BIGINT", "floor(epoch(ts))::BIGINT")
@@ -331,16 +335,19 @@ _add(
 )(lambda c: c.select("time").distinct().select("time", names.epoch(F.col("time")).alias("seconds")))
 _add(
     "aside_names",
-    "SELECT path, subject, CASE WHEN regexp_matches(path, '(?s)^.*/[^/]+\\.[^./]+$') THEN regexp_replace(path, '(?s)^(.*/[^/]+)(\\.[^./]+)$', '\\1-' || subject[1:8] || '\\2') ELSE path || '-' || subject[1:8] END AS name FROM paths WHERE path LIKE '/%'",
+    "SELECT path, subject, CASE WHEN regexp_matches(path, '(?s)^.*/[^/]+\\.[^./]+$') THEN regexp_replace(path, '(?s)^(.*/[^/]+)(\\.[^./]+)$', '\\1-' || subject[1:8] || '\\2')"
+    " ELSE path || '-' || subject[1:8] END AS name FROM paths WHERE path LIKE '/%'",
 )(lambda c: paths.all_paths(c).where(F.col("path").startswith("/")).select("path", "subject", paths.aside(F.col("path"), F.col("subject")).alias("name")))
 _add("label_names", "SELECT DISTINCT value, regexp_replace(json_extract_string(value, '$'), '^\\\\', '/') AS label FROM live WHERE attribute = 'mailbox:tag' AND value LIKE '\"%'")(
     lambda c: ask.values(c, "mailbox:tag").where(F.col("value").startswith('"')).select("value").distinct().select("value", names.label(F.get_json_object("value", "$")).alias("label"))
 )
-_add("message_ids", "SELECT DISTINCT value, array_to_string(regexp_extract_all(json_extract_string(value, '$'), '<([^<>]*)>?', 1), ' ') AS ids FROM live WHERE attribute = 'mail:message-id' AND value LIKE '\"%'")(
+_add("message_ids", "SELECT DISTINCT value, array_to_string(regexp_extract_all(json_extract_string(value, '$'), '<([^<>]*)>?', 1), ' ') AS ids FROM live"
+    " WHERE attribute = 'mail:message-id' AND value LIKE '\"%'")(
     lambda c: ask.values(c, "mail:message-id").where(F.col("value").startswith('"')).select("value").distinct().select("value", F.array_join(names.message_ids(F.get_json_object("value", "$")), " ").alias("ids"))
 )
 _BASES = "unnest([path, path || '/', path || '/..', replace(path, '/', chr(92)), path || '/ x '])"
-_add("basenames", f"SELECT path, CASE WHEN n NOT IN ('', '.', '..') THEN n END AS name FROM (SELECT path, trim(regexp_extract(path, '([^/\\\\]*)$', 1)) AS n FROM (SELECT DISTINCT {_BASES} AS path FROM paths))")(
+_add("basenames", f"SELECT path, CASE WHEN n NOT IN ('', '.', '..') THEN n END AS name FROM (SELECT path, trim(regexp_extract(path, '([^/\\\\]*)$', 1)) AS n"
+    f" FROM (SELECT DISTINCT {_BASES} AS path FROM paths))")(
     lambda c: paths.all_paths(c).select(F.explode(F.array("path", *[F.concat("path", F.lit(x)) for x in ("/", "/..", "/ x ")], F.translate("path", "/", "\\"))).alias("path")).distinct()
     .select("path", names.basename(F.col("path")).alias("name"))
 )
@@ -351,23 +358,27 @@ def _tags(claims: DataFrame) -> DataFrame:
     return ask.values(claims, "user:tag").where(F.col("value").startswith('"')).select(F.get_json_object("value", "$").alias("name")).distinct()
 
 
-_add("utf7_names", f"SELECT name, CASE WHEN regexp_matches(name, '^[\\x20-\\x7e]*$') THEN 'a&-' || name || '&-b' END AS wire_of_ascii, name || ' 台&北' AS back FROM ({_TAGS}) WHERE NOT contains(name, '&')")(
+_add("utf7_names", f"SELECT name, CASE WHEN regexp_matches(name, '^[\\x20-\\x7e]*$') THEN 'a&-' || name || '&-b' END AS wire_of_ascii, name || ' 台&北' AS back"
+    f" FROM ({_TAGS}) WHERE NOT contains(name, '&')")(
     lambda c: _tags(c).where(~F.contains("name", F.lit("&"))).select(
         "name", F.when(F.col("name").rlike(r"^[\x20-\x7e]*\z"), mail.to_utf7(F.concat(F.lit("a&"), "name", F.lit("&b")))).alias("wire_of_ascii"), mail.from_utf7(mail.to_utf7(F.concat("name", F.lit(" 台&北")))).alias("back")
     )
 )
-_add("folder_compare", f"SELECT name, nfc_normalize(CASE WHEN upper(name) = 'INBOX' THEN 'INBOX' ELSE name END) AS key FROM (SELECT name FROM ({_TAGS}) UNION SELECT upper(name) FROM ({_TAGS}) UNION SELECT name || 'e' || chr(769) FROM ({_TAGS}) UNION SELECT 'inBox')")(
+_add("folder_compare", f"SELECT name, nfc_normalize(CASE WHEN upper(name) = 'INBOX' THEN 'INBOX' ELSE name END) AS key FROM (SELECT name"
+    f" FROM ({_TAGS}) UNION SELECT upper(name) FROM ({_TAGS}) UNION SELECT name || 'e' || chr(769) FROM ({_TAGS}) UNION SELECT 'inBox')")(
     lambda c: _tags(c).select(F.explode(F.array("name", F.upper("name"), F.concat("name", F.lit("e\u0301")), F.lit("inBox"))).alias("name")).distinct().select("name", mail.folder(F.col("name")).alias("key"))
 )
 _add(
     "fits_names",
-    f"SELECT name, CASE WHEN octet_length(encode(name)) <= 240 THEN name ELSE name[1:235] || '.text' END AS short FROM (SELECT name FROM ({_TAGS}) UNION SELECT 'x' || repeat('long-', n) || '.text' FROM (SELECT unnest(range(40, 60)) AS n))",
+    f"SELECT name, CASE WHEN octet_length(encode(name)) <= 240 THEN name ELSE name[1:235] || '.text' END AS short FROM (SELECT name"
+    f" FROM ({_TAGS}) UNION SELECT 'x' || repeat('long-', n) || '.text' FROM (SELECT unnest(range(40, 60)) AS n))",
 )(
     lambda c: _tags(c).select("name").unionByName(c.sparkSession.range(40, 60).select(F.concat(F.lit("x"), F.expr("repeat('long-', int(id))"), F.lit(".text")).alias("name"))).distinct().select("name", mail.fits(F.col("name")).alias("short"))
 )
 _add(
     "legal_names",
-    """, n AS (SELECT DISTINCT unnest([json_extract_string(value, '$'), 'xmp' || json_extract_string(value, '$') || 'ToolkitName2Go']) AS name FROM live WHERE attribute IN ('user:tag', 'file:name') AND value LIKE '"%')
+    """, n AS (SELECT DISTINCT unnest([json_extract_string(value, '$'), 'xmp' || json_extract_string(value, '$') || 'ToolkitName2Go']) AS name FROM live
+      WHERE attribute IN ('user:tag', 'file:name') AND value LIKE '"%')
     SELECT name, nullif(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1-\\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1-\\2', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), '') AS attribute FROM n""",
 )(
     lambda c: r.live_values(c, ["user:tag", "file:name"]).where(F.col("value").startswith('"')).select(F.get_json_object("value", "$").alias("n"))
@@ -377,7 +388,8 @@ _add(
 # -- the log's text
 
 
-_LINE_OF = """'{"subject":"' || subject || '","attribute":"' || attribute || '",' || CASE WHEN retracts IS NULL THEN '"value":' || value ELSE '"retracts":["' || array_to_string(retracts, '","') || '"]' END || ',"time":"' || time || '","source":"' || source || '"' || coalesce(',"run":"' || run || '"', '') || '}'"""
+_LINE_OF = """'{"subject":"' || subject || '","attribute":"' || attribute || '",' || CASE WHEN retracts IS NULL THEN '"value":' || value
+      ELSE '"retracts":["' || array_to_string(retracts, '","') || '"]' END || ',"time":"' || time || '","source":"' || source || '"' || coalesce(',"run":"' || run || '"', '') || '}'"""
 
 
 @_add(
@@ -396,7 +408,8 @@ def _round_trip(claims: DataFrame) -> DataFrame:
     return back.select("cid", "subject", "attribute", "value", F.array_join(F.transform("retracts", F.lower), " ").alias("retracts"), "time", "source", "run", "fault")
 
 
-@_add("log_seal", "SELECT cid FROM (SELECT DISTINCT lower(cid) AS cid FROM claims WHERE regexp_matches(time, '^[0-9]{4}-[0-9]{2}-[0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:([0-5][0-9]|60)Z$') AND try_cast(time[1:10] AS DATE) IS NOT NULL)")
+@_add("log_seal", "SELECT cid FROM (SELECT DISTINCT lower(cid) AS cid FROM claims"
+    " WHERE regexp_matches(time, '^[0-9]{4}-[0-9]{2}-[0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:([0-5][0-9]|60)Z$') AND try_cast(time[1:10] AS DATE) IS NOT NULL)")
 def _sealed(claims: DataFrame) -> DataFrame:
     """The record appended to a log in two bundles, sealed, folded into a copy and read from there."""
     written = Log(claims.sparkSession, work_folder(claims.sparkSession, "log"))
@@ -410,34 +423,40 @@ def _sealed(claims: DataFrame) -> DataFrame:
     return rows.withColumn("id", grammar.claim_id()).join(lines.withColumnRenamed("cid", "id"), "id", "left_semi").select("cid")
 
 
-_add("log_faults", """SELECT CASE WHEN NOT (regexp_matches(time, '^[0-9]{4}-[0-9]{2}-[0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:([0-5][0-9]|60)Z$') AND try_cast(time[1:10] AS DATE) IS NOT NULL) THEN 'field' END AS fault, count(*) AS n FROM rec GROUP BY 1""")(
+_add("log_faults", """SELECT CASE WHEN NOT (regexp_matches(time, '^[0-9]{4}-[0-9]{2}-[0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:([0-5][0-9]|60)Z$') AND try_cast(time[1:10] AS DATE) IS NOT NULL) THEN 'field' END AS fault, count(*) AS n
+      FROM rec GROUP BY 1""")(
     lambda c: log.parse_lines(log.claim_lines(r.record(c)).select(F.col("line").alias("value"))).groupBy("fault").agg(F.count("*").alias("n"))
 )
 _add(
     "log_concat",
-    "SELECT lower(cid) AS cid, count(*) AS times, min(part) AS first_part FROM (SELECT cid, 0 AS part FROM claims WHERE seq <= 1 UNION ALL SELECT cid, 1 FROM claims WHERE seq > 0) WHERE cid IS NOT NULL GROUP BY 1",
+    "SELECT lower(cid) AS cid, count(*) AS times, min(part) AS first_part FROM (SELECT cid, 0 AS part FROM claims WHERE seq <= 1 UNION ALL SELECT cid, 1 FROM claims"
+    " WHERE seq > 0) WHERE cid IS NOT NULL GROUP BY 1",
 )(lambda c: log.concatenated([c.where("seq <= 1"), c.where("seq > 0")]).groupBy(F.lower("cid").alias("cid")).agg(F.count("*").alias("times"), F.min("part").alias("first_part")).where("cid IS NOT NULL"))
 _add("reference_difference", "SELECT DISTINCT lower(subject) AS digest FROM claims WHERE seq > 0 EXCEPT SELECT lower(subject) FROM claims WHERE seq = 0")(
     lambda c: verify.delta(c.where("seq > 0"), c.where("seq = 0"))
 )
-_add("first_five", "SELECT digest FROM (SELECT digest FROM refs EXCEPT SELECT digest FROM held) ORDER BY digest LIMIT 5", "claims", "blobs")(lambda c, b: ask.first(verify.missing(c, b), "digest"))
+_add("first_five", "SELECT digest FROM (SELECT digest FROM refs EXCEPT SELECT digest"
+    " FROM held) ORDER BY digest LIMIT 5", "claims", "blobs")(lambda c, b: ask.first(verify.missing(c, b), "digest"))
 _add("ordered_lists", "SELECT path, subject, row_number() OVER (PARTITION BY path ORDER BY subject) AS place FROM paths")(
     lambda c: ranked(paths.all_paths(c), ["path"], ["subject"], "place")
 )
 _RUNS = ["image:raster", "image:exif", "text:stats"]
 _add(
     "worklist_full",
-    """SELECT DISTINCT subject, v.source FROM live l JOIN (VALUES ('"image/png"', 'extractor:image-raster/3'), ('"image/jpeg"', 'extractor:image-raster/3'), ('"image/tiff"', 'extractor:image-raster/3'), ('"image/webp"', 'extractor:image-raster/3'), ('"image/heic"', 'extractor:image-raster/3'), ('"image/heif"', 'extractor:image-raster/3'), ('"image/avif"', 'extractor:image-raster/3'),
+    """SELECT DISTINCT subject, v.source FROM live l
+      JOIN (VALUES ('"image/png"', 'extractor:image-raster/3'), ('"image/jpeg"', 'extractor:image-raster/3'), ('"image/tiff"', 'extractor:image-raster/3'), ('"image/webp"', 'extractor:image-raster/3'), ('"image/heic"', 'extractor:image-raster/3'), ('"image/heif"', 'extractor:image-raster/3'), ('"image/avif"', 'extractor:image-raster/3'),
     ('"image/jpeg"', 'extractor:image-exif/2'), ('"image/tiff"', 'extractor:image-exif/2'), ('"text/plain"', 'extractor:text-stats/1')) v(value, source) ON l.attribute = 'file:mime' AND l.value = v.value""",
 )(lambda c: contracts.work(c, contracts.named(_RUNS), full=True))
 _add(
     "worklist_memo",
-    "SELECT subject FROM live WHERE attribute = 'file:mime' AND value = '\"image/jpeg\"' INTERSECT SELECT subject FROM live WHERE attribute = 'prov:examined' AND value = '\"extractor:image-exif/1\"'",
+    "SELECT subject FROM live WHERE attribute = 'file:mime' AND value = '\"image/jpeg\"' INTERSECT SELECT subject FROM live"
+    " WHERE attribute = 'prov:examined' AND value = '\"extractor:image-exif/1\"'",
 )(lambda c: ask.remembered(ask.kinds(c, ["image/jpeg"]), ask.examined(c, "extractor:image-exif/1")))
 _add(
     "unchanged_skip",
     """, p AS (SELECT subject, json_extract_string(value, '$') AS path FROM vals WHERE attribute = 'file:path' AND value LIKE '"%'),
-    h AS (SELECT subject, value AS host FROM vals WHERE attribute = 'prov:host'), s AS (SELECT subject, value AS size FROM vals WHERE attribute = 'file:size'), m AS (SELECT subject, value AS modified FROM vals WHERE attribute = 'file:modified'),
+    h AS (SELECT subject, value AS host FROM vals WHERE attribute = 'prov:host'), s AS (SELECT subject, value AS size FROM vals
+      WHERE attribute = 'file:size'), m AS (SELECT subject, value AS modified FROM vals WHERE attribute = 'file:modified'),
     l AS (SELECT DISTINCT host, path, size, modified FROM p JOIN h USING (subject) JOIN s USING (subject) JOIN m USING (subject))
     SELECT * FROM l WHERE NOT path LIKE '/photos/%'""",
 )(lambda c: sources.unchanged(_listing(c), _listing(c).where(F.col("path").startswith("/photos/"))))
@@ -450,18 +469,21 @@ def _listing(claims: DataFrame) -> DataFrame:
     return named.join(of("prov:host", "host"), "subject").join(of("file:size", "size"), "subject").join(of("file:modified", "modified"), "subject").select("host", "path", "size", "modified").distinct()
 
 
-_add("vault_scan", "SELECT log_id AS store_id, coalesce(mailbox, '') || ':' || coalesce(folder, '') AS place, min(date) AS time FROM vault_logs WHERE log_id IS NOT NULL GROUP BY 1, 2", "vault_logs")(
+_add("vault_scan", "SELECT log_id AS store_id, coalesce(mailbox, '') || ':' || coalesce(folder, '') AS place, min(date) AS time FROM vault_logs WHERE log_id IS NOT NULL"
+    " GROUP BY 1, 2", "vault_logs")(
     lambda v: sources.vault_messages(v.select(F.col("log_id").alias("store_id"), names.place(F.coalesce("mailbox", F.lit("")), F.coalesce("folder", F.lit(""))).alias("place"), F.col("date").alias("time")))
 )
 _add(
     "import_plan",
-    "SELECT v.log_id, CASE WHEN a.mailbox IS NULL THEN 'label' WHEN v.folder IS NULL THEN 'listed' ELSE 'place' END AS kind, CASE WHEN a.mailbox IS NOT NULL AND v.folder IS NOT NULL THEN v.mailbox || ':' || v.folder END AS place"
+    "SELECT v.log_id, CASE WHEN a.mailbox IS NULL THEN 'label' WHEN v.folder IS NULL THEN 'listed' ELSE 'place' END AS kind, CASE"
+    " WHEN a.mailbox IS NOT NULL AND v.folder IS NOT NULL THEN v.mailbox || ':' || v.folder END AS place"
     " FROM (SELECT DISTINCT log_id, mailbox, folder FROM vault_logs) v LEFT JOIN (SELECT DISTINCT mailbox FROM accounts) a ON a.mailbox = v.mailbox",
     "vault_logs", "accounts",
 )(reconcile.import_plan)
 _add(
     "land_messages",
-    """, f AS (SELECT DISTINCT lower(subject) AS subject, octet_length(encode(coalesce(text, ''))) AS size, lower(subject) NOT IN (SELECT digest FROM held) AS fresh FROM documents WHERE source = 'mail' AND subject IS NOT NULL)
+    """, f AS (SELECT DISTINCT lower(subject) AS subject, octet_length(encode(coalesce(text, ''))) AS size, lower(subject) NOT IN (SELECT digest FROM held) AS fresh
+      FROM documents WHERE source = 'mail' AND subject IS NOT NULL)
     SELECT subject, 'mailbox:place' AS attribute, '"work:Inbox"' AS value FROM f UNION ALL SELECT subject, 'mailbox:id', '"' || subject[1:8] || '"' FROM f
     UNION ALL SELECT subject, 'file:mime', '"message/rfc822"' FROM f UNION ALL SELECT subject, 'file:size', size::VARCHAR FROM f WHERE fresh""",
     "documents", "blobs",
@@ -475,21 +497,26 @@ _add(
 )
 _add(
     "export_gather",
-    "SELECT DISTINCT subject, json_extract_string(value, '$') AS place FROM (SELECT subject, attribute, value, CASE attribute WHEN 'file:path' THEN 0 WHEN 'mailbox:place' THEN 1 ELSE 2 END AS k FROM vals"
-    " WHERE attribute IN ('file:path', 'mailbox:place', 'file:name') AND value LIKE '\"%' QUALIFY k = min(k) OVER (PARTITION BY subject)) WHERE subject IN (SELECT digest FROM held)",
+    "SELECT DISTINCT subject, json_extract_string(value, '$') AS place FROM (SELECT subject, attribute, value, CASE attribute WHEN 'file:path' THEN 0"
+    " WHEN 'mailbox:place' THEN 1 ELSE 2 END AS k FROM vals"
+    " WHERE attribute IN ('file:path', 'mailbox:place', 'file:name') AND value LIKE '\"%' QUALIFY k = min(k) OVER (PARTITION BY subject))"
+    " WHERE subject IN (SELECT digest FROM held)",
     "claims", "blobs",
 )(
     lambda c, b: ask.placements(c).join(held(b).select(F.col("digest").alias("subject")), "subject", "left_semi").select("subject", F.get_json_object("value", "$").alias("place")).distinct()
 )
 _add(
     "store_fixity",
-    "SELECT lower(subject) AS digest, doc_id, CASE WHEN text IS NULL THEN 'unreadable' WHEN sha256(text) = lower(subject) THEN 'sound' ELSE 'damaged' END AS fixity FROM documents WHERE subject IS NOT NULL",
+    "SELECT lower(subject) AS digest, doc_id, CASE WHEN text IS NULL THEN 'unreadable' WHEN sha256(text) = lower(subject) THEN 'sound' ELSE 'damaged' END AS fixity"
+    " FROM documents WHERE subject IS NOT NULL",
     "documents",
 )(lambda d: verify.fixity(d.where(F.col("subject").isNotNull()).select(F.lower("subject").alias("digest"), "doc_id", F.encode("text", "utf-8").alias("content")), keep=("doc_id",)))
 _add(
     "label_delta",
-    "SELECT subject, value, 'assert' AS change FROM (SELECT subject, value FROM vals WHERE attribute = 'mailbox:tag' EXCEPT SELECT subject, value FROM vals WHERE attribute = 'user:tag')"
-    " UNION ALL SELECT subject, value, 'retract' FROM (SELECT subject, value FROM vals WHERE attribute = 'user:tag' EXCEPT SELECT subject, value FROM vals WHERE attribute = 'mailbox:tag')",
+    "SELECT subject, value, 'assert' AS change FROM (SELECT subject, value FROM vals WHERE attribute = 'mailbox:tag' EXCEPT SELECT subject, value FROM vals"
+    " WHERE attribute = 'user:tag')"
+    " UNION ALL SELECT subject, value, 'retract' FROM (SELECT subject, value FROM vals WHERE attribute = 'user:tag' EXCEPT SELECT subject, value FROM vals"
+    " WHERE attribute = 'mailbox:tag')",
 )(lambda c: reconcile.snapshot_changes(ask.values(c, "user:tag"), ask.values(c, "mailbox:tag"), ["subject", "value"]))
 _add("json_quoted", "SELECT DISTINCT value, value AS back FROM live WHERE attribute IN ('file:name', 'mail:subject') AND value LIKE '\"%'")(
     lambda c: r.live_values(c, ["file:name", "mail:subject"]).where(F.col("value").startswith('"')).select("value").distinct().select("value", grammar.json_quote(F.get_json_object("value", "$")).alias("back"))
@@ -548,21 +575,26 @@ _add(
 )(lambda d: _made(d.where(F.col("doc_id").isNotNull()).select("doc_id"), _mixture, "doc_id").select("subject", batched(sniff.kind, "string")("content").alias("mime")))
 _add(
     "seal_check",
-    "SELECT r.digest, coalesce(s.store, 'missing') AS presence FROM (SELECT DISTINCT lower(subject) AS digest FROM claims WHERE seq <= (SELECT seq FROM segments ORDER BY digest LIMIT 1)) r"
+    "SELECT r.digest, coalesce(s.store, 'missing') AS presence FROM (SELECT DISTINCT lower(subject) AS digest FROM claims WHERE seq <= (SELECT seq"
+    " FROM segments ORDER BY digest LIMIT 1)) r"
     " LEFT JOIN (SELECT lower(digest) AS digest, min(store) AS store FROM blobs WHERE removed IS NULL GROUP BY 1) s USING (digest)",
     "claims", "blobs", "segments",
 )(lambda c, b, s: verify.seal_check(c, b, s, s.agg(F.min("digest")).first()[0] or ""))
 _add(
     "copy_plan",
-    "SELECT 'segment' AS kind, lower(digest) AS digest FROM segments WHERE seq > 1 UNION ALL SELECT 'file', digest FROM (SELECT lower(subject) AS digest FROM claims WHERE seq > 1 EXCEPT SELECT lower(subject) FROM claims WHERE seq <= 1 INTERSECT ALL SELECT digest FROM held)",
+    "SELECT 'segment' AS kind, lower(digest) AS digest FROM segments WHERE seq > 1 UNION ALL SELECT 'file', digest FROM (SELECT lower(subject) AS digest FROM claims"
+    " WHERE seq > 1 EXCEPT SELECT lower(subject) FROM claims WHERE seq <= 1 INTERSECT ALL SELECT digest FROM held)",
     "claims", "blobs", "segments",
 )(lambda c, b, s: verify.copy_plan(c, b, s, s.where("seq <= 1")))
-SQL["copy_plan"] = SQL["copy_plan"].replace("(SELECT lower(subject) AS digest FROM claims WHERE seq > 1 EXCEPT SELECT lower(subject) FROM claims WHERE seq <= 1 INTERSECT ALL SELECT digest FROM held)", "((SELECT lower(subject) AS digest FROM claims WHERE seq > 1 EXCEPT SELECT lower(subject) FROM claims WHERE seq <= 1) INTERSECT SELECT digest FROM held)")
+SQL["copy_plan"] = SQL["copy_plan"].replace("(SELECT lower(subject) AS digest FROM claims WHERE seq > 1 EXCEPT SELECT lower(subject) FROM claims WHERE seq <= 1"
+    " INTERSECT ALL SELECT digest FROM held)", "((SELECT lower(subject) AS digest FROM claims WHERE seq > 1 EXCEPT SELECT lower(subject) FROM claims WHERE seq <= 1)"
+    " INTERSECT SELECT digest FROM held)")
 _add(
     "disappeared",
     """, m AS (SELECT DISTINCT json_extract_string(value, '$') AS path FROM rec WHERE attribute = 'file:path' AND value LIKE '"%' AND time > '2025-01-01T00:00:00Z')
     SELECT path, subject FROM paths WHERE (starts_with(path, '/home/') OR starts_with(path, '/photos/')) AND NOT starts_with(path, '/home/2019/') AND NOT regexp_matches(path, '(?s)(^|/)[^/]*\\.zip(/|$)')
-    AND subject IN (SELECT subject FROM vals WHERE attribute = 'prov:host' AND value = (SELECT min(value) FROM claims WHERE attribute = 'prov:host')) AND path NOT IN (SELECT path FROM m)""",
+    AND subject IN (SELECT subject FROM vals WHERE attribute = 'prov:host' AND value = (SELECT min(value) FROM claims
+      WHERE attribute = 'prov:host')) AND path NOT IN (SELECT path FROM m)""",
 )(
     lambda c: paths.disappeared(
         c, c.where((F.col("attribute") == "file:path") & (F.col("time") > "2025-01-01T00:00:00Z")).select(paths.path_text(F.col("value")).alias("path")), ["/home", "/photos"],
@@ -579,9 +611,12 @@ def _over_grids(select: str) -> str:
     )
 
 
-SQL["image_raster"] = _over_grids("""SELECT subject, 'raster:width' AS attribute, (CASE w % 5 WHEN 1 THEN w % 65536 ELSE w END)::VARCHAR AS value FROM g UNION ALL SELECT subject, 'raster:height', (CASE w % 5 WHEN 1 THEN h % 65536 ELSE h END)::VARCHAR FROM g
-    UNION ALL SELECT subject, 'raster:depth', (CASE WHEN w % 5 IN (1, 3) THEN 8 ELSE d END)::VARCHAR FROM g UNION ALL SELECT subject, 'raster:alpha', (a AND w % 5 <> 1 AND NOT (w % 5 = 2 AND c = 'indexed'))::VARCHAR FROM g
-    UNION ALL SELECT subject, 'raster:color', '"' || CASE WHEN c = 'gray' AND w % 5 <> 3 OR c = 'indexed' AND w % 5 IN (0, 2) OR c = 'cmyk' AND w % 5 IN (1, 2) THEN c ELSE 'rgb' END || '"' FROM g WHERE NOT (w % 5 = 2 AND c = 'indexed' AND a)""")
+SQL["image_raster"] = _over_grids("""SELECT subject, 'raster:width' AS attribute, (CASE w % 5 WHEN 1 THEN w % 65536 ELSE w END)::VARCHAR AS value FROM g
+      UNION ALL SELECT subject, 'raster:height', (CASE w % 5 WHEN 1 THEN h % 65536 ELSE h END)::VARCHAR FROM g
+    UNION ALL SELECT subject, 'raster:depth', (CASE WHEN w % 5 IN (1, 3) THEN 8 ELSE d END)::VARCHAR FROM g
+      UNION ALL SELECT subject, 'raster:alpha', (a AND w % 5 <> 1 AND NOT (w % 5 = 2 AND c = 'indexed'))::VARCHAR FROM g
+    UNION ALL SELECT subject, 'raster:color', '"' || CASE WHEN c = 'gray' AND w % 5 <> 3 OR c = 'indexed' AND w % 5 IN (0, 2) OR c = 'cmyk' AND w % 5 IN (1, 2) THEN c
+      ELSE 'rgb' END || '"' FROM g WHERE NOT (w % 5 = 2 AND c = 'indexed' AND a)""")
 SQL["image_xmp"] = _over_grids("""SELECT subject, unnest(['xmp:own-creator-tool', 'xmp:dc-subject', 'xmp:dc-subject', 'xmp:dc-creator', 'xmp:dc-title', 'xmp:xmp-mm-derived-from-xmp-mm-document-id']) AS attribute,
     unnest(['"t' || w || '"', '"a"', '"b' || w || '"', '["x' || w || '","y"]', '"t' || w || '"', '"i' || w || '"']) AS value FROM g""")
 SQL["mime_sniff"] = _over_grids("SELECT subject, ['image/png', 'image/jpeg', 'image/tiff', 'image/webp', 'image/heif'][w % 5 + 1] AS mime FROM g")
@@ -593,6 +628,8 @@ SQL["image_iptc"] = _over_grids(
 _PLACED = training.SQL["p6_found"].partition(",\nn AS")[0] + """, l AS (SELECT s AS subject, min(row(lat, lon)) AS p FROM g GROUP BY s),
     c AS (SELECT subject, round_even(abs(p[1]) * 1000000, 0)::BIGINT AS la, round_even(abs(p[2]) * 1000000, 0)::BIGINT AS lo, p[1] < 0 AS south, p[2] < 0 AS west FROM l)"""
 SQL["image_exif"] = _PLACED + """ SELECT subject, unnest(['exif:copyright', 'exif:exposure-bias-value', 'exif:flash', 'exif:gps-date-stamp', 'exif:gps-latitude', 'exif:gps-latitude-ref', 'exif:gps-longitude', 'exif:gps-longitude-ref', 'exif:gps-status',
-    'exif:gps-version-id', 'exif:lens-specification', 'exif:make', 'exif:metering-mode', 'exif:orientation', 'exif:white-balance']) AS attribute, unnest(['["Ann","Bo"]', '"-1/3"', '16', '"2024:03:01"', '"' || la || '/1000000"', CASE WHEN south THEN '"S"' ELSE '"N"' END,
+    'exif:gps-version-id', 'exif:lens-specification', 'exif:make', 'exif:metering-mode', 'exif:orientation', 'exif:white-balance']) AS attribute, unnest(['["Ann","Bo"]', '"-1/3"', '16', '"2024:03:01"', '"' || la || '/1000000"', CASE
+      WHEN south THEN '"S"' ELSE '"N"' END,
     '"' || lo || '/1000000"', CASE WHEN west THEN '"W"' ELSE '"E"' END, '"A"', '[2,3,0,0]', '["24/1","70/1","28/10","28/10"]', '"Ann"', '5', '6', '1']) AS value FROM c"""
-SQL["image_geo"] = _PLACED + """ SELECT subject, 'geo:position' AS attribute, '{"latitude":' || (CASE WHEN south THEN -la ELSE la END / 1000000.0)::DOUBLE || ',"longitude":' || (CASE WHEN west THEN -lo ELSE lo END / 1000000.0)::DOUBLE || '}' AS value FROM c WHERE la <> 0 OR lo <> 0"""
+SQL["image_geo"] = _PLACED + """ SELECT subject, 'geo:position' AS attribute, '{"latitude":' || (CASE WHEN south THEN -la
+      ELSE la END / 1000000.0)::DOUBLE || ',"longitude":' || (CASE WHEN west THEN -lo ELSE lo END / 1000000.0)::DOUBLE || '}' AS value FROM c WHERE la <> 0 OR lo <> 0"""
