@@ -31,8 +31,8 @@ from claimwright.plans.tables import work_folder, written
 
 #: The attributes whose history is kept.
 TRACKED = ("mailbox:place", "user:tag")
-#: Lifetimes a key from which on an attribute is in the satellite of those that change often.
-OFTEN = 1.25
+#: An attribute changes often if its lifetimes a key exceed so many times those of all attributes together.
+OFTEN = 1.0
 OPEN = "open"
 _KEY = ("subject", "attribute", "value")
 
@@ -79,9 +79,9 @@ def ended(rows: DataFrame) -> DataFrame:
 
 
 def change_rates(lives: DataFrame) -> DataFrame:
-    """Rows (attribute, rate): lifetimes a key, over all rows; the number of keys is estimated within 2 %."""
+    """Rows (attribute, lives, keys): lifetimes and, estimated within 2 %, the keys that have them, over all rows."""
     keys = F.approx_count_distinct(F.xxhash64(*_KEY), 0.02)
-    return lives.groupBy("attribute").agg((F.count("*") / F.greatest(keys, F.lit(1))).alias("rate"))
+    return lives.groupBy("attribute").agg(F.count("*").alias("lives"), F.greatest(keys, F.lit(1)).alias("keys"))
 
 
 class History:
@@ -102,8 +102,10 @@ class History:
 
         Attributes met before stay in their satellite. A batch that is appended again writes its own folder anew.
         """
-        for r in change_rates(lives).collect():  # one row an attribute
-            self.split.setdefault(r["attribute"], "often" if r["rate"] >= self.often else "seldom")
+        rates = change_rates(lives).collect()  # one row an attribute
+        mean = sum(r["lives"] for r in rates) / max(1, sum(r["keys"] for r in rates))
+        for r in rates:
+            self.split.setdefault(r["attribute"], "often" if r["lives"] / r["keys"] > self.often * mean else "seldom")
         for name in sorted(set(self.split.values())):
             rows = satellite(lives.where(F.col("attribute").isin([a for a, s in self.split.items() if s == name])))
             stored = [b for b in self._batches(name) if b < batch]
