@@ -254,3 +254,26 @@ def test_every_piece_of_the_documents(spark):
             joins += len(cut[1:])
             beyond += sum(own - start != overlap for start, own, _ in cut[1:])
     assert joins > 300 and beyond == 0
+
+
+def test_other_columns_and_empty_tables(spark):
+    """Columns of any name beside those that are read change nothing, and tables without rows give none."""
+    line = " ".join(f"w{k}" for k in range(13))
+    docs = spark.createDataFrame([(1, line, "a", 9, 9, 9, "x"), (None, None, None, None, None, None, None)], "doc_id long, text string, source string, doc long, part long, h long, places string")
+    items = spark.createDataFrame([(7, line, 1, 2, "y")], "item_id long, text string, item long, g long, words string")
+    limits = spark.createDataFrame([("a", 5, 1, 3)], "source string, max_tokens int, overlap_tokens int, piece int")
+    assert [tuple(r) for r in leaks.found(docs, items).collect()] == [(1, 7)]
+    assert [r.doc_id for r in split.found(docs, limits).collect()] == [1]
+    assert sorted((r.doc_id, len(r.ids)) for r in encode.encode(docs.where("doc_id = 1")).collect()) == [(1, len(ORACLE.encode_ordinary(line)))]
+    empty = docs.limit(0)
+    assert leaks.report(empty, items).count() == 0 and split.split(empty, limits).count() == 0 and encode.encode(empty).count() == 0
+    assert leaks.overlaps(docs, items.limit(0)).count() == 0
+
+
+def test_repeated_rows_and_ties(spark):
+    line = " ".join(f"w{k}" for k in range(15))
+    docs = spark.createDataFrame([(1, line)] * 3 + [(1, f"x {line} y")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, line)] * 2 + [(8, line)], "item_id long, text string")
+    assert sorted(tuple(r) for r in leaks.found(docs, items).collect()) == [(1, 7), (1, 8)]
+    assert {(r.tiles, r.words, r.cover) for r in leaks.overlaps(docs, items).collect()} == {(1, 15, 1.0)}
+    assert encode.encode(docs).count() == 4
