@@ -346,3 +346,50 @@ def test_filters_reach_the_scan_and_no_join_multiplies(spark, tmp_path, claims):
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     plan = changes.standing_claims(df, ["user:tag"])._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(attribute,user:tag)" in plan and "position" not in plan
+
+
+# -- nulls, other columns, long texts and empty tables, all operators
+
+CLASHING = ["claim", "op", "k", "p", "row", "gone", "at", "day", "loaded", "holds", "start", "end", "batch", "key", "parent", "refs", "month", "range", "place", "number", "entity", "strip", "part", "lat", "lon", "id", "instant", "_of", "_share", "_seq"]
+
+
+@pytest.fixture(scope="module")
+def tables(spark, claims):
+    """Claims of every kind beside rows with a null in each column, a very long text, and columns of the operators' own names."""
+    good = [
+        ("a", "raster:width", "1", T(1), "c1"), ("a", "user:tag", '"x"', T(1), "c2"), ("a", "user:tag", ["c2", "none", None], T(2), "r1"), ("b", "mailbox:place", '"p"', T(3), "c3"),
+        ("a", "geo:position", '{"latitude":1,"longitude":1}', T(1), "c4"), ("b", "geo:position", '{"latitude":1,"longitude":1}', T(1), "c5"), ("b", "prov:origin", '"' + "d" * 64 + '"', T(1), "c6"), ("b", "file:path", '"/p"', T(1), "c7"),
+        ("b", "user:tag", '"' + "y" * 200_000 + '"', T(1), "c8"), ("b", "x:y", "1", "(" * 300 + " 1 Mar 2024 10:00 Z", "c9"), ("b", "x:y", "2", "1 Mar 2024 10:00 Z", "c10"),
+    ]
+    holes = [tuple(None if i == k else x for i, x in enumerate(row)) for row in good for k in range(5)]
+    df = claims(*good, *holes)
+    df = df.unionByName(df.withColumns({"seq": F.lit(None).cast("long"), "position": F.lit(None).cast("long"), "run": F.lit(None).cast("string"), "source": F.lit(None).cast("string")}))
+    more = lambda t: t.withColumns({c: F.lit(f"clash {c}") for c in CLASHING if c not in t.columns})
+    blobs = spark.createDataFrame([("a", "content", None), (None, "content", None), ("b", None, None)], "digest string, store string, removed timestamp_ntz")
+    standing = spark.createDataFrame([("c3", T(1)), ("zz", T(1)), (None, T(1)), ("qq", None)], "claim string, asserted string")
+    logs = spark.createDataFrame([(1, "m", "2024-03-01 10:00"), (2, None, "2024-03-01 10:00Z"), (None, "m", "x"), (3, "m", None), (1, "m", "2024-03-01 10:00")], "log_id long, mailbox string, date string")
+    accounts = spark.createDataFrame([("m", "UTC", "dmy"), (None, "UTC", None), ("n", None, None), ("o", "No/Where", "mdy")], "mailbox string, zone string, date_order string")
+    return {n: more(t) for n, t in (("claims", df), ("blobs", blobs), ("standing", standing), ("vault_logs", logs), ("accounts", accounts))}
+
+
+def answers(t):
+    c = t["claims"]
+    return {
+        "p1": wide.found(c), "p2": changes.found(c, t["standing"]), "p3": orphans.found(c, t["blobs"], t["standing"]), "p3r": orphans.report(c, t["blobs"], t["standing"]),
+        "p4": history.found(c), "p5": instants.found(t["vault_logs"], t["accounts"], c), "p6": nearby.found(c),
+    }
+
+
+def test_every_operator_bears_nulls_other_columns_and_long_texts(tables, rows):
+    got = {n: rows(q) for n, q in answers(tables).items()}
+    assert got["p1"] == [("a", 1, -1, -1, "", "")]
+    assert got["p2"] == [("c7", "add"), ("c8", "add"), ("qq", "drop"), ("r1", "add"), ("zz", "drop")]  # without its ids, r1 is an assertion
+    assert got["p3"] == [("claims.retracts", "2024-03", "none"), ("claims.value", "2024-03", "d" * 64), ("standing.claim", "2024-03", "zz")]
+    assert [r[:3] for r in got["p3r"]] == [("claims.retracts", "2024-03", 1), ("claims.value", "2024-03", 1), ("standing.claim", "2024-03", 1)]
+    assert [(s, a, f, t) for s, a, v, f, t in got["p4"]] == [("a", "user:tag", T(1), T(2)), ("b", "mailbox:place", T(3), "open"), ("b", "user:tag", T(1), "open")]
+    assert got["p5"] == [("claims", "c10", "2024-03-01T10:00:00Z"), ("vault_logs", "1", "2024-03-01T10:00:00Z"), ("vault_logs", "2", "2024-03-01T10:00:00Z")]
+    assert got["p6"] == [("a", "b")]
+
+
+def test_every_operator_of_empty_tables(tables):
+    assert all(q.count() == 0 for q in answers({n: t.limit(0) for n, t in tables.items()}).values())
