@@ -14,6 +14,7 @@ import base64
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from urllib.parse import unquote_to_bytes
 
 from claimwright.extract import sniff
@@ -74,16 +75,22 @@ def parameters(value: str) -> dict[str, str]:
 
 @dataclass
 class Entity:
-    """A message or a part: its fields in order, its body, and its parts if it was split."""
+    """A message or a part: its fields in order, its body, and its parts if it can be split."""
 
     fields: list[tuple[str, bytes]]
     body: bytes
-    parts: list[Entity] | None = None
     digest: bool = False
+    depth: int = 0
     kind: str | None = None
     given: dict[str, str] = field(default_factory=dict)
     disposed: dict[str, str] = field(default_factory=dict)
 
+    @cached_property
+    def parts(self) -> list[Entity] | None:
+        """The parts of a multipart that can be split, looked for when they are asked for."""
+        splits = self.kind and self.kind.startswith("multipart/") and self.depth < DEEPEST and self.given.get("boundary")
+        return _parts(self, self.depth + 1) if splits else None
+
     def last(self, name: str) -> str | None:
         found = [raw for n, raw in self.fields if n == name]
         return re.sub(r"\r?\n(?=[ \t])", "", found[-1].decode("utf-8", "replace")).strip() if found else None
@@ -126,14 +133,12 @@ def parse(data: bytes, in_digest: bool = False, depth: int = 0) -> Entity:
     """The structure of *data*, read as one entity."""
     end = _HEAD.match(data).end()
     empty = _EMPTY.match(data, end)
-    own = Entity([(n.decode("ascii").lower(), raw) for n, raw in _FIELD.findall(data[:end])], data[empty.end() if empty else end :], digest=in_digest)
+    own = Entity([(n.decode("ascii").lower(), raw) for n, raw in _FIELD.findall(data[:end])], data[empty.end() if empty else end :], in_digest, depth)
     declared = own.last("content-type")
     if declared:
         kind = declared.partition(";")[0].strip().lower()
         own.kind, own.given = (kind if re.fullmatch(r"[^\s/]+/[^\s/]+", kind) else None), parameters(declared)
     own.disposed = parameters(own.last("content-disposition") or "")
-    if own.kind and own.kind.startswith("multipart/") and depth < DEEPEST and own.given.get("boundary"):
-        own.parts = _parts(own, depth + 1)
     return own
 
 
